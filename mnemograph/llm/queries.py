@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from mnemograph.llm.decontaminate import decontaminate
 from mnemograph.llm.packing import pack
+from mnemograph.llm.pii import pii_report
+from mnemograph.llm.quality import score_quality
 from mnemograph.llm.token_counts import count_tokens
 from mnemograph.llm.token_orc import token_table
+from mnemograph.llm.topk import top_k
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_read(spark, sf_dir, "embeddings"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_read(spark, sf_dir, "documents"))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), with_ids=False)
 
@@ -32,6 +43,60 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.col("n_items"), "items_sha256", "contaminated")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+one AS (SELECT vec_id, min(e) AS e FROM v GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM one q JOIN one c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+def _pii_sql() -> str:
+    """Per kind: the text between matches gives the positions, as in the operator."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    back = f"string_split(reverse({digits}), '')"
+    codes = "list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END)"
+    rules = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0",
+        "card": f"CASE WHEN len({digits}) BETWEEN 14 AND 19 THEN list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({back}[i] AS INTEGER) WHEN CAST({back}[i] AS INTEGER) < 5 THEN 2 * CAST({back}[i] AS INTEGER) ELSE 2 * CAST({back}[i] AS INTEGER) - 9 END)) % 10 = 0 ELSE false END",
+        "phone": f"len({digits}) BETWEEN 10 AND 15",
+        "iban": f"CASE WHEN len(replace(m, ' ', '')) BETWEEN 15 AND 34 THEN list_reduce(list_transform(string_split(array_to_string({codes}, ''), ''), lambda c: CAST(c AS INTEGER)), lambda a, c: (a * 10 + c) % 97) = 1 ELSE false END",
+        "ssn": r"regexp_matches(before, '(?i)\b(?:ssn|social|security|insurance)\b')",
+    }
+    parts = []
+    for n, (kind, pattern) in enumerate(patterns.items()):
+        parts.append(
+            f"SELECT doc_id, {n} AS kind_no, '{kind}' AS kind, s AS start, s + len(m) AS stop FROM (SELECT doc_id, g[i] AS m, right(p[i], 40) AS before, "
+            f"CAST(list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(g[1 : i - 1], lambda x: len(x))), 0) AS BIGINT) AS s "
+            f"FROM (SELECT doc_id, g, p, unnest(range(1, len(g) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS g, regexp_split_to_array(t, '{pattern}') AS p FROM d))) WHERE {rules[kind]}"
+        )
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (" + " UNION ALL ".join(parts) + "), a AS (SELECT doc_id, "
+        + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone"))
+        + ", string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) FILTER (kind_no < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) AS spans FROM f GROUP BY doc_id) "
+        "SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"
+    )
+
+
 OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
@@ -57,5 +122,8 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_token_counts, op7_harmonic_packing, op8_wu_manber)}
-ORACLE_SQL = {"op8_wu_manber": OP8_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_token_orc, op3_token_counts, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op10_quality)
+}
+ORACLE_SQL = {"op5_exact_topk": OP5_SQL, "op6_pii": _pii_sql(), "op8_wu_manber": OP8_SQL}
