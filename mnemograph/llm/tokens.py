@@ -13,8 +13,11 @@ import re
 import numpy as np
 import public_tokenizers
 
-#: White space before a space: there a cut at the space can change byte-level tokens.
-BEFORE_SPACE = re.compile(r"\s ")
+#: Where one of these stands, cuts at single spaces and newlines can change byte-level tokens.
+ODD_SPACE = ("  ", "\n\n", "\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+WIDE_SPACE = re.compile("[\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Letters and numbers, then marks that always make tokens of their own.
+TAIL = re.compile(r"(\n?[^\W_]+)([.,!?;:]+)")
 SEPARATOR = "<|endoftext|>"
 
 
@@ -34,44 +37,65 @@ class CachedTokenizer:
         self.plain.encode_special_tokens = True
         self.split = Tokenizer.from_file(path)  # it sees the separator as one token
         self.separator = self.split.token_to_id(SEPARATOR)
-        self.joined, self.most, self.cache = spaces == "joined", most, {}
+        self.joined, self.most = spaces == "joined", most
+        self.cache, self.tails, self.heads = {}, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        new = list({w for w in words if w not in self.cache})
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = list(set(words))
-        odd = [w for w in new if "<|" in w or "|>" in w or not w]
-        for w in odd:
-            self.cache[w] = self.whole(" " + w if self.joined else w)
-        plain = [w for w in new if w and "<|" not in w and "|>" not in w]
-        if not plain:
-            return
-        lead = " " if self.joined else ""
-        ids = np.array(self.split.encode_batch_fast([SEPARATOR.join(lead + w for w in plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _put(self, words: list[str]) -> None:
+        """Encode ``words`` in one call, told apart by the separator, into the cache."""
+        pieces = [w if w[0] == "\n" or not self.joined else " " + w for w in words]
+        ids = np.array(self.split.encode_batch_fast([SEPARATOR.join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ids == self.separator)
-        if len(cuts) != len(plain) - 1:  # a part that the library reads together with the separator
-            for w in plain:
-                self.cache[w] = self.whole(lead + w)
+        if len(cuts) != len(words) - 1:  # a part that the library reads together with the separator
+            self.cache.update((w, self.whole(p)) for w, p in zip(words, pieces, strict=True))
             return
         raw, at = ids.tobytes(), 0
-        for w, cut in zip(plain, [*cuts.tolist(), len(ids)], strict=True):
+        for w, cut in zip(words, [*cuts.tolist(), len(ids)], strict=True):
             self.cache[w] = raw[4 * at : 4 * cut]
             at = cut + 1
 
+    def _learn(self, words: list[str]) -> None:
+        cache = self.cache
+        new = {w for w in words if w not in cache}
+        if len(cache) + len(new) > self.most:
+            cache.clear()
+            new = set(words)
+        ended, alone = [], set()
+        for w in new:
+            if m := TAIL.fullmatch(w):
+                ended.append((w, m[1], m[2]))
+                if m[1] not in cache:
+                    alone.add(m[1])
+            elif not w or "<|" in w or "|>" in w:
+                cache[w] = self.whole(" " + w if self.joined and w[:1] != "\n" else w)
+            elif w not in cache:
+                alone.add(w)
+        if alone:
+            self._put(list(alone))
+        for w, core, tail in ended:
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            cache[w] = cache[core] + self.tails[tail]
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.joined and (text[0] == " " or text[-1] == " " or BEFORE_SPACE.search(text)):
-            return self.whole(text)
-        words = text.split(" ")
         head = b""
-        if self.joined:  # the first word has no space before it
-            head = self.whole(words[0])
-            words = words[1:]
+        if self.joined:
+            if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ODD_SPACE) or WIDE_SPACE.search(text):
+                return self.whole(text)
+            # "\nWord" stands for itself; every other word has a space before it, but for the first
+            words = text.replace("\n", " \n").split(" ")
+            first = words.pop(0)
+            if first not in self.heads:
+                if len(self.heads) > 100_000:
+                    self.heads.clear()
+                self.heads[first] = self.whole(first)
+            head = self.heads[first]
+        else:
+            words = text.replace("\n", " ").split(" ")
         out = []
         for i in range(0, len(words), 200_000):
             part = words[i : i + 200_000]
