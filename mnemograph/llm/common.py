@@ -53,3 +53,45 @@ def remainder(id_col: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids give null."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(col.cast("string").cast("binary")) % mod
+
+
+def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text): a number for each row that is the same whenever the plan runs again.
+
+    Numbers follow the order of a scan. Where a shuffle or Python could change that order between
+    runs, the two columns are stored first.
+    """
+    docs = two(df, id_col, text_col)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    if any(x in plan for x in ("Exchange", "Python", "Pandas", "Arrow")):
+        docs = store(docs, "numbered")
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
+def smallest_reachable(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root): the smallest node that each linked node reaches, from links (a, b) of longs.
+
+    Alternating large and small stars: every round each node points its neighbours to the smallest
+    one near it, so a component becomes a star in a logarithmic number of rounds. A node's
+    neighbours are never gathered; only their minimum is.
+    """
+    edges = store(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    for _ in range(most_rounds):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # large star: larger neighbours of each node go to its minimum
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small star: smaller neighbours and the node itself go to the least of them
+        small_min = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(small_min, "a")
+        after = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_min.select("a", F.col("m").alias("b")))
+        after = store(after.where(F.col("a") != F.col("b")).distinct(), "links")
+        # done when every node has one edge and no root has an edge of its own
+        twice = after.groupBy("a").count().where(F.col("count") > 1).limit(1).count()
+        chained = after.join(after.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+        edges = after
+        if not twice and not chained:
+            break
+    else:
+        raise RuntimeError("components did not converge")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

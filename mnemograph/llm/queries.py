@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemograph.llm.decontaminate import decontaminate
+from mnemograph.llm.jaccard_join import jaccard_components
+from mnemograph.llm.lm_scoring import lm_score
 from mnemograph.llm.packing import pack
 from mnemograph.llm.pii import pii_report
 from mnemograph.llm.quality import score_quality
@@ -18,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_read(spark, sf_dir, "documents"))
 
@@ -43,10 +49,29 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.col("n_items"), "items_sha256", "contaminated")
 
 
+def op9_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(4, len(ws)) - 1], ' ') AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 0) + 2)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.m, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) m USING (doc_id)
+"""
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
@@ -124,6 +149,6 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_orc, op3_token_counts, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op10_quality)
+    for f in (op1_jaccard_join, op2_token_orc, op3_token_counts, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op9_ppm_scoring, op10_quality)
 }
-ORACLE_SQL = {"op5_exact_topk": OP5_SQL, "op6_pii": _pii_sql(), "op8_wu_manber": OP8_SQL}
+ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op5_exact_topk": OP5_SQL, "op6_pii": _pii_sql(), "op8_wu_manber": OP8_SQL}
