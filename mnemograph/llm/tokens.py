@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 import public_tokenizers
 
+from mnemograph.llm.token_counts import byte_symbols
+
 #: Where one of these stands, cuts at single spaces and newlines can change byte-level tokens.
 ODD_SPACE = ("  ", "\n\n", "\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 WIDE_SPACE = re.compile("[\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: Letters and numbers, then marks that always make tokens of their own.
-TAIL = re.compile(r"(\n?[^\W_]+)([.,!?;:]+)")
+#: Marks that always make tokens of their own after a letter.
+MARKS = ".,!?;:"
 SEPARATOR = "<|endoftext|>"
 
 
@@ -35,10 +38,12 @@ class CachedTokenizer:
         path = name if os.path.isabs(name) else public_tokenizers.path(name)
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
+        self.model = self.plain.model
         self.split = Tokenizer.from_file(path)  # it sees the separator as one token
         self.separator = self.split.token_to_id(SEPARATOR)
         self.joined, self.most = spaces == "joined", most
-        self.cache, self.tails, self.heads = {}, {}, {}
+        self.cache, self.tails, self.heads, self.cores = {}, {}, {}, ({}, {})
+        self.symbols, self.newline = byte_symbols(), self.whole("\n") if spaces == "joined" else b""
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -62,22 +67,42 @@ class CachedTokenizer:
         if len(cache) + len(new) > self.most:
             cache.clear()
             new = set(words)
-        ended, alone = [], set()
+        alone = []
         for w in new:
-            if m := TAIL.fullmatch(w):
-                ended.append((w, m[1], m[2]))
-                if m[1] not in cache:
-                    alone.add(m[1])
+            core = w.rstrip(MARKS)
+            tail, start = w[len(core) :], core[:1] == "\n"
+            core = core[1:] if start else core
+            if core.isalpha() and (core.isascii() or max(core) < "\u0300"):
+                # letters that normal forms leave alone: one part, which the model takes as it is
+                ids = self.cores[start].get(core)
+                if ids is None:
+                    ids = self.cores[start][core] = self._part(core, start)
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole(tail) if tail else b""
+                cache[w] = ids + self.tails[tail]
             elif not w or "<|" in w or "|>" in w:
                 cache[w] = self.whole(" " + w if self.joined and w[:1] != "\n" else w)
-            elif w not in cache:
-                alone.add(w)
+            else:
+                alone.append(w)
         if alone:
-            self._put(list(alone))
-        for w, core, tail in ended:
-            if tail not in self.tails:
-                self.tails[tail] = self.whole(tail)
-            cache[w] = cache[core] + self.tails[tail]
+            self._put(alone)
+        for held in self.cores:
+            if len(held) > self.most:
+                held.clear()
+
+    def _part(self, letters: str, line_start: bool) -> bytes:
+        """Ids of one word of letters; with ``line_start`` after a newline instead of a space."""
+        if self.joined:
+            lead = "" if line_start else self.symbols[32]
+        else:
+            lead, letters = "", letters.lower()
+            if not letters.isascii() and max(letters) >= "\u0300":
+                return self.whole(letters)
+        if not letters.isascii():
+            letters = "".join(map(self.symbols.__getitem__, letters.encode()))
+        part = self.model.tokenize(lead + letters)
+        ids = pack(f"<{len(part)}I", *[t.id for t in part])
+        return self.newline + ids if line_start else ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
