@@ -1,11 +1,62 @@
-"""The corpus pipeline: quality, near duplicates, contamination, personal data, packing."""
+"""The corpus pipeline: quality, near duplicates, contamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again as the next stage's documents. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mnemograph.llm.common import store
+from mnemograph.llm.decontaminate import keep_clean
+from mnemograph.llm.jaccard_join import keep_one
+from mnemograph.llm.packing import pack
+from mnemograph.llm.pii import mask_pii
+from mnemograph.llm.quality import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return keep_one(docs, k=5, num=80, den=100)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated with benchmark passages."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked; n_chars is the new length."""
+    masked = mask_pii(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else masked
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in packed sequences, with their ids."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", contamination),
+    ("pii", personal_data),
+    ("packing", packing),
+]
+#: A trained network, tokenizer ids and packed bins can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages, one after another, over the documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after another, over all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return docs

@@ -168,3 +168,16 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 13, id_col:
             yield _batch(batch.column("doc_id"), [verdict(len(words_of(t)), n, set(f)) for t, n, f in rows])
 
     return both.mapInArrow(finish, RESULT)
+
+
+def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that aren't contaminated, all columns as they are.
+
+    Whether a row is contaminated depends on its text alone, so contaminated (id, text hash) keys,
+    which few rows have, are taken out by an anti join.
+    """
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    marked = df.withColumn("__key", key)
+    found = decontaminate(marked, benchmark, id_col="__key", text_col=text_col, **options)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+    return marked.join(gone, "__key", "left_anti").select(*df.columns)

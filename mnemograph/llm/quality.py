@@ -221,3 +221,18 @@ def score_quality(df: DataFrame, labels: DataFrame, threshold: float = 0.7, samp
     scored = docs.mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with a score of ``threshold`` or more, all columns as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(fit(two(df, id_col, text_col), labels, sample_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, model = shared.value
+        for batch in batches:
+            texts = batch.column(text_col).cast(pa.string()).to_pylist()
+            if texts:
+                x = np.stack([features(t, _index_once(), vectors) for t in texts])
+                yield batch.filter(pa.array(model.score(x.astype(np.float64)) >= threshold))
+
+    return df.mapInArrow(run, df.schema)

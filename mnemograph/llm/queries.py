@@ -11,6 +11,7 @@ from mnemograph.llm.lm_scoring import lm_score
 from mnemograph.llm.packing import pack
 from mnemograph.llm.pii import pii_report
 from mnemograph.llm.quality import score_quality
+from mnemograph.llm.suffix_dedup import dedup_suffixes
 from mnemograph.llm.token_counts import count_tokens
 from mnemograph.llm.token_orc import token_table
 from mnemograph.llm.topk import top_k
@@ -32,6 +33,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(_read(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"))
 
@@ -149,6 +154,6 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_token_orc, op3_token_counts, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op9_ppm_scoring, op10_quality)
+    for f in (op1_jaccard_join, op2_token_orc, op3_token_counts, op4_suffix_dedup, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op9_ppm_scoring, op10_quality)
 }
 ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op5_exact_topk": OP5_SQL, "op6_pii": _pii_sql(), "op8_wu_manber": OP8_SQL}
