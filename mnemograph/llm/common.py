@@ -55,17 +55,18 @@ def remainder(id_col: Column | str, mod: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % mod
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, text): a number for each row that is the same whenever the plan runs again.
+def stable(df: DataFrame, label: str = "stable") -> DataFrame:
+    """``df`` with its rows in an order that is the same whenever the plan runs again.
 
-    Numbers follow the order of a scan. Where a shuffle or Python could change that order between
-    runs, the two columns are stored first.
+    A scan has one; where a shuffle or Python could change it between runs, the rows are stored.
     """
-    docs = two(df, id_col, text_col)
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    if any(x in plan for x in ("Exchange", "Python", "Pandas", "Arrow")):
-        docs = store(docs, "numbered")
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return store(df, label) if any(x in plan for x in ("Exchange", "Python", "Pandas", "Arrow")) else df
+
+
+def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text): a number for each row that stays the same whenever the plan runs again."""
+    return stable(two(df, id_col, text_col), "numbered").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
 def smallest_reachable(links: DataFrame, most_rounds: int = 60) -> DataFrame:

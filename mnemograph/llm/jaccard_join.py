@@ -4,10 +4,10 @@ A document is the set of its word shingles, as 64-bit hashes. Hash ranges cut th
 a segment's sketch is the XOR of its shingles' bits, so segments that no shingle of the symmetric
 difference falls into have equal sketches, and the Hamming distance of two sketches never exceeds the
 symmetric difference. For sets of n and n' >= n shingles that link, the difference is at most
-``most_different(n)``; a document therefore gives its first ``most_different(n) + 1 + SPARE`` segments
+``most_different(n)``; a document therefore gives its first ``most_different(n) + 1 + spare`` segments
 of its size band as signatures, and any linking partner of the same or a larger size shares one of
-them that isn't empty (``SPARE`` pays for empty segments; documents with more empty ones than that
-give the empty ones too). Sizes near a band's upper edge are in the next band as well, so every
+them that isn't empty (a band's ``spare`` segments pay for empty ones; documents with more empty ones
+than that give the empty ones too). Sizes near a band's upper edge are in the next band as well, so every
 linking pair has a band in common.
 
 Signatures meet in a shuffle. Each task first collapses its own copies and hot signatures, so a
@@ -34,10 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import numbered, smallest_reachable, store
+from mnemograph.llm.common import numbered, smallest_reachable, stable, store
 
-SPARE, SMALL, RATIO = 2, 12, 1.6
+SMALL, RATIO = 12, 1.6
 CHUNK = 1000
+#: Words of the sketches that pairs are tried on, and bits of the filter on rows that are in pairs.
+SKETCH_WORDS, FILTER_BITS = 32, 1 << 25
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,22 +134,24 @@ def segment_sketches(hashes: np.ndarray, segments: int) -> np.ndarray:
 def signatures(hashes: np.ndarray, rule: Rule, edges: list[int]) -> np.ndarray:
     n, out = len(hashes), []
     for band in bands_of(n, rule, edges):
-        segments = rule.most_different(max(edges[band + 1] - 1, n)) + 1 + SPARE
+        most = rule.most_different(max(edges[band + 1] - 1, n))
+        spare = 0 if most <= 1 else 1 if most <= 4 else 2
+        segments = most + 1 + spare
         own = (((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
         # 64-bit content of each segment: the XOR of its shingles' mixed hashes
         content = np.zeros(segments, dtype=np.uint64)
         np.bitwise_xor.at(content, own, _mix(hashes))
-        give = min(segments, rule.most_different(n) + 1 + SPARE)
+        give = min(segments, rule.most_different(n) + 1 + spare)
         numbers = np.arange(give, dtype=np.uint64)
         full = np.bincount(own, minlength=segments)[:give] > 0
-        use = full if (~full).sum() <= SPARE else np.ones(give, dtype=bool)
+        use = full if (~full).sum() <= spare else np.ones(give, dtype=bool)
         with np.errstate(over="ignore"):
             out.append(_mix(content[:give][use] ^ _mix(numbers[use] * _P + np.uint64(band + 1))))
     return np.concatenate(out)
 
 
 ROWS = "kind byte, a long, b long, n int"
-#: Kinds of rows: document (doc_id, row, size), signature (signature, row), equal sets (row, row),
+#: Kinds of rows: document (doc_id, row, size), signature (signature, row, size), equal sets (row, row),
 #: candidate pair (row, row), member of a large group (signature, row).
 DOC, SIG, SAME, PAIR, MEMBER = range(5)
 
@@ -164,7 +168,7 @@ def _sign(k: int, rule: Rule):
     """Documents to rows of the kinds above; copies and hot signatures collapse in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, sigs, owners, seen, held = band_edges(rule, 1 << 20), [], [], {}, 0
+        edges, sigs, owners, counts, seen, held = band_edges(rule, 1 << 20), [], [], [], {}, 0
         for batch in batches:
             sizes, same = [], []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -182,97 +186,146 @@ def _sign(k: int, rule: Rule):
                 s = signatures(own, rule, edges)
                 sigs.append(s)
                 owners.append(np.full(len(s), row, dtype=np.int64))
+                counts.append(np.full(len(s), len(own), dtype=np.int32))
                 held += len(s)
             yield _rows(DOC, batch.column("doc_id"), batch.column("row"), sizes)
             if same:
                 yield _rows(SAME, *zip(*same, strict=True))
             if held > 4_000_000:
-                yield from _collapse(np.concatenate(sigs), np.concatenate(owners))
-                sigs, owners, held, seen = [], [], 0, {}
+                yield from _collapse(np.concatenate(sigs), np.concatenate(owners), np.concatenate(counts), rule)
+                sigs, owners, counts, held, seen = [], [], [], 0, {}
         if sigs:
-            yield from _collapse(np.concatenate(sigs), np.concatenate(owners))
+            yield from _collapse(np.concatenate(sigs), np.concatenate(owners), np.concatenate(counts), rule)
 
     return run
 
 
-def _collapse(sigs: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _collapse(sigs: np.ndarray, owners: np.ndarray, sizes: np.ndarray, rule: Rule) -> Iterator[pa.RecordBatch]:
     """Of a signature's rows in this task, the first SMALL + 1 go on; later ones join the first."""
     order = np.lexsort((owners, sigs))
-    sigs, owners = sigs[order].view(np.int64), owners[order]
+    sigs, owners, sizes = sigs[order].view(np.int64), owners[order], sizes[order]
     starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
     group = np.cumsum(np.concatenate([[True], sigs[1:] != sigs[:-1]])) - 1
     place = np.arange(len(sigs)) - starts[group]
     go = place <= SMALL
     for lo in range(0, int(go.sum()), 200_000):
-        yield _rows(SIG, sigs[go][lo : lo + 200_000], owners[go][lo : lo + 200_000])
+        yield _rows(SIG, sigs[go][lo : lo + 200_000], owners[go][lo : lo + 200_000], sizes[go][lo : lo + 200_000])
     late = ~go
     if late.any():
-        pairs = np.unique(np.stack([owners[starts[group[late]]], owners[late]], axis=1), axis=0)
+        first = starts[group[late]]
+        near = rule.den * np.minimum(sizes[first], sizes[late]).astype(np.int64) >= rule.num * np.maximum(sizes[first], sizes[late]).astype(np.int64)
+        pairs = np.unique(np.stack([owners[first], owners[late]], axis=1)[near], axis=0)
         yield _rows(PAIR, pairs[:, 0], pairs[:, 1])
         yield _rows(MEMBER, sigs[late], owners[late])
 
 
-def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_up(rule: Rule):
     """Rows sorted by (kind, a, b): signature groups become pairs, a star or members of a large group."""
-    group, members, large = None, [], False
-    out: set[tuple[int, int]] = set()
-    noted: list[tuple[int, int]] = []
-
-    def finish() -> None:
-        if 1 < len(members) <= SMALL and not large:
-            out.update(combinations(members, 2))
-
-    for batch in batches:
-        kind = np.asarray(batch.column("kind"))
-        other = batch.filter(pa.array(kind != SIG))
-        if other.num_rows:
-            yield other
-        a, b = np.asarray(batch.column("a").fill_null(0))[kind == SIG], np.asarray(batch.column("b"))[kind == SIG]
-        if not len(a):
-            continue
-        # signatures of one row are most of them; they need no look
-        lone = np.concatenate([[True], a[1:] != a[:-1]]) & np.concatenate([a[1:] != a[:-1], [False]])
-        lone[0] &= a[0] != group
-        for sig, row in zip(a[~lone].tolist(), b[~lone].tolist(), strict=True):
-            if sig != group:
-                finish()
-                group, members, large = sig, [row], False
-            elif row != members[-1]:
-                if large:
-                    out.add((members[0], row))
-                    noted.append((sig, row))
-                    continue
-                members.append(row)
-                if len(members) > SMALL:
-                    large = True
-                    out.update((members[0], m) for m in members[1:])
-                    noted += [(sig, m) for m in members]
-                    members = [members[0], row]
+
+    def near(x: tuple[int, int], y: tuple[int, int]) -> bool:
+        return rule.den * min(x[1], y[1]) >= rule.num * max(x[1], y[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, large, last = None, [], False, None
+        out: set[tuple[int, int]] = set()
+        noted: list[tuple[int, int]] = []
+        for batch in _ended(batches):
+            if batch is None:
+                keys, rows, sizes = [None], [0], [0]  # closes the last group
+            else:
+                kind = np.asarray(batch.column("kind"))
+                other = batch.filter(pa.array(kind != SIG))
+                if other.num_rows:
+                    yield other
+                own = batch.filter(pa.array(kind == SIG))
+                if not own.num_rows:
                     continue
-            if large:
-                members = [members[0], row]
-        if len(out) > 300_000:
-            yield _rows(PAIR, *zip(*sorted(out), strict=True))
-            out = set()
-        if len(noted) > 300_000:
-            yield _rows(MEMBER, *zip(*noted, strict=True))
-            noted = []
-    finish()
-    if out:
-        yield _rows(PAIR, *zip(*sorted(out), strict=True))
-    if noted:
-        yield _rows(MEMBER, *zip(*noted, strict=True))
+                a, b, n = (np.asarray(own.column(c)) for c in ("a", "b", "n"))
+                # most signatures have one row and need no look; a batch's ends may go on elsewhere
+                lone = np.concatenate([[False], a[1:] != a[:-1]]) & np.concatenate([a[1:] != a[:-1], [False]])
+                keys, rows, sizes = (x[~lone].tolist() for x in (a, b, n))
+            for sig, row, size in zip(keys, rows, sizes, strict=True):
+                if sig != group:
+                    if not large:
+                        out.update((x[0], y[0]) for x, y in combinations(members, 2) if near(x, y))
+                    group, members, large, last = sig, [(row, size)], False, row
+                elif row != last:
+                    last = row
+                    if large:
+                        noted.append((sig, row))
+                        if near(members[0], (row, size)):
+                            out.add((members[0][0], row))
+                        continue
+                    members.append((row, size))
+                    if len(members) > SMALL:
+                        large = True
+                        out.update((members[0][0], m[0]) for m in members[1:] if near(members[0], m))
+                        noted += [(sig, m[0]) for m in members]
+                        members = members[:1]
+            if out and (len(out) > 300_000 or batch is None):
+                yield _rows(PAIR, *zip(*sorted(out), strict=True))
+                out = set()
+            if noted and (len(noted) > 300_000 or batch is None):
+                yield _rows(MEMBER, *zip(*noted, strict=True))
+                noted = []
+
+    return run
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
+def _row_filter(rows: DataFrame) -> np.ndarray:
+    """A bit for the hash of each of ``rows``; its size is fixed, whatever their number."""
+    place = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    words = rows.select((place / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _sketched(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(row, n, sketch, set) of ``rows`` (and a few more that share a filter bit)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_row_filter(rows))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.asarray(batch.column("place"))
+            wanted = (shared.value[place // 32] >> (place % 32).astype(np.uint32)) & np.uint32(1) == 1
+            some = batch.filter(pa.array(wanted))
+            own = [shingles(t, k) for t in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [some.column("row"), pa.array([len(x) for x in own], pa.int32()), pa.array([segment_sketches(x, SKETCH_WORDS).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())],
+                names=["row", "n", "sketch", "set"],
+            )
+
+    placed = docs.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)).alias("place"))
+    return store(placed.mapInArrow(sets, "row long, n int, sketch binary, set binary"), "sets")
+
+
+def _close(rule: Rule, n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes whose sketches are so far apart may link."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    both = -(-rule.num * (n + m) // (rule.den + rule.num))
+    return (apart <= n + m - 2 * both) & (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets link."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    held = _sketched(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")), k)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([shingles(t, k).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["row", "set"])
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS) for c in ("ka", "kb"))
+            keep = _close(rule, np.asarray(batch.column("na")), np.asarray(batch.column("nb")), np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    held = store(docs.join(needed, "row", "left_semi").select("row", "text").mapInArrow(sets, "row long, set binary"), "sets")
+    tried = pairs.join(held.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
+    tried = tried.join(held.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
+    pairs = store(tried.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(distance, "a long, b long"), "close")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,19 +352,13 @@ def _left_over(docs: DataFrame, members: DataFrame, roots: DataFrame, k: int, ru
     their own, and only pairs that pass go on.
     """
     placed = members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    open_groups = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("sig", "size")
+    # groups with the same members are one group
+    groups = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("xor"))
+    open_groups = groups.where("lo != hi").groupBy("size", "sum", "xor").agg(F.min("sig").alias("sig")).select("sig", "size")
     rest = store(placed.join(open_groups, "sig"), "open")
     if rest.isEmpty():
         return None
-    texts = docs.join(rest.select("row").distinct(), "row", "left_semi").select("row", "text")
-    words = 32  # 2048 bits
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(s) for s in sets], pa.int32()), pa.array([segment_sketches(s, words).tobytes() for s in sets], pa.binary())], names=["row", "n", "sketch"])
-
-    known = store(texts.mapInArrow(sketch, "row long, n int, sketch binary"), "sketches")
+    known = _sketched(docs, rest.select("row"), k).select("row", "n", "sketch")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     dealt = rest.join(known, "row").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     # chunk i meets chunks j >= i: it is sent once for every j
@@ -324,31 +371,25 @@ def _left_over(docs: DataFrame, members: DataFrame, roots: DataFrame, k: int, ru
 
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = pdf[pdf["chunk"] == i], pdf[pdf["chunk"] == j]
-        s = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint64).reshape(-1, words)
+        s = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
         n, root, row = right["n"].to_numpy(), right["root"].to_numpy(), right["row"].to_numpy()
         found = []
         for x, nx, rx, sx in left[["row", "n", "root", "sketch"]].itertuples(index=False):
-            apart = np.bitwise_count(s ^ np.frombuffer(sx, dtype=np.uint64)).sum(axis=1)
-            both = -(-rule.num * (n + nx) // (rule.den + rule.num))
-            near = (root != rx) & (apart <= n + nx - 2 * both) & (rule.den * np.minimum(n, nx) >= rule.num * np.maximum(n, nx))
+            apart = np.bitwise_count(s ^ np.frombuffer(sx, dtype=np.uint64)).sum(axis=1, dtype=np.int64)
+            near = (root != rx) & _close(rule, n, np.full(len(n), nx), apart)
             found += [(min(x, y), max(x, y)) for y in row[near].tolist()]
         return pd.DataFrame(sorted({*found}), columns=["a", "b"], dtype="int64")
 
     return sent.groupBy("sig", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
-def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable by links.
-
-    ``k`` words a shingle; documents link when ``den * intersection >= num * union``.
-    """
-    spark, rule = df.sparkSession, Rule(num, den)
-    docs = numbered(df, id_col, text_col)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _components(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
+    """(row, doc_id, n_shingles, root) of ``docs`` (row, doc_id, text); root is null without links."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = docs.select("row", "doc_id", "text").mapInArrow(_sign(k, rule), ROWS)
     # documents go by their row, the rest by the signature or pair they are about
     spread = signed.repartition(parts, F.when(F.col("kind") == DOC, F.col("b")).when(F.col("kind") == SIG, F.col("a")).otherwise(F.xxhash64("a", "b")))
-    found = store(spread.sortWithinPartitions("kind", "a", "b").mapInArrow(_pair_up, ROWS), "pairs")
+    found = store(spread.sortWithinPartitions("kind", "a", "b").mapInArrow(_pair_up(rule), ROWS), "pairs")
 
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
     same = found.where(F.col("kind") == SAME).select("a", "b")
@@ -357,21 +398,28 @@ def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("row")).distinct()
     more = _left_over(docs, members, roots, k, rule)
     if more is not None:
-        extra = _verify(docs, more, k, rule)
-        roots = smallest_reachable(links.unionByName(extra))
-
+        extra = store(_verify(docs, more, k, rule), "extra")
+        if not extra.isEmpty():
+            roots = smallest_reachable(links.unionByName(extra))
     sizes = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("row"), F.col("n").cast("long").alias("n_shingles"))
-    placed = sizes.join(roots.withColumnRenamed("node", "row"), "row", "left")
+    return sizes.join(roots.withColumnRenamed("node", "row"), "row", "left")
+
+
+def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable by links.
+
+    ``k`` words a shingle; documents link when ``den * intersection >= num * union``.
+    """
+    placed = _components(numbered(df, id_col, text_col), k, Rule(num, den))
     least = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their component: one document of each group stays.
-
-    That is the one with the smallest id; of rows that repeat this id, all stay only if their texts
-    have no link to an earlier one, which an equal text always has, so one stays.
-    """
-    groups = jaccard_components(df, k, num, den, id_col, text_col)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    """One row of ``df`` of each component, all columns as they are: the smallest id's (nulls last), then
+    the first in row order. Rows without links stay."""
+    rows = stable(df, "input")
+    placed = store(_components(numbered(rows, id_col, text_col), k, Rule(num, den)), "placed")
+    first = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    gone = placed.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__row"))
+    return rows.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*df.columns)
