@@ -1,0 +1,394 @@
+"""The ten operators against brute force on a small fixture with odd rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+from struct import pack as to_bytes
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from mnemograph.llm.decontaminate import decontaminate, keep_clean
+from mnemograph.llm.jaccard_join import jaccard_components, keep_one
+from mnemograph.llm.lm_scoring import lm_score
+from mnemograph.llm.packing import pack
+from mnemograph.llm.pii import find_pii, mask_pii, pii_report
+from mnemograph.llm.quality import keep_good, score_quality
+from mnemograph.llm.suffix_dedup import compare_group, dedup_suffixes, front_code, merge_runs, read_run
+from mnemograph.llm.token_counts import LongestMatch, count_tokens
+from mnemograph.llm.token_orc import read_token_orc, token_table, write_token_orc
+from mnemograph.llm.topk import top_k
+
+
+def rows_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def key(x):
+    return tuple((v is None, v) for v in x)
+
+
+def same(got, want):
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def shingle_set(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def components(rows, k, num, den):
+    sets = [shingle_set(t, k) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and den * both >= num * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    ids = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        ids[find(i)].append(d)
+    return [(d, len(sets[i]), min((x for x in ids[find(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 80, 100)])
+def test_jaccard(docs, k, num, den):
+    same(jaccard_components(docs, k, num, den).select("doc_id", "n_shingles", "component_id").collect(), components(rows_of(docs), k, num, den))
+
+
+def test_jaccard_large_groups(spark):
+    """More members of a signature than are paired one by one, in several components."""
+    rows = []
+    for g in range(2):
+        base = [f"w{g}x{i}" for i in range(60)]
+        for j in range(40):
+            w = list(base)
+            w[-1 - j % 20] = f"own{j}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect(), components(rows, 4, 85, 100))
+
+
+def test_keep_one(docs, empty):
+    docs = docs.where("text is null or not startswith(text, 'another')")  # an id with two unlike texts
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and keep_one(empty).count() == 0
+    want = components(rows_of(docs), 5, 80, 100)
+    alone = sum(1 for _, n, _ in want if n == 0)
+    assert kept.count() == alone + len({c for _, n, c in want if n})
+
+
+def encode(name, text):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(to_bytes(f"<{len(ids)}I", *ids))
+
+
+def test_token_orc(spark, docs, empty, tmp_path):
+    got = token_table(docs).collect()
+    want = Counter((d, len(i := encode("word_bpe_49k.json", t) + [2]), crc(i)) for d, t in rows_of(docs))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    in_order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert in_order == sorted(in_order, key=lambda x: (x is not None, x))
+    assert token_table(empty).count() == 0
+    write_token_orc(docs, str(tmp_path / "t"), stripe_bytes=1 << 16)
+    known = read_token_orc(spark, str(tmp_path / "t"), [1, 2]).collect()
+    texts = dict(rows_of(docs.where("doc_id in (1, 2)")))
+    assert {r["doc_id"]: r["ids"] for r in known} == {d: encode("word_bpe_49k.json", t) + [2] for d, t in texts.items()}
+
+
+def greedy_count(vocabulary, word):
+    n, at = 0, 0
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in vocabulary), None)
+        if end is None:
+            return 1
+        n, at = n + 1, end
+    return n
+
+
+def test_longest_match():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        voc = {bytes(rng.integers(97, 100, rng.integers(1, 5)).tolist()) for _ in range(8)}
+        m = LongestMatch(voc)
+        for _ in range(40):
+            w = bytes(rng.integers(97, 100, rng.integers(1, 12)).tolist())
+            assert m.count(w) == greedy_count(voc, w)
+
+
+def test_token_counts(docs, empty):
+    from mnemograph.llm.token_counts import vocabulary
+
+    voc = set(vocabulary("word_bpe_49k.json"))
+    want = []
+    for d, t in rows_of(docs):
+        raw = (t or "").encode()
+        words = raw.lower().split()
+        want.append((d, len(raw), len(words), sum(greedy_count(voc, w) for w in words)))
+    same(count_tokens(docs).collect(), want)
+    assert count_tokens(empty).count() == 0
+
+
+def brute_dedup(rows, length=200):
+    raws = [(t or "").encode() for _, t in rows]
+    seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for (d, _), r in zip(rows, raws, strict=True):
+        gone = np.zeros(len(r) + 1, dtype=int)
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i] += 1
+                gone[i + length] -= 1
+        hit = np.cumsum(gone)[:-1] > 0
+        spans = int(hit[:1].sum() + (hit[1:] & ~hit[:-1]).sum())
+        out.append((d, len(r), int(hit.sum()), spans, hashlib.sha256(bytes(b for b, h in zip(r, hit, strict=True) if not h)).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(docs, empty):
+    same(dedup_suffixes(docs).collect(), brute_dedup(rows_of(docs)))
+    assert dedup_suffixes(empty).count() == 0
+
+
+def test_suffix_dedup_many_borders(spark, monkeypatch):
+    """One anchor with many different surroundings: merged by runs, and counted by window."""
+    import random
+
+    from mnemograph.llm import suffix_dedup
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcd", k=n))
+    middle = word(230)
+    rows = [(i, word(rng.randint(0, 90)) + middle[rng.randint(0, 60) : 230 - rng.randint(0, 40)] + word(rng.randint(0, 90))) for i in range(120)]
+    rows += [(1000 + i, word(5) * rng.randint(30, 90)) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_dedup(rows)
+    assert any(w[2] for w in want)
+    same(dedup_suffixes(df).collect(), want)
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    same(dedup_suffixes(df).collect(), want)
+
+
+def test_merge_of_runs():
+    rng = np.random.default_rng(2)
+    for k in (1, 2, 3, 5, 8):
+        runs = [sorted((bytes(rng.integers(97, 99, rng.integers(1, 9)).tolist()), b"%d" % i) for i in range(rng.integers(0, 9))) for _ in range(k)]
+        got = list(merge_runs([read_run(front_code(r)) for r in runs]))
+        assert [s for _, s, _ in got] == sorted(s for r in runs for s, _ in r)
+        before = b""
+        for n, s, _ in got:
+            assert before[:n] == s[:n] and (n == min(len(before), len(s)) or before[n] != s[n])
+            before = s
+    assert list(compare_group([], 200)) == []
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * (1 + i % 5)]) for i in range(400)]
+    rows += [(1000 + i, rows[0][1]) for i in range(20)] + [(2000, None), (2001, [1.0, None] * 4), (2002, [float("nan")] * 8), (None, rows[0][1]), (2050, [0.0] * 8), (50, [math.inf] * 8), (2100, [])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, part int, score int")
+    good = {}
+    for i, v in df.select("vec_id", "embedding").collect():
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            v = [math.floor(256 * x) for x in v]
+            good[i] = min(good.get(i, v), v)
+    want = []
+    for q in good:
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(good[q], good[c], strict=True)), c) for c in good if c != q)[:5]
+            want += [(q, n + 1, c, -x) for n, (x, c) in enumerate(s)]
+    same(top_k(df).select("query_id", "rank", "vec_id", "score").collect(), want)
+    same(top_k(df, bucket_rows=16, parts=2).select("query_id", "rank", "vec_id", "score").collect(), want)
+    assert top_k(df.limit(0)).count() == 0
+
+
+PII = [
+    "", None, "mail a.b+c@x-y.co.uk and x@y, z@q.com.", "ip 1.2.3.4 256.1.1.1 010.0.0.1 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 and 4111-1111-1111-1112",
+    "call +1 (555) 010-9999 or +12 34", "iban DE89 3704 0044 0532 0130 00 ok", "ssn 123-45-6789, other 987-65-4321 far away from the words", "é 知识 a@b.cd ü +49 30 1234567", "1" * 20_000, "a@" * 20_000, "1 " * 30_000 + "x@y.zz",
+]
+
+
+def luhn(d):
+    s = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        s += v - 9 * (v > 9)
+    return s % 10 == 0
+
+
+def brute_base(text):
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for n, (kind, p) in enumerate(kinds.items()):
+        if kind == "email" and text.count("@") > 1000:
+            continue  # no such pattern in it; the plain form is too slow
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": kind == "ip" and all(int(x) < 256 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]:
+                out.append((m.start(), n, kind, m.end()))
+    return sorted(out)
+
+
+def test_pii(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(PII)] + [(None, "a@b.cd", "y")], "doc_id long, text string, spans string")
+    for r in pii_report(df).collect():
+        text = ("a@b.cd" if r["doc_id"] is None else PII[r["doc_id"]]) or ""
+        base = brute_base(text)
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(b[2] == k for b in base) for k in ("email", "ip", "card", "phone")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in base).encode()).hexdigest()
+    spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in find_pii(df).collect()}
+    assert "iban" in spans[6] and spans[7].count("ssn") == 1
+    hidden = {r["doc_id"]: r["text"] for r in mask_pii(df).collect()}
+    assert hidden[2] == "mail [EMAIL] and x@y, [EMAIL]." and hidden[1] is None and hidden[0] == ""
+    assert pii_report(df.limit(0)).count() == 0
+
+
+def test_packing(docs, empty):
+    got = pack(docs).collect()
+    ids = defaultdict(list)
+    for d, t in rows_of(docs):
+        ids[d].append(encode("byte_bpe_50k.json", t) + [0])
+    assert sum(r["length"] for r in got) == sum(len(x) for v in ids.values() for x in v)
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == crc(r["ids"])
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+    for d, pieces in by_doc.items():
+        if len(ids[d]) == 1:
+            pieces.sort(key=lambda r: r["start"])
+            assert [x for r in pieces for x in r["ids"]] == ids[d][0] and {r["doc_tokens"] for r in pieces} == {len(ids[d][0])}
+    padded = 0
+    for pieces in by_seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+        padded += 0 if at & (at - 1) == 0 else 1024 - at
+    assert padded <= 1024 * docs.rdd.getNumPartitions() + 0.3 * sum(r["length"] for r in got)
+    assert pack(empty).count() == 0
+
+
+def brute_hits(rows, items, window=13):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    pats = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        m = min(window, len(w))
+        for k in range(len(w) - m + 1 if m else 0):
+            pats[tuple(w[k : k + m])].add(i)
+    out = []
+    for d, t in rows:
+        w, hit, found = words(t), set(), set()
+        for k in range(len(w)):
+            for m in {len(p) for p in pats}:
+                p = tuple(w[k : k + m])
+                if len(p) == m and p in pats:
+                    hit |= set(range(k, k + m))
+                    found |= pats[p]
+        names = sorted(str(x) for x in found if x is not None)
+        out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.mark.parametrize("block", [16 << 20, 400])
+def test_decontaminate(spark, docs, empty, block):
+    texts = [t for _, t in rows_of(docs) if t and len(t.split()) > 60]
+    items = [("b1", " ".join(texts[0].split()[5:40])), ("b2", "one"), ("b10", " ".join(texts[3].split()[:20])), ("b3", None), ("b4", "..."), (None, "three"), ("b1", "知识图谱"), ("b5", " ".join(texts[1].split()[2:9]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = brute_hits(rows_of(docs), items)
+    assert any(w[5] for w in want)
+    same(decontaminate(docs, bench, block_bytes=block).select(*cols).collect(), want)
+    assert keep_clean(docs, bench, block_bytes=block).count() == sum(not w[5] for w in want)
+    assert decontaminate(empty, bench).count() == 0 and decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_lm(docs, empty):
+    rows = rows_of(docs)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+    toks = lambda t: (t or "").encode().lower().split() + [b"\x00end"]
+    c = Counter(w for d, t in rows if not held(d) for w in toks(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted(((d, held(d), len(toks(t)), sum(c[w] > 0 for w in toks(t)), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks(t))) for d, t in rows), key=key)
+    got = sorted((tuple(r) for r in lm_score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()), key=key)
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9)
+    scores = lm_score(docs).select("doc_id", "score", "n_bytes").collect()
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in scores)
+    assert lm_score(empty).count() == 0
+
+
+def test_lm_prefers_the_corpus(spark):
+    """Held-out prose costs fewer digits a byte than held-out noise of the same letters."""
+    from conftest import WORDS
+
+    rng = np.random.default_rng(8)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, " ".join(rng.choice(WORDS, 50))) for i in range(400)]
+    for i in held[: len(held) // 2]:
+        letters = list(rows[i][1])
+        rng.shuffle(letters)
+        rows[i] = (i, "".join(letters))
+    got = {r["doc_id"]: r["score"] / r["n_bytes"] for r in lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    noise, prose = held[: len(held) // 2], held[len(held) // 2 :]
+    assert max(got[i] for i in noise) < min(got[i] for i in prose) - 0.2
+
+
+def test_lm_probabilities_sum_to_one():
+    from mnemograph.llm.lm_scoring import SYMBOLS, log_table
+
+    rng = np.random.default_rng(0)
+    codes = np.unique(rng.integers(0, SYMBOLS**4, 5000))
+    table = 10.0 ** log_table(codes, rng.integers(1, 9, len(codes)).astype(np.float32)).reshape(-1, SYMBOLS)
+    some = np.concatenate([codes // SYMBOLS, rng.integers(0, len(table), 500)])
+    assert np.allclose(table[some].sum(axis=1), 1, atol=1e-4)
+
+
+def test_quality(spark, empty):
+    rng = np.random.default_rng(4)
+    good, bad = [f"fine{i}" for i in range(60)], [f"junk{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(600):
+        y = int(rng.random() < 0.5)
+        rows.append((i, " ".join(rng.choice(good if y else bad, 40)), "x", None))
+        labels.append((i, y, 0))
+    rows += [(9001, "", "x", None), (9002, None, "x", None), (None, "fine1", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y string, score string").repartition(3)
+    lab = spark.createDataFrame([*labels, (1, None, 0), (77777, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in score_quality(df, lab).collect()}
+    truth = {i: y for i, y, _ in labels}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in truth)
+    assert np.mean([(got[i]["score"] >= 0.5) == bool(truth[i]) for i in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    assert keep_good(df, lab).count() == sum(r["predicted"] for r in got.values())
+    assert {r["score"] for r in score_quality(df.limit(3), lab.limit(0)).collect()} == {0.5}
+    assert score_quality(empty, lab).count() == 0
+
+
+def test_queries_have_all_operators():
+    from mnemograph.llm.queries import QUERIES
+
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
