@@ -12,8 +12,10 @@ linking pair has a band in common.
 
 Signatures meet in a shuffle. Each task first collapses its own copies and hot signatures, so a
 signature has at most ``SMALL + 1`` rows a task. Groups of up to ``SMALL`` documents give all pairs;
-larger ones give a star to their smallest member and are noted. Candidate pairs are verified on the
-whole sets. Where a noted group isn't one component after that, its members' sketches are compared
+larger ones give a star to their smallest member and are noted. Equal sets meet by their 96-bit
+digests and one of them stands for all. Candidate pairs are verified on the whole sets: first one
+pair for each document, then those pairs that components don't join yet, so the sets of a group
+move once or twice and not once a pair. Where a noted group isn't one component after that, its members' sketches are compared
 block by block across components, and pairs whose Hamming distance allows a link are verified too, so
 no link between components is lost. Components are found by ``smallest_reachable``.
 
@@ -150,17 +152,17 @@ def signatures(hashes: np.ndarray, rule: Rule, edges: list[int]) -> np.ndarray:
     return np.concatenate(out)
 
 
-ROWS = "kind byte, a long, b long, n int"
-#: Kinds of rows: document (doc_id, row, size), signature (signature, row, size), equal sets (row, row),
-#: candidate pair (row, row), member of a large group (signature, row).
-DOC, SIG, SAME, PAIR, MEMBER = range(5)
+ROWS = "kind byte, a long, b long, n int, sketch binary"
+#: Kinds of rows: document (doc_id, row, size, sketch), signature (signature, row, size), equal sets (row, row),
+#: candidate pair (row, row), member of a large group (signature, row), digest (first 64 bits, row, 32 more).
+DOC, SIG, SAME, PAIR, MEMBER, DIGEST = range(6)
 
 
-def _rows(kind: int, a, b, n=None) -> pa.RecordBatch:
+def _rows(kind: int, a, b, n=None, sketch=None) -> pa.RecordBatch:
     size = len(b)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(size, kind, dtype=np.int8)), a if isinstance(a, pa.Array) else pa.array(np.asarray(a, dtype=np.int64)), pa.array(np.asarray(b, dtype=np.int64)), pa.array(np.zeros(size) if n is None else n, pa.int32())],
-        names=["kind", "a", "b", "n"],
+        [pa.array(np.full(size, kind, dtype=np.int8)), a if isinstance(a, pa.Array) else pa.array(np.asarray(a, dtype=np.int64)), pa.array(np.asarray(b, dtype=np.int64)), pa.array(np.zeros(size) if n is None else n, pa.int32()), pa.nulls(size, pa.binary()) if sketch is None else pa.array(sketch, pa.binary())],
+        names=["kind", "a", "b", "n", "sketch"],
     )
 
 
@@ -170,10 +172,11 @@ def _sign(k: int, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, sigs, owners, counts, seen, held = band_edges(rule, 1 << 20), [], [], [], {}, 0
         for batch in batches:
-            sizes, same = [], []
+            sizes, sketches, same, digests = [], [], [], []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = shingles(text, k)
                 sizes.append(len(own))
+                sketches.append(segment_sketches(own, SKETCH_WORDS).tobytes() if len(own) else None)
                 if not len(own):
                     continue
                 digest = xxhash.xxh3_128_digest(own.tobytes())
@@ -181,6 +184,7 @@ def _sign(k: int, rule: Rule):
                     same.append((seen[digest], row))
                     continue
                 seen[digest] = row
+                digests.append((int.from_bytes(digest[:8], "little", signed=True), row, int.from_bytes(digest[8:12], "little", signed=True)))
                 while edges[-1] <= rule.largest_partner(len(own)):
                     edges.append(max(edges[-1] + 1, int(edges[-1] * RATIO)))
                 s = signatures(own, rule, edges)
@@ -188,9 +192,12 @@ def _sign(k: int, rule: Rule):
                 owners.append(np.full(len(s), row, dtype=np.int64))
                 counts.append(np.full(len(s), len(own), dtype=np.int32))
                 held += len(s)
-            yield _rows(DOC, batch.column("doc_id"), batch.column("row"), sizes)
+            yield _rows(DOC, batch.column("doc_id"), batch.column("row"), sizes, sketches)
             if same:
                 yield _rows(SAME, *zip(*same, strict=True))
+            if digests:
+                a, b, n = zip(*digests, strict=True)
+                yield _rows(DIGEST, a, b, np.array(n, dtype=np.int32))
             if held > 4_000_000:
                 yield from _collapse(np.concatenate(sigs), np.concatenate(owners), np.concatenate(counts), rule)
                 sigs, owners, counts, held, seen = [], [], [], 0, {}
@@ -287,8 +294,8 @@ def _row_filter(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _sketched(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(row, n, sketch, set) of ``rows`` (and a few more that share a filter bit)."""
+def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(row, set) of ``rows`` (and a few more that share a filter bit)."""
     shared = docs.sparkSession.sparkContext.broadcast(_row_filter(rows))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,14 +303,11 @@ def _sketched(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
             place = np.asarray(batch.column("place"))
             wanted = (shared.value[place // 32] >> (place % 32).astype(np.uint32)) & np.uint32(1) == 1
             some = batch.filter(pa.array(wanted))
-            own = [shingles(t, k) for t in some.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [some.column("row"), pa.array([len(x) for x in own], pa.int32()), pa.array([segment_sketches(x, SKETCH_WORDS).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())],
-                names=["row", "n", "sketch", "set"],
-            )
+            own = [shingles(t, k).tobytes() for t in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(own, pa.binary())], names=["row", "set"])
 
     placed = docs.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)).alias("place"))
-    return store(placed.mapInArrow(sets, "row long, n int, sketch binary, set binary"), "sets")
+    return store(placed.mapInArrow(sets, "row long, set binary"), "sets")
 
 
 def _close(rule: Rule, n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -313,9 +317,9 @@ def _close(rule: Rule, n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.nd
     return (apart <= n + m - 2 * both) & (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets link."""
-    held = _sketched(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")), k)
+def _verify(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, k: int, rule: Rule, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, roots): ``known`` links and enough of the linking ``pairs`` (a, b) to join all that they
+    join, and the components."""
 
     def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,9 +327,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, rule: Rule) -> DataFrame:
             keep = _close(rule, np.asarray(batch.column("na")), np.asarray(batch.column("nb")), np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    tried = pairs.join(held.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
-    tried = tried.join(held.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
+    tried = pairs.join(sketched.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
+    tried = tried.join(sketched.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
     pairs = store(tried.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(distance, "a long, b long"), "close")
+    held = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")), k)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,12 +345,26 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, rule: Rule) -> DataFrame:
                     keep.append(rule.links(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(held.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(held.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    def linking(some: DataFrame) -> DataFrame:
+        left = some.join(held.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a")
+        both = left.join(held.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b")
+        return store(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "linked")
 
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = linking(first).unionByName(known)
+    roots = smallest_reachable(links)
+    # pairs that were tried without a link, or whose ends have met by now, go
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    rest = store(rest.where("ra != rb").select("a", "b"), "rest")
+    if rest.isEmpty():
+        return links, roots
+    links = links.unionByName(linking(rest))
+    return links, smallest_reachable(links)
 
-def _left_over(docs: DataFrame, members: DataFrame, roots: DataFrame, k: int, rule: Rule) -> DataFrame | None:
+
+def _left_over(sketched: DataFrame, members: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame | None:
     """Pairs across components of large groups that a sketch's distance allows; None if there are none.
 
     Members of a group and size band are dealt into chunks; every two chunks meet once, in a row of
@@ -358,9 +377,8 @@ def _left_over(docs: DataFrame, members: DataFrame, roots: DataFrame, k: int, ru
     rest = store(placed.join(open_groups, "sig"), "open")
     if rest.isEmpty():
         return None
-    known = _sketched(docs, rest.select("row"), k).select("row", "n", "sketch")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = rest.join(known, "row").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    dealt = rest.join(sketched, "row").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     # chunk i meets chunks j >= i: it is sent once for every j
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "row", "root", "n", "sketch"
@@ -388,19 +406,25 @@ def _components(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = docs.select("row", "doc_id", "text").mapInArrow(_sign(k, rule), ROWS)
     # documents go by their row, the rest by the signature or pair they are about
-    spread = signed.repartition(parts, F.when(F.col("kind") == DOC, F.col("b")).when(F.col("kind") == SIG, F.col("a")).otherwise(F.xxhash64("a", "b")))
+    spread = signed.repartition(parts, F.when(F.col("kind") == DOC, F.col("b")).when(F.col("kind").isin(SIG, DIGEST), F.col("a")).otherwise(F.xxhash64("a", "b")))
     found = store(spread.sortWithinPartitions("kind", "a", "b").mapInArrow(_pair_up(rule), ROWS), "pairs")
 
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    same = found.where(F.col("kind") == SAME).select("a", "b")
-    links = store(same.unionByName(_verify(docs, pairs, k, rule)), "linked")
-    roots = smallest_reachable(links)
+    sketched = found.where((F.col("kind") == DOC) & (F.col("n") > 0)).select(F.col("b").alias("row"), "n", "sketch")
+    # equal sets of different tasks: the first stands for all in pairs
+    digests = found.where(F.col("kind") == DIGEST).select(F.col("a").alias("digest"), F.col("n").alias("more"), F.col("b").alias("row"))
+    several = digests.groupBy("digest", "more").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1")
+    copies = store(digests.join(several, ["digest", "more"]).where("row != first").select("first", "row"), "copies")
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b")
+    for c in ("a", "b"):
+        pairs = pairs.join(copies.select(F.col("row").alias(c), F.col("first").alias(f"f{c}")), c, "left")
+    pairs = pairs.select(F.coalesce("fa", "a").alias("x"), F.coalesce("fb", "b").alias("y")).where("x != y")
+    pairs = store(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    same = found.where(F.col("kind") == SAME).select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("row").alias("b")))
+    links, roots = _verify(docs, sketched, pairs, k, rule, same)
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("row")).distinct()
-    more = _left_over(docs, members, roots, k, rule)
+    more = _left_over(sketched, members, roots, rule)
     if more is not None:
-        extra = store(_verify(docs, more, k, rule), "extra")
-        if not extra.isEmpty():
-            roots = smallest_reachable(links.unionByName(extra))
+        _, roots = _verify(docs, sketched, more, k, rule, links)
     sizes = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("row"), F.col("n").cast("long").alias("n_shingles"))
     return sizes.join(roots.withColumnRenamed("node", "row"), "row", "left")
 
