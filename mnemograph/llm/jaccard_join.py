@@ -15,7 +15,12 @@ signature has at most ``SMALL + 1`` rows a task. Groups of up to ``SMALL`` docum
 larger ones give a star to their smallest member and are noted. Equal sets meet by their 96-bit
 digests and one of them stands for all. Candidate pairs are verified on the whole sets: first one
 pair for each document, then those pairs that components don't join yet, so the sets of a group
-move once or twice and not once a pair. Where a noted group isn't one component after that, its members' sketches are compared
+move once or twice and not once a pair.
+
+Linking documents share at least ``1 + spare`` equal segments, so a document with fewer noted
+signatures in a band than that (less its empty segments) meets each partner of that band under another
+signature, and leaves the band's noted groups. This takes out documents that share a passage but
+little else. Where what is left of a noted group isn't one component, its members' sketches are compared
 block by block across components, and pairs whose Hamming distance allows a link are verified too, so
 no link between components is lost. Components are found by ``smallest_reachable``.
 
@@ -39,7 +44,9 @@ from pyspark.sql import functions as F
 from mnemograph.llm.common import numbered, smallest_reachable, stable, store
 
 SMALL, RATIO = 12, 1.6
-CHUNK = 1000
+#: One spare segment for so many that may differ.
+SPARE = 8
+CHUNK = 4000
 #: Words of the sketches that pairs are tried on, and bits of the filter on rows that are in pairs.
 SKETCH_WORDS, FILTER_BITS = 32, 1 << 25
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -133,29 +140,36 @@ def segment_sketches(hashes: np.ndarray, segments: int) -> np.ndarray:
     return out
 
 
-def signatures(hashes: np.ndarray, rule: Rule, edges: list[int]) -> np.ndarray:
-    n, out = len(hashes), []
+def signatures(hashes: np.ndarray, rule: Rule, edges: list[int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(signatures, least shared): the band is in a signature's low bits; per band how many signatures
+    any linking partner shares at least."""
+    n, out, least = len(hashes), [], []
+    mixed = _mix(hashes)
     for band in bands_of(n, rule, edges):
         most = rule.most_different(max(edges[band + 1] - 1, n))
-        spare = 0 if most <= 1 else 1 if most <= 4 else 2
+        spare = 0 if most <= 1 else 1 if most <= 4 else 2 + most // SPARE
         segments = most + 1 + spare
         own = (((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
         # 64-bit content of each segment: the XOR of its shingles' mixed hashes
         content = np.zeros(segments, dtype=np.uint64)
-        np.bitwise_xor.at(content, own, _mix(hashes))
+        np.bitwise_xor.at(content, own, mixed)
         give = min(segments, rule.most_different(n) + 1 + spare)
         numbers = np.arange(give, dtype=np.uint64)
         full = np.bincount(own, minlength=segments)[:give] > 0
-        use = full if (~full).sum() <= spare else np.ones(give, dtype=bool)
+        empty = int((~full).sum())
+        use = full if empty <= spare else np.ones(give, dtype=bool)
+        least.append((band, 1 + spare - empty if empty <= spare else 1))
         with np.errstate(over="ignore"):
-            out.append(_mix(content[:give][use] ^ _mix(numbers[use] * _P + np.uint64(band + 1))))
-    return np.concatenate(out)
+            sig = _mix(content[:give][use] ^ _mix(numbers[use] * _P + np.uint64(band + 1)))
+        out.append(sig >> np.uint64(6) << np.uint64(6) | np.uint64(band & 63))
+    return np.concatenate(out), least
 
 
 ROWS = "kind byte, a long, b long, n int, sketch binary"
 #: Kinds of rows: document (doc_id, row, size, sketch), signature (signature, row, size), equal sets (row, row),
-#: candidate pair (row, row), member of a large group (signature, row), digest (first 64 bits, row, 32 more).
-DOC, SIG, SAME, PAIR, MEMBER, DIGEST = range(6)
+#: candidate pair (row, row), member of a large group (signature, row), digest (first 64 bits, row, 32 more),
+#: signatures that partners share at least (band, row, number).
+DOC, SIG, SAME, PAIR, MEMBER, DIGEST, LEAST = range(7)
 
 
 def _rows(kind: int, a, b, n=None, sketch=None) -> pa.RecordBatch:
@@ -172,7 +186,7 @@ def _sign(k: int, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, sigs, owners, counts, seen, held = band_edges(rule, 1 << 20), [], [], [], {}, 0
         for batch in batches:
-            sizes, sketches, same, digests = [], [], [], []
+            sizes, sketches, same, digests, least = [], [], [], [], []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = shingles(text, k)
                 sizes.append(len(own))
@@ -187,7 +201,8 @@ def _sign(k: int, rule: Rule):
                 digests.append((int.from_bytes(digest[:8], "little", signed=True), row, int.from_bytes(digest[8:12], "little", signed=True)))
                 while edges[-1] <= rule.largest_partner(len(own)):
                     edges.append(max(edges[-1] + 1, int(edges[-1] * RATIO)))
-                s = signatures(own, rule, edges)
+                s, shared = signatures(own, rule, edges)
+                least += [(band, row, t) for band, t in shared if t > 1]
                 sigs.append(s)
                 owners.append(np.full(len(s), row, dtype=np.int64))
                 counts.append(np.full(len(s), len(own), dtype=np.int32))
@@ -195,6 +210,9 @@ def _sign(k: int, rule: Rule):
             yield _rows(DOC, batch.column("doc_id"), batch.column("row"), sizes, sketches)
             if same:
                 yield _rows(SAME, *zip(*same, strict=True))
+            if least:
+                a, b, n = zip(*least, strict=True)
+                yield _rows(LEAST, a, b, np.array(n, dtype=np.int32))
             if digests:
                 a, b, n = zip(*digests, strict=True)
                 yield _rows(DIGEST, a, b, np.array(n, dtype=np.int32))
@@ -406,7 +424,7 @@ def _components(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = docs.select("row", "doc_id", "text").mapInArrow(_sign(k, rule), ROWS)
     # documents go by their row, the rest by the signature or pair they are about
-    spread = signed.repartition(parts, F.when(F.col("kind") == DOC, F.col("b")).when(F.col("kind").isin(SIG, DIGEST), F.col("a")).otherwise(F.xxhash64("a", "b")))
+    spread = signed.repartition(parts, F.when(F.col("kind").isin(DOC, LEAST), F.col("b")).when(F.col("kind").isin(SIG, DIGEST), F.col("a")).otherwise(F.xxhash64("a", "b")))
     found = store(spread.sortWithinPartitions("kind", "a", "b").mapInArrow(_pair_up(rule), ROWS), "pairs")
 
     sketched = found.where((F.col("kind") == DOC) & (F.col("n") > 0)).select(F.col("b").alias("row"), "n", "sketch")
@@ -421,7 +439,10 @@ def _components(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
     pairs = store(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
     same = found.where(F.col("kind") == SAME).select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("row").alias("b")))
     links, roots = _verify(docs, sketched, pairs, k, rule, same)
-    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("row")).distinct()
+    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("row")).distinct().withColumn("band", F.col("sig").bitwiseAND(F.lit(63)))
+    least = found.where(F.col("kind") == LEAST).select((F.col("a") % 64).alias("band"), F.col("b").alias("row"), F.col("n").alias("least"))
+    stay = members.groupBy("row", "band").count().join(least, ["row", "band"], "left").where(F.col("count") >= F.coalesce("least", F.lit(1))).select("row", "band")
+    members = members.join(stay, ["row", "band"], "left_semi").select("sig", "row")
     more = _left_over(sketched, members, roots, rule)
     if more is not None:
         _, roots = _verify(docs, sketched, more, k, rule, links)
