@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,21 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_owner = [""]
+
+
+def take_over(owner: str, clear: Callable[[], None]) -> None:
+    """Called in a Python worker before ``owner`` uses its cache: other operators' caches are emptied, so a
+    worker that serves several stages holds one of them at a time."""
+    _caches[owner] = clear
+    if _owner[0] != owner:
+        for name, empty in _caches.items():
+            if name != owner:
+                empty()
+        _owner[0] = owner
+
+
 def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so other columns can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

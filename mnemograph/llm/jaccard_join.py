@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import numbered, smallest_reachable, stable, store
+from mnemograph.llm.common import numbered, smallest_reachable, stable, store, take_over
 
 SMALL, RATIO = 12, 1.6
 #: One spare segment for so many that may differ.
@@ -62,7 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 800_000) -> None:
+    def __init__(self, most: int = 300_000) -> None:
         self.known, self.most = {}, most
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -184,6 +184,7 @@ def _sign(k: int, rule: Rule):
     """Documents to rows of the kinds above; copies and hot signatures collapse in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("jaccard", _hashes.known.clear)
         edges, sigs, owners, counts, seen, held = band_edges(rule, 1 << 20), [], [], [], {}, 0
         for batch in batches:
             sizes, sketches, same, digests, least = [], [], [], [], []
@@ -216,7 +217,7 @@ def _sign(k: int, rule: Rule):
             if digests:
                 a, b, n = zip(*digests, strict=True)
                 yield _rows(DIGEST, a, b, np.array(n, dtype=np.int32))
-            if held > 4_000_000:
+            if held > 2_000_000:
                 yield from _collapse(np.concatenate(sigs), np.concatenate(owners), np.concatenate(counts), rule)
                 sigs, owners, counts, held, seen = [], [], [], 0, {}
         if sigs:
@@ -317,6 +318,7 @@ def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_row_filter(rows))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("jaccard", _hashes.known.clear)
         for batch in batches:
             place = np.asarray(batch.column("place"))
             wanted = (shared.value[place // 32] >> (place % 32).astype(np.uint32)) & np.uint32(1) == 1

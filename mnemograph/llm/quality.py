@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import remainder, two
+from mnemograph.llm.common import remainder, take_over, two
 
 BUCKETS, DIM, NONZERO, WINDOW, SAMPLE_PARTS = 1 << 14, 48, 6, 2, 16
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
@@ -49,7 +49,7 @@ def _core(word: str) -> str:
 class Buckets:
     """Bucket numbers of words: the letters' in the first row, the shape's in the second."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 150_000) -> None:
         self.known, self.most = {}, most
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -173,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> tuple[np
     texts = texts.repartition(SAMPLE_PARTS, "doc_id").persist()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality", _buckets.known.clear)
         index, sums, any_rows = _index_once(), np.zeros((BUCKETS, DIM), dtype=np.int64), False
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -191,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> tuple[np
     shared = spark.sparkContext.broadcast(vectors)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality", _buckets.known.clear)
         for batch in batches:
             x = [features(t, _index_once(), shared.value).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
@@ -212,6 +214,7 @@ def score_quality(df: DataFrame, labels: DataFrame, threshold: float = 0.7, samp
     shared = df.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality", _buckets.known.clear)
         vectors, model = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -228,6 +231,7 @@ def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_r
     shared = df.sparkSession.sparkContext.broadcast(fit(two(df, id_col, text_col), labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality", _buckets.known.clear)
         vectors, model = shared.value
         for batch in batches:
             texts = batch.column(text_col).cast(pa.string()).to_pylist()

@@ -14,6 +14,7 @@ from struct import pack
 import numpy as np
 import public_tokenizers
 
+from mnemograph.llm.common import take_over
 from mnemograph.llm.token_counts import byte_symbols
 
 #: Where one of these stands, cuts at single spaces and newlines can change byte-level tokens.
@@ -137,6 +138,7 @@ _made: dict[tuple[str, str], CachedTokenizer] = {}
 
 def cached(name: str, spaces: str) -> CachedTokenizer:
     """One tokenizer for each Python worker."""
+    take_over("tokens", _made.clear)
     if (name, spaces) not in _made:
         _made[name, spaces] = CachedTokenizer(name, spaces)
     return _made[name, spaces]
