@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,7 @@ def take_over(owner: str, clear: Callable[[], None]) -> None:
         for name, empty in _caches.items():
             if name != owner:
                 empty()
+        pa.default_memory_pool().release_unused()
         _owner[0] = owner
 
 

@@ -103,10 +103,12 @@ def pack(df: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.jso
         tok, end = cached(tokenizer, spaces), np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                packer.add(doc_id, tok.encode(text) + end)
-                if len(packer.out) >= 4000:
-                    yield packer.take(with_ids)
+            for lo in range(0, batch.num_rows, 500):  # texts and pieces of few rows at a time
+                part = batch.slice(lo, 500)
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    packer.add(doc_id, tok.encode(text) + end)
+                    if len(packer.out) >= 1000:
+                        yield packer.take(with_ids)
         packer.finish()
         yield packer.take(with_ids)
 
