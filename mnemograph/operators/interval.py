@@ -33,10 +33,10 @@ def at_times(macros: DataFrame, start: float = 0.0, end: float = 600.0, cutoff:
     return found if cutoff is None else found.where(F.col("t_start") < cutoff)
 
 
-def transcript_texts(macros: DataFrame, segments: DataFrame, width: float = 60.0) -> DataFrame:
+def transcript_texts(macros: DataFrame, segments: DataFrame, width: float = 60.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """(macro_id, asr_text): texts of segments (start_sec, end_sec, text) that overlap a macro, joined
-    by a space in time order; a segment across a border is in both; without any it is ''."""
-    pairs = overlap_join(macros.select("macro_id", "t_start", "t_end"), segments.select("start_sec", "end_sec", "text"), ("t_start", "t_end"), ("start_sec", "end_sec"), width, closed=False)
+    by a space in time order; a segment across a border is in both; without any it is ''. ``keys``: equal columns besides."""
+    pairs = overlap_join(macros.select("macro_id", "t_start", "t_end", *keys), segments.select("start_sec", "end_sec", "text", *keys), ("t_start", "t_end"), ("start_sec", "end_sec"), width, closed=False, keys=keys)
     lines = pairs.groupBy("macro_id").agg(F.array_sort(F.collect_list(F.struct("start_sec", "end_sec", "text"))).alias("s"))
     joined = lines.select("macro_id", F.array_join(F.transform("s", lambda x: F.trim(x["text"])), " ").alias("asr_text"))
     return macros.select("macro_id").join(joined, "macro_id", "left").select("macro_id", F.coalesce("asr_text", F.lit("")).alias("asr_text"))

@@ -146,6 +146,19 @@ def asr_overlap_merge(spark, sf):
     return interval.transcript_texts(macros, segs)
 
 
+CONV = "sg AS (SELECT conv_id, turn * 10.0 + conv_id % 7 AS a, turn * 10.0 + conv_id % 7 + 10.0 AS b, role || '-' || turn AS t FROM conversations), mc AS (SELECT conv_id, unnest(range(0, CAST(ceil(max(b) / 15) AS BIGINT))) AS i FROM sg GROUP BY conv_id)"
+
+
+@query(f"WITH {CONV} SELECT 'm' || mc.conv_id || '_' || i AS macro_id, coalesce(string_agg(t, ' ' ORDER BY a, b, t), '') AS asr_text FROM mc LEFT JOIN sg ON sg.conv_id = mc.conv_id AND a < i * 15.0 + 15.0 AND b > i * 15.0 GROUP BY mc.conv_id, i")
+def conversation_overlap_merge(spark, sf):
+    """The transcript join over every turn: each conversation has macros of 15 s up to its last turn."""
+    a = F.col("turn") * 10.0 + F.col("conv_id") % 7
+    segs = read(spark, sf, "conversations").select("conv_id", a.alias("start_sec"), (a + 10.0).alias("end_sec"), F.concat("role", F.lit("-"), F.col("turn").cast("string")).alias("text"))
+    ranges = segs.groupBy("conv_id").agg(F.ceil(F.max("end_sec") / 15).alias("n")).where("n > 0").select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    macros = ranges.select(F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("_"), F.col("i").cast("string")).alias("macro_id"), "conv_id", (F.col("i") * 15.0).alias("t_start"), (F.col("i") * 15.0 + 15.0).alias("t_end"))
+    return interval.transcript_texts(macros, segs, keys=("conv_id",))
+
+
 @query(f"WITH {UD} SELECT a.macro_id AS a_id, b.macro_id AS b_id FROM ud a JOIN ud b ON a.day = b.day AND a.user_id % 100 = 1 AND b.user_id % 100 = 2 AND a.t_start <= b.t_end AND a.t_end >= b.t_start")
 def overlap_pairs(spark, sf):
     ud = user_days(spark, sf)
