@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemograph.operators.rank import global_rank
 from mnemograph.session import BROADCAST_ROWS
 
 
@@ -27,6 +28,26 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
     return rows.join(others, ["__b", *keys], how).where(meets & first).drop("__b")
 
 
+def overlap_counts(rows: DataFrame, id_col: str, start: str, end: str, key: str) -> DataFrame:
+    """(id, n_overlaps): how many other rows of the same ``key`` each closed range meets.
+
+    The starts up to a row's end, less the ends before its start, less the row itself. Starts and ends
+    go into one order, starts first at equal times, so a point's place among all less its place among
+    its own kind is the number of the other kind before it. What earlier keys add is the same in both
+    numbers, as their ranges have ended. No pair is made. Rows with a null id, key or range or a
+    turned-round range have no count; ids should be unique.
+    """
+    valid = rows.where(F.col(start) <= F.col(end)).where(F.col(key).isNotNull() & F.col(id_col).isNotNull())
+    point = lambda kind, t: F.struct(F.lit(kind).alias("kind"), F.col(t).alias("t"))
+    points = valid.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.explode(F.array(point(0, start), point(1, end))).alias("p")).select("id", "key", "p.kind", "p.t")
+    placed = global_rank(points, F.col("key"), F.col("t"), F.col("kind"), F.col("id"), name="place")
+    # by kind first: the starts' places come before the ends'
+    own = global_rank(placed, F.col("kind"), F.col("key"), F.col("t"), F.col("id"), name="own")
+    # ends' own places have all n starts before them, so the sum below misses the starts by n
+    sums = own.groupBy("id").agg(F.sum(F.when(F.col("kind") == 1, F.col("place") - F.col("own")).otherwise(F.col("own") - F.col("place"))).alias("d"))
+    return sums.crossJoin(F.broadcast(own.agg(F.count_if(F.col("kind") == 0).alias("n")))).select(F.col("id").alias(id_col), (F.col("d") + F.col("n") - 1).alias("n_overlaps"))
+
+
 def at_times(macros: DataFrame, start: float = 0.0, end: float = 600.0, cutoff: float | None = None) -> DataFrame:
     """Macros (t_start, t_end) that meet a closed window, visible before ``cutoff``: a pushed filter."""
     found = macros.where((F.col("t_start") <= end) & (F.col("t_end") >= start))

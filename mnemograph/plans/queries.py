@@ -167,6 +167,12 @@ def overlap_pairs(spark, sf):
     return interval.overlap_join(a, b, ("a0", "a1"), ("b0", "b1"), 14_400.0, closed=True, keys=("day",)).select("a_id", "b_id")
 
 
+@query(f"WITH {UD} SELECT a.macro_id, count(*) - 1 AS n_overlaps FROM ud a JOIN ud b ON a.day = b.day AND a.t_start <= b.t_end AND a.t_end >= b.t_start GROUP BY a.macro_id")
+def overlap_counts(spark, sf):
+    """How many other user-days each user-day overlaps, over all users."""
+    return interval.overlap_counts(user_days(spark, sf), "macro_id", "t_start", "t_end", "day")
+
+
 ED = "ed AS (SELECT 'o' || l_orderkey AS s, 'p' || l_partkey AS t, 'HAS_PART' AS l FROM lineitem UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey, 'FROM_SUPPLIER' FROM lineitem), nd AS (SELECT 'p' || p_partkey AS id, 'part' AS k, p_name AS name FROM part UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'order', '' FROM orders)"
 
 

@@ -15,3 +15,28 @@ def test_every_turn_meets_a_macro(spark, tmp_path):
             want[f"m{c}_{i}"] = " ".join(t for a, t in sorted(own) if a < i * 15 + 15 and a + 10 > i * 15)
     assert got == want
     assert all(any(f"{role}-{t}" in v.split() for k, v in got.items() if k.startswith(f"m{c}_")) for c, t, role, _ in rows)
+
+
+def test_every_user_day_is_compared(spark):
+    """Users of any number, touching and equal ranges, turned-round and null ones."""
+    import random
+
+    from mnemograph.operators.interval import overlap_counts
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(120):
+        day, a = k % 3, rng.randint(0, 40)
+        rows.append((f"r{k}", day, 100.0 * day + a, 100.0 * day + a + rng.choice((0, 1, 5, 30))))
+    want = {i: sum(d == e and a <= y and b >= x for _, e, x, y in rows) - 1 for i, d, a, b in rows}
+    odd = [("turned", 1, 130.0, 120.0), ("none", 1, None, 120.0), ("no key", None, 100.0, 120.0)]
+    df = spark.createDataFrame(rows + odd, "macro_id string, day long, t_start double, t_end double").repartition(5)
+    assert {r["macro_id"]: r["n_overlaps"] for r in overlap_counts(df, "macro_id", "t_start", "t_end", "day").collect()} == want
+    assert max(want.values()) > 3 and overlap_counts(df.limit(0), "macro_id", "t_start", "t_end", "day").count() == 0
+
+
+def test_overlap_counts_take_all_users(spark, tmp_path):
+    """Users 1 and 2 of each hundred alone were compared before."""
+    spark.sql("SELECT id AS user_id, TIMESTAMP_NTZ'2024-01-02 10:00:00' AS ts FROM range(7)").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["macro_id"]: r["n_overlaps"] for r in QUERIES["overlap_counts"](spark, str(tmp_path)).collect()}
+    assert got == {f"u_{k}_1": 6 for k in range(7)}
