@@ -1,13 +1,16 @@
 """Language-model scoring: prediction by partial matching over bytes, and a unigram base.
 
-The model is a context trie of order 3 over byte symbols, gathered from the training rows. The 62
-most frequent bytes are symbols of their own, the end of a text is one, and all other bytes share
-the last (which of them it was is coded by their own frequencies). A symbol's probability is
+The model is a context trie of order 5 over all bytes, gathered from the training rows; the end of a
+text, also before its first byte, is the byte 255, which UTF-8 never has. A symbol's probability is
 counted in the longest context; if it didn't follow there, an escape of weight (distinct symbols) is
 paid and the next shorter context is asked, without the symbols that were already ruled out
-(exclusion); below order 0 the rest is uniform. Only the observed four-symbol counts are shared,
-64**4 at most whatever the corpus; each worker turns them into one table of log probabilities, so
-scoring is one look-up a byte.
+(exclusion); below order 0 the rest is uniform.
+
+The trie stays distributed and grows with the corpus. Every block of documents gives its distinct
+grams (five symbols and the next) with their training counts, packed by a bucket of the last three
+context symbols. A shuffle meets the blocks of a bucket, which then holds whole contexts: there each
+gram gets its log probability, and another shuffle brings these back to the block's texts. Only the
+counts of orders 0 to 2, which have 256**3 grams at most, are shared.
 
 The base is a unigram model of words with additive smoothing. Words aren't bounded, so their counts
 stay distributed: every block of documents gives one row a word with that word's occurrences by
@@ -27,38 +30,21 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemograph.llm.common import numbered, remainder, store
 
-SYMBOLS, ORDER, OWN = 64, 3, 62
+#: Of the dense table, which the tests hold the model's rules against.
+SYMBOLS = 64
+END, ORDER = 255, 5
+#: Bytes of text whose grams are gathered at a time.
+TRIE_BYTES = 8 << 20
 #: Documents and bytes of text that one block holds at most.
 BLOCK_DOCS, BLOCK_BYTES = 60_000, 32 << 20
 
 
-def symbol_map(frequency: np.ndarray) -> np.ndarray:
-    """Symbol of each byte: 1 to 62 for the most frequent (ties to the smaller byte), 63 for others."""
-    out = np.full(256, SYMBOLS - 1, dtype=np.uint8)
-    out[np.lexsort((np.arange(256), -frequency))[:OWN]] = np.arange(1, OWN + 1)
-    return out
-
-
-def other_costs(frequency: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte given its symbol."""
-    other = symbols == SYMBOLS - 1
-    out = np.zeros(256)
-    out[other] = np.log10((frequency[other] + 1) / (frequency[other].sum() + other.sum()))
-    return out
-
-
-def codes_of(raw: bytes, symbols: np.ndarray) -> np.ndarray:
-    """A number for each symbol with the three before it; the text's end (0) before and after."""
-    s = np.zeros(len(raw) + ORDER + 1, dtype=np.uint32)
-    s[ORDER:-1] = symbols[np.frombuffer(raw, dtype=np.uint8)]
-    return s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:]
-
-
 def log_table(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """log10 P(symbol | three before) for all 64**4 codes, with escapes and exclusion."""
     c3 = np.zeros(SYMBOLS**4, dtype=np.float32)
@@ -89,54 +75,233 @@ def log_table(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-_tables: dict[str, tuple] = {}
+def _fold(text: str | None) -> bytes:
+    return (text or "").encode().lower()  # of bytes: A-Z only
+
 
+class _Cut:
+    """Deals rows out to blocks, by their first row; passes over the same rows cut alike."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.first, self.docs, self.size = most, None, 0, 0
+
+    def place(self, row: int, size: int) -> int:
+        if self.first is None or self.docs == BLOCK_DOCS or self.size > self.most or row != self.first + self.docs:
+            self.first, self.docs, self.size = row, 0, 0
+        self.docs += 1
+        self.size += size
+        return self.first
+
+
+def _grams(raws: list[bytes]) -> np.ndarray:
+    """Sorted: the five symbols before each symbol, nearest first, the symbol, and the number of its text (16 bits)."""
+    pad = bytes([END]) * ORDER
+    flat = np.frombuffer(pad + pad.join(raws) + pad, dtype=np.uint8)
+    lengths = np.array([len(x) + 1 for x in raws])
+    slots = np.repeat(np.arange(len(raws), dtype=np.uint64), lengths)
+    # of the padding after a text only the first symbol, its end, is predicted
+    at = np.arange(len(slots)) + slots.astype(np.int64) * (ORDER - 1)
+    out = np.zeros(len(slots), dtype=np.uint64)
+    for back in (*range(1, ORDER + 1), 0):
+        out <<= np.uint64(8)
+        out |= flat[ORDER - back :][at]
+    out <<= np.uint64(16)
+    out |= slots
+    out.sort()
+    return out
 
-def _model(key: str, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if key not in _tables:
-        _tables.clear()
-        frequency, codes, counts = shared.value
-        symbols = symbol_map(frequency)
-        _tables[key] = symbols, other_costs(frequency, symbols), log_table(codes, counts)
-    return _tables[key]
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
 
-def _fold(text: str | None) -> bytes:
-    return (text or "").encode().lower()  # of bytes: A-Z only
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their n."""
+    order = np.argsort(keys, kind="stable")
+    keys, at = keys[order], _starts(keys[order])
+    return keys[at], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
-def fit_trie(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(byte frequencies, observed codes, their counts) of ``docs`` (text, train); bounded by 64**4."""
-    train = docs.where("train").select("text")
 
-    def bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total += np.bincount(np.frombuffer(_fold(text), dtype=np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], names=["byte", "n"])
+def _shorter(keys: np.ndarray) -> np.ndarray:
+    """Grams (context, symbol) without the farthest symbol of the context."""
+    return (keys >> np.uint64(16)) << np.uint64(8) | keys & np.uint64(255)
+
+
+def _find(table: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The values at each key, 0 where the table lacks it."""
+    if not len(table):
+        return [np.zeros(len(keys), dtype=np.int64) for _ in values]
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    has = table[at] == keys
+    return [np.where(has, v[at], 0) for v in values]
+
 
-    frequency = np.zeros(256, dtype=np.int64)
-    for r in train.mapInArrow(bytes_seen, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        frequency[r["byte"]] = r["n"]
-    symbols = symbol_map(frequency)
+def gram_logs(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 P(symbol | context) of distinct sorted grams, with escapes and exclusion.
+
+    ``counts``: in training, 0 allowed; of each context of three symbols all grams or none must be
+    here. ``low``: grams of order 2 and their counts in all of training.
+
+    What follows a context also follows its shorter ones, so the symbols ruled out at a length are
+    those of the context one longer, and sums over them are kept by that context.
+    """
+    levels = {ORDER: (grams[counts > 0], counts[counts > 0]), 2: low}
+    for j in (*range(ORDER - 1, 2, -1), 1, 0):
+        levels[j] = _summed(_shorter(levels[j + 1][0]), levels[j + 1][1])
+    contexts = {}
+    for j, (keys, n) in levels.items():
+        at = _starts(keys >> np.uint64(8))
+        sums = lambda x: np.add.reduceat(x, at) if len(at) else x[:0]  # noqa: B023, E731
+        below = _find(levels[j - 1][0], _shorter(keys), levels[j - 1][1])[0] if j else n
+        contexts[j] = (keys[at] >> np.uint64(8), sums(n), sums(np.ones(len(n), dtype=np.int64)), sums(below))
+    weight, p, open_ = np.ones(len(grams)), np.zeros(len(grams)), np.ones(len(grams), dtype=bool)
+    out_kinds = out_total = np.zeros(len(grams), dtype=np.int64)
+    keys = grams
+    for j in range(ORDER, -1, -1):
+        total, kinds, below = _find(contexts[j][0], keys >> np.uint64(8), *contexts[j][1:])
+        n = _find(levels[j][0], keys, levels[j][1])[0]
+        total, free_kinds, left = total - out_total, kinds - out_kinds, kinds < 256
+        whole = np.maximum(np.where(left, total + free_kinds, total), 1)
+        here = open_ & (n > 0)
+        p = np.where(here, weight * n / whole, p)
+        weight = np.where(total > 0, weight * np.where(left, free_kinds / whole, 0.0), weight)
+        open_ &= ~here
+        out_kinds, out_total, keys = kinds, below, _shorter(keys)
+    p = np.where(open_, weight / np.maximum(256 - out_kinds, 1), p)
+    return np.log10(np.maximum(p, 1e-300)).astype("<f4")
+
+
+def _buckets(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """By the three context symbols next to the gram's last."""
+    return (((grams >> np.uint64(24)) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
+def fit_low(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of order 2 of ``train`` (text) and their counts; 256**3 at most."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, n, raws, size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            own = _grams(raws) >> np.uint64(16)
+            own = own >> np.uint64(32) << np.uint64(8) | own & np.uint64(255)
+            own.sort()
+            at = _starts(own)
+            return _summed(np.concatenate([codes, own[at]]), np.concatenate([n, np.diff(np.append(at, len(own)))]))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                if total is None:
-                    total = np.zeros(SYMBOLS**4, dtype=np.int64)
-                # add.at over the text's own codes; bincount would touch the whole table each time
-                np.add.at(total, codes_of(_fold(text), symbols), 1)
-        if total is not None:
-            seen = np.flatnonzero(total)
-            for lo in range(0, len(seen), 100_000):
-                part = seen[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["code", "n"])
+                raws.append(_fold(text))
+                size += len(raws[-1])
+                if size > TRIE_BYTES or len(raws) == BLOCK_DOCS:
+                    codes, n = fold()
+                    raws, size = [], 0
+        if raws:
+            codes, n = fold()
+        for lo in range(0, len(codes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[lo : lo + 100_000].astype(np.int64)), pa.array(n[lo : lo + 100_000])], names=["code", "n"])
+
+    found = train.mapInArrow(seen, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return _summed(np.asarray(found.column("code").to_numpy()).astype(np.uint64), np.asarray(found.column("n").to_numpy()).astype(np.int64))
+
+
+def trie_scores(docs: DataFrame, block_bytes: int = TRIE_BYTES) -> DataFrame:
+    """(row, doc_id, n_tokens, score, n_bytes) of ``docs`` (row, doc_id, text, train)."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
+    shared = spark.sparkContext.broadcast(fit_low(docs.where("train").select("text")))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, block, raws, train = _Cut(block_bytes), None, [], []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            keys = _grams(raws)
+            used = np.array(train, dtype=np.int64)[(keys & np.uint64(0xFFFF)).astype(np.int64)]
+            keys >>= np.uint64(16)
+            at = _starts(keys)
+            grams, n = keys[at], np.add.reduceat(used, at)
+            own = _buckets(grams, buckets)
+            order = np.argsort(own, kind="stable")
+            grams, n, own = grams[order].astype("<u8"), n[order].astype("<u4"), own[order]
+            first = _starts(own)
+            ends = np.append(first[1:], len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int32)), pa.array(np.full(len(first), block, dtype=np.int64)), _binary(grams, ends), _binary(n, ends)], names=["bucket", "block", "grams", "n"])
 
-    found = train.mapInArrow(grams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return frequency, found.column("code").to_numpy(), found.column("n").to_numpy()
+        for batch in batches:
+            for row, text, own in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("train").to_pylist(), strict=True):
+                raw = _fold(text)
+                to = cut.place(row, len(raw))
+                if raws and to != block:
+                    yield from packed()
+                    raws, train = [], []
+                block = to
+                raws.append(raw)
+                train.append(own)
+        if raws:
+            yield from packed()
+
+    def answer(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+        each = [np.frombuffer(x[2], dtype="<u8") for x in rows]
+        grams, n = _summed(np.concatenate(each), np.concatenate([np.frombuffer(x[3], dtype="<u4") for x in rows]).astype(np.int64))
+        logs = gram_logs(grams, n, shared.value)
+        found = [logs[np.searchsorted(grams, x)].tobytes() for x in each]
+        return pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows], pa.int64()), pa.array([x[0] for x in rows], pa.int32()), pa.array(found, pa.binary())], names=["block", "bucket", "logs"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "grams", "n")), strict=True):
+                if rows and own[0] != rows[0][0]:
+                    yield answer(rows)
+                    rows = []
+                rows.append(own)
+        if rows:
+            yield answer(rows)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = _Cut(block_bytes)
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("text")).to_pylist()
+            blocks = [cut.place(row, size or 0) for row, size in zip(batch.column("row").to_pylist(), sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(batch.column(c) for c in ("row", "doc_id", "text"))], names=["block", "row", "doc_id", "text"])
+
+    def score(rows: list[int], ids: list[int | None], raws: list[bytes], logs: list[bytes]) -> pa.RecordBatch:
+        keys = _grams(raws)
+        slots = (keys & np.uint64(0xFFFF)).astype(np.int64)
+        keys >>= np.uint64(16)
+        at = _starts(keys)
+        found = np.empty(len(at), dtype="<f4")
+        found[np.argsort(_buckets(keys[at], buckets), kind="stable")] = np.frombuffer(b"".join(logs), dtype="<f4")
+        sums = np.bincount(slots, weights=np.repeat(found, np.diff(np.append(at, len(keys)))), minlength=len(raws))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(x.split()) + 1 for x in raws], pa.int64()), pa.array(sums), pa.array([len(x) for x in raws], pa.int64())],
+            names=["row", "doc_id", "n_tokens", "score", "n_bytes"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, ids, raws, logs = None, [], [], [], []
+        for batch in batches:
+            for own, bucket, row, doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "row", "doc_id", "text", "logs")), strict=True):
+                if rows and own != block:
+                    yield score(rows, ids, raws, logs)
+                    rows, ids, raws, logs = [], [], [], []
+                block = own
+                if bucket < 0:
+                    rows.append(row)
+                    ids.append(doc_id)
+                    raws.append(_fold(text))
+                else:
+                    logs.append(found)
+        if rows:
+            yield score(rows, ids, raws, logs)
+
+    grams = docs.select("row", "text", "train").mapInArrow(gather, "bucket int, block long, grams binary, n binary")
+    logs = grams.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "block long, bucket int, logs binary")
+    texts = docs.select("row", "doc_id", "text").mapInArrow(place, "block long, row long, doc_id long, text string").withColumn("bucket", F.lit(-1))
+    # a block's texts come first, then the logs of its grams by bucket
+    both = texts.unionByName(logs, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block", "bucket", "row")
+    return both.mapInArrow(run, "row long, doc_id long, n_tokens long, score double, n_bytes long")
 
 
 POSTINGS = "word binary, block long, train_tf long, ones binary, more binary"
@@ -245,14 +410,12 @@ def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sums.take()
 
 
-def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10) -> DataFrame:
+def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, block_bytes: int = TRIE_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) a document.
 
     ``score`` is the trie's log10 probability of the whole lower-cased text and its end; rows whose
     crc32 remainder by ``mod`` is 0 are held out of all counts.
     """
-    import uuid
-
     spark = df.sparkSession
     held = F.coalesce(remainder("doc_id", mod) == 0, F.lit(False))
     docs = numbered(df, id_col, text_col).withColumn("train", ~held)
@@ -271,21 +434,7 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     partial = back.mapInArrow(_word_sums, "row long, logs double, known long")
     sums = partial.groupBy("row").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
 
-    shared, key = spark.sparkContext.broadcast(fit_trie(docs)), uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, other, table = _model(key, shared)
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                raw = _fold(text)
-                score = float(table.take(codes_of(raw, symbols)).sum(dtype=np.float64)) + float(other.take(np.frombuffer(raw, dtype=np.uint8)).sum())
-                rows.append((len(raw.split()) + 1, score, len(raw)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            kinds = pa.int64(), pa.float64(), pa.int64()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *map(pa.array, cols, kinds)], names=["row", "doc_id", "n_tokens", "score", "n_bytes"])
-
-    scored = docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, score double, n_bytes long")
+    scored = trie_scores(docs.select("row", "doc_id", "text", "train"), block_bytes)
     zero = F.lit(0)
     return scored.join(sums, "row", "left").select(
         "doc_id",

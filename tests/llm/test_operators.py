@@ -366,6 +366,49 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose(table[some].sum(axis=1), 1, atol=1e-4)
 
 
+def brute_ppm(train, texts, order=5):
+    """Prediction by partial matching in plain Python: escapes by kinds, exclusion, ends before and after."""
+    end, follow = 255, defaultdict(Counter)
+    padded = lambda t: [end] * order + list((t or "").encode().lower()) + [end]
+    for t in train:
+        s = padded(t)
+        for i in range(order, len(s)):
+            for j in range(order + 1):
+                follow[tuple(s[i - j : i])][s[i]] += 1
+    out = []
+    for t in texts:
+        s, total = padded(t), 0.0
+        for i in range(order, len(s)):
+            weight, gone = 1.0, set()
+            for j in range(order, -1, -1):
+                c = {x: n for x, n in follow.get(tuple(s[i - j : i]), {}).items() if x not in gone}
+                if c:
+                    left = len(gone) + len(c) < 256
+                    whole = sum(c.values()) + (len(c) if left else 0)
+                    if s[i] in c:
+                        weight *= c[s[i]] / whole
+                        break
+                    weight *= len(c) / whole
+                    gone |= set(c)
+            else:
+                weight /= 256 - len(gone)
+            total += math.log10(weight)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("block", [8 << 20, 300])
+def test_lm_uses_all_bytes_and_long_contexts(spark, docs, block):
+    """Order 3 over the 62 most frequent bytes lost rare scripts' contexts and all longer ones."""
+    rows = rows_of(docs) + [(1000 + i, t) for i, t in enumerate(["мир и война", "мир и труд", "知识图谱 мир", "\x00\x01 zero", "".join(map(chr, range(1, 256)))])]
+    train = [t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 10]
+    want = sorted(zip([(d is None, d or 0) for d, _ in rows], brute_ppm(train, [t for _, t in rows]), strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["score"]) for r in lm_score(df, block_bytes=block).select("doc_id", "score").collect())
+    assert [x for x, _ in got] == [x for x, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5)
+
+
 def test_quality(spark, empty):
     rng = np.random.default_rng(4)
     good, bad = [f"fine{i}" for i in range(60)], [f"junk{i}" for i in range(60)]
