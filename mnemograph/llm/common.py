@@ -114,3 +114,19 @@ def smallest_reachable(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not converge")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, root) of those in ``roots`` and more ``links`` (a, b): only the roots that new
+    links join are looked at again."""
+    if roots is None:
+        return smallest_reachable(links)
+    for c in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    new = store(links.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "joins")
+    if new.isEmpty():
+        return roots
+    over = smallest_reachable(new).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    lone = over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return store(known.unionByName(lone), "roots")

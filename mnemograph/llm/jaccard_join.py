@@ -20,9 +20,9 @@ move once or twice and not once a pair.
 Linking documents share at least ``1 + spare`` equal segments, so a document with fewer noted
 signatures in a band than that (less its empty segments) meets each partner of that band under another
 signature, and leaves the band's noted groups. This takes out documents that share a passage but
-little else. Where what is left of a noted group isn't one component, its members' sketches are compared
-block by block across components, and pairs whose Hamming distance allows a link are verified too, so
-no link between components is lost. Components are found by ``smallest_reachable``.
+little else. Where what is left of a noted group isn't one component, its members are compared with a
+pivot, and regrouped by the shingles in which they differ from it (``_across``): a group costs its size
+at each level, not its square. Components are found by ``smallest_reachable``.
 
 Defined cases: A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; with fewer words than a shingle
 takes, the whole sequence is the only one; null, empty and wordless texts have no shingles and no
@@ -41,12 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import numbered, smallest_reachable, stable, store, take_over
+from mnemograph.llm.common import joined, numbered, smallest_reachable, stable, store, take_over
 
 SMALL, RATIO = 12, 1.6
 #: One spare segment for so many that may differ.
 SPARE = 8
-CHUNK = 4000
+#: Members of a group whose pairs are looked at one by one; of larger groups, this many at a time after so
+#: many times of regrouping.
+FEW, CHUNK, LEVELS = 256, 4000, 3
 #: Words of the sketches that pairs are tried on, and bits of the filter on rows that are in pairs.
 SKETCH_WORDS, FILTER_BITS = 32, 1 << 25
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -337,20 +339,33 @@ def _close(rule: Rule, n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.nd
     return (apart <= n + m - 2 * both) & (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m))
 
 
-def _verify(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, k: int, rule: Rule, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): ``known`` links and enough of the linking ``pairs`` (a, b) to join all that they
-    join, and the components."""
+def _sketch_pairs(sketched: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, apart) of the ``pairs`` (a, b) whose sketches are near enough for a link."""
 
     def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS) for c in ("ka", "kb"))
-            keep = _close(rule, np.asarray(batch.column("na")), np.asarray(batch.column("nb")), np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = _close(rule, np.asarray(batch.column("na")), np.asarray(batch.column("nb")), apart)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart.astype(np.int32))], names=["a", "b", "apart"]).filter(pa.array(keep))
 
     tried = pairs.join(sketched.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
     tried = tried.join(sketched.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
-    pairs = store(tried.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(distance, "a long, b long"), "close")
-    held = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")), k)
+    return store(tried.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(distance, CLOSE), "close")
+
+
+CLOSE = "a long, b long, apart int"
+
+
+def _with_sets(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with their sets (sa, sb)."""
+    left = pairs.join(held.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a")
+    return left.join(held.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+
+def _verify(pairs: DataFrame, held: DataFrame, rule: Rule, roots: DataFrame | None) -> DataFrame:
+    """The components ``roots`` after all links among the ``pairs`` (a, b, apart). ``held``: the sets of all
+    rows of the pairs."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,59 +381,152 @@ def _verify(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, k: int, rule
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def linking(some: DataFrame) -> DataFrame:
-        left = some.join(held.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a")
-        both = left.join(held.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b")
-        return store(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "linked")
+        return store(_with_sets(some, held).mapInArrow(compare, "a long, b long"), "linked")
 
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = linking(first).unionByName(known)
-    roots = smallest_reachable(links)
+    # the nearest partner of each row first: most rows need no other
+    first = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    roots = joined(roots, linking(first))
     # pairs that were tried without a link, or whose ends have met by now, go
-    rest = pairs.join(first, ["a", "b"], "left_anti")
+    rest = pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
     for c in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     rest = store(rest.where("ra != rb").select("a", "b"), "rest")
-    if rest.isEmpty():
-        return links, roots
-    links = links.unionByName(linking(rest))
-    return links, smallest_reachable(links)
+    return roots if rest.isEmpty() else joined(roots, linking(rest))
 
 
-def _left_over(sketched: DataFrame, members: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame | None:
-    """Pairs across components of large groups that a sketch's distance allows; None if there are none.
+#: Sides of a group's members by their pivot: any, linked to it, unlinked (first keys, further keys).
+ANY, INNER, OUTER, FURTHER = range(4)
+EDITS = "kind byte, a long, b long"
 
-    Members of a group and size band are dealt into chunks; every two chunks meet once, in a row of
-    their own, and only pairs that pass go on.
+
+def edit_keys(rule: Rule, x: np.ndarray, p: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
+    """(linked, keys, sides) of a set ``x`` by its pivot ``p``, both sorted.
+
+    Write e(x) for the symmetric difference of x and the pivot. A linking pair x, y has
+    |e(x)| + |e(y)| - 2 |e(x) & e(y)| = |x ^ y| <= difference(x, y). If one of them isn't linked to the pivot,
+    its |e| is over ``difference(x, p)``, which bounds the overlap of e(x) and e(y) from below, so
+    their first elements in one order (added ones, then missing ones) meet: the usual prefix rule.
+    Only pairs whose e don't overlap are left; then one of them has very few elements, and they
+    meet under the key 0.
     """
-    placed = members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    # groups with the same members are one group
-    groups = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("xor"))
-    open_groups = groups.where("lo != hi").groupBy("size", "sum", "xor").agg(F.min("sig").alias("sig")).select("sig", "size")
-    rest = store(placed.join(open_groups, "sig"), "open")
-    if rest.isEmpty():
-        return None
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = rest.join(sketched, "row").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
-    # chunk i meets chunks j >= i: it is sent once for every j
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "row", "root", "n", "sketch"
-    )
+    at = np.searchsorted(p, x)
+    at[at == len(p)] = 0
+    same = p[at] == x
+    missing = np.ones(len(p), dtype=bool)
+    missing[at[same]] = False
+    e = np.concatenate([x[~same], p[missing]])
+    a, both = len(e), int(same.sum())
+    linked = rule.links(len(x), len(p), both)
+    slope = (rule.den - rule.num) / (rule.den + rule.num)
+    upto = rule.most_different(len(x)) + 1
+    short = min(a, upto, a - max(1, int(np.ceil(((1 - slope) * a - 2) / 2))) + 1)
+    keys, sides = e[:short], np.full(short, INNER if linked else OUTER, dtype=np.int8)
+    if not linked and min(a, upto) > short:
+        keys = e[: min(a, upto)]
+        sides = np.concatenate([sides, np.full(len(keys) - short, FURTHER, dtype=np.int8)])
+    few = int(2 / (1 - slope)) + 1
+    most = lambda s: max(s - 2 * -(-rule.num * s // (rule.den + rule.num)), s - 1 - 2 * -(-rule.num * (s - 1) // (rule.den + rule.num)))
+    if a <= few or not linked and any(a + b <= most(len(x) + len(p) + b) for b in range(1, few + 1)):
+        keys, sides = np.append(keys, np.uint64(0)), np.append(sides, np.int8(INNER if linked else OUTER))
+    return linked, keys, sides
+
+
+def _edits(rule: Rule):
+    """Star pairs with their sets to links (kind -1) and members (kind: side, key, row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, a, b = [], [], []
+            for row, pivot, sx, sp in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb")), strict=True):
+                linked, keys, sides = edit_keys(rule, np.frombuffer(sx, dtype=np.uint64), np.frombuffer(sp, dtype=np.uint64))
+                with np.errstate(over="ignore"):
+                    keys = _mix(keys ^ _mix(np.uint64(pivot) * _P + np.uint64(1)))
+                kinds.append(sides)
+                a.append(keys.view(np.int64))
+                b.append(np.full(len(keys), row, dtype=np.int64))
+                if linked:
+                    kinds.append(np.array([-1], dtype=np.int8))
+                    a.append(np.array([min(row, pivot)], dtype=np.int64))
+                    b.append(np.array([max(row, pivot)], dtype=np.int64))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, a, b)], names=["kind", "a", "b"])
 
-    def meet(pdf):
-        import pandas as pd
+    return run
+
+
+def _meet(rule: Rule):
+    """Rows (key, i, j, chunk, side, row, root, n, sketch) sorted by (key, i, j): pairs across components that
+    the sides and sketches allow. Two chunks of a group at a time are held."""
+
+    def pairs(group: list[tuple]) -> list[tuple[int, int, int]]:
+        chunk, side, row, root, n = (np.array([g[c] for g in group], dtype=np.int64) for c in range(3, 8))
+        s = np.frombuffer(b"".join(g[8] for g in group), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
+        out = []
+        for x in range(len(group) - 1):
+            # only rows that may pair are compared
+            other = side[x + 1 :]
+            asked = (other != side[x]) & ((other == INNER) | (side[x] == INNER)) | (other == side[x]) & (side[x] != INNER) & (side[x] != FURTHER)
+            asked &= (root[x + 1 :] != root[x]) & ((chunk[x + 1 :] != chunk[x]) | (group[x][1] == group[x][2]))
+            at = x + 1 + np.flatnonzero(asked)
+            apart = np.bitwise_count(s[at] ^ s[x]).sum(axis=1, dtype=np.int64)
+            near = _close(rule, n[at], np.full(len(at), n[x]), apart)
+            out += [(min(row[x], y), max(row[x], y), d) for y, d in zip(row[at][near].tolist(), apart[near].tolist(), strict=True)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, out = [], set()
+        for batch in _ended(batches):
+            for r in [(None,) * 3] if batch is None else zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "chunk", "side", "row", "root", "n", "sketch")), strict=True):
+                if group and r[:3] != group[0][:3]:
+                    out.update(pairs(group))
+                    group = []
+                group.append(r)
+            if out and (batch is None or len(out) > 200_000):
+                a, b, d = zip(*sorted(out), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], names=["a", "b", "apart"])
+                out = set()
+
+    return run
 
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["chunk"] == i], pdf[pdf["chunk"] == j]
-        s = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
-        n, root, row = right["n"].to_numpy(), right["root"].to_numpy(), right["row"].to_numpy()
-        found = []
-        for x, nx, rx, sx in left[["row", "n", "root", "sketch"]].itertuples(index=False):
-            apart = np.bitwise_count(s ^ np.frombuffer(sx, dtype=np.uint64)).sum(axis=1, dtype=np.int64)
-            near = (root != rx) & _close(rule, n, np.full(len(n), nx), apart)
-            found += [(min(x, y), max(x, y)) for y in row[near].tolist()]
-        return pd.DataFrame(sorted({*found}), columns=["a", "b"], dtype="int64")
 
-    return sent.groupBy("sig", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+def _across(docs: DataFrame, sketched: DataFrame, members: DataFrame, roots: DataFrame, k: int, rule: Rule) -> DataFrame:
+    """The components after every link within the groups ``members`` (key, row) is found.
+
+    A group that isn't one component and has more than ``FEW`` members gets a pivot, the member with most
+    noted keys; all compare with it, and what differs from it makes the keys of smaller groups (see
+    ``edit_keys``), which are treated alike, ``LEVELS`` times at most. The sketches of the members
+    of the other open groups are compared across components, two chunks at a time.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members, held = members.withColumn("side", F.lit(ANY).cast("byte")), None
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        placed = rows.select("key", "side", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        sizes = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi")
+        return placed.join(sizes.select("key", "size"), "key")
+
+    for level in range(LEVELS + 1):
+        rest = store(still_open(members), "open")
+        if rest.isEmpty():
+            return roots
+        held = _sets(docs, rest.select("row"), k) if held is None else held  # later members are some of these
+        many, found = rest.where(F.col("size") > FEW), None
+        if not many.isEmpty():
+            keys = many.groupBy("row").agg(F.count("*").alias("keys"))
+            pivots = many.select("key", "row").join(keys, "row").groupBy("key").agg(F.min_by("row", F.struct(-F.col("keys"), F.col("row"))).alias("b"))
+            star = many.select("key", F.col("row").alias("a")).join(pivots, "key").where("a != b").select("a", "b").distinct()
+            found = store(_with_sets(star, held).mapInArrow(_edits(rule), EDITS), "edits")
+            roots = joined(roots, found.where("kind = -1").select("a", "b"))
+        few = still_open(rest if level == LEVELS else rest.where(F.col("size") <= FEW)).join(sketched, "row").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+        few = few.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = few.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "side", "row", "root", "n", "sketch")
+        pairs = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "row").mapInArrow(_meet(rule), CLOSE)
+        pairs = store(pairs.distinct(), "across")
+        roots = roots if pairs.isEmpty() else _verify(pairs, held, rule, roots)
+        if found is None:
+            return roots
+        members = found.where("kind >= 0").select(F.col("a").alias("key"), F.col("b").alias("row"), F.col("kind").alias("side"))
+    return roots
 
 
 def _components(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
@@ -434,20 +542,20 @@ def _components(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
     digests = found.where(F.col("kind") == DIGEST).select(F.col("a").alias("digest"), F.col("n").alias("more"), F.col("b").alias("row"))
     several = digests.groupBy("digest", "more").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1")
     copies = store(digests.join(several, ["digest", "more"]).where("row != first").select("first", "row"), "copies")
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b")
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()  # a pair meets under each signature it shares
     for c in ("a", "b"):
         pairs = pairs.join(copies.select(F.col("row").alias(c), F.col("first").alias(f"f{c}")), c, "left")
     pairs = pairs.select(F.coalesce("fa", "a").alias("x"), F.coalesce("fb", "b").alias("y")).where("x != y")
     pairs = store(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
     same = found.where(F.col("kind") == SAME).select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("row").alias("b")))
-    links, roots = _verify(docs, sketched, pairs, k, rule, same)
+    close = _sketch_pairs(sketched, pairs, rule)
+    roots = _verify(close, _sets(docs, close.select(F.explode(F.array("a", "b")).alias("row")), k), rule, smallest_reachable(same))
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("row")).distinct().withColumn("band", F.col("sig").bitwiseAND(F.lit(63)))
     least = found.where(F.col("kind") == LEAST).select((F.col("a") % 64).alias("band"), F.col("b").alias("row"), F.col("n").alias("least"))
     stay = members.groupBy("row", "band").count().join(least, ["row", "band"], "left").where(F.col("count") >= F.coalesce("least", F.lit(1))).select("row", "band")
-    members = members.join(stay, ["row", "band"], "left_semi").select("sig", "row")
-    more = _left_over(sketched, members, roots, rule)
-    if more is not None:
-        _, roots = _verify(docs, sketched, more, k, rule, links)
+    # an equal set's copies stay out: the first has the same signatures
+    members = members.join(stay, ["row", "band"], "left_semi").join(copies, "row", "left_anti").select(F.col("sig").alias("key"), "row")
+    roots = _across(docs, sketched, members, roots, k, rule)
     sizes = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("row"), F.col("n").cast("long").alias("n_shingles"))
     return sizes.join(roots.withColumnRenamed("node", "row"), "row", "left")
 

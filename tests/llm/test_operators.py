@@ -80,6 +80,76 @@ def test_jaccard_large_groups(spark):
     same(jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect(), components(rows, 4, 85, 100))
 
 
+def cloud(n, seed, text_len=80):
+    """Near copies of one text with few and many changed words, half of them with a passage of their own."""
+    rng = np.random.default_rng(seed)
+    base, passage = [f"w{i}" for i in range(text_len)], [f"p{i}" for i in range(9)]
+    rows = []
+    for j in range(n):
+        w = list(base)
+        for at in rng.choice(text_len, int(rng.integers(0, 6)), replace=False):
+            w[at] = f"v{rng.integers(0, 40)}"
+        rows.append((j, " ".join(w + passage * (j % 2))))
+    return rows
+
+
+@pytest.mark.parametrize("few,chunk,levels", [(256, 4000, 3), (4, 5, 2), (4, 7, 0)])
+def test_jaccard_cloud(spark, monkeypatch, few, chunk, levels):
+    """Large groups with many components: pivots, regrouping by edits, comparison by chunks."""
+    from mnemograph.llm import jaccard_join
+
+    for name, value in (("FEW", few), ("CHUNK", chunk), ("LEVELS", levels)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = cloud(240, 5)
+    want = components(rows, 4, 85, 100)
+    assert 5 < len({c for _, _, c in want}) < 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect(), want)
+
+
+def test_edit_keys_meet():
+    """Linking sets that aren't both linked to the pivot share a key under sides that are compared."""
+    from mnemograph.llm.jaccard_join import INNER, OUTER, Rule, edit_keys
+
+    rng, seen = np.random.default_rng(1), 0
+    for trial in range(120):
+        rule, n = Rule(*[(85, 100), (80, 100), (50, 100), (95, 100)][trial % 4]), int(rng.integers(3, 60))
+        words = np.unique(rng.choice(1 << 40, n + 30).astype(np.uint64))
+        pivot, more = words[:n], words[n:]
+        sets = [np.unique(np.concatenate([pivot[rng.random(n) > rng.random() * 0.4], rng.choice(more, rng.integers(0, n // 4 + 1), replace=False)])) for _ in range(40)]
+        sets = [s for s in sets if len(s) and not np.array_equal(s, pivot)]
+        keys = [edit_keys(rule, s, pivot) for s in sets]
+        for i, x in enumerate(sets):
+            for j in range(i):
+                y = sets[j]
+                if np.array_equal(x, y) or keys[i][0] and keys[j][0] or not rule.links(len(x), len(y), len(np.intersect1d(x, y))):
+                    continue
+                seen += 1
+                met = [(int(s), int(t)) for a, s in zip(*keys[i][1:], strict=True) for b, t in zip(*keys[j][1:], strict=True) if a == b]
+                assert any(s != t and INNER in (s, t) or s == t == OUTER for s, t in met)
+    assert seen > 100
+
+
+def test_jaccard_shared_passage(spark, monkeypatch):
+    """A passage in 2,000 unlike documents gives few pairs to look at."""
+    from mnemograph.llm import jaccard_join
+
+    counts, plain = [], jaccard_join.store
+
+    def counting(df, label):
+        out = plain(df, label)
+        if label in ("candidates", "across"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "store", counting)
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"o{x}" for x in rng.integers(0, 1 << 30, 20)) + " " + passage) for i in range(2000)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and sum(counts) < 20 * len(rows)
+
+
 def test_keep_one(docs, empty):
     docs = docs.where("text is null or not startswith(text, 'another')")  # an id with two unlike texts
     kept = keep_one(docs)
