@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where that is unset (local tests) is a folder of our own made and set.
+    Only where that is unset on a local master (tests) is a folder of our own made and set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         named = "file://" + tempfile.mkdtemp(prefix="mnemograph-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -38,14 +41,42 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored in the block are deleted at its end, but for those stored with ``keep``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_path(spark, path)
+
+
+def store(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    ``keep``: the table outlives the innermost ``scratch`` block and goes with the one around it.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
+    held = _scratch[: len(_scratch) - keep]
+    if held:
+        held[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 _caches: dict[str, Callable[[], None]] = {}
 _owner = [""]
 

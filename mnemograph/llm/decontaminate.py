@@ -7,7 +7,7 @@ pair, and comparing the words confirms an occurrence.
 
 Texts are lower-cased (A-Z) and words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
-The tables are broadcast in blocks of at most ``block_bytes`` of item text. With one block a document
+The tables are broadcast in blocks of about ``block_bytes`` of item text (an item isn't split). With one block a document
 is finished in one pass; with more, each block searches all documents and the hits are joined.
 
 Defined cases: a null, empty or wordless text has no hits and isn't contaminated; items without
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import store, two
+from mnemograph.llm.common import fresh, store, take_over, two
 
 #: Lower-cases A-Z; every other byte that no word holds becomes a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -111,6 +111,7 @@ _compiled: dict[str, list[WuManber]] = {}
 
 def _tables(key: str, shared, window: int) -> list[WuManber]:
     """The tables of one broadcast block, compiled once a worker."""
+    take_over("decontaminate", _compiled.clear)
     if key not in _compiled:
         _compiled.clear()
         _compiled[key] = compile_items(shared.value, window)
@@ -176,8 +177,8 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     Whether a row is contaminated depends on its text alone, so contaminated (id, text hash) keys,
     which few rows have, are taken out by an anti join.
     """
-    key = F.xxhash64(F.col(text_col).cast("string"))
-    marked = df.withColumn("__key", key)
-    found = decontaminate(marked, benchmark, id_col="__key", text_col=text_col, **options)
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-    return marked.join(gone, "__key", "left_anti").select(*df.columns)
+    key = fresh(df, "key")
+    marked = df.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
+    found = decontaminate(marked, benchmark, id_col=key, text_col=text_col, **options)
+    gone = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return marked.join(gone, key, "left_anti").select(*df.columns)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import joined, numbered, smallest_reachable, stable, store, take_over
+from mnemograph.llm.common import fresh, joined, numbered, scratch, smallest_reachable, stable, store, take_over
 
 SMALL, RATIO = 12, 1.6
 #: One spare segment for so many that may differ.
@@ -64,7 +64,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 150_000) -> None:
         self.known, self.most = {}, most
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -219,7 +219,7 @@ def _sign(k: int, rule: Rule):
             if digests:
                 a, b, n = zip(*digests, strict=True)
                 yield _rows(DIGEST, a, b, np.array(n, dtype=np.int32))
-            if held > 2_000_000:
+            if held > 1_000_000:
                 yield from _collapse(np.concatenate(sigs), np.concatenate(owners), np.concatenate(counts), rule)
                 sigs, owners, counts, held, seen = [], [], [], 0, {}
         if sigs:
@@ -290,10 +290,10 @@ def _pair_up(rule: Rule):
                         out.update((members[0][0], m[0]) for m in members[1:] if near(members[0], m))
                         noted += [(sig, m[0]) for m in members]
                         members = members[:1]
-            if out and (len(out) > 300_000 or batch is None):
+            if out and (len(out) > 100_000 or batch is None):
                 yield _rows(PAIR, *zip(*sorted(out), strict=True))
                 out = set()
-            if noted and (len(noted) > 300_000 or batch is None):
+            if noted and (len(noted) > 100_000 or batch is None):
                 yield _rows(MEMBER, *zip(*noted, strict=True))
                 noted = []
 
@@ -481,7 +481,7 @@ def _meet(rule: Rule):
                     out.update(pairs(group))
                     group = []
                 group.append(r)
-            if out and (batch is None or len(out) > 200_000):
+            if out and (batch is None or len(out) > 100_000):
                 a, b, d = zip(*sorted(out), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], names=["a", "b", "apart"])
                 out = set()
@@ -565,7 +565,8 @@ def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100,
 
     ``k`` words a shingle; documents link when ``den * intersection >= num * union``.
     """
-    placed = _components(numbered(df, id_col, text_col), k, Rule(num, den))
+    with scratch(df.sparkSession):
+        placed = store(_components(numbered(df, id_col, text_col), k, Rule(num, den)), "placed", keep=True)
     least = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -573,8 +574,9 @@ def jaccard_components(df: DataFrame, k: int = 4, num: int = 85, den: int = 100,
 def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``df`` of each component, all columns as they are: the smallest id's (nulls last), then
     the first in row order. Rows without links stay."""
-    rows = stable(df, "input")
-    placed = store(_components(numbered(rows, id_col, text_col), k, Rule(num, den)), "placed")
+    rows, number = stable(df, "input"), fresh(df, "row")
+    with scratch(df.sparkSession):
+        placed = store(_components(numbered(rows, id_col, text_col), k, Rule(num, den)), "placed", keep=True)
     first = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    gone = placed.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__row"))
-    return rows.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*df.columns)
+    gone = placed.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(number))
+    return rows.withColumn(number, F.monotonically_increasing_id()).join(gone, number, "left_anti").select(*df.columns)

@@ -90,8 +90,11 @@ class Packer:
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def pack(df: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", spaces: str = "joined", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row a piece: where it stands in its document and in its sequence; ``ids`` if asked for."""
+def pack(df: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", spaces: str = "joined", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, cache_bytes: int = 240 << 20) -> DataFrame:
+    """One row a piece: where it stands in its document and in its sequence; ``ids`` if asked for.
+
+    ``cache_bytes``: what a worker may hold of words' ids; less costs time and changes no result.
+    """
     if capacity < 8 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two, 8 at least")
 
@@ -100,7 +103,7 @@ def pack(df: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.jso
 
         from mnemograph.llm.tokens import cached
 
-        tok, end = cached(tokenizer, spaces), np.array([end_id], dtype="<u4").tobytes()
+        tok, end = cached(tokenizer, spaces, cache_bytes), np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):  # texts and pieces of few rows at a time

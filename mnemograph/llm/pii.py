@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import two
+from mnemograph.llm.common import fresh, two
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -154,12 +154,9 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with personal data in ``text_col`` masked; null texts stay null, other columns as they are.
-
-    A column named like the scratch columns (``__text``, ``__spans``) is not expected.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    spans = F.array_sort(F.concat(*(spans_of(F.col("__text"), k) for k in KINDS)))
-    marked = df.withColumn("__text", text).withColumn("__spans", spans)
-    hidden = F.when(F.col(text_col).isNotNull(), masked(F.col("__text"), F.col("__spans")))
-    return marked.withColumn(text_col, hidden).drop("__text", "__spans")
+    """``df`` with personal data in ``text_col`` masked; null texts stay null, other columns as they are."""
+    whole, spans = fresh(df, "whole_text"), fresh(df, "pii_spans")
+    marked = df.withColumn(whole, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    marked = marked.withColumn(spans, F.array_sort(F.concat(*(spans_of(F.col(whole), k) for k in KINDS))))
+    hidden = F.when(F.col(text_col).isNotNull(), masked(F.col(whole), F.col(spans)))
+    return marked.withColumn(text_col, hidden).drop(whole, spans)

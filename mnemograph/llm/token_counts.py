@@ -24,7 +24,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mnemograph.llm.common import two
+from mnemograph.llm.common import take_over, two
 
 
 def byte_symbols() -> list[str]:
@@ -103,6 +103,7 @@ def count_tokens(df: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: st
     """(doc_id, n_bytes, n_words, n_tokens) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("token_counts", _made.clear)
         if tokenizer not in _made:
             _made[tokenizer] = LongestMatch(vocabulary(tokenizer)), {}
         automaton, known = _made[tokenizer]

@@ -26,13 +26,13 @@ from mnemograph.llm.common import shared_path, two
 STORED = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
-def _encode(name: str, spaces: str, end_id: int):
+def _encode(name: str, spaces: str, end_id: int, cache_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         from mnemograph.llm.tokens import cached
 
-        tok, part, total = cached(name, spaces), TaskContext.get().partitionId(), 0
+        tok, part, total = cached(name, spaces, cache_bytes), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = batch.column("text")
@@ -50,14 +50,14 @@ def _encode(name: str, spaces: str, end_id: int):
     return run
 
 
-def write_token_orc(df: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", spaces: str = "dropped", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
+def write_token_orc(df: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", spaces: str = "dropped", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000, cache_bytes: int = 240 << 20) -> None:
     """Encode ``df`` and write it in ascending id order under ``path``; ``parts``: number of files."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = two(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     docs = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     (
         docs.select("doc_id", "text")
-        .mapInArrow(_encode(tokenizer, spaces, end_id), STORED)
+        .mapInArrow(_encode(tokenizer, spaces, end_id, cache_bytes), STORED)
         .write.option("compression", "zstd")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", index_stride)

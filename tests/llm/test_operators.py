@@ -161,7 +161,6 @@ def test_keep_one(docs, empty):
 
 def encode(name, text):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -186,6 +185,22 @@ def test_token_orc(spark, docs, empty, tmp_path):
     assert {r["doc_id"]: r["ids"] for r in known} == {d: encode("word_bpe_49k.json", t) + [2] for d, t in texts.items()}
 
 
+@pytest.mark.parametrize("name,spaces", [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "joined")])
+def test_cached_tokenizer(name, spaces):
+    """Letters, marks after them, special tokens' strings and odd spaces, with a cache that is full again and again."""
+    import random
+
+    from mnemograph.llm.tokens import CachedTokenizer
+
+    rng, tok, plain = random.Random(1), CachedTokenizer(name, spaces, 1 << 16), Tokenizer.from_file(public_tokenizers.path(name))
+    letters = [chr(i) for i in range(0x41, 0x300) if chr(i).isalpha()]
+    odd = ["<|endoftext|>", "<|startoftext|>", "<|x|>", "<|", "\n", " ", "  ", "\t", "'s", "-", "知识", "123", "\u0307", "\u0130"]
+    texts = [f"A{x}{m} x" for x in letters for m in ".,!?;:"] + ["".join(rng.choice(letters + odd * 20 + list(".,!?;: ") * 40) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    for text in texts:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert tok.encode(text) == to_bytes(f"<{len(ids)}I", *ids), text
+
+
 def greedy_count(vocabulary, word):
     n, at = 0, 0
     while at < len(word):
@@ -356,7 +371,8 @@ def test_packing(docs, empty):
             at += r["length"]
         assert at <= 1024
         padded += 0 if at & (at - 1) == 0 else 1024 - at
-    assert padded <= 1024 * docs.rdd.getNumPartitions() + 0.3 * sum(r["length"] for r in got)
+    # bins of tails are 8/9 full at least, and a worker leaves one sequence
+    assert padded <= 1024 * docs.rdd.getNumPartitions() + sum(r["length"] for r in got) / 8
     assert pack(empty).count() == 0
 
 
