@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import store
+from mnemograph.llm.common import scratch, store
 from mnemograph.llm.decontaminate import keep_clean
 from mnemograph.llm.jaccard_join import keep_one
 from mnemograph.llm.packing import pack
@@ -40,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in packed sequences, with their ids."""
-    return pack(docs)
+    return pack(docs, cache_bytes=64 << 20)
 
 
 STAGES = [
@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after another, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # a stage's inner tables go when its result is written
+            docs = store(stage(spark, docs, sf_dir), name, keep=True)
     return docs
