@@ -13,9 +13,9 @@ gram gets its log probability, and another shuffle brings these back to the bloc
 counts of orders 0 to 2, which have 256**3 grams at most, are shared.
 
 The base is a unigram model of words with additive smoothing. Words aren't bounded, so their counts
-stay distributed: every block of documents gives one row a word with that word's occurrences by
-document, a shuffle meets them with the corpus counts, and each task sums what its words add to each
-document. A frequent word has one row a block.
+stay distributed: every block gives its distinct words with their training counts, an aggregation
+that combines before its shuffle sums them, and the sums go back to the blocks that hold the word, where
+they meet the block's texts. A frequent word has one short row a block.
 
 Defined cases: a null or empty text is its end token alone; null ids are training rows
 and null in ``held_out``'s hash, so held_out is false; null and repeated ids give a row each; without
@@ -24,9 +24,9 @@ training rows all counts are 0; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import count
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import numbered, remainder, store
+from mnemograph.llm.common import numbered, remainder, scratch, store
 
 #: Of the dense table, which the tests hold the model's rules against.
 SYMBOLS = 64
 END, ORDER = 255, 5
 #: Bytes of text whose grams are gathered at a time.
 TRIE_BYTES = 8 << 20
-#: Documents and bytes of text that one block holds at most.
-BLOCK_DOCS, BLOCK_BYTES = 60_000, 32 << 20
+#: Documents that one block holds at most.
+BLOCK_DOCS = 60_000
 
 
 def log_table(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -205,8 +205,23 @@ def fit_low(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _summed(np.asarray(found.column("code").to_numpy()).astype(np.uint64), np.asarray(found.column("n").to_numpy()).astype(np.int64))
 
 
-def trie_scores(docs: DataFrame, block_bytes: int = TRIE_BYTES) -> DataFrame:
-    """(row, doc_id, n_tokens, score, n_bytes) of ``docs`` (row, doc_id, text, train)."""
+def _squeezed(x: np.ndarray) -> bytes:
+    """Items of one width, byte plane by byte plane, compressed: equal high bytes cost nearly nothing."""
+    return pa.compress(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def _loose(blob: bytes, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(blob, decompressed_size=n * width, codec="zstd", asbytes=True) if n else b""
+    return np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T.copy().view(kind).ravel()
+
+
+def trie_scores(docs: DataFrame, counts: DataFrame, block_bytes: int = TRIE_BYTES) -> DataFrame:
+    """(row, doc_id, n_tokens, score, n_bytes, logs, known) of ``docs`` (row, doc_id, text, train).
+
+    ``counts`` (block, word, c): training counts of each block's words; ``logs`` sums log10(c + 0.1) over
+    a text's words and ``known`` counts those with c > 0.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
@@ -225,8 +240,13 @@ def trie_scores(docs: DataFrame, block_bytes: int = TRIE_BYTES) -> DataFrame:
             order = np.argsort(own, kind="stable")
             grams, n, own = grams[order].astype("<u8"), n[order].astype("<u4"), own[order]
             first = _starts(own)
-            ends = np.append(first[1:], len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int32)), pa.array(np.full(len(first), block, dtype=np.int64)), _binary(grams, ends), _binary(n, ends)], names=["bucket", "block", "grams", "n"])
+            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True))
+            # a bucket's grams are in order, so steps from one to the next are small
+            steps = [_squeezed(np.diff(grams[i:j], prepend=np.uint64(0)).astype("<u8")) for i, j in cuts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[first].astype(np.int32)), pa.array(np.full(len(first), block, dtype=np.int64)), pa.array([j - i for i, j in cuts], pa.int32()), pa.array(steps, pa.binary()), pa.array([_squeezed(n[i:j]) for i, j in cuts], pa.binary())],
+                names=["bucket", "block", "size", "grams", "n"],
+            )
 
         for batch in batches:
             for row, text, own in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("train").to_pylist(), strict=True):
@@ -241,17 +261,17 @@ def trie_scores(docs: DataFrame, block_bytes: int = TRIE_BYTES) -> DataFrame:
         if raws:
             yield from packed()
 
-    def answer(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
-        each = [np.frombuffer(x[2], dtype="<u8") for x in rows]
-        grams, n = _summed(np.concatenate(each), np.concatenate([np.frombuffer(x[3], dtype="<u4") for x in rows]).astype(np.int64))
+    def answer(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
+        each = [np.cumsum(_loose(x[3], "<u8", x[2]), dtype=np.uint64) for x in rows]
+        grams, n = _summed(np.concatenate(each), np.concatenate([_loose(x[4], "<u4", x[2]) for x in rows]).astype(np.int64))
         logs = gram_logs(grams, n, shared.value)
-        found = [logs[np.searchsorted(grams, x)].tobytes() for x in each]
+        found = [len(x).to_bytes(4, "little") + _squeezed(logs[np.searchsorted(grams, x)]) for x in each]
         return pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows], pa.int64()), pa.array([x[0] for x in rows], pa.int32()), pa.array(found, pa.binary())], names=["block", "bucket", "logs"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            for own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "grams", "n")), strict=True):
+            for own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "size", "grams", "n")), strict=True):
                 if rows and own[0] != rows[0][0]:
                     yield answer(rows)
                     rows = []
@@ -266,148 +286,87 @@ def trie_scores(docs: DataFrame, block_bytes: int = TRIE_BYTES) -> DataFrame:
             blocks = [cut.place(row, size or 0) for row, size in zip(batch.column("row").to_pylist(), sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(batch.column(c) for c in ("row", "doc_id", "text"))], names=["block", "row", "doc_id", "text"])
 
-    def score(rows: list[int], ids: list[int | None], raws: list[bytes], logs: list[bytes]) -> pa.RecordBatch:
+    def score(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts)
+        bucket = whole.column("bucket").to_numpy()
+        texts, words, logs = (whole.filter(pa.array(x)) for x in (bucket == TEXT, bucket == WORD, bucket >= 0))
+        raws = [_fold(t) for t in texts.column("text").to_pylist()]
         keys = _grams(raws)
         slots = (keys & np.uint64(0xFFFF)).astype(np.int64)
         keys >>= np.uint64(16)
         at = _starts(keys)
         found = np.empty(len(at), dtype="<f4")
-        found[np.argsort(_buckets(keys[at], buckets), kind="stable")] = np.frombuffer(b"".join(logs), dtype="<f4")
+        found[np.argsort(_buckets(keys[at], buckets), kind="stable")] = np.concatenate([_loose(x[4:], "<f4", int.from_bytes(x[:4], "little")) for x in logs.column("logs").to_pylist()])
         sums = np.bincount(slots, weights=np.repeat(found, np.diff(np.append(at, len(keys)))), minlength=len(raws))
+        # words without a training count aren't listed
+        worth = dict(zip(words.column("word").to_pylist(), np.log10(words.column("c").to_numpy() + 0.1).tolist(), strict=True))
+        base, known, tokens = [], [], []
+        for raw in raws:
+            own = raw.split()  # of bytes: ASCII white space only
+            each = np.fromiter(map(worth.get, own, repeat(-1.0)), np.float64, len(own))
+            base.append(float(each.sum()))
+            known.append(int((each > 0).sum()))
+            tokens.append(len(own) + 1)
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(x.split()) + 1 for x in raws], pa.int64()), pa.array(sums), pa.array([len(x) for x in raws], pa.int64())],
-            names=["row", "doc_id", "n_tokens", "score", "n_bytes"],
+            [texts.column("row").combine_chunks(), texts.column("doc_id").combine_chunks(), pa.array(tokens, pa.int64()), pa.array(sums), pa.array([len(x) for x in raws], pa.int64()), pa.array(base, pa.float64()), pa.array(known, pa.int64())],
+            names=["row", "doc_id", "n_tokens", "score", "n_bytes", "logs", "known"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows, ids, raws, logs = None, [], [], [], []
+        held, block = [], None
         for batch in batches:
-            for own, bucket, row, doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "row", "doc_id", "text", "logs")), strict=True):
-                if rows and own != block:
-                    yield score(rows, ids, raws, logs)
-                    rows, ids, raws, logs = [], [], [], []
-                block = own
-                if bucket < 0:
-                    rows.append(row)
-                    ids.append(doc_id)
-                    raws.append(_fold(text))
-                else:
-                    logs.append(found)
-        if rows:
-            yield score(rows, ids, raws, logs)
-
-    grams = docs.select("row", "text", "train").mapInArrow(gather, "bucket int, block long, grams binary, n binary")
+            blocks = np.asarray(batch.column("block"))
+            first = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])).tolist() if len(blocks) else []
+            for i, j in zip(first, [*first[1:], len(blocks)], strict=True):
+                if held and blocks[i] != block:
+                    yield score(held)
+                    held = []
+                block = blocks[i]
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield score(held)
+
+    grams = docs.select("row", "text", "train").mapInArrow(gather, "bucket int, block long, size int, grams binary, n binary")
     logs = grams.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "block long, bucket int, logs binary")
-    texts = docs.select("row", "doc_id", "text").mapInArrow(place, "block long, row long, doc_id long, text string").withColumn("bucket", F.lit(-1))
-    # a block's texts come first, then the logs of its grams by bucket
-    both = texts.unionByName(logs, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block", "bucket", "row")
-    return both.mapInArrow(run, "row long, doc_id long, n_tokens long, score double, n_bytes long")
-
-
-POSTINGS = "word binary, block long, train_tf long, ones binary, more binary"
-
-
-def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary array whose items are slices of ``flat``, cut at ``ends`` (in items of ``flat``)."""
-    at = (np.concatenate([[0], ends]) * flat.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(flat.tobytes())])
-
-
-def _block(first: int, words: dict[bytes, int], docs: list[np.ndarray], train: list[bool]) -> Iterator[pa.RecordBatch]:
-    """A row for each word of a block: ``ones`` has the documents (from ``first``) that hold it once,
-    ``more`` the documents and counts of the others."""
-    ids, offs, tfs = [], [], []
-    for k, own in enumerate(docs):
-        u, n = np.unique(own, return_counts=True)
-        ids.append(u)
-        offs.append(np.full(len(u), k, dtype=np.uint16))
-        tfs.append(n)
-    ids, offs, tfs = np.concatenate(ids), np.concatenate(offs), np.concatenate(tfs)
-    order = np.argsort(ids, kind="stable")
-    ids, offs, tfs = ids[order], offs[order], tfs[order]
-    used = np.bincount(ids, weights=tfs * np.array(train, dtype=np.float64)[offs], minlength=len(words)).astype(np.int64)
-    once = tfs == 1
-    ones_end = np.cumsum(np.bincount(ids[once], minlength=len(words)))
-    more_end = np.cumsum(np.bincount(ids[~once], minlength=len(words)))
-    pairs = np.empty((int((~once).sum()), 2), dtype="<u4")
-    pairs[:, 0], pairs[:, 1] = offs[~once], tfs[~once]
-    ones, names = offs[once].astype("<u2"), list(words)
-    for lo in range(0, len(names), 50_000):
-        hi = min(len(names), lo + 50_000)
-        a, b = (int(ones_end[lo - 1]), int(more_end[lo - 1])) if lo else (0, 0)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(names[lo:hi], pa.binary()),
-                pa.array(np.full(hi - lo, first, dtype=np.int64)),
-                pa.array(used[lo:hi]),
-                _binary(ones[a : ones_end[hi - 1]], ones_end[lo:hi] - a),
-                _binary(pairs[b : more_end[hi - 1]].view("<u8").ravel(), more_end[lo:hi] - b),
-            ],
-            names=["word", "block", "train_tf", "ones", "more"],
-        )
+    texts = docs.select("row", "doc_id", "text").mapInArrow(place, "block long, row long, doc_id long, text string").withColumn("bucket", F.lit(TEXT))
+    words = counts.select("block", F.lit(WORD).alias("bucket"), "word", "c")
+    # a block's texts come first, then its words, then the logs of its grams by bucket
+    both = texts.unionByName(words, allowMissingColumns=True).unionByName(logs, allowMissingColumns=True)
+    both = both.repartition(parts, "block").sortWithinPartitions("block", "bucket", "row")
+    return both.mapInArrow(run, "row long, doc_id long, n_tokens long, score double, n_bytes long, logs double, known long")
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, docs, train, size, first = defaultdict(count().__next__), [], [], 0, None
-    for batch in batches:
-        for row, text, own in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("train").to_pylist(), strict=True):
-            if docs and (len(docs) == BLOCK_DOCS or size > BLOCK_BYTES or row != first + len(docs)):
-                yield from _block(first, words, docs, train)
-                words, docs, train, size = defaultdict(count().__next__), [], [], 0
-            first = first if docs else row
-            raw = _fold(text)
-            tokens = raw.split()  # of bytes: ASCII white space only
-            docs.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
-            train.append(own)
-            size += len(raw)
-    if docs and words:
-        yield from _block(first, words, docs, train)
-
-
-class _Sums:
-    """Sums by row number, handed on when there are many."""
-
-    def __init__(self) -> None:
-        self.rows, self.logs, self.known, self.size = [], [], [], 0
-
-    def add(self, rows: np.ndarray, logs: np.ndarray, known: np.ndarray) -> None:
-        self.rows.append(rows)
-        self.logs.append(logs)
-        self.known.append(known)
-        self.size += len(rows)
-
-    def fold(self) -> None:
-        rows, at = np.unique(np.concatenate(self.rows), return_inverse=True)
-        logs = np.bincount(at, weights=np.concatenate(self.logs), minlength=len(rows))
-        known = np.bincount(at, weights=np.concatenate(self.known), minlength=len(rows))
-        self.rows, self.logs, self.known, self.size = [rows], [logs], [known], len(rows)
-
-    def take(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            self.fold()
-            yield pa.RecordBatch.from_arrays([pa.array(self.rows[0]), pa.array(self.logs[0]), pa.array(self.known[0].astype(np.int64))], names=["row", "logs", "known"])
-        self.__init__()
-
-
-def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (block, c, ones, more): what these words add to each document."""
-    sums = _Sums()
-    for batch in batches:
-        n = batch.num_rows
-        block, c = np.asarray(batch.column("block")), np.asarray(batch.column("c"))
-        logs = np.log10(c + 0.1)
-        for name, width in (("ones", 2), ("more", 8)):
-            items = batch.column(name).to_pylist()
-            each = np.array([len(x) // width for x in items], dtype=np.int64)
-            flat = np.frombuffer(b"".join(items), dtype="<u2" if width == 2 else "<u4")
-            own = np.repeat(np.arange(n), each)
-            offs, tf = (flat.astype(np.int64), np.ones(len(flat))) if width == 2 else (flat[0::2].astype(np.int64), flat[1::2].astype(np.float64))
-            sums.add(block[own] + offs, tf * logs[own], np.where(c[own] > 0, tf, 0.0))
-        if sums.size > 4_000_000:
-            sums.fold()
-            if sums.size > 2_000_000:
-                yield from sums.take()
-    yield from sums.take()
+#: Rows of a block that aren't logs of a bucket's grams.
+TEXT, WORD = -2, -1
+
+
+def _block_words(block_bytes: int):
+    """(block, word, n): the distinct words of each block and their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, block, used, seen = _Cut(block_bytes), None, Counter(), set()
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            words = sorted(seen)
+            for lo in range(0, len(words), 50_000):
+                own = words[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, dtype=np.int64)), pa.array(own, pa.binary()), pa.array([used[w] for w in own], pa.int64())], names=["block", "word", "n"])
+
+        for batch in batches:
+            for row, text, train in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("train").to_pylist(), strict=True):
+                raw = _fold(text)
+                to = cut.place(row, len(raw))
+                if to != block:
+                    yield from listed()
+                    used, seen = Counter(), set()
+                block = to
+                words = raw.split()
+                seen.update(words)
+                if train:
+                    used.update(words)
+        yield from listed()
+
+    return run
 
 
 def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 10, block_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -420,29 +379,23 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     held = F.coalesce(remainder("doc_id", mod) == 0, F.lit(False))
     docs = numbered(df, id_col, text_col).withColumn("train", ~held)
 
-    postings = store(docs.select("row", "text", "train").mapInArrow(_postings, POSTINGS), "postings")
-    counts = store(postings.groupBy("word").agg(F.sum("train_tf").alias("c")), "words")
-    train_docs = docs.where("train").count()
-    seen = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    with scratch(spark):  # the word tables are gone before the trie is gathered
+        words = store(docs.select("row", "text", "train").mapInArrow(_block_words(block_bytes), "block long, word binary, n long"), "words")
+        sums = store(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "sums")
+        train_docs = docs.where("train").count()
+        seen = sums.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+        counts = store(words.select("block", "word").join(sums, "word"), "counts", keep=True)
     n, v = (seen["n"] or 0) + train_docs, seen["v"] + (train_docs > 0)
     denominator = float(np.log10(n + 0.1 * (v + 1)))
     end_log, end_known = float(np.log10(train_docs + 0.1)), int(train_docs > 0)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a block's words go back together, so each document is summed in one task
-    back = postings.select("word", "block", "ones", "more").join(counts, "word").select("block", "c", "ones", "more").repartition(parts, "block")
-    partial = back.mapInArrow(_word_sums, "row long, logs double, known long")
-    sums = partial.groupBy("row").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
-
-    scored = trie_scores(docs.select("row", "doc_id", "text", "train"), block_bytes)
-    zero = F.lit(0)
-    return scored.join(sums, "row", "left").select(
+    return trie_scores(docs.select("row", "doc_id", "text", "train"), counts, block_bytes).select(
         "doc_id",
         held.alias("held_out"),
         "n_tokens",
-        (F.coalesce("known", zero) + F.lit(end_known)).alias("n_known"),
+        (F.col("known") + F.lit(end_known)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.coalesce("logs", zero) + F.lit(end_log) - F.col("n_tokens") * F.lit(denominator)).alias("base_score"),
+        (F.col("logs") + F.lit(end_log) - F.col("n_tokens") * F.lit(denominator)).alias("base_score"),
         "score",
         "n_bytes",
     )

@@ -136,8 +136,8 @@ def test_jaccard_shared_passage(spark, monkeypatch):
 
     counts, plain = [], jaccard_join.store
 
-    def counting(df, label):
-        out = plain(df, label)
+    def counting(df, label, keep=False):
+        out = plain(df, label, keep)
         if label in ("candidates", "across"):
             counts.append(out.count())
         return out
