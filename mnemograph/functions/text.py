@@ -13,10 +13,30 @@ STOPWORDS = (
 ).split()
 
 
-def tokens(text: Column, pattern: str = r"(?U)[\w一-鿿]+") -> Column:
-    """Lower-case tokens without stopwords and single characters."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+#: A character of a token, and a whole token that is no stopword and longer than one character.
+LETTER = r"[\w一-鿿]"
+_by_first = {w[0]: "|".join(x[1:] for x in STOPWORDS if x[0] == w[0]) for w in STOPWORDS}
+#: The stopwords are told apart by their first letter, so most words need one look.
+TOKEN = rf"(?U)(?<!{LETTER})(?!(?:{'|'.join(f'{first}(?:{rest})' for first, rest in _by_first.items())})(?!{LETTER})){LETTER}{{2,}}+"
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case tokens without stopwords and single characters; the pattern alone leaves these out."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def token_count(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(TOKEN))
+
+
+def occurrences(text: Column, terms: list[str]) -> Column:
+    """Those of the lower-case ``terms`` that stand in the text as whole words, as often as they do."""
+    low = F.lower(text)
+    some = F.lit(False)
+    for t in terms:
+        some = some | F.contains(low, F.lit(t))
+    whole = rf"(?U)(?<!{LETTER})(?:{'|'.join(terms)})(?!{LETTER})"
+    return F.when(some, F.regexp_extract_all(low, F.lit(whole), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def sentences(text: Column) -> Column:

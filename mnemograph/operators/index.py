@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemograph.functions.text import STOPWORDS, tokens
+from mnemograph.functions.text import STOPWORDS, occurrences, token_count, tokens
 from mnemograph.operators.rank import global_rank
+from mnemograph.session import checkpointed
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -19,6 +20,11 @@ def postings(nodes: DataFrame, id_col: str = "node_id", text_col: str = "text")
     return words.select("node_id", "dl", F.explode("words").alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def of_types(nodes: DataFrame, node_types: list[str] | None, type_col: str = "node_type") -> Column:
+    """Whether a node is of one of the types, in any case; without types all are."""
+    return F.lit(True) if not node_types else F.lower(type_col).isin([t.lower() for t in node_types])
+
+
 def query_terms(query: str) -> dict[str, int]:
     """The query's tokens with their multiplicity."""
     import re
@@ -27,19 +33,20 @@ def query_terms(query: str) -> dict[str, int]:
     return Counter(t for t in found if t not in STOPWORDS and len(t) > 1)
 
 
-def bm25(nodes: DataFrame, query: str, id_col: str = "node_id", text_col: str = "text") -> DataFrame:
-    """(node_id, bm25) of nodes with a query term; statistics are of all nodes.
+def bm25(nodes: DataFrame, query: str, id_col: str = "node_id", text_col: str = "text", node_types: list[str] | None = None, type_col: str = "node_type") -> DataFrame:
+    """(node_id, bm25) of nodes with a query term; statistics are of all nodes, ``node_types`` only limits
+    which ones are listed.
 
-    One scan: only the query's few terms are counted in each text, so nothing is exploded and the
-    only exchange is the aggregation of a row of totals, which reaches the driver.
+    One scan: each text is counted once for its length and once for the query's few terms; the counts,
+    a few numbers a node, are checkpointed, and only a row of totals reaches the driver.
     """
     terms = query_terms(query)
-    words = nodes.select(F.col(id_col).alias("node_id"), tokens(F.col(text_col)).alias("words"))
-    times_in = lambda term: F.size(F.filter("words", lambda w: w == F.lit(term)))
-    tf = [times_in(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = words.select("node_id", F.size("words").alias("dl"), *tf)
     if not terms:
-        return counted.where("false").select("node_id", F.lit(0.0).alias("bm25"))
+        return nodes.where("false").select(F.col(id_col).alias("node_id"), F.lit(0.0).alias("bm25"))
+    found = nodes.select(F.col(id_col).alias("node_id"), of_types(nodes, node_types, type_col).alias("asked"), token_count(F.col(text_col)).alias("dl"), occurrences(F.col(text_col), [*terms]).alias("found"))
+    times_in = lambda term: F.size(F.filter("found", lambda w: w == F.lit(term)))
+    tf = [times_in(t).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = checkpointed(found.select("node_id", "asked", "dl", *tf))
     total = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     n, avgdl = total["n"], total["avgdl"] or 1.0
     score: Column = F.lit(0.0)
@@ -50,21 +57,27 @@ def bm25(nodes: DataFrame, query: str, id_col: str = "node_id", text_col: str =
     some = F.lit(False)
     for i in range(len(terms)):
         some = some | (F.col(f"tf{i}") > 0)
-    return counted.where(some).select("node_id", score.alias("bm25"))
+    return counted.where(some & F.col("asked")).select("node_id", score.alias("bm25"))
 
 
 def bm25_batch(nodes: DataFrame, queries: DataFrame, id_col: str = "node_id", text_col: str = "text") -> DataFrame:
     """(query_id, node_id, bm25) of many queries (query_id, query): one join on terms, no pair without one."""
     posts = postings(nodes, id_col, text_col)
-    lengths = nodes.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl")).first()
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = checkpointed(posts.join(asked.select("term").distinct(), "term", "left_semi"))
+    lengths = nodes.agg(F.count("*").alias("n"), F.avg(token_count(F.col(text_col))).alias("avgdl")).first()
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(lengths["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (lengths["avgdl"] or 1.0)))
     return wanted.join(df, "term").join(asked, "term").groupBy("query_id", "node_id").agg(F.sum(part).alias("bm25"))
 
 
+def top_each(scored: DataFrame, k: int, by: str = "bm25") -> DataFrame:
+    """The ``k`` best of each query_id, ties to the smaller node_id; a task keeps k rows a query."""
+    order = Window.partitionBy("query_id").orderBy(F.col(by).desc(), "node_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -94,6 +107,39 @@ def fuse(dense: DataFrame | None, sparse: DataFrame) -> DataFrame:
     return both.select("node_id", (share("dense_rank") + share("sparse_rank")).alias("score"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
+def fused_top(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``fuse`` without ranking whole lists.
+
+    A node below the first 60 + 2k places of both lists scores less than 2 / (120 + 2k), which k nodes of
+    any list with k rows reach alone. So the winners are among those places; a node that is
+    only in one list's places gets its rank in the other by counting what stands before it, for all
+    candidates in one pass.
+    """
+    sparse, most = sparse.where("bm25 > 0"), RRF + 2 * k
+    lists = []
+    for scored, by in ((dense, "cosine"), (sparse, "bm25")):
+        head = [(r["node_id"], r[by]) for r in top(scored.select("node_id", by), most, by).collect()]  # most rows
+        lists.append((scored, by, head))
+    wanted = sorted({node for _, _, head in lists for node, _ in head})
+    ranks: list[dict] = []
+    values: dict = {}
+    for scored, by, head in lists:
+        known = {node: at for at, (node, _) in enumerate(head)}
+        others = [n for n in wanted if n not in known]
+        own = [(r["node_id"], r[by]) for r in scored.where(F.col("node_id").isin(others)).select("node_id", by).collect()] if others and len(head) == most else []
+        if own:
+            before = [F.count_if((F.col(by) > v) | (F.col(by) == v) & (F.col("node_id") < n)).alias(f"r{i}") for i, (n, v) in enumerate(own)]
+            counted = scored.agg(*before).first()
+            known |= {n: counted[f"r{i}"] for i, (n, _) in enumerate(own)}
+        if by == "cosine":
+            values = dict(head) | dict(own)
+        ranks.append(known)
+    share = lambda at: 0.0 if at is None else 1 / (RRF + at)
+    rows = [(n, share(ranks[0].get(n)) + share(ranks[1].get(n)), float(values.get(n, 0.0))) for n in wanted]
+    kind = dense.schema["node_id"].dataType.simpleString()
+    return dense.sparkSession.createDataFrame(rows, f"node_id {kind}, score double, cosine double")
+
+
 def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     """The ``k`` best, ties to the smaller id; each task keeps k rows."""
     return scored.orderBy(F.col(by).desc(), "node_id").limit(k)
