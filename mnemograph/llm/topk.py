@@ -1,8 +1,10 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are turned into integers, ordered by length and cut into buckets of similar length. Buckets
-are dealt over tasks and queries, in blocks, meet every task. A task goes through its buckets from
-the longest down and keeps each query's k best so far; the k-th best score gives a bucket's local
+Vectors are turned into integers, ordered by length and cut into parts and buckets of similar length.
+First every query meets the longest bucket of all: its k-th best score there is a threshold that holds
+everywhere. Then queries, in blocks, go through every part, which a task holds while the blocks
+pass by one at a time. In a part a query goes through the buckets from the longest down and keeps
+its k best so far; the better of the k-th best score and the threshold gives a bucket's local
 cosine threshold t = score / (|q| * longest in bucket). Above 1 the bucket is skipped. When t is high
 enough, coordinate pruning keeps the vectors whose value at the query's strongest coordinate lies in
 the interval that a cosine of t allows. Otherwise length pruning keeps those long enough to
@@ -13,7 +15,8 @@ Defined cases: vectors that are null, empty or hold a null or non-finite compone
 vec_id stands for one vector, so of rows that repeat an id the smallest vector (in array order)
 counts and a query is never its own candidate; vectors of another dimension than the query's are no
 candidates; null ids take no part; ties go to the smaller id; with fewer than k candidates all are
-returned; empty tables give no rows. Other columns are ignored.
+returned; empty tables give no rows. Other columns are ignored. Products are exact in 64-bit integers; vectors
+whose lengths' product could pass 2**62 are refused with an error.
 """
 
 from __future__ import annotations
@@ -21,14 +24,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemograph.llm.common import store
+
 WINNERS = "query_id long, vec_id long, score long"
 #: Score of a free place; its negative is still an int64.
 NONE = -(1 << 62)
+#: Rows of a part, of a bucket, of a query block and of the first bucket, which each task that ranks keeps.
+PART_ROWS, BUCKET_ROWS, BLOCK_ROWS, HEAD_ROWS = 100_000, 4096, 2048, 256
 #: Above this local cosine threshold a coordinate's feasible interval is narrow enough to pay.
 COORDINATE_FROM = 0.7
 
@@ -60,9 +66,11 @@ class Best:
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
 
 
-def search_bucket(best: Best, queries: np.ndarray, query_ids: np.ndarray, q_len: np.ndarray, vectors: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-    """Let one bucket (longest first) compete for the queries' k best places."""
+def search_bucket(best: Best, queries: np.ndarray, query_ids: np.ndarray, q_len: np.ndarray, vectors: np.ndarray, ids: np.ndarray, lengths: np.ndarray, floor: np.ndarray | None = None) -> int:
+    """Let one bucket (longest first) compete for the queries' k best places; ``floor``: scores below it
+    can't be among them. Returns how many products were computed."""
     threshold = np.where(best.score[:, -1] == NONE, -np.inf, best.score[:, -1].astype(np.float64))
+    threshold = threshold if floor is None else np.maximum(threshold, floor)
     reach = q_len * lengths[0]
     # a product can't pass |q||v|; the margin covers the rounding of the square roots
     alive = (threshold <= reach * (1 + 1e-9)) | (threshold <= 0)
@@ -70,12 +78,18 @@ def search_bucket(best: Best, queries: np.ndarray, query_ids: np.ndarray, q_len:
         local = np.where(reach > 0, threshold / reach, -np.inf)
     near = alive & (local >= COORDINATE_FROM)
     rest = np.flatnonzero(alive & ~near)
-    own = {int(v): j for j, v in enumerate(ids)}
+    own, done = {int(v): j for j, v in enumerate(ids)}, 0
+    largest = float(q_len.max(initial=0) * lengths[0])
+    if largest >= 2.0**62:
+        raise ValueError("products of these vectors don't fit into 64-bit integers")
+    exact = largest < 2.0**53  # in float64, which is faster
 
     def offer(rows: np.ndarray, cols: np.ndarray) -> None:
+        nonlocal done
         if not len(rows) or not len(cols):
             return
-        scores = (queries[rows] @ vectors[cols].T).astype(np.int64)
+        done += len(rows) * len(cols)
+        scores = (queries[rows] @ vectors[cols].T).astype(np.int64) if exact else queries[rows].astype(np.int64) @ vectors[cols].astype(np.int64).T
         at = {int(c): j for j, c in enumerate(cols)} if len(cols) < len(ids) else None
         for r, q in enumerate(query_ids[rows].tolist()):
             j = own.get(q)
@@ -99,34 +113,60 @@ def search_bucket(best: Best, queries: np.ndarray, query_ids: np.ndarray, q_len:
             low = t * q[f] - half if q[f] > -t else -1.0
             high = t * q[f] + half if q[f] < t else 1.0
             offer(np.array([r]), np.flatnonzero((unit[:, f] >= low - 1e-9) & (unit[:, f] <= high + 1e-9)))
+    return done
+
+
+HELD = "dim int, part int, ids binary, norms binary, matrix binary, floors binary"
+
+
+def _blocks(rows: int):
+    """Rows (dim, part, vec_id, ints, norm) to blocks of ``rows`` at most, longest first, matrices as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (dim, part), g in batch.to_pandas().groupby(["dim", "part"], sort=False):
+                g = g.sort_values(["norm", "vec_id"], ascending=[False, True])
+                for lo in range(0, len(g), rows):
+                    x = g.iloc[lo : lo + rows]
+                    blobs = [x["vec_id"].to_numpy(dtype="<i8").tobytes(), x["norm"].to_numpy(dtype="<f8").tobytes(), np.array(x["ints"].tolist(), dtype="<f8").tobytes(), None]
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], names=["dim", "part", "ids", "norms", "matrix", "floors"])
+
+    return run
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["norms"], "<f8"), np.frombuffer(row["matrix"], "<f8").reshape(-1, row["dim"])
 
 
-def _matrix(blobs: pd.Series, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype="<f8").reshape(-1, dim)
+def _passing(use):
+    """Rows sorted by (dim, part, asks): a part's vectors are held while its query blocks pass by."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if (row["dim"], row["part"]) != key:
+                    key, held = (row["dim"], row["part"]), []
+                if row["asks"]:
+                    held.sort(key=lambda x: -x[1][0])
+                    yield use(row, held)
+                else:
+                    held.append(_opened(row))
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (dim, part, group, id, ints, norm) to one row a batch and key, matrices as bytes."""
-    for batch in batches:
-        pdf = batch.to_pandas()
-        for (dim, part), g in pdf.groupby(["dim", "part"], sort=False):
-            g = g.sort_values(["norm", "vec_id"], ascending=[False, True])
-            blob = np.array(g["ints"].tolist(), dtype="<f8").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([part], pa.int32()), pa.array([g["vec_id"].to_numpy(dtype="<i8").tobytes()]), pa.array([g["norm"].to_numpy(dtype="<f8").tobytes()]), pa.array([blob])],
-                names=["dim", "part", "ids", "norms", "matrix"],
-            )
+    return run
 
 
-def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", bucket_rows: int = 4096, parts: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", bucket_rows: int = BUCKET_ROWS, parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer products, exact.
 
     ``is_query``: condition on column ``vec_id``; by default ids divisible by 50. ``bucket_rows``:
-    rows of a bucket at most (one Arrow batch of length-ordered rows). ``parts``: tasks that the
-    buckets are dealt over.
+    rows of a bucket at most. ``parts``: tasks that the vectors are dealt over, by default one for
+    each ``PART_ROWS``.
     """
     spark = vectors.sparkSession
-    n_parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a count needs no column, so it is read from the files' footers
+    n_parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // PART_ROWS))
     asked = is_query if is_query is not None else F.col("vec_id") % 50 == 0
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -135,33 +175,38 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, scale:
     one = ints.groupBy("vec_id").agg(F.min("ints").alias("ints"))
     base = one.select("vec_id", "ints", F.size("ints").alias("dim"), F.sqrt(F.aggregate("ints", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
-    # length order, cut into Arrow batches: each batch is a bucket of similar lengths
-    ordered = base.repartitionByRange(n_parts, F.col("dim"), F.col("norm").desc(), "vec_id").sortWithinPartitions("dim", F.col("norm").desc(), "vec_id")
-    buckets = ordered.select("dim", F.spark_partition_id().alias("part"), "vec_id", "ints", "norm").mapInArrow(_blocks, "dim int, part int, ids binary, norms binary, matrix binary")
-    # query blocks go to every part: stated queries against all rows, block by block
-    blocks = (
-        base.where(asked)
-        .withColumn("part", F.lit(0))
-        .mapInArrow(_blocks, "dim int, part int, ids binary, norms binary, matrix binary")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    )
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        dim, out = int(key[0]), []
-        held = []
-        for b in right.itertuples():
-            ids, norms, m = np.frombuffer(b.ids, "<i8"), np.frombuffer(b.norms, "<f8"), np.frombuffer(b.matrix, "<f8").reshape(-1, dim)
-            held += [(norms[i : i + bucket_rows], ids[i : i + bucket_rows], m[i : i + bucket_rows]) for i in range(0, len(ids), bucket_rows)]
-        held.sort(key=lambda x: -x[0][0])
-        for b in left.itertuples():
-            ids, norms, m = np.frombuffer(b.ids, "<i8"), np.frombuffer(b.norms, "<f8"), np.frombuffer(b.matrix, "<f8").reshape(-1, dim)
-            best = Best(len(ids), k)
-            for lengths, own, matrix in held:
-                search_bucket(best, m, ids, norms, matrix, own, lengths)
-            real = best.score != NONE
-            out.append(pd.DataFrame({"query_id": np.repeat(ids, real.sum(axis=1)), "vec_id": best.id[real], "score": best.score[real]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    winners = blocks.groupBy("dim", "part").cogroup(buckets.groupBy("dim", "part")).applyInPandas(search, WINNERS)
+    longest_first = (F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
+    ordered = base.repartitionByRange(n_parts, *longest_first).sortWithinPartitions(*longest_first)
+    buckets = ordered.select("dim", F.spark_partition_id().alias("part"), "vec_id", "ints", "norm").mapInArrow(_blocks(bucket_rows), HELD)
+    blocks = base.where(asked).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int")).mapInArrow(_blocks(BLOCK_ROWS), HELD)
+
+    def first_floor(row: dict, held: list) -> pa.RecordBatch:
+        ids, norms, m = _opened(row)
+        best = Best(len(ids), k)
+        for own, lengths, matrix in held:
+            search_bucket(best, m, ids, norms, matrix, own, lengths)
+        floors = np.where(best.score[:, -1] == NONE, -np.inf, best.score[:, -1].astype("<f8")).astype("<f8")
+        cells = [(row["dim"], pa.int32()), (row["ids"], pa.binary()), (row["norms"], pa.binary()), (row["matrix"], pa.binary()), (floors.tobytes(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], names=["dim", "ids", "norms", "matrix", "floors"])
+
+    def search(row: dict, held: list) -> pa.RecordBatch:
+        (ids, norms, m), best, floors = _opened(row), None, np.frombuffer(row["floors"], "<f8")
+        best = Best(len(ids), k)
+        for own, lengths, matrix in held:
+            search_bucket(best, m, ids, norms, matrix, own, lengths, floors)
+        real = (best.score != NONE) & (best.score >= floors[:, None])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(axis=1))), pa.array(best.id[real]), pa.array(best.score[real])], names=["query_id", "vec_id", "score"])
+
+    def meeting(held: DataFrame, asking: DataFrame) -> DataFrame:
+        both = held.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
+        return both.repartition(n_parts, "dim", "part").sortWithinPartitions("dim", "part", "asks")
+
+    # the longest bucket of each dimension, a copy for each group of query blocks
+    head = base.withColumn("at", F.row_number().over(Window.partitionBy("dim").orderBy(F.col("norm").desc(), "vec_id"))).where(F.col("at") <= HEAD_ROWS)
+    head = head.withColumn("part", F.lit(0)).select("dim", "part", "vec_id", "ints", "norm").mapInArrow(_blocks(HEAD_ROWS), HELD)
+    head = head.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    floored = store(meeting(head, blocks).mapInArrow(_passing(first_floor), "dim int, ids binary, norms binary, matrix binary, floors binary"), "floors")
+    everywhere = floored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    winners = meeting(buckets, everywhere).mapInArrow(_passing(search), WINNERS)
     ranked = winners.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -307,6 +307,31 @@ def test_top_k(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_prunes():
+    """With the k-th best score of the longest bucket, shorter buckets need few products."""
+    from mnemograph.llm.topk import Best, search_bucket
+
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * rng.normal(size=(4000, 16)) * rng.lognormal(0, 1, size=(4000, 1)))
+    v = v[np.argsort(-np.linalg.norm(v, axis=1))]
+    lengths, ids = np.linalg.norm(v, axis=1), np.arange(4000)
+    q, q_ids = v[::200], ids[::200]
+    q_len = np.linalg.norm(q, axis=1)
+    first, done = Best(len(q), 5), 0
+    search_bucket(first, q, q_ids, q_len, v[:500], ids[:500], lengths[:500])
+    floor = first.score[:, -1].astype(float)
+    best = Best(len(q), 5)
+    for lo in range(0, 4000, 500):  # each bucket as if it were a task's first one
+        part = slice(lo, lo + 500)
+        done += search_bucket(best, q, q_ids, q_len, v[part], ids[part], lengths[part], floor)
+    assert done < 0.5 * len(q) * len(v)
+    for i, x in enumerate(q):
+        scores = sorted((-int(s), int(c)) for s, c in zip(v @ x, ids, strict=True) if c != q_ids[i])[:5]
+        assert [(-s, c) for s, c in scores] == list(zip(best.score[i].tolist(), best.id[i].tolist(), strict=True))
+    with pytest.raises(ValueError):
+        search_bucket(Best(1, 1), q[:1] * 1e9, q_ids[:1], q_len[:1] * 1e9, v * 1e9, ids, lengths * 1e9)
+
+
 PII = [
     "", None, "mail a.b+c@x-y.co.uk and x@y, z@q.com.", "ip 1.2.3.4 256.1.1.1 010.0.0.1 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 and 4111-1111-1111-1112",
     "call +1 (555) 010-9999 or +12 34", "iban DE89 3704 0044 0532 0130 00 ok", "ssn 123-45-6789, other 987-65-4321 far away from the words", "é 知识 a@b.cd ü +49 30 1234567", "1" * 20_000, "a@" * 20_000, "1 " * 30_000 + "x@y.zz",
