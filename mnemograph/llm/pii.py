@@ -2,12 +2,14 @@
 
 Regular expressions propose spans, checksum validators confirm them (Luhn for cards, mod 97 for
 IBANs), words nearby adjust the score, and a span is kept from ``THRESHOLD`` on. The base kinds
-(email, ip, card, phone) are kept whenever their own rule holds. The method adds two kinds:
+(email, ip, card, phone) are kept whenever their own rule holds. The method adds three kinds:
 
-* ``iban``: two letters, two digits and 11 to 30 letters or digits, in groups or not; the mod-97
-  check must hold.
+* ``iban``: a country's two letters and as many digits and letters as its accounts have, in groups or not;
+  the mod-97 check must hold.
 * ``ssn``: three, two and four digits joined by hyphens; no checksum, so only a context word within
-  ``CONTEXT_CHARS`` before it lifts the score to the threshold.
+  ``CONTEXT_CHARS`` before or after it lifts the score to the threshold.
+* ``secret``: keys with a known prefix, and 32 to 64 hexadecimal digits that hold digits and letters; the
+  latter need a context word too.
 
 Proposed spans of one kind are the leftmost non-overlapping matches. Positions are code points, end
 exclusive. They come from the text between the matches: a match starts after the lengths of all
@@ -26,15 +28,24 @@ from pyspark.sql import functions as F
 from mnemograph.llm.common import fresh, two
 
 #: Kinds in the order in which spans that start together are listed.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
+#: Account lengths by country (fixed values).
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+    "GT28 HR21 HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 "
+    "PT25 QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()
+IBAN = "|".join(f"(?:{'|'.join(x[:2] for x in IBAN_LENGTHS if x[2:] == n)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{int(n) - 4}}}" for n in sorted({x[2:] for x in IBAN_LENGTHS}))
+KNOWN_KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64}"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])",
+    "iban": rf"(?<![A-Za-z0-9_])(?:{IBAN})(?![A-Za-z0-9_])",
     "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
+    "secret": rf"(?<![A-Za-z0-9_])(?:{KNOWN_KEYS}|[A-Fa-f0-9]{{32,64}})(?![A-Za-z0-9_])",
 }
 #: A text without this can't match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
@@ -46,9 +57,10 @@ CONTEXT = {
     "phone": r"(?i)(?<![A-Za-z0-9_])(?:phone|tel|call|mobile|fax)(?![A-Za-z0-9_])",
     "iban": r"(?i)(?<![A-Za-z0-9_])(?:iban|bank|account|konto)(?![A-Za-z0-9_])",
     "ssn": r"(?i)(?<![A-Za-z0-9_])(?:ssn|social|security|insurance)(?![A-Za-z0-9_])",
+    "secret": r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|credential|key|api_?key|access_?key|auth)(?![A-Za-z0-9_])",
 }
 #: Score of a confirmed span, what a context word adds, and the least score that is kept.
-SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 CONTEXT_ADDS = 0.3
 THRESHOLD = 0.5
 
@@ -86,8 +98,9 @@ def confirmed(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(digits_of(match)).between(10, 15)
     if kind == "iban":
-        plain = F.length(F.regexp_replace(match, " ", ""))
-        return F.when(plain.between(15, 34), mod97(match)).otherwise(False)
+        return mod97(match)
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -98,11 +111,14 @@ def spans_of(text: Column, kind: str) -> Column:
     pieces, matches = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     # starts[i]: the length of pieces 0..i and matches 0..i-1
     lengths = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"), F.substr(p, F.greatest(F.length(p) - CONTEXT_CHARS + 1, F.lit(1))).alias("before")))
+    later = F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1)))
+    lengths = F.zip_with(lengths, later, lambda x, p: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), x["before"].alias("before"), F.substring(p, 1, CONTEXT_CHARS).alias("after")))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         end = start + F.length(x["m"])
-        score = F.lit(SCORE[kind]) + F.when(x["before"].rlike(CONTEXT[kind]), CONTEXT_ADDS).otherwise(0.0)
+        base = F.when(x["m"].rlike(f"^(?:{KNOWN_KEYS})$"), 0.8).otherwise(SCORE[kind]) if kind == "secret" else F.lit(SCORE[kind])
+        score = base + F.when(x["before"].rlike(CONTEXT[kind]) | x["after"].rlike(CONTEXT[kind]), CONTEXT_ADDS).otherwise(0.0)
         span = F.struct(start.alias("start"), F.lit(n).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
         keep = confirmed(kind, x["m"]) & (F.lit(kind in BASE) | (score >= THRESHOLD))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))

@@ -9,7 +9,7 @@ from mnemograph.llm.decontaminate import decontaminate
 from mnemograph.llm.jaccard_join import jaccard_components
 from mnemograph.llm.lm_scoring import lm_score
 from mnemograph.llm.packing import pack
-from mnemograph.llm.pii import pii_report
+from mnemograph.llm.pii import IBAN, KNOWN_KEYS, pii_report
 from mnemograph.llm.quality import score_quality
 from mnemograph.llm.suffix_dedup import dedup_suffixes
 from mnemograph.llm.token_counts import count_tokens
@@ -98,11 +98,13 @@ def _pii_sql() -> str:
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+        "iban": rf"\b(?:{IBAN})\b",
         "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "secret": rf"\b(?:{KNOWN_KEYS}|[A-Fa-f0-9]{{32,64}})\b",
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     back = f"string_split(reverse({digits}), '')"
+    words = r"(?i)\b(?:token|secret|password|passwd|credential|key|api_?key|access_?key|auth)\b"
     codes = "list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END)"
     rules = {
         "email": "true",
@@ -110,12 +112,13 @@ def _pii_sql() -> str:
         "card": f"CASE WHEN len({digits}) BETWEEN 14 AND 19 THEN list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({back}[i] AS INTEGER) WHEN CAST({back}[i] AS INTEGER) < 5 THEN 2 * CAST({back}[i] AS INTEGER) ELSE 2 * CAST({back}[i] AS INTEGER) - 9 END)) % 10 = 0 ELSE false END",
         "phone": f"len({digits}) BETWEEN 10 AND 15",
         "iban": f"CASE WHEN len(replace(m, ' ', '')) BETWEEN 15 AND 34 THEN list_reduce(list_transform(string_split(array_to_string({codes}, ''), ''), lambda c: CAST(c AS INTEGER)), lambda a, c: (a * 10 + c) % 97) = 1 ELSE false END",
-        "ssn": r"regexp_matches(before, '(?i)\b(?:ssn|social|security|insurance)\b')",
+        "ssn": r"regexp_matches(before, '(?i)\b(?:ssn|social|security|insurance)\b') OR regexp_matches(after, '(?i)\b(?:ssn|social|security|insurance)\b')",
+        "secret": f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND (regexp_matches(m, '^(?:{KNOWN_KEYS})$') OR regexp_matches(before, '{words}') OR regexp_matches(after, '{words}'))",
     }
-    parts = []
+    parts = []  # "after" starts with the match's right neighbour
     for n, (kind, pattern) in enumerate(patterns.items()):
         parts.append(
-            f"SELECT doc_id, {n} AS kind_no, '{kind}' AS kind, s AS start, s + len(m) AS stop FROM (SELECT doc_id, g[i] AS m, right(p[i], 40) AS before, "
+            f"SELECT doc_id, {n} AS kind_no, '{kind}' AS kind, s AS start, s + len(m) AS stop FROM (SELECT doc_id, g[i] AS m, right(p[i], 40) AS before, left(p[i + 1], 40) AS after, "
             f"CAST(list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(g[1 : i - 1], lambda x: len(x))), 0) AS BIGINT) AS s "
             f"FROM (SELECT doc_id, g, p, unnest(range(1, len(g) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS g, regexp_split_to_array(t, '{pattern}') AS p FROM d))) WHERE {rules[kind]}"
         )
