@@ -40,7 +40,7 @@ from mnemograph.llm.common import numbered, remainder, scratch, store
 SYMBOLS = 64
 END, ORDER = 255, 5
 #: Bytes of text whose grams are gathered at a time.
-TRIE_BYTES = 8 << 20
+TRIE_BYTES = 6 << 20
 #: Documents that one block holds at most.
 BLOCK_DOCS = 60_000
 
@@ -98,9 +98,10 @@ def _grams(raws: list[bytes]) -> np.ndarray:
     pad = bytes([END]) * ORDER
     flat = np.frombuffer(pad + pad.join(raws) + pad, dtype=np.uint8)
     lengths = np.array([len(x) + 1 for x in raws])
-    slots = np.repeat(np.arange(len(raws), dtype=np.uint64), lengths)
+    slots = np.repeat(np.arange(len(raws), dtype=np.uint16), lengths)
     # of the padding after a text only the first symbol, its end, is predicted
-    at = np.arange(len(slots)) + slots.astype(np.int64) * (ORDER - 1)
+    at = np.repeat(np.arange(len(raws), dtype=np.int64) * (ORDER - 1), lengths)
+    at += np.arange(len(slots))
     out = np.zeros(len(slots), dtype=np.uint64)
     for back in (*range(1, ORDER + 1), 0):
         out <<= np.uint64(8)
@@ -232,7 +233,7 @@ def trie_scores(docs: DataFrame, counts: DataFrame, block_bytes: int = TRIE_BYTE
 
         def packed() -> Iterator[pa.RecordBatch]:
             keys = _grams(raws)
-            used = np.array(train, dtype=np.int64)[(keys & np.uint64(0xFFFF)).astype(np.int64)]
+            used = np.array(train, dtype=np.uint32)[keys.astype(np.uint16)]  # the low 16 bits: the text
             keys >>= np.uint64(16)
             at = _starts(keys)
             grams, n = keys[at], np.add.reduceat(used, at)
@@ -292,7 +293,7 @@ def trie_scores(docs: DataFrame, counts: DataFrame, block_bytes: int = TRIE_BYTE
         texts, words, logs = (whole.filter(pa.array(x)) for x in (bucket == TEXT, bucket == WORD, bucket >= 0))
         raws = [_fold(t) for t in texts.column("text").to_pylist()]
         keys = _grams(raws)
-        slots = (keys & np.uint64(0xFFFF)).astype(np.int64)
+        slots = keys.astype(np.uint16)  # the low 16 bits: the text
         keys >>= np.uint64(16)
         at = _starts(keys)
         found = np.empty(len(at), dtype="<f4")
