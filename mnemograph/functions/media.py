@@ -63,3 +63,21 @@ def grade(luma: Column, spread: Column, saturation: Column) -> Column:
 
 def beat_verdict(frames: Column) -> Column:
     return F.when(F.abs(frames) <= 1.5, "IDEAL").when(F.abs(frames) <= 3, "PASS").otherwise("FAIL")
+
+
+def dynamic_rate(duration: Column, native: Column, least: int, most: int, default: float) -> Column:
+    """struct<fps, frames>: frames of ``default`` a second between two bounds, no faster than the source."""
+    frames = F.greatest(F.lit(least), F.least(F.lit(most), (duration * default).cast("int")))
+    fps = F.when(duration > 0, frames / duration).otherwise(F.lit(default))
+    return F.struct(F.least(fps, native).alias("fps"), frames.alias("frames"))
+
+
+def even_times(start: Column, end: Column, rate: float, most: int = 250) -> Column:
+    """Evenly spaced times from start to end, 4 to ``most``; none without a length."""
+    n = F.greatest(F.lit(4), F.least(F.lit(most), ((end - start) * rate).cast("int") + 1))
+    return F.when(end > start, F.transform(F.sequence(F.lit(0), n - 1), lambda i: start + (end - start) * i / (n - 1))).otherwise(F.array().cast("array<double>"))
+
+
+def payload_bytes(parts: Column) -> Column:
+    """Bytes of an array of base64 texts."""
+    return F.aggregate(F.coalesce(parts, F.array().cast("array<string>")), F.lit(0), lambda a, x: a + F.coalesce(F.length(x), F.lit(0)))

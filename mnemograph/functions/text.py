@@ -126,3 +126,40 @@ def page_indices(spec: Column, pages: Column, default: int = 20) -> Column:
     asked = F.array_sort(F.array_distinct(F.flatten(F.transform(sound, spread))))
     none = F.when(pages > 0, F.sequence(F.lit(0), F.least(pages, F.lit(default)) - 1)).otherwise(F.array().cast("array<int>"))
     return F.when(F.size(asked) > 0, asked).otherwise(none)
+
+
+def speakable(text: Column) -> Column:
+    """Without brackets and quotes that a voice shouldn't say; a wide colon becomes a comma."""
+    return F.translate(F.regexp_replace(text, "[（）()\"']", ""), "：", "，")
+
+
+def spoken_sentences(text: Column) -> Column:
+    """Stripped, non-empty pieces after 。 ！ ？."""
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？])"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def names_of(items: Column) -> Column:
+    """Names in a JSON list of objects with a name, or of plain texts."""
+    return F.transform(F.from_json(items, "array<string>"), lambda x: F.when(F.startswith(x, F.lit("{")), F.coalesce(F.get_json_object(x, "$.name"), F.lit(""))).otherwise(x))
+
+
+def stated_count(answer: Column) -> Column:
+    """A model's count cut to a whole number if it is one, else how many occurrences it lists."""
+    stated = F.get_json_object(answer, "$.count").try_cast("double").cast("long")
+    listed = F.from_json(answer, "struct<occurrences:array<string>,results:array<string>>")
+    n = F.when(F.size(listed["occurrences"]) > 0, F.size(listed["occurrences"])).otherwise(F.greatest(F.size(listed["results"]), F.lit(0)))
+    return F.coalesce(stated, n.cast("long"), F.lit(0).cast("long"))
+
+
+def node_key(macro_id: Column, node_id: Column) -> Column:
+    return F.concat_ws(":", macro_id, node_id)
+
+
+def own_id(node_id: Column) -> Column:
+    """An id without the slot that a merge put before it."""
+    return F.when(F.startswith(node_id, F.lit("slot")) & F.contains(node_id, F.lit("_")), F.regexp_replace(node_id, r"(?s)^[^_]*_", "")).otherwise(node_id)
+
+
+def kept_time(parsed: Column, text: Column) -> Column:
+    """struct<seconds, text>: a time that can't be read stays as it is."""
+    return F.struct(parsed.alias("seconds"), F.when(parsed.isNull(), text).alias("text"))

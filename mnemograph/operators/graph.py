@@ -102,3 +102,28 @@ def has_content(entities: Column, events: Column, screens: Column) -> Column:
 def provider_results(df: DataFrame, link: str, title: str, snippet: str, date: str | None) -> DataFrame:
     """One provider's results as (link, title, snippet, date); what is missing is N/A."""
     return df.select(or_na(F.col(link)).alias("link"), or_na(F.col(title)).alias("title"), or_na(F.col(snippet)).alias("snippet"), (or_na(F.col(date)) if date else F.lit("N/A")).alias("date"))
+
+
+def summary(roots: DataFrame) -> DataFrame:
+    """(video_key, json) of each root, whatever the cutoff."""
+    fields = ("title", "description", "themes", "key_entities", "emotional_tone")
+    return roots.select("video_key", F.to_json(F.struct(*fields), {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+
+
+def macro_digest(entities: Column, events: Column, screens: Column) -> Column:
+    """struct<key_entities, event_types, ocr_texts> of a subgraph: the first 10 entities by name or id, the
+    distinct types of events, and all texts on screen."""
+    none = lambda c: F.when(c == "", None).otherwise(c)
+    named = F.transform(F.slice(entities, 1, 10), lambda e: F.struct(F.coalesce(none(e["name"]), e["entity_id"]).alias("name"), e["entity_type"].alias("type")))
+    types = F.array_sort(F.array_distinct(F.filter(F.transform(events, lambda e: none(e["event_type"])), lambda t: t.isNotNull())))
+    return F.struct(named.alias("key_entities"), types.alias("event_types"), F.transform(screens, lambda x: x["text"]).alias("ocr_texts"))
+
+
+def prompt_json(macro_id: Column, label: Column, times: Column, text: Column) -> Column:
+    """A macro as JSON for a prompt; ``times``: its range as texts."""
+    return F.to_json(F.struct(macro_id.alias("macro_id"), label.alias("label"), times.alias("time_range"), text.alias("summary")))
+
+
+def absolute(ranges: Column, start: Column) -> Column:
+    """Times within a segment as times of the whole."""
+    return F.transform(ranges, lambda t: t + start)

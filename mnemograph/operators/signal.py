@@ -38,3 +38,8 @@ def clip_clock(clips: DataFrame, key: str, order: str, pause: float) -> DataFram
     """Clips (duration) with their start: all durations and pauses before."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return clips.withColumn("start", F.round(F.coalesce(F.sum(F.col("duration") + pause).over(w), F.lit(0.0)), 2))
+
+
+def strongest(beats: DataFrame, n: int, energy: str = "energy", at: str = "t") -> DataFrame:
+    """The ``n`` beats of most energy, in time order; ties to the earlier one."""
+    return beats.orderBy(F.col(energy).desc(), at).limit(n).orderBy(at)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemograph.functions import media, text, timeexpr
-from mnemograph.operators import graph, index, interval, merge, preview, segment, signal, trace
+from mnemograph.functions import geometry, media, text, timeexpr
+from mnemograph.operators import graph, index, interval, layout, merge, preview, segment, signal, trace
 from mnemograph.operators.rank import global_rank
 
 QUERIES: dict = {}
@@ -516,3 +516,105 @@ def clip_clock(spark, sf):
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank FROM orders")
 def global_ranks(spark, sf):
     return global_rank(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice").desc(), F.col("o_orderkey")).select("o_orderkey", "rank")
+
+
+POINTS = ("CAST(l_orderkey % 97 AS DOUBLE)", "CAST(l_partkey % 89 AS DOUBLE)", "CAST(l_suppkey % 83 AS DOUBLE)", "CAST(l_linenumber * 11 % 79 AS DOUBLE)")
+
+
+def _geometry_sql() -> str:
+    """Points a = (p, q), b = (r, s), c = (q, p), d = (s, r); vectors ab = (r - p, s - q), cd = (s - q, r - p)."""
+    size = "sqrt((r - p) * (r - p) + (s - q) * (s - q))"
+    ac, bc = "sqrt((q - p) * (q - p) + (p - q) * (p - q))", "sqrt((q - r) * (q - r) + (p - s) * (p - s))"
+    return (
+        f"WITH g AS (SELECT l_returnflag, {POINTS[0]} AS p, {POINTS[1]} AS q, {POINTS[2]} AS r, {POINTS[3]} AS s FROM lineitem), l AS (SELECT *, {size} AS z, {ac} AS ac, {bc} AS bc FROM g) "
+        "SELECT l_returnflag, count(*) FILTER (z >= 1e-9 AND abs((r - p) * (r - p) - (s - q) * (s - q)) / (z * z) * z < 1) AS parallel, "
+        "count(*) FILTER (z >= 1e-9 AND abs((r - p) * (s - q) + (s - q) * (r - p)) / (z * z) * z < 1) AS perpendicular, "
+        "count(*) FILTER (sqrt(((p + r) / 2 - q) * ((p + r) / 2 - q) + ((q + s) / 2 - p) * ((q + s) / 2 - p)) < 1) AS midpoint, "
+        "count(*) FILTER (z >= 1e-9 AND abs((r - p) * (p - q) - (s - q) * (q - p)) / z < 1) AS on_line, "
+        "count(*) FILTER (z >= 1e-9 AND abs((r - p) * (p - q) - (s - q) * (q - p)) / z < 1 AND ((q - p) * (r - p) + (p - q) * (s - q)) / (z * z) BETWEEN -(1 / z) AND 1 + 1 / z) AS on_segment, "
+        "count(*) FILTER (CASE WHEN greatest(z, ac, bc) < 1e-9 THEN true ELSE abs((r - p) * (p - q) - (s - q) * (q - p)) / greatest(z, ac, bc) < 1 END) AS collinear, "
+        "count(*) FILTER (z >= 1e-9 AND abs(z / z - 1) < 0.02) AS same_length FROM l GROUP BY l_returnflag"
+    )
+
+
+@query(_geometry_sql())
+def geometry_checks(spark, sf):
+    """Predicates on the points a = (p, q), b = (r, s) and their mirror images c and d."""
+    g = read(spark, sf, "lineitem").select("l_returnflag", *(F.expr(x).alias(n) for n, x in zip("pqrs", POINTS, strict=True)))
+    a, b, c, d = (geometry.point(F.col(x), F.col(y)) for x, y in ("pq", "rs", "qp", "sr"))
+    found = {
+        "parallel": geometry.parallel(a, b, c, d), "perpendicular": geometry.perpendicular(a, b, c, d), "midpoint": geometry.midpoint(c, a, b), "on_line": geometry.on_line(c, a, b),
+        "on_segment": geometry.on_segment(c, a, b), "collinear": geometry.collinear(a, b, c), "same_length": geometry.ratio(a, b, c, d, F.lit(1.0)),
+    }
+    return g.groupBy("l_returnflag").agg(*(F.count_if(x).alias(n) for n, x in found.items()))
+
+
+RECTS = {"x0": "c_custkey * 37 % 500", "y0": "c_custkey * 53 % 300", "w": "20 + c_custkey % 31", "h": "8 + c_custkey % 7"}
+
+
+@query(
+    "WITH r AS (SELECT c_custkey // 200 AS page, c_custkey AS id, CAST(c_custkey * 37 % 500 AS DOUBLE) AS x0, CAST(c_custkey * 53 % 300 AS DOUBLE) AS y0, CAST(20 + c_custkey % 31 AS DOUBLE) AS w, CAST(8 + c_custkey % 7 AS DOUBLE) AS h FROM customer) "
+    "SELECT a.page, a.id AS a, b.id AS b FROM r a JOIN r b ON a.page = b.page AND a.id < b.id WHERE least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0) > 0.35 * least(a.w, b.w) AND least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0) > 0.35 * least(a.h, b.h)"
+)
+def label_overlap(spark, sf):
+    r = read(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 200).alias("page"), F.col("c_custkey").alias("rect_id"), *(F.expr(RECTS[n]).cast("double").alias(n) for n in ("x0", "y0", "w", "h")))
+    return layout.overlapping(r.withColumn("x1", F.col("x0") + F.col("w")).withColumn("y1", F.col("y0") + F.col("h")), "page")
+
+
+@query(
+    "WITH o AS (SELECT DISTINCT o_orderpriority AS plan, o_custkey AS k FROM orders), e AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0), p AS (SELECT o_orderpriority AS plan, count(*) AS planned FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) "
+    "SELECT plan, coalesce(planned, 0) AS planned, count(k) AS built, count(*) FILTER (k IS NOT NULL AND k NOT IN (SELECT k FROM e)) AS missing, count(*) FILTER (k IS NOT NULL AND k NOT IN (SELECT k FROM e)) = 0 AND count(k) > 0 AND count(k) >= coalesce(planned, 0) AS ok FROM p FULL JOIN o USING (plan) GROUP BY plan, planned"
+)
+def scene_coverage(spark, sf):
+    orders = read(spark, sf, "orders").select(F.col("o_orderpriority").alias("plan"), F.col("o_custkey").alias("k"), "o_orderstatus")
+    there = read(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    existing = orders.select("plan", "k").join(there, "k", "left_semi")
+    return layout.coverage(orders, existing, orders.where("o_orderstatus = 'F'"), "plan", "k")
+
+
+@query("SELECT l_orderkey, l_linenumber, least(frames / l_quantity, 0.5 + l_linenumber) AS fps, frames FROM (SELECT *, greatest(4, least(60, CAST(trunc(l_quantity * 2) AS INTEGER))) AS frames FROM lineitem)")
+def dynamic_fps(spark, sf):
+    x = media.dynamic_rate(F.col("l_quantity").cast("double"), F.lit(0.5) + F.col("l_linenumber"), 4, 60, 2.0)
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", "x.fps", "x.frames")
+
+
+@query(f"WITH {UD}, n AS (SELECT macro_id, t_start, t_end, greatest(4, least(250, CAST(trunc((t_end - t_start) * 0.001) AS INTEGER) + 1)) AS n FROM ud WHERE t_end > t_start) SELECT macro_id, i, round(t_start + (t_end - t_start) * i / (n - 1), 6) AS t FROM (SELECT *, unnest(range(0, n)) AS i FROM n)")
+def uniform_times(spark, sf):
+    times = media.even_times(F.col("t_start"), F.col("t_end"), 0.001)
+    return user_days(spark, sf).select("macro_id", F.posexplode(times).alias("i", "t")).select("macro_id", "i", F.round("t", 6).alias("t"))
+
+
+@query("SELECT event_id, value FROM (SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 16) ORDER BY event_id")
+def top_beats(spark, sf):
+    return signal.strongest(read(spark, sf, "events").select("event_id", "value"), 16, "value", "event_id")
+
+
+@query("SELECT user_id, CAST(sum(length(to_base64(CAST(props AS BLOB)))) AS BIGINT) AS bytes FROM events GROUP BY user_id")
+def response_bytes(spark, sf):
+    parts = F.array(F.base64(F.col("props").cast("binary")))
+    return read(spark, sf, "events").groupBy("user_id").agg(F.sum(media.payload_bytes(parts)).alias("bytes"))
+
+
+@query("SELECT doc_id, replace(regexp_replace(text, '[（）()\"'']', '', 'g'), '：', '，') AS spoken FROM documents")
+def tts_text(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.speakable(F.col("text")).alias("spoken"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(trunc(o_totalprice) AS BIGINT) ELSE o_orderkey % 4 END AS n FROM orders")
+def counting_fallback(spark, sf):
+    listed = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i <= F.col("o_orderkey") % 4, F.struct(i.alias("t"))))
+    listed = F.filter(listed, lambda x: x.isNotNull())
+    answer = F.to_json(F.struct(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("count"), listed.alias("occurrences")))
+    return read(spark, sf, "orders").select("o_orderkey", text.stated_count(answer).alias("n"))
+
+
+@query("SELECT c_custkey, c_mktsegment || ':slot' || c_nationkey || '_' || c_name AS key, c_name AS own FROM customer")
+def node_ids(spark, sf):
+    slot = F.concat(F.lit("slot"), F.col("c_nationkey"), F.lit("_"), F.col("c_name"))
+    return read(spark, sf, "customer").select("c_custkey", text.node_key(F.col("c_mktsegment"), slot).alias("key"), text.own_id(slot).alias("own"))
+
+
+@query(f"WITH {UD}, r AS (SELECT *, row_number() OVER (ORDER BY t_start, macro_id) - 1 AS pos FROM ud) SELECT printf('super_%02d', pos // 50) AS super_id, 'Window ' || (pos // 50 + 1) AS label, CAST(count(*) AS INTEGER) AS num_macros, arg_min(t_start, pos) AS t_start, arg_max(t_end, pos) AS t_end, string_agg(macro_id, ', ' ORDER BY pos) AS description FROM r GROUP BY pos // 50")
+def window_supers(spark, sf):
+    macros = user_days(spark, sf).select("macro_id", F.col("macro_id").alias("label"), "t_start", "t_end")
+    return segment.window_supers(macros, F.col("t_start")).select("super_id", "label", "num_macros", "t_start", "t_end", "description")

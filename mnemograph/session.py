@@ -12,8 +12,10 @@ BROADCAST_ROWS = 200_000
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by ``checkpoint()`` into the folder that the cluster names in
-    ``spark.checkpoint.dir``; a folder of our own is set only where that is unset."""
+    ``spark.checkpoint.dir``; a folder of our own is set only where that is unset on a local master."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="mnemograph-"))
     return df.checkpoint()

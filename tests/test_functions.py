@@ -119,3 +119,39 @@ def test_pages_and_samples(spark):
 def test_resize(spark):
     got = value(spark, media.resized(F.lit(1000), F.lit(1000), F.lit(1024), F.lit(250_000)))
     assert (got["height"], got["width"]) == (512, 512)
+
+
+def test_texts_for_voices_and_models(spark):
+    from mnemograph.functions import text
+
+    df = spark.createDataFrame([("好。(再)见！ 完", '[{"name": "a"}, "b", {"type": "x"}]', '{"results": [1, 2]}', "slot3_e_1", "later")], "t string, names string, answer string, id string, at string")
+    r = df.select(
+        text.spoken_sentences(text.speakable(F.col("t"))).alias("s"), text.names_of(F.col("names")).alias("n"), text.stated_count(F.col("answer")).alias("c"),
+        text.own_id(F.col("id")).alias("id"), text.kept_time(F.lit(None).cast("double"), F.col("at")).alias("at"),
+    ).first()
+    assert r["s"] == ["好。", "再见！", "完"] and r["n"] == ["a", "b", ""] and r["c"] == 2 and r["id"] == "e_1" and tuple(r["at"]) == (None, "later")
+
+
+def test_intersection_and_degenerate_points(spark):
+    from mnemograph.functions import geometry as g
+
+    p = lambda x, y: g.point(F.lit(x), F.lit(y))
+    r = spark.range(1).select(
+        g.intersection(p(5, 5), p(0, 0), p(10, 10), p(0, 10), p(10, 0)).alias("a"), g.intersection(p(5, 5), p(0, 0), p(1, 1), p(2, 0), p(3, 1)).alias("b"),
+        g.collinear(p(1, 1), p(1, 1), p(1, 1)).alias("c"), g.parallel(p(1, 1), p(1, 1), p(0, 0), p(1, 0)).alias("d"), g.ratio(p(0, 0), p(3, 4), p(0, 0), p(0, 10), F.lit(0.5)).alias("e"),
+    ).first()
+    assert tuple(r) == (True, False, True, False, True)
+
+
+def test_digest_summary_and_segment_times(spark):
+    from mnemograph.operators import graph
+
+    sub = spark.sql(
+        """SELECT transform(sequence(1, 12), i -> named_struct('entity_id', concat('e', i), 'name', if(i = 1, '', concat('n', i)), 'entity_type', 'T')) AS en,
+        array(named_struct('event_type', 'b'), named_struct('event_type', ''), named_struct('event_type', 'a'), named_struct('event_type', 'b')) AS ev, array(named_struct('text', 'x')) AS sc"""
+    )
+    d = sub.select(graph.macro_digest(F.col("en"), F.col("ev"), F.col("sc")).alias("d")).first()["d"]
+    assert [e["name"] for e in d["key_entities"]][:2] == ["e1", "n2"] and len(d["key_entities"]) == 10 and d["event_types"] == ["a", "b"] and d["ocr_texts"] == ["x"]
+    roots = spark.sql("SELECT 'v' AS video_key, 't' AS title, 'd' AS description, array('x') AS themes, array('y') AS key_entities, CAST(NULL AS STRING) AS emotional_tone")
+    assert '"emotional_tone" : null' in graph.summary(roots).first()["json"]
+    assert spark.range(1).select(graph.absolute(F.array(F.lit(1.0), F.lit(2.5)), F.lit(10.0)).alias("t")).first()["t"] == [11.0, 12.5]
