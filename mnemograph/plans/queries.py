@@ -288,15 +288,31 @@ def greedy_gap(spark, sf):
     return b.select("video", F.explode(segment.greedy(F.col("b"), F.lit(0.0), 7200)).alias("t"))
 
 
-@query()
+def kept_sql(scores: str) -> str:
+    """Greedy choice of ascending times by a fold over one-element lists, after a first 0."""
+    return f"list_reduce([[CAST(0 AS DOUBLE)]] || list_transform({scores}, lambda x: [CAST(x.t AS DOUBLE)]), lambda a, x: CASE WHEN x[1] - a[-1] >= 7200 THEN a || x ELSE a END)"
+
+
+LISTS = CUT + ", li AS (SELECT video, list({'t': t, 'score': score} ORDER BY t) AS c, list_sort(list_distinct(list(score))) AS lv FROM cu GROUP BY video)"
+
+
+@query(
+    f"WITH {LISTS}, e AS (SELECT video, {kept_sql('list_filter(c, lambda y: y.score >= 20)')} AS e FROM li), r AS (SELECT video, i, len(e) AS n, e[i] AS a, coalesce(e[i + 1], CAST(2592000 AS DOUBLE)) AS b FROM (SELECT video, e, unnest(range(1, len(e) + 1)) AS i FROM e)), "
+    "s AS (SELECT *, i = n AND n > 1 AND b - a < 7200 AS short FROM r), k AS (SELECT *, CASE WHEN b - a > 14400 THEN greatest(2, CAST(round_even((b - a) / (14400 * 0.7), 0) AS BIGINT)) ELSE 1 END AS parts, coalesce(lead(short) OVER (PARTITION BY video ORDER BY i), false) AS takes FROM s), "
+    "p AS (SELECT *, unnest(range(0, parts)) AS j FROM k WHERE NOT short) SELECT video, CAST(row_number() OVER (PARTITION BY video ORDER BY i, j) - 1 AS INTEGER) AS pos, a + j * (b - a) / parts AS t_start, "
+    "CASE WHEN j < parts - 1 THEN a + (j + 1) * (b - a) / parts WHEN takes THEN CAST(2592000 AS DOUBLE) ELSE b END AS t_end FROM p"
+)
 def segment_split(spark, sf):
-    """No SQL: a fold and splits. Tested against plain Python."""
     return segment.segmented(cuts_of(spark, sf), "video", 0.0, 2_592_000.0, 20.0, 7200.0, 14_400.0)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {LISTS}, bi AS (SELECT video, c, lv, CAST(0 AS BIGINT) AS lo, len(lv) - 1 AS hi, CAST('inf' AS DOUBLE) AS near, lv[1] AS best FROM li UNION ALL "
+    "SELECT video, c, lv, CASE WHEN off < 0 THEN mid + 1 ELSE lo END, CASE WHEN off < 0 THEN hi ELSE mid - 1 END, least(near, abs(off)), CASE WHEN abs(off) < near THEN lv[mid + 1] ELSE best END FROM ("
+    "SELECT *, list_sort(list_transform(range(1, len(e) + 1), lambda i: coalesce(e[i + 1], CAST(2592000 AS DOUBLE)) - e[i]))[len(e) // 2 + 1] - 46800 AS off FROM ("
+    f"SELECT *, {kept_sql('list_filter(c, lambda y: y.score >= lv[mid + 1])')} AS e FROM (SELECT *, (lo + hi) // 2 AS mid FROM bi WHERE lo <= hi)))) SELECT video, best AS threshold FROM bi WHERE lo > hi"
+)
 def threshold_autoselect(spark, sf):
-    """No SQL: a path-dependent bisection. Tested against its own steps on a small series."""
     return segment.thresholds(cuts_of(spark, sf), "video", 0.0, 2_592_000.0, 7200.0, 86_400.0)
 
 

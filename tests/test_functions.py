@@ -91,9 +91,13 @@ def test_scenes(spark):
     assert [(g["t_start"], g["t_end"]) for g in value(spark, segment.scenes(none, F.lit(0.0), F.lit(50.0), 20.0, 100.0))] == [(0.0, 50.0)]
 
 
-def test_threshold():
-    assert segment.best_threshold([], [], 0, 10, 1, 2) == 27.0
-    assert segment.best_threshold([10.0, 20.0, 30.0], [1.0, 5.0, 1.0], 0, 40, 5, 15) == 1.0
+def test_threshold(spark):
+    rows = [("a", 10.0, 1.0), ("a", 20.0, 5.0), ("a", 30.0, 1.0), ("b", 5.0, None), ("c", 1.0, 9.0), ("d", 10.0, 4.0), ("d", 20.0, 1.0), ("d", 30.0, 2.0), ("d", 40.0, 3.0), ("d", 60.0, 4.0)]
+    cuts = spark.createDataFrame(rows, "v string, t double, score double")
+    got = dict(segment.thresholds(cuts, "v", 0, 70, 5, 15).collect())
+    # d: level 2 gives lengths 10, 10, 10, 20, 20 and is met first; its upper median is the goal itself
+    assert got == {"a": 1.0, "b": 27.0, "c": 9.0, "d": 2.0}
+    assert segment.thresholds(cuts.limit(0), "v", 0, 70, 5, 15).count() == 0
 
 
 def test_ancestors_end_in_cycles(spark):
