@@ -81,3 +81,13 @@ def rebased(macros: DataFrame) -> DataFrame:
     if first["done"]:
         return macros
     return macros.withColumns({c: F.when(day.isNotNull(), F.col(c) + base).otherwise(F.col(c)) for c in ("t_start", "t_end")})
+
+
+def joined_index(good: list[DataFrame], rebuilt: list[DataFrame]) -> DataFrame:
+    """Nodes with vectors of several indexes, each with its place (``part``): those that were read, then those
+    that had to be built anew."""
+    parts = [df.withColumn("part", F.lit(i)) for i, df in enumerate([*good, *rebuilt])]
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out

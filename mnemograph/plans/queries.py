@@ -259,11 +259,70 @@ def super_backlink(spark, sf):
     return graph.super_of_macro(hierarchy(spark, sf)[0])
 
 
-@query()
+#: Sentences end after these; the fold joins one to the last chunk while both have 500 characters at most.
+ENDS, BLANK = ".!?。！？\\n", "[ \\t\\n\\x0B\\f\\r]+"
+CHUNKS = (
+    f"se AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^{ENDS}]*[{ENDS}]|[^{ENDS}]+'), lambda x: regexp_replace(x, '^{BLANK}|{BLANK}$', '', 'g')), lambda x: x <> '') AS s FROM documents), "
+    "fo AS (SELECT doc_id, list_reduce([['']] || list_transform(s, lambda x: [x]), lambda a, x: CASE WHEN a[-1] = '' THEN x WHEN length(a[-1]) + length(x[1]) <= 500 THEN a[:-2] || [a[-1] || ' ' || x[1]] ELSE a || x END) AS c FROM se), "
+    "ch AS (SELECT doc_id, i, c[i + 1] AS text FROM (SELECT doc_id, c, unnest(range(0, len(c))) AS i FROM fo)), "
+    "asr AS (SELECT 'asr_' || doc_id || '_' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END AS node_id, 'asr_text' AS node_type, text, CAST(doc_id AS VARCHAR) AS macro_id FROM ch WHERE length(text) >= 3)"
+)
+
+
+def transcripts(spark, sf) -> DataFrame:
+    return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("macro_id"), F.col("text").alias("asr_text"))
+
+
+@query(f"WITH {CHUNKS} SELECT * FROM asr")
 def asr_chunking(spark, sf):
-    """No SQL: a greedy fold over sentences. Tested against plain Python."""
-    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("macro_id"), F.col("text").alias("asr_text"))
-    return merge.transcript_nodes(docs)
+    return merge.transcript_nodes(transcripts(spark, sf))
+
+
+@query(
+    f"WITH {CHUNKS} SELECT 'c' || c_custkey AS node_id, 'entity' AS node_type, concat_ws(' ', nullif(c_name, ''), nullif(c_mktsegment, '')) AS text, 'n' || c_nationkey AS macro_id FROM customer "
+    "UNION ALL SELECT 'e' || event_id, 'event', concat_ws(' ', 'u' || user_id, nullif(event_type, ''), nullif(props, '')), 'u' || user_id FROM events "
+    "UNION ALL SELECT 'p' || page_id, 'on_screen_text', coalesce(url, ''), 'pages' FROM pages UNION ALL SELECT * FROM asr"
+)
+def node_union(spark, sf):
+    """Search nodes of four kinds, over whole tables."""
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    entities = read(spark, sf, "customer").select(named("c", "c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"), named("n", "c_nationkey").alias("macro_id"))
+    events = read(spark, sf, "events").select(named("e", "event_id").alias("event_id"), named("u", "user_id").alias("subject"), F.col("event_type").alias("action"), F.lit("").alias("object"), F.col("props").alias("description"), named("u", "user_id").alias("macro_id"))
+    screens = read(spark, sf, "pages").select(named("p", "page_id").alias("text_id"), F.col("url").alias("text"), F.lit("").alias("description"), F.lit("pages").alias("macro_id"))
+    return merge.all_nodes(entities, events, screens, transcripts(spark, sf))
+
+
+@query(
+    "WITH h AS (SELECT o_orderkey AS node_id, o_totalprice AS score FROM orders ORDER BY score DESC, node_id LIMIT 50) SELECT node_id, score, o_orderstatus AS node_type, 'c' || o_custkey AS macro_id, c_name AS macro_label, CAST(c_acctbal AS DOUBLE) AS t_start, 'n' || c_nationkey AS super_id, n_name AS super_label "
+    "FROM h JOIN orders ON node_id = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey"
+)
+def hit_details(spark, sf):
+    """The 50 best hits with their node, macro and super."""
+    supers, macros = hierarchy(spark, sf)
+    orders = read(spark, sf, "orders")
+    hits = index.top(orders.select(F.col("o_orderkey").alias("node_id"), F.col("o_totalprice").alias("score")), 50)
+    nodes = orders.select(F.col("o_orderkey").alias("node_id"), F.col("o_orderstatus").alias("node_type"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("macro_id"))
+    return graph.hit_details(hits, nodes, macros, supers).select("node_id", "score", "node_type", "macro_id", "macro_label", F.col("t_start").cast("double").alias("t_start"), "super_id", "super_label")
+
+
+@query("WITH m AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) SELECT o_orderkey, o_custkey AS source, o_orderkey % 97 + 1 AS target FROM orders WHERE o_custkey IN (SELECT k FROM m) AND o_orderkey % 97 + 1 IN (SELECT k FROM m)")
+def kept_relations(spark, sf):
+    """Relations with both ends among the macros that are kept."""
+    macros = read(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("macro_id"))
+    relations = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 97 + 1).alias("target"))
+    return graph.kept_relations(relations, macros).select("o_orderkey", "source", "target")
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, role, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations) WHERE coalesce(role, '') <> 'assistant' OR n <= 2")
+def capped_images(spark, sf):
+    """The first two images of a stream; the limit is the operator's feature."""
+    return trace.capped_images(read(spark, sf, "conversations"), "conv_id", "turn", F.coalesce(F.col("role") == "assistant", F.lit(False)), 2).select("conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN lag(CASE WHEN length(text) < 200 THEN text END) OVER (PARTITION BY conv_id ORDER BY turn) END AS caption FROM conversations")
+def carried_label(spark, sf):
+    label = F.when(F.length("text") < 200, F.col("text"))
+    return trace.carried_label(read(spark, sf, "conversations"), "conv_id", "turn", label, F.col("role") == "assistant").select("conv_id", "turn", "caption")
 
 
 def cuts_of(spark, sf) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 RENDERERS = {
     "table": ("csv", "tsv", "xlsx", "xls"), "geo": ("geojson", "kml", "shp"), "notebook": ("ipynb",), "subtitle": ("srt", "vtt"), "pdf": ("pdf",), "drawio": ("drawio",),
@@ -102,3 +103,13 @@ def scan_assets(spark: SparkSession, path: str) -> DataFrame:
 
 def cache_key(path: Column, mtime: Column, size: Column, *more: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", F.concat_ws(":", path, mtime, size), *more)), 1, 16)
+
+
+def numeric_split(features: DataFrame, geometry: str = "geometry") -> tuple[str | None, DataFrame, DataFrame]:
+    """The first numeric column besides the geometry, and the rows that have a value there and that don't;
+    all rows are without one where no column is numeric."""
+    names = [f.name for f in features.schema if f.name != geometry and isinstance(f.dataType, NumericType)]
+    if not names:
+        return None, features.where(F.lit(False)), features
+    there = F.col(f"`{names[0]}`").isNotNull()
+    return names[0], features.where(there), features.where(~there)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mnemograph import schema
 from mnemograph.functions.timeexpr import parse_item
@@ -72,3 +74,18 @@ def write_tables(named: dict[str, DataFrame], path: str) -> None:
 def write_subgraphs(events: DataFrame, path: str) -> None:
     """A folder for each macro; rows of a macro are brought together first, so it is one file."""
     events.repartition("macro_id").write.mode("overwrite").partitionBy("macro_id").parquet(path)
+
+
+def save_phase(df: DataFrame, path: str) -> None:
+    """The result of a phase as JSON lines, which a later run reads by ``read_phase``."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_phase(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A phase's saved rows; no rows where nothing was saved, and lines that aren't whole JSON are left out."""
+    try:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -2,6 +2,7 @@
 
 import json
 
+from mnemograph.operators import merge
 from mnemograph.sources import files, memory
 from mnemograph.streaming.incremental import process_new
 
@@ -64,3 +65,23 @@ def test_stream_takes_each_key_once(spark, tmp_path):
         spark.createDataFrame([(i,) for i in batch], "id long").coalesce(1).write.mode("append").parquet(src)
         process_new(spark, src, "id long", "id", out, ck)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_phases(spark, tmp_path):
+    kind = "macro_id string, n long"
+    assert memory.read_phase(spark, str(tmp_path / "none"), kind).count() == 0
+    memory.save_phase(spark.createDataFrame([("a", 1), ("b", None)], kind), str(tmp_path / "saved"))
+    (tmp_path / "saved" / "part-broken.json").write_text('{"macro_id": "c", "n": 3}\n{"macro_id": "d", "n"')
+    assert sorted(tuple(r) for r in memory.read_phase(spark, str(tmp_path / "saved"), kind).collect()) == [("a", 1), ("b", None), ("c", 3)]
+
+
+def test_joined_index(spark):
+    a, b = (spark.createDataFrame([(i, [1.0])], "node_id string, vector array<float>") for i in "ab")
+    assert sorted((r.part, r.node_id) for r in merge.joined_index([b], [a]).collect()) == [(0, "b"), (1, "a")]
+
+
+def test_numeric_split(spark):
+    rows = spark.createDataFrame([("x", 1.5), ("y", None)], "geometry string, `a.b` double")
+    name, there, absent = files.numeric_split(rows)
+    assert (name, there.count(), absent.count()) == ("a.b", 1, 1)
+    assert files.numeric_split(rows.select("geometry"))[0] is None
