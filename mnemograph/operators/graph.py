@@ -41,16 +41,20 @@ def macro_events(macros: DataFrame, supers: DataFrame | None = None, super_id: s
     return shown
 
 
-def super_of_macro(supers: DataFrame) -> DataFrame:
-    """(macro_id, super_id): of several supers the last one that lists it."""
-    listed = supers.select("super_id", "sub_macro_ids", F.monotonically_increasing_id().alias("at"))
-    return listed.select("super_id", "at", F.explode("sub_macro_ids").alias("macro_id")).groupBy("macro_id").agg(F.max_by("super_id", "at").alias("super_id"))
+def super_of_macro(supers: DataFrame, order: str = "super_id") -> DataFrame:
+    """(macro_id, super_id): of several supers the last one that lists it, by column ``order``, then by id.
+
+    Rows have no order of their own, so a file's order must come as a column (``pos`` of the supers' table).
+    """
+    listed = supers.select("super_id", F.struct(order, F.col("super_id").alias("id")).alias("at"), F.explode("sub_macro_ids").alias("macro_id"))
+    return listed.groupBy("macro_id").agg(F.max_by("super_id", "at").alias("super_id"))
 
 
 def super_ranges(supers: DataFrame, macros: DataFrame) -> DataFrame:
-    """(super_id, t_start, t_end): from the first to the last second of its macros with a range."""
-    timed = macros.where(F.col("t_start").isNotNull() & F.col("t_end").isNotNull()).groupBy("macro_id").agg(F.first("t_start").alias("a"), F.first("t_end").alias("b"))
-    return members(supers).join(timed, "macro_id").groupBy("super_id").agg(F.min("a").alias("t_start"), F.max("b").alias("t_end"))
+    """(super_id, t_start, t_end): from the first to the last second of its macros with a range; of a repeated
+    macro all rows count."""
+    timed = macros.where(F.col("t_start").isNotNull() & F.col("t_end").isNotNull()).select("macro_id", "t_start", "t_end")
+    return members(supers).join(timed, "macro_id").groupBy("super_id").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"))
 
 
 def strong(edges: DataFrame) -> DataFrame:
@@ -82,9 +86,9 @@ def neighbours(edges: DataFrame, nodes: DataFrame, directed: DataFrame | None =
     return both.join(names, "neighbour_id", "left").select("node_id", "neighbour_id", "direction", "relation_label", text.alias("neighbour"))
 
 
-def hit_details(hits: DataFrame, nodes: DataFrame, macros: DataFrame, supers: DataFrame) -> DataFrame:
+def hit_details(hits: DataFrame, nodes: DataFrame, macros: DataFrame, supers: DataFrame, order: str = "super_id") -> DataFrame:
     """Hits (node_id, ...) with their node, macro label and super label."""
-    sup = super_of_macro(supers).join(supers.select("super_id", F.col("label").alias("super_label")), "super_id")
+    sup = super_of_macro(supers, order).join(supers.select("super_id", F.col("label").alias("super_label")), "super_id")
     mac = macros.select("macro_id", F.col("label").alias("macro_label"), "t_start", "t_end")
     return hits.join(nodes, "node_id", "left").join(mac, "macro_id", "left").join(sup, "macro_id", "left")
 

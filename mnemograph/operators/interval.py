@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemograph.operators.rank import global_rank
-from mnemograph.session import BROADCAST_ROWS
 
 
 def _buckets(start: Column, end: Column, width: float) -> Column:
     return F.sequence(F.floor(start / width), F.floor(end / width))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: float, closed: bool, keys: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: float, closed: bool, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs whose ranges overlap; touching ones only if ``closed``. ``keys``: equal columns besides.
 
     Each row goes to the buckets of ``width`` that its range meets, and a pair counts in the first
@@ -25,7 +24,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
     others = right.where(F.col(rs) <= F.col(re)).withColumn("__b", F.explode(_buckets(F.col(rs), F.col(re), width)))
     meets = (F.col(ls) <= F.col(re)) & (F.col(le) >= F.col(rs)) if closed else (F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs))
     first = F.col("__b") == F.greatest(F.floor(F.col(ls) / width), F.floor(F.col(rs) / width))
-    return rows.join(others, ["__b", *keys], how).where(meets & first).drop("__b")
+    return rows.join(others, ["__b", *keys]).where(meets & first).drop("__b")
 
 
 def overlap_counts(rows: DataFrame, id_col: str, start: str, end: str, key: str) -> DataFrame:
@@ -61,8 +60,3 @@ def transcript_texts(macros: DataFrame, segments: DataFrame, width: float = 60.0
     lines = pairs.groupBy("macro_id").agg(F.array_sort(F.collect_list(F.struct("start_sec", "end_sec", "text"))).alias("s"))
     joined = lines.select("macro_id", F.array_join(F.transform("s", lambda x: F.trim(x["text"])), " ").alias("asr_text"))
     return macros.select("macro_id").join(joined, "macro_id", "left").select("macro_id", F.coalesce("asr_text", F.lit("")).alias("asr_text"))
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count that stops at ``rows`` proves it small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

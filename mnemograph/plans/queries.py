@@ -162,16 +162,17 @@ def lexical_fallback(spark, sf):
     return index.top(scored, 25)
 
 
-SEG = "seg AS (SELECT turn * 10.0 + conv_id % 7 AS a, turn * 10.0 + conv_id % 7 + 10.0 AS b, role || conv_id || '-' || turn AS t FROM conversations WHERE conv_id < 40), mac AS (SELECT 'm' || i AS macro_id, i * 15.0 AS t_start, i * 15.0 + 15.0 AS t_end FROM range(0, 20) r(i))"
+SEG = "seg AS (SELECT conv_id, turn * 10.0 + conv_id % 7 AS a, turn * 10.0 + conv_id % 7 + 10.0 AS b, role || conv_id || '-' || turn AS t FROM conversations), mac AS (SELECT conv_id, unnest(range(0, CAST(floor(max(b) / 20) AS BIGINT) + 1)) AS i FROM seg GROUP BY conv_id)"
 
 
-@query(f"WITH {SEG} SELECT macro_id, coalesce(string_agg(t, ' ' ORDER BY a, b, t), '') AS asr_text FROM mac LEFT JOIN seg ON a < t_end AND b > t_start GROUP BY macro_id")
+@query(f"WITH {SEG} SELECT 'g' || mac.conv_id || '_' || i AS macro_id, coalesce(string_agg(t, ' ' ORDER BY a, b, t), '') AS asr_text FROM mac LEFT JOIN seg ON seg.conv_id = mac.conv_id AND a < i * 20.0 + 15.0 AND b > i * 20.0 + 5.0 GROUP BY mac.conv_id, i")
 def asr_overlap_merge(spark, sf):
-    c = read(spark, sf, "conversations").where("conv_id < 40")
+    """Every turn against macros with gaps: of each 20 s of a conversation the 10 s from its fifth second on."""
     a = F.col("turn") * 10.0 + F.col("conv_id") % 7
-    segs = c.select(a.alias("start_sec"), (a + 10.0).alias("end_sec"), F.concat("role", F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("text"))
-    macros = spark.range(20).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("macro_id"), (F.col("id") * 15.0).alias("t_start"), (F.col("id") * 15.0 + 15.0).alias("t_end"))
-    return interval.transcript_texts(macros, segs)
+    segs = read(spark, sf, "conversations").select("conv_id", a.alias("start_sec"), (a + 10.0).alias("end_sec"), F.concat("role", F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("text"))
+    ranges = segs.groupBy("conv_id").agg(F.floor(F.max("end_sec") / 20).alias("n")).where("n >= 0").select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("i"))
+    macros = ranges.select(F.concat(F.lit("g"), F.col("conv_id").cast("string"), F.lit("_"), F.col("i").cast("string")).alias("macro_id"), "conv_id", (F.col("i") * 20.0 + 5.0).alias("t_start"), (F.col("i") * 20.0 + 15.0).alias("t_end"))
+    return interval.transcript_texts(macros, segs, keys=("conv_id",))
 
 
 CONV = "sg AS (SELECT conv_id, turn * 10.0 + conv_id % 7 AS a, turn * 10.0 + conv_id % 7 + 10.0 AS b, role || '-' || turn AS t FROM conversations), mc AS (SELECT conv_id, unnest(range(0, CAST(ceil(max(b) / 15) AS BIGINT))) AS i FROM sg GROUP BY conv_id)"
@@ -187,12 +188,17 @@ def conversation_overlap_merge(spark, sf):
     return interval.transcript_texts(macros, segs, keys=("conv_id",))
 
 
-@query(f"WITH {UD} SELECT a.macro_id AS a_id, b.macro_id AS b_id FROM ud a JOIN ud b ON a.day = b.day AND a.user_id % 100 = 1 AND b.user_id % 100 = 2 AND a.t_start <= b.t_end AND a.t_end >= b.t_start")
+UT = EV + ", ut AS (SELECT user_id, CAST(floor(s / 86400) AS BIGINT) AS day, event_type AS k, min(s) AS x, max(s) AS y FROM ev GROUP BY ALL)"
+
+
+@query(f"WITH {UT} SELECT a.user_id, a.day, a.k AS a_type, b.k AS b_type FROM ut a JOIN ut b ON a.user_id = b.user_id AND a.day = b.day AND a.k < b.k AND a.x <= b.y AND a.y >= b.x")
 def overlap_pairs(spark, sf):
-    ud = user_days(spark, sf)
-    a = ud.where("user_id % 100 = 1").select(F.col("macro_id").alias("a_id"), "day", F.col("t_start").alias("a0"), F.col("t_end").alias("a1"))
-    b = ud.where("user_id % 100 = 2").select(F.col("macro_id").alias("b_id"), "day", F.col("t_start").alias("b0"), F.col("t_end").alias("b1"))
-    return interval.overlap_join(a, b, ("a0", "a1"), ("b0", "b1"), 14_400.0, closed=True, keys=("day",)).select("a_id", "b_id")
+    """Of each user's day the kinds of events whose times, first to last, overlap."""
+    ev = read(spark, sf, "events").withColumn("s", seconds())
+    ranges = ev.groupBy("user_id", F.floor(F.col("s") / 86400).alias("day"), "event_type").agg(F.min("s").alias("x"), F.max("s").alias("y"))
+    side = lambda n: ranges.select("user_id", "day", F.col("event_type").alias(f"{n}_type"), F.col("x").alias(f"{n}0"), F.col("y").alias(f"{n}1"))
+    pairs = interval.overlap_join(side("a"), side("b"), ("a0", "a1"), ("b0", "b1"), 14_400.0, closed=True, keys=("user_id", "day"))
+    return pairs.where("a_type < b_type").select("user_id", "day", "a_type", "b_type")
 
 
 @query(f"WITH {UD} SELECT a.macro_id, count(*) - 1 AS n_overlaps FROM ud a JOIN ud b ON a.day = b.day AND a.t_start <= b.t_end AND a.t_end >= b.t_start GROUP BY a.macro_id")

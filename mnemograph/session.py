@@ -6,9 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The largest side that is broadcast, in rows; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by ``checkpoint()`` into the folder that the cluster names in

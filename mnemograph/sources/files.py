@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -81,9 +81,16 @@ def read_dotenv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_session(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line): the sound JSON lines of session logs; broken ones are left out."""
-    lines = _whole(spark, path).select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return lines.where(F.try_parse_json("line").isNotNull() & F.startswith(F.ltrim("line"), F.lit("{")))
+    """(path, line_no, line): the sound JSON lines of session logs; broken ones are left out but numbered.
+
+    Files are read by line and split: a line's number is its place in its block plus the lines of the file's
+    earlier blocks, which one row a block holds.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    placed = lines.join(blocks, ["path", "block"]).select("path", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "line")
+    return placed.where(F.try_parse_json("line").isNotNull() & F.startswith(F.ltrim("line"), F.lit("{")))
 
 
 def probe(text: Column) -> Column:

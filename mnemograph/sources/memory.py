@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +17,8 @@ from pyspark.sql.types import StructType
 from mnemograph import schema
 from mnemograph.functions.timeexpr import parse_item
 
+INDEX = pa.schema([("path", pa.string()), ("pos", pa.int64()), ("node", pa.string()), ("vector", pa.list_(pa.float32())), ("error", pa.string())])
+
 
 def read_memories(spark: SparkSession, path: str) -> DataFrame:
     """A row for each memory file under ``path`` (globs too), with its ``source`` path; absent keys are null."""
@@ -40,7 +49,7 @@ def tables(memories: DataFrame) -> dict[str, DataFrame]:
     relations = [memories.select(key, F.explode(f"{level}_relations").alias("r"), F.lit(level).alias("level")).select(key, "r.*", "level") for level in ("macro", "super")]
     return {
         "roots": _blank(memories.select(key, "root.*")),
-        "supers": _blank(memories.select(key, F.explode("super_events").alias("s")).select(key, "s.*").withColumns(dict(zip(("t_start", "t_end"), _range(F.col("time_range")), strict=True))).drop("time_range")),
+        "supers": _blank(memories.select(key, F.posexplode("super_events").alias("pos", "s")).select(key, "pos", "s.*").withColumns(dict(zip(("t_start", "t_end"), _range(F.col("time_range")), strict=True))).drop("time_range")),
         "macros": _blank(macro.drop("subgraph").withColumns(dict(zip(("t_start", "t_end"), _range(F.col("time_range")), strict=True))).drop("time_range")),
         "events": owned(part("micro_events").withColumns(dict(zip(("t_start", "t_end"), _range(F.col("time_range")), strict=True))).drop("time_range")),
         "entities": owned(part("entities")),
@@ -89,3 +98,31 @@ def read_phase(spark: SparkSession, path: str, schema: StructType | str) -> Data
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, node, vector, error) of embedding-index files: NumPy archives of a matrix ``embeddings`` and of
+    ``nodes``, a JSON list with an object for each of its rows.
+
+    Tasks read a file each, as an archive can't be split (under 2 GB), and give its rows in small batches. A file
+    that can't be read, or whose parts differ in length, is one row with its error, so that its nodes can be
+    built anew and joined by ``merge.joined_index``; files without bytes have no row. ``node`` is JSON text.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    with np.load(io.BytesIO(content.as_buffer()), allow_pickle=False) as data:
+                        matrix, nodes = data["embeddings"], json.loads(str(data["nodes"]))
+                    if matrix.ndim != 2 or len(matrix) != len(nodes):
+                        raise ValueError(f"{matrix.shape} vectors for {len(nodes)} nodes")
+                except (ValueError, KeyError, OSError, EOFError, zipfile.BadZipFile) as e:
+                    yield pa.RecordBatch.from_pylist([{"path": name, "error": f"{type(e).__name__}: {e}"}], INDEX)
+                    continue
+                for i in range(0, len(nodes), 1000):
+                    some = [{"path": name, "pos": i + k, "node": json.dumps(x, ensure_ascii=False), "vector": v} for k, (x, v) in enumerate(zip(nodes[i : i + 1000], matrix[i : i + 1000].astype("float32").tolist(), strict=True))]
+                    yield pa.RecordBatch.from_pylist(some, INDEX)
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    return found.mapInArrow(rows, "path string, pos long, node string, vector array<float>, error string")

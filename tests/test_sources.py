@@ -2,7 +2,10 @@
 
 import json
 
-from mnemograph.operators import merge
+import numpy as np
+from pyspark.sql import functions as F
+
+from mnemograph.operators import graph, merge
 from mnemograph.sources import files, memory
 from mnemograph.streaming.incremental import process_new
 
@@ -59,6 +62,43 @@ def test_other_files(spark, tmp_path):
     assert files.scan_assets(spark, str(tmp_path)).count() >= 5
 
 
+def test_session_lines_are_numbered_across_blocks(spark, tmp_path):
+    want = {}
+    for name, n in (("a", 90), ("b", 3), ("empty", 0)):
+        lines = ["broken" if i % 7 == 3 else json.dumps({"i": i, "x": "y" * (i % 11)}) for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+        want |= {(f"{name}.jsonl", i): x for i, x in enumerate(lines) if x != "broken"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        got = files.read_session(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 4
+        assert {(r["path"].rsplit("/", 1)[1], r["line_no"]): r["line"] for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_last_super_wins_by_place(spark):
+    supers = spark.createDataFrame([(2, "a", ["m", "n"]), (1, "b", ["m"]), (3, "c", None)], "pos int, super_id string, sub_macro_ids array<string>")
+    assert sorted(tuple(r) for r in graph.super_of_macro(supers.repartition(3), "pos").collect()) == [("m", "a"), ("n", "a")]
+    assert sorted(tuple(r) for r in graph.super_of_macro(supers).collect()) == [("m", "b"), ("n", "a")]
+
+
+def test_index_files(spark, tmp_path):
+    nodes = [{"node_id": f"n{i}", "text": "é"} for i in range(2500)]
+    vectors = np.arange(5000, dtype=np.float32).reshape(2500, 2)
+    np.savez(tmp_path / "good.npz", embeddings=vectors, nodes=json.dumps(nodes))
+    np.savez(tmp_path / "short.npz", embeddings=vectors[:1], nodes=json.dumps(nodes))
+    np.savez(tmp_path / "part.npz", embeddings=vectors)
+    np.savez(tmp_path / "none.npz", embeddings=vectors[:0], nodes="[]")
+    (tmp_path / "cut.npz").write_bytes((tmp_path / "good.npz").read_bytes()[:900])
+    (tmp_path / "void.npz").write_bytes(b"")  # Spark's file scan leaves files without bytes out
+    got = memory.read_index(spark, str(tmp_path)).collect()
+    good = {r["pos"]: (json.loads(r["node"]), list(r["vector"])) for r in got if r["error"] is None}
+    assert good == {i: (n, v.tolist()) for i, (n, v) in enumerate(zip(nodes, vectors, strict=True))}
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in got if r["error"]) == ["cut.npz", "part.npz", "short.npz"]
+
+
 def test_stream_takes_each_key_once(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     for batch in ([1, 2, 2], [2, 3]):
