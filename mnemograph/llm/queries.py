@@ -15,6 +15,7 @@ from mnemograph.llm.suffix_dedup import dedup_suffixes
 from mnemograph.llm.token_counts import count_tokens
 from mnemograph.llm.token_orc import token_table
 from mnemograph.llm.topk import top_k
+from mnemograph.llm.url_filter import judge_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+#: The rules that op13's contract names.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op13_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -155,8 +164,46 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+
+def _url_sql(least_good: float = 0.5, z: float = 1.645, strength: float = 10.0) -> str:
+    """The levels' shares and strengths as in the operator."""
+
+    def fits(h: str, p: str) -> str:
+        return f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+
+    ranked = sorted(((v, *r.partition("/")) for v, r in URL_RULES), key=lambda r: -len(r[1] + r[3]))
+    rule = " ".join(f"WHEN {fits(h, '/' + p)} THEN '{h}/{p}'" for _, h, _, p in ranked)
+    by_rule = " ".join(f"WHEN {fits(h, '/' + p)} THEN '{v}'" for v, h, _, p in ranked)
+
+    def prior(children: str, parent: str) -> str:
+        return (
+            f"(SELECT CASE WHEN coalesce(room, 0) <= 1e-9 THEN {strength} ELSE round(1 / least(greatest(over_ / room, 1 / 1001.0), 0.5) - 1, 6) END AS m FROM ("
+            f"SELECT sum(ss - s * s / n - s / n * (1 - s / n) * (k - 1)) AS over_, sum(s / n * (1 - s / n) * (n - nn / n - (k - 1))) AS room FROM ("
+            f"SELECT {parent} AS p, count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(s) AS DOUBLE) AS s, sum(CAST(n AS DOUBLE) * n) AS nn, sum(CAST(s AS DOUBLE) * s / n) AS ss FROM {children} WHERE n > 0 GROUP BY ALL)))"
+        )
+
+    return rf"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE {rule} END AS rule, CASE {by_rule} END AS by_rule, regexp_replace(host, '^.*@|:[0-9]*$|\.$', '', 'g') AS bare FROM u),
+h AS (
+  SELECT bare, regexp_matches(bare, '^[0-9.]+$|[\[:]') AS address, CASE WHEN address THEN bare ELSE string_split(bare, '.')[-1] END AS suffix,
+    CASE WHEN address THEN bare ELSE array_to_string(string_split(bare, '.')[-2:], '.') END AS domain, count(by_rule) AS n, count(*) FILTER (by_rule = 'allow') AS s FROM r GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(s) AS s FROM h GROUP BY ALL),
+t AS (SELECT suffix, 0 AS everything, sum(n) AS n, sum(s) AS s FROM d GROUP BY ALL),
+m AS (SELECT (sum(s) + 1) / CAST(sum(n) + 2 AS DOUBLE) AS mean FROM t),
+mt AS {prior("t", "everything")}, md AS {prior("d", "suffix")}, mh AS {prior("h", "domain")},
+ts AS (SELECT suffix, (mt.m * mean + s) / (mt.m + n) AS share FROM t, m, mt),
+ds AS (SELECT domain, (md.m * ts.share + d.s) / (md.m + d.n) AS share FROM d JOIN ts USING (suffix), md),
+hs AS (SELECT bare, mh.m * ds.share + h.s AS a, mh.m * (1 - ds.share) + (h.n - h.s) AS b FROM h JOIN ds USING (domain), mh),
+b AS (SELECT bare, a / (a + b) + {z} * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) AS bound FROM hs)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound < {least_good} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN b USING (bare)
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_token_orc, op3_token_counts, op4_suffix_dedup, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op9_ppm_scoring, op10_quality)
+    for f in (op1_jaccard_join, op2_token_orc, op3_token_counts, op4_suffix_dedup, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op9_ppm_scoring, op10_quality, op13_url_reputation)
 }
-ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op5_exact_topk": OP5_SQL, "op6_pii": _pii_sql(), "op8_wu_manber": OP8_SQL}
+ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op5_exact_topk": OP5_SQL, "op6_pii": _pii_sql(), "op8_wu_manber": OP8_SQL, "op13_url_reputation": _url_sql()}
