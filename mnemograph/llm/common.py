@@ -98,6 +98,28 @@ def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Keys that more than this part of all rows hold are joined by broadcast.
+HOT_PART = 1000
+
+
+def join_apart(rows: DataFrame, key: str, table: DataFrame, total: int, size: str, wanted: Column) -> DataFrame:
+    """Left join with ``table``, unique by ``key``, whose ``size`` says how many of the ``total`` rows hold the key.
+
+    Keys with over ``total / HOT_PART`` rows, fewer than HOT_PART of them, come by broadcast; rows that need no other
+    key go to partitions by a hash of their own, so no partition holds a hot key's rows.
+    """
+    values = [c for c in table.columns if c not in (key, size)]
+    hot, cold = F.col(size) * HOT_PART > total, F.col(size) * HOT_PART <= total
+    first = table.where(hot).select(key, *[F.col(c).alias(f"hot_{c}") for c in values], F.lit(True).alias("is_hot"))
+    rows = rows.join(F.broadcast(first), key, "left").withColumn("apart", ~wanted | F.coalesce("is_hot", F.lit(False)))
+    rows = rows.withColumn("to", F.when(F.col("apart"), F.xxhash64(*rows.columns).cast("string")).otherwise(F.col(key)))
+    rest = table.where(cold).select(F.lit(False).alias("apart"), F.col(key).alias("to"), *[F.col(c).alias(f"own_{c}") for c in values])
+    rows = rows.join(rest, ["apart", "to"], "left")
+    for c in values:
+        rows = rows.withColumn(c, F.coalesce(f"hot_{c}", f"own_{c}"))
+    return rows.drop("apart", "to", "is_hot", *[f"{x}_{c}" for c in values for x in ("hot", "own")])
+
+
 def remainder(id_col: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids give null."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemograph.llm.collocations import mine_phrases
 from mnemograph.llm.decontaminate import decontaminate
 from mnemograph.llm.jaccard_join import jaccard_components
 from mnemograph.llm.lm_scoring import lm_score
@@ -63,6 +64,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_read(spark, sf_dir, "documents"))
+
+
 #: The rules that op13's contract names.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -165,6 +170,25 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+OP12_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM t),
+g AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, range(1, 6) x(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+s AS (SELECT lang, m, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+z AS (
+  SELECT s.lang, s.phrase, a, k, x.f AS l, y.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM s JOIN f x ON x.lang = s.lang AND x.phrase = lp JOIN f y ON y.lang = s.lang AND y.phrase = rp JOIN n ON n.lang = s.lang),
+w AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+u AS (SELECT lang, array_to_string(ws[i : i + m - 2], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE m > 2) GROUP BY ALL),
+k AS (SELECT w.* FROM w LEFT JOIN u ON u.lang = w.lang AND u.phrase = w.phrase WHERE longer IS NULL OR 100 * longer < 100 * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000
+"""
+
+
 def _url_sql(least_good: float = 0.5, z: float = 1.645, strength: float = 10.0) -> str:
     """The levels' shares and strengths as in the operator."""
 
@@ -204,6 +228,6 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound < {least_goo
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_token_orc, op3_token_counts, op4_suffix_dedup, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op9_ppm_scoring, op10_quality, op13_url_reputation)
+    for f in (op1_jaccard_join, op2_token_orc, op3_token_counts, op4_suffix_dedup, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op9_ppm_scoring, op10_quality, op12_collocations, op13_url_reputation)
 }
-ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op5_exact_topk": OP5_SQL, "op6_pii": _pii_sql(), "op8_wu_manber": OP8_SQL, "op13_url_reputation": _url_sql()}
+ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op5_exact_topk": OP5_SQL, "op6_pii": _pii_sql(), "op8_wu_manber": OP8_SQL, "op12_collocations": OP12_SQL, "op13_url_reputation": _url_sql()}

@@ -29,11 +29,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.llm.common import store
+from mnemograph.llm.common import join_apart, store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys with more than this part of all rows are joined by broadcast.
-HOT = 1000
 #: Strength of a prior where no parent has two children to tell it, and its limits.
 STRENGTH, WEAKEST, STRONGEST = 10.0, 1.0, 1000.0
 
@@ -91,24 +89,6 @@ def _strength(children: DataFrame, parent: str) -> float:
     return round(1 / rho - 1, 6)
 
 
-def _join_apart(rows: DataFrame, key: str, table: DataFrame, total: int, size: str, wanted: Column) -> DataFrame:
-    """Left join with ``table``, unique by ``key``, whose ``size`` says how many of the ``total`` rows hold the key.
-
-    Keys with over ``total / HOT`` rows, fewer than HOT of them, come by broadcast; rows that need no other
-    key go to partitions by a hash of their own, so no partition holds a hot key's rows.
-    """
-    values = [c for c in table.columns if c not in (key, size)]
-    hot, cold = F.col(size) * HOT > total, F.col(size) * HOT <= total
-    first = table.where(hot).select(key, *[F.col(c).alias(f"hot_{c}") for c in values], F.lit(True).alias("is_hot"))
-    rows = rows.join(F.broadcast(first), key, "left").withColumn("apart", ~wanted | F.coalesce("is_hot", F.lit(False)))
-    rows = rows.withColumn("to", F.when(F.col("apart"), F.xxhash64(*rows.columns).cast("string")).otherwise(F.col(key)))
-    rest = table.where(cold).select(F.lit(False).alias("apart"), F.col(key).alias("to"), *[F.col(c).alias(f"own_{c}") for c in values])
-    rows = rows.join(rest, ["apart", "to"], "left")
-    for c in values:
-        rows = rows.withColumn(c, F.coalesce(f"hot_{c}", f"own_{c}"))
-    return rows.drop("apart", "to", "is_hot", *[f"{x}_{c}" for c in values for x in ("hot", "own")])
-
-
 def host_shares(seen: DataFrame, z: float = 1.645, suffixes: Sequence[str] = ()) -> DataFrame:
     """(bare, rows, n, s, share, bound): each host's posterior share of good pages and its upper bound.
 
@@ -125,9 +105,9 @@ def host_shares(seen: DataFrame, z: float = 1.645, suffixes: Sequence[str] = ())
     m_top, m_domain, m_host = _strength(tops.withColumn("all", F.lit(0)), "all"), _strength(domains, "suffix"), _strength(hosts, "domain")
 
     tops = tops.select("suffix", "domains", ((F.lit(m_top * mean) + F.col("s")) / (F.lit(m_top) + F.col("n"))).alias("top_share"))
-    domains = _join_apart(domains, "suffix", tops, every["domains"], "domains", F.lit(True))
+    domains = join_apart(domains, "suffix", tops, every["domains"], "domains", F.lit(True))
     domains = domains.select("domain", "hosts", ((F.lit(m_domain) * F.col("top_share") + F.col("s")) / (F.lit(m_domain) + F.col("n"))).alias("domain_share"))
-    hosts = _join_apart(hosts, "domain", domains, n_hosts, "hosts", F.lit(True))
+    hosts = join_apart(hosts, "domain", domains, n_hosts, "hosts", F.lit(True))
     a = F.lit(m_host) * F.col("domain_share") + F.col("s")
     b = F.lit(m_host) * (1 - F.col("domain_share")) + (F.col("n") - F.col("s"))
     hosts = hosts.withColumn("a", a).withColumn("b", b).withColumn("share", F.col("a") / (F.col("a") + F.col("b")))
@@ -152,7 +132,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], outcomes: Dat
     blocked = store(shares.where(F.col("bound") < least_good).select("bare", "rows", "bound"), "blocked")
     total = shares.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
     own = own.withColumn("bare", levels(F.col("host"), suffixes)[0])
-    out = _join_apart(own, "bare", blocked, total, "rows", F.col("rule").isNull())
+    out = join_apart(own, "bare", blocked, total, "rows", F.col("rule").isNull())
     bound = F.when(F.col("rule").isNull(), F.col("bound"))
     verdict = F.coalesce("by_rule", F.when(F.col("bound").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), bound.alias("bound"))
