@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemograph.llm.alignment import align_tokens
 from mnemograph.llm.collocations import mine_phrases
 from mnemograph.llm.decontaminate import decontaminate
 from mnemograph.llm.jaccard_join import jaccard_components
@@ -64,6 +65,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_read(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(_read(spark, sf_dir, "documents"))
 
@@ -228,6 +233,6 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound < {least_goo
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_token_orc, op3_token_counts, op4_suffix_dedup, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op9_ppm_scoring, op10_quality, op12_collocations, op13_url_reputation)
+    for f in (op1_jaccard_join, op2_token_orc, op3_token_counts, op4_suffix_dedup, op5_exact_topk, op6_pii, op7_harmonic_packing, op8_wu_manber, op9_ppm_scoring, op10_quality, op11_alignment, op12_collocations, op13_url_reputation)
 }
 ORACLE_SQL = {"op1_jaccard_join": OP1_SQL, "op5_exact_topk": OP5_SQL, "op6_pii": _pii_sql(), "op8_wu_manber": OP8_SQL, "op12_collocations": OP12_SQL, "op13_url_reputation": _url_sql()}
