@@ -1,9 +1,9 @@
 """Phrase collocation mining by vertical partitioning of the word suffixes.
 
-Words are numbered per block of texts, and each block is stored once as its words with counts and a
-stream of their numbers. Only words with ``least`` occurrences can stand in a candidate, so
-every other word ends a phrase like a mark does. Those words get numbers by falling count, which go back to
-the blocks that hold them.
+Words are numbered per block of texts, and each block is stored once: a stream of its words' numbers, and for
+each bucket of words (by their hash) a sorted run of its distinct words with counts. Only words with ``least``
+occurrences can stand in a candidate, so every other word ends a phrase like a mark does. A bucket's task sums
+its runs; the words that are left get numbers by falling count, and the bucket answers its runs with them.
 
 Each position starts a suffix, cut after ``depth`` words. The suffixes are parted by their first words,
 as many as it takes to stay within a memory budget: a prefix ends with its first word that occurs
@@ -25,7 +25,9 @@ no rows; one very long text is cut into several streams that overlap; other colu
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ CUT = re.compile(rb"[ .]")
 BLOCK_WORDS, SLICE, BUDGET = 700_000, 1 << 20, 500_000
 #: Copies of a single word's row in joins, where a frequent word stands in many phrases.
 SALTS = 16
-BLOCK = "block long, lang string, local int, word binary, n long, tail int, stream binary"
+BLOCK = "block long, lang string, bucket int, size int, raw int, words binary, n binary, local binary, total long, tail int, stream binary"
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -78,25 +80,41 @@ class _Stream:
         self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
         self.size += len(words)
 
-    def rows(self, block: int, lang: str, tail: int) -> Iterator[pa.RecordBatch]:
-        """The block's words with their counts, and its stream; the last ``tail`` words are the next block's."""
+    def rows(self, block: int, lang: str, tail: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The stream, whose last ``tail`` words are the next block's, and a run of words for each bucket."""
         stream = np.concatenate(self.parts)
         n = np.bincount(stream[: len(stream) - tail], minlength=len(self.numbers))
-        words = list(self.numbers)[1:]
-        for lo in range(0, len(words), 50_000):
-            own = words[lo : lo + 50_000]
-            k = len(own)
-            yield _batch(BLOCK, [block] * k, [lang] * k, range(lo + 1, lo + k + 1), own, n[lo + 1 : lo + k + 1], [None] * k, [None] * k)
-        yield _batch(BLOCK, [block], [lang], [0], [None], [len(stream)], [tail], [_squeezed(stream)])
-
-
-def _batch(schema: str, *columns) -> pa.RecordBatch:
+        yield _batch(BLOCK, block=[block], lang=[lang], bucket=[-1], size=[len(stream)], total=[int(n[1:].sum())], tail=[tail], stream=[_squeezed(stream)])
+        words = list(self.numbers)
+        order = np.array(sorted(range(1, len(words)), key=words.__getitem__), dtype=np.int64)
+        if not len(order):
+            return
+        own = np.array([crc32(words[i]) % buckets for i in order.tolist()])
+        order = order[np.argsort(own, kind="stable")]
+        own.sort()
+        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])).tolist()
+        cuts = [order[i:j] for i, j in zip(at, [*at[1:], len(order)], strict=True)]
+        texts = [b" ".join(map(words.__getitem__, c.tolist())) for c in cuts]
+        k = len(cuts)
+        yield _batch(
+            BLOCK, block=[block] * k, lang=[lang] * k, bucket=own[at], size=[len(c) for c in cuts], raw=[len(t) for t in texts],
+            words=[pa.compress(t, codec="zstd", asbytes=True) for t in texts], n=[_squeezed(n[c]) for c in cuts], local=[_squeezed(c) for c in cuts],
+        )
+
+
+def _words_of(raw: int, words: bytes) -> list[bytes]:
+    return pa.decompress(words, decompressed_size=raw, codec="zstd", asbytes=True).split(b" ")
+
+
+def _batch(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of ``schema``; columns that aren't given are null."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    rows = len(next(iter(columns.values())))
     named = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, named, strict=True)], names=[name for name, _ in named])
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [None] * rows), kinds[kind]) for name, kind in named], names=[name for name, _ in named])
 
 
-def _streams(depth: int, block_words: int, slice_bytes: int):
+def _streams(depth: int, block_words: int, slice_bytes: int, buckets: int):
     """Blocks of (lang, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +124,7 @@ def _streams(depth: int, block_words: int, slice_bytes: int):
 
         def close(lang: str, tail: int = 0) -> Iterator[pa.RecordBatch]:
             nonlocal block
-            yield from held[lang].rows(block, lang, tail)
+            yield from held[lang].rows(block, lang, tail, buckets)
             block += 1
 
         for batch in batches:
@@ -138,20 +156,67 @@ def _streams(depth: int, block_words: int, slice_bytes: int):
     return run
 
 
-def vocabulary(words: DataFrame, least: int, budget: int) -> tuple[DataFrame, dict[str, int]]:
-    """(lang, word, c, n, id, part) of the words that occur ``least`` times, and sums over them.
+def _sums(least: int):
+    """(lang, word, c, bucket): the words of each bucket's runs that occur ``least`` times; rows sorted by bucket and language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, counts = None, Counter()
+
+        def often() -> Iterator[pa.RecordBatch]:
+            found = [(w, c) for w, c in counts.items() if c >= least]
+            if found:
+                yield _batch(WORDS, lang=[key[1]] * len(found), word=[w for w, _ in found], c=[c for _, c in found], bucket=[key[0]] * len(found))
+
+        for batch in batches:
+            for bucket, lang, size, raw, words, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "size", "raw", "words", "n")), strict=True):
+                if key != (bucket, lang):
+                    yield from often()
+                    key, counts = (bucket, lang), Counter()
+                for word, c in zip(_words_of(raw, words), _loose(n, size).tolist(), strict=True):
+                    counts[word] += c
+        yield from often()
+
+    return run
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of each run's frequent words; rows sorted by bucket, its known words (null block) first."""
+    bucket, known = None, {}
+    columns = ("bucket", "block", "lang", "size", "raw", "words", "local", "word", "id", "part")
+    for batch in batches:
+        out = []
+        for own, block, lang, size, raw, words, local, word, id_, part in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if own != bucket:
+                bucket, known = own, {}
+            if block is None:
+                known.setdefault(lang, {})[word] = id_, -1 if part is None else part
+                continue
+            here = known.get(lang, {})
+            found = [(i, *here[w]) for i, w in zip(_loose(local, size).tolist(), _words_of(raw, words), strict=True) if w in here]
+            if found:
+                out.append((block, own, len(found), _squeezed(np.array(found, dtype=np.int64).T.astype("<i4").view("<u4"))))
+        if out:
+            yield _batch(IDS, **dict(zip(("block", "bucket", "size", "ids"), zip(*out, strict=True), strict=True)))
+
+
+WORDS, IDS = "lang string, word binary, c long, bucket int", "block long, bucket int, size int, ids binary"
+
+
+def vocabulary(blocks: DataFrame, least: int, budget: int) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, word, bucket, c, n, id, part) of the words that occur ``least`` times, and sums over them.
 
     ``id`` counts from 1 by falling count, ``n`` is the language's number of words; ``part`` is the group of
     the suffixes that start with the word, null for words with over ``budget`` of them (hot ones).
     """
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = store(words.groupBy("lang", "word").agg(F.sum("n").alias("c")).where(F.col("c") >= least), "often")
-    total = store(words.groupBy("lang").agg(F.sum("n").alias("n")).join(often.groupBy("lang").agg(F.count("*").alias("rows")), "lang"), "langs")
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = blocks.where("bucket >= 0").select("bucket", "lang", "size", "raw", "words", "n")
+    often = store(runs.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_sums(least), WORDS), "often")
+    total = store(blocks.where("bucket = -1").groupBy("lang").agg(F.sum("total").alias("n")).join(often.groupBy("lang").agg(F.count("*").alias("rows")), "lang"), "langs")
     # a small table still gives every task some groups
     budget = max(min(budget, (often.agg(F.sum("c").alias("c")).first()["c"] or 0) // (2 * parts)), 1)
     one = often.agg(F.lit(budget).alias("budget"), F.count("*").alias("words"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.when(F.col("c") > budget, 1)).alias("hot"), F.coalesce(F.sum(F.when(F.col("c") > budget, F.col("c"))), F.lit(0)).alias("hot_c")).first().asDict()
-    if one["words"] >= 1 << 32:
-        raise ValueError("more than 2**32 frequent words")
+    if one["words"] >= 1 << 31:
+        raise ValueError("2**31 frequent words or more")
     often = join_apart(often, "lang", total, one["words"], "rows", F.lit(True))
     order = [F.desc("c"), F.asc("lang"), F.asc("word")]
     placed = store(often.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "placed").withColumn("of", F.shiftright("at", 33))
@@ -160,7 +225,7 @@ def vocabulary(words: DataFrame, least: int, budget: int) -> tuple[DataFrame, di
     within = Window.partitionBy("of").orderBy("at")
     placed = placed.withColumn("k", F.row_number().over(within)).withColumn("sum", F.sum("c").over(within) - F.col("c"))
     group = F.floor((F.col("sum") + F.col("c_before") - one["hot_c"]) / F.lit(budget)).cast("int")
-    placed = placed.join(F.broadcast(offsets), "of").select("lang", "word", "c", "n", (F.col("k") + F.col("k_before")).alias("id"), F.when(F.col("c") <= budget, group).alias("part"))
+    placed = placed.join(F.broadcast(offsets), "of").select("lang", "word", "bucket", "c", "n", (F.col("k") + F.col("k_before")).alias("id"), F.when(F.col("c") <= budget, group).alias("part"))
     return store(placed, "vocabulary"), one
 
 
@@ -180,7 +245,7 @@ def _changes(columns: np.ndarray) -> np.ndarray:
 
 
 def _runs(depth: int, hot: int, plain_parts: int, hot_parts: int):
-    """Each block's distinct suffixes, sorted, a run a group: rows of words (local > 0) and streams (local 0)."""
+    """Each block's distinct suffixes, sorted, a run a group: rows of a block's stream (bucket -1), then of its words' numbers."""
 
     def packed(tail: int, stream: np.ndarray, local: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(ids)
@@ -190,7 +255,7 @@ def _runs(depth: int, hot: int, plain_parts: int, hot_parts: int):
         own = np.concatenate([codes[stream], np.zeros(depth, dtype=np.int64)])
         starts = np.flatnonzero((own[: len(stream) - tail] > 0) & (own[1 : len(stream) - tail + 1] > 0))
         if not len(starts):
-            return _batch(RUN, [], [], [], [])
+            return _batch(RUN, part=[], size=[], suffixes=[], n=[])
         columns = np.empty((depth, len(starts)), dtype=np.int64)
         columns[0] = own[starts]
         for j in range(1, depth):
@@ -213,18 +278,17 @@ def _runs(depth: int, hot: int, plain_parts: int, hot_parts: int):
         part, words, n = part[order], words[:, order].astype("<u4"), n[order].astype("<u4")
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
         cuts = list(zip(at, [*at[1:], len(part)], strict=True))
-        return _batch(RUN, part[at], [j - i for i, j in cuts], [_squeezed(words[:, i:j]) for i, j in cuts], [_squeezed(n[i:j]) for i, j in cuts])
+        return _batch(RUN, part=part[at], size=[j - i for i, j in cuts], suffixes=[_squeezed(words[:, i:j]) for i, j in cuts], n=[_squeezed(n[i:j]) for i, j in cuts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held)
-            local = whole.column("local").to_numpy()
-            if local[0] == 0 and len(local) > 1:  # else no word of the block is frequent
-                stream = _loose(whole.column("stream")[0].as_py(), whole.column("n")[0].as_py())
-                ids, parts = (whole.column(c).slice(1).fill_null(-1).to_numpy() for c in ("id", "part"))
-                yield packed(whole.column("tail")[0].as_py(), stream, local[1:], ids, parts)
+            rows = pa.Table.from_batches(held).to_pylist()
+            if rows[0]["bucket"] == -1 and len(rows) > 1:  # else no word of the block is frequent
+                stream = _loose(rows[0]["stream"], rows[0]["size"])
+                local, ids, parts = np.concatenate([_loose(r["ids"], 3, r["size"]).view("<i4") for r in rows[1:]], axis=1).astype(np.int64)
+                yield packed(rows[0]["tail"], stream, local, ids, parts)
 
         for batch in batches:
             blocks = batch.column("block").to_numpy()
@@ -298,15 +362,16 @@ def phrase_counts(df: DataFrame, least: int = 100, depth: int = 5, lang_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     with scratch(spark):
-        blocks = store(texts.mapInArrow(_streams(depth, block_words, slice_bytes), BLOCK), "blocks")
-        words = blocks.where("local > 0").select("block", "lang", "word", "local", "n")
+        blocks = store(texts.mapInArrow(_streams(depth, block_words, slice_bytes, parts), BLOCK), "blocks")
         with scratch(spark):
-            known, one = vocabulary(words, least, budget)
+            known, one = vocabulary(blocks, least, budget)
             known = store(known, "vocabulary", keep=True)
         plain, hot_parts = (one["c"] - one["hot_c"]) // one["budget"] + 1, 2 * one["hot_c"] // one["budget"] + 1
-        ids = words.join(known.select("lang", "word", "id", "part"), ["lang", "word"]).select("block", "local", "id", "part")
-        both = ids.unionByName(blocks.where("local = 0").select("block", "local", "n", "tail", "stream"), allowMissingColumns=True)
-        both = both.repartition(parts, "block").sortWithinPartitions("block", "local")
+        asked = blocks.where("bucket >= 0").select("bucket", "block", "lang", "size", "raw", "words", "local")
+        asked = known.select("bucket", "lang", "word", "id", "part").unionByName(asked, allowMissingColumns=True)
+        ids = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("block")).mapInArrow(_numbered, IDS)
+        both = blocks.where("bucket = -1").select("block", "bucket", "size", "tail", "stream").unionByName(ids, allowMissingColumns=True)
+        both = both.repartition(parts, "block").sortWithinPartitions("block", "bucket")
         runs = both.mapInArrow(_runs(depth, one["hot"], plain, hot_parts), RUN)
         found = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_trees(depth, least, one["hot"]), "phrase array<long>, a long")
         phrases = store(found.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases", keep=True)
