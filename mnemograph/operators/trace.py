@@ -20,16 +20,19 @@ def with_results(calls: DataFrame, results: DataFrame, call: str = "call_id", li
     return calls.join(last, call, "left")
 
 
-def user_ancestors(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
+def user_ancestors(nodes: DataFrame) -> DataFrame:
     """(id, ancestor) from (id, parent, is_user): the nearest user row at or above each row; null without
-    one or in a cycle. Pointers double each round, so depth d takes log2(d) joins."""
+    one or in a cycle. Pointers double each round, so depth d takes log2(d) joins; n rows have no chain
+    longer than n, so what is open after log2(n) + 1 rounds leads into a cycle."""
     at = checkpointed(nodes.select("id", F.when(F.col("is_user"), F.col("id")).alias("ancestor"), F.when(~F.col("is_user"), F.col("parent")).alias("up")))
-    for _ in range(most_rounds):
+    for _ in range(at.count().bit_length() + 1):
         if not at.where(F.col("ancestor").isNull() & F.col("up").isNotNull()).limit(1).count():
             break
+        # rows that are done need no partner, and stay as they are
+        open_, done = at.where(F.col("ancestor").isNull() & F.col("up").isNotNull()), at.where(F.col("ancestor").isNotNull() | F.col("up").isNull())
         above = at.select(F.col("id").alias("up"), F.col("ancestor").alias("a2"), F.col("up").alias("up2"))
-        moved = at.join(above, "up", "left").select("id", F.coalesce("ancestor", "a2").alias("ancestor"), F.when(F.col("ancestor").isNull() & F.col("a2").isNull(), F.col("up2")).alias("up"))
-        at = checkpointed(moved)
+        moved = open_.join(above, "up", "left").select("id", F.col("a2").alias("ancestor"), F.when(F.col("a2").isNull(), F.col("up2")).alias("up"))
+        at = checkpointed(done.unionByName(moved))
     return at.select("id", "ancestor")
 
 

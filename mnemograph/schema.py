@@ -27,3 +27,9 @@ ROOT = "title string, description string, themes array<string>, key_entities arr
 RELATION = "source string, target string, type string, reason string"
 MEMORY = f"video_key string, video_path string, root {nested(ROOT)}, super_events array<{nested(SUPER)}>, macro_events array<{nested(MACRO)}>, macro_relations array<{nested(RELATION)}>, super_relations array<{nested(RELATION)}>"
 NODE = "node_id string, node_type string, text string, macro_id string"
+
+#: The older layout: names in parallel lists, whole subgraphs nowhere. An entity is a text or an object, read as text.
+LEGACY_SUPER = "node_id string, label string, description string, sub_macro_ids array<string>, time_range array<string>, key_entities array<string>"
+LEGACY_MACRO = "node_id string, label string, time_range array<string>, summary string, key_entities array<string>, event_types array<string>, ocr_texts array<string>, dense_description string, asr_text string, subevent_ids array<string>, event_summaries array<string>, key_entity_names array<string>, key_entity_types array<string>"
+LEGACY_RELATION = "source_id string, source string, target_id string, target string, relation_type string, type string, reason string"
+LEGACY = f"graph_id string, root_event {nested(ROOT)}, super_events array<{nested(LEGACY_SUPER)}>, macro_events array<{nested(LEGACY_MACRO)}>, macro_relations array<{nested(LEGACY_RELATION)}>, super_relations array<{nested(LEGACY_RELATION)}>"

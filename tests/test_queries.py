@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from mnemograph.plans import file_queries  # noqa: F401  (registers its queries)
 from mnemograph.plans.queries import QUERIES, SQL
 
 SF = os.environ.get("MNEMOGRAPH_TEST_DIR", "/root/testdata/sf0.001")

@@ -32,10 +32,55 @@ def test_memory(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/macros")).count() == 2
 
 
-def test_legacy(spark):
-    df = spark.createDataFrame([("m0", ["e0", "e1"], ["x" * 100], ["N"], ["T"])], "macro_id string, subevent_ids array<string>, event_summaries array<string>, key_entity_names array<string>, key_entity_types array<string>")
-    assert {r["event_id"]: len(r["action"]) for r in memory.legacy_events(df).collect()} == {"e0": 80, "e1": 2}
-    assert memory.legacy_entities(df).first()["entity_type"] == "T"
+OLD = {
+    "graph_id": "old", "root_event": {"title": "LT", "key_entities": ["hero", {"name": "dog", "type": "animal"}]},
+    "super_events": [{"node_id": "s0", "label": "S", "sub_macro_ids": ["m0", "m1"]}, {"node_id": "s1", "sub_macro_ids": ["m1"]}],
+    "macro_events": [
+        {"node_id": "m0", "label": "M", "time_range": [0, 10], "subevent_ids": ["ea", "eb", "ec"], "event_summaries": ["x" * 100, ""], "key_entity_names": ["N", "O"], "key_entity_types": ["person"], "ocr_texts": ["TITLE"]},
+        {"node_id": "m1", "key_entities": ["a", {"name": "b"}]},
+        {"node_id": "m2", "ocr_texts": ["alone"]},
+    ],
+    "macro_relations": [{"source_id": "m0", "target": "m1", "relation_type": "self"}],
+}
+
+
+def test_legacy_beside_current(spark, tmp_path):
+    for name, text in {"a": json.dumps(MEMORY), "b": json.dumps(OLD), "c": json.dumps(OLD)[:150], "d": "[1]", "e": ""}.items():
+        (tmp_path / f"{name}.memory").mkdir()
+        (tmp_path / f"{name}.memory" / "graph_memory.json").write_text(text)
+    found = memory.scan_memories(spark, str(tmp_path))
+    rows = {r["pos"]: (r["video_key"], r["legacy"], r["broken"]) for r in found.collect()}
+    assert rows == {0: ("v1", False, False), 1: ("old", True, False), 2: (None, False, True), 3: (None, False, True)}  # none of the file without bytes
+    t = {k: [r for r in v.collect() if r["video_key"] == "old"] for k, v in memory.tables(found).items()}
+    assert t["roots"][0]["key_entities"] == ['{"name":"hero"}', '{"name":"dog","type":"animal"}']
+    assert {r["macro_id"]: r["super_id"] for r in t["macros"]} == {"m0": "s0", "m1": "s1", "m2": ""}
+    assert [(r["event_id"], len(r["action"]), r["event_type"], r["t_end"]) for r in t["events"]] == [("ea", 80, "action", 10.0), ("eb", 2, "action", 10.0), ("ec", 2, "action", 10.0)]
+    assert [tuple(r[c] for c in ("macro_id", "entity_id", "name", "entity_type", "description")) for r in t["entities"]] == [("m0", "ent_001", "N", "person", "N"), ("m0", "ent_002", "O", "unknown", "O"), ("m1", "ent_001", "a", "unknown", "a"), ("m1", "ent_002", "b", "unknown", "b")]
+    assert [(r["macro_id"], r["text_id"], r["text"]) for r in t["screens"]] == [("m0", "ocr_001", "TITLE")]
+    assert [(r["source"], r["target"], r["type"]) for r in t["relations"]] == [("m0", "m1", "self")]
+    assert [r["macro_id"] for r in memory.tables(found)["macros"].where("video_key = 'v1'").orderBy("pos").collect()] == ["macro_0000", "macro_0001"]
+
+
+def test_subgraph_files(spark, tmp_path):
+    whole = {"macro_id": "other", "micro_events": [{"event_id": "e", "event_type": "x"}, {"event_type": "x"}], "entities": [{"name": None, "entity_id": f"i{i}"} for i in range(12)], "edges": [{"source_id": 3, "target_id": "e"}], "on_screen_texts": [{"text": "T"}]}
+    texts = {"m0": json.dumps(whole), "m1": json.dumps(whole)[:60], "m2": "", "m3": "[]", "m4": '{"entities": [1]}', "m5": '{"entities": {}}', "m6": "{}"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    macros = spark.createDataFrame([(f"m{i}", ["old"]) for i in range(8)], "macro_id string, ocr_texts array<string>")
+    got = {r["macro_id"]: r for r in memory.with_subgraphs(macros, memory.read_subgraphs(spark, str(tmp_path / "*.json"))).collect()}
+    assert {k: (r["prebuilt"], r["ocr_texts"]) for k, r in got.items()} == {"m0": (True, ["T"]), "m6": (False, []), **{f"m{i}": (False, ["old"]) for i in (1, 2, 3, 4, 5, 7)}}
+    g = got["m0"]
+    assert len(g["key_entities"]) == 10 and g["key_entities"][0] == ("i0", "OBJECT") and g["event_types"] == ["x"]
+    assert g["subgraph"]["micro_events"][1]["time_range"] == ["0", "0"] and g["subgraph"]["micro_events"][0]["macro_id"] == "m0" and g["subgraph"]["edges"][0]["source_id"] == "3"
+
+
+def test_checkpoint_lists(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"macro_id": "m0", "n": 1}, {"macro_id": "m1"}]')
+    (tmp_path / "b.json").write_text('[{"macro_id": "m2"}, {"mac')
+    (tmp_path / "c.json").write_text("")
+    got = memory.read_list(spark, str(tmp_path / "*.json"), "macro_id string, n long")
+    assert sorted((r["macro_id"], r["n"]) for r in got.collect()) == [("m0", 1), ("m1", None)]
+    assert memory.read_list(spark, str(tmp_path / "none.json"), "macro_id string, n long").count() == 0
 
 
 def test_subtitles(spark, tmp_path):
