@@ -24,9 +24,10 @@ import heapq
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -60,16 +61,18 @@ def _batch(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [None] * rows), _KINDS[kind]) for name, kind in named], names=[name for name, _ in named])
 
 
-def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text, their number, and a code for each link, of tokens that cover the same bytes."""
+def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int], names: list[str]) -> tuple[str, int, list[int]]:
+    """Groups as text, their number, and a code for each link, of tokens that cover the same bytes; ``names`` are ids as text."""
+    if len(a) == 1 or len(b) == 1:  # one group, and each token overlaps the single one
+        return f"{','.join([names[x] for x in a])}|{','.join([names[y] for y in b])}", 1, [y << 16 | x for y in b for x in a]
     groups, links = [], []
     i = j = first_i = first_j = 0
     end_a, end_b = a_size[a[0]], b_size[b[0]]
     while True:
         links.append(b[j] << 16 | a[i])
         if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[first_i : i + 1]))}|{','.join(map(str, b[first_j : j + 1]))}")
             i, j = i + 1, j + 1
+            groups.append(f"{','.join([names[x] for x in a[first_i:i]])}|{','.join([names[y] for y in b[first_j:j]])}")
             if i == len(a):
                 return ";".join(groups), len(groups), links
             first_i, first_j = i, j
@@ -104,6 +107,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(pieces)))]
         crossing = any("\n" in p or "▁" in p.lstrip("▁") or any(x.isalpha() and y in MARKS for x, y in zip(p, p[1:])) for p in pieces)
         if crossing:
             raise ValueError("a piece of B goes across a cut")
@@ -112,21 +116,20 @@ class Aligner:
 
     def clear(self) -> None:
         self.numbers, self.groups, self.links, self.bad, self.held = {}, [], [], set(), 0
-        self.totals = [array("q") for _ in range(4)]  # of A tokens, B tokens, groups, links
+        self.totals = array("q")  # four a part: A tokens, B tokens, groups, links
 
     def forget(self) -> None:
         if self.held > self.most // 2:
             self.older = self.numbers, self.groups, self.links, self.totals, self.bad
             self.clear()
 
-    def _keep(self, part: str, text: str, links: bytes, sums: list[int], bad: bool) -> None:
+    def _keep(self, part: str, text: str, links: bytes, sums: tuple[int, int, int, int] | array, bad: bool) -> None:
         if bad:
             self.bad.add(len(self.groups))
         self.numbers[part] = len(self.groups)
         self.groups.append(text)
         self.links.append(links)
-        for total, x in zip(self.totals, sums, strict=True):
-            total.append(x)
+        self.totals.extend(sums)
         self.held += 330 + len(part) + len(text) + len(links)
 
     def _learn(self, parts: list[str]) -> None:
@@ -141,28 +144,34 @@ class Aligner:
             elif not space:
                 b = b[2:]
             if b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)):
-                text, n, links = align(a, b, self.a_size, self.b_size)
-                self._keep(part, text, np.array(links, dtype="<u4").tobytes(), [len(a), len(b), n, len(links)], False)
+                text, n, links = align(a, b, self.a_size, self.b_size, self.names)
+                self._keep(part, text, pack(f"<{len(links)}I", *links), (len(a), len(b), n, len(links)), False)
             else:
-                self._keep(part, "", b"", [0, 0, 0, 0], True)
+                self._keep(part, "", b"", (0, 0, 0, 0), True)
 
-    def of(self, text: str) -> list[int]:
-        """Numbers of the parts of a text that starts with its space or newline."""
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text that starts with its space or newline."""
         plain = text[-1] not in " \n" and not any(x in text for x in ODD_SPACE) and not WIDE_SPACE.search(text)
-        parts = PLAIN.findall(text) if plain else MIXED.split(text)
-        try:
-            return list(map(self.numbers.__getitem__, parts))
-        except KeyError:
-            new, (numbers, groups, links, totals, bad) = [], self.older
-            for part in dict.fromkeys(parts):
-                i = None if part in self.numbers else numbers.get(part)
-                if i is not None:
-                    self._keep(part, groups[i], links[i], [t[i] for t in totals], i in bad)
-                elif part not in self.numbers:
-                    new.append(part)
-            for lo in range(0, len(new), 1000):
-                self._learn(new[lo : lo + 1000])
-            return list(map(self.numbers.__getitem__, parts))
+        return PLAIN.findall(text) if plain else MIXED.split(text)
+
+    def learn(self, parts: Iterable[str]) -> None:
+        """Know these parts; the tokenizers are called for many at a time."""
+        new, (numbers, groups, links, totals, bad) = [], self.older
+        for part in {*parts}.difference(self.numbers):
+            i = numbers.get(part)
+            if i is None:
+                new.append(part)
+            else:
+                self._keep(part, groups[i], links[i], totals[4 * i : 4 * i + 4], i in bad)
+        for lo in range(0, len(new), 2000):
+            self._learn(new[lo : lo + 2000])
+
+    def of(self, parts: list[str]) -> list[int]:
+        """Numbers of known parts."""
+        return list(map(self.numbers.__getitem__, parts))
+
+    def sums(self, numbers: np.ndarray) -> list[int]:
+        return np.frombuffer(self.totals, dtype=np.int64).reshape(-1, 4)[numbers].sum(axis=0).tolist()
 
 
 def slices(text: str, most: int) -> Iterator[str]:
@@ -252,38 +261,56 @@ def _blocks(a_name: str, b_name: str, cache_bytes: int, block_links: int, slice_
             number, block, docs = number + 1, _Block(), []
             aligner.forget()
 
-        def counted(numbers: list[int]) -> tuple[np.ndarray, list[int]]:
-            own = np.array(numbers, dtype=np.int32)
-            return own, [int(np.frombuffer(t, dtype=np.int64)[own].sum()) for t in aligner.totals]
-
+        def place(row: int, doc_id: int | None, text: str | None, parts: list[list[str]] | None) -> Iterator[pa.RecordBatch]:
+            """Put a document into the block; ``parts`` of its slices, or those of a long text one slice at a time."""
+            sums, digest, good = [0, 0, 0, 0], "", bool(text)
+            long = parts is None
+            if long:  # known before the first of its records is written
+                for piece in slices(text, slice_chars):
+                    own = aligner.parts(piece)
+                    aligner.learn(own)
+                    good = good and aligner.bad.isdisjoint(aligner.of(own))
+            numbers = [] if long else [aligner.of(p) for p in parts]
+            if good and aligner.bad and not all(aligner.bad.isdisjoint(x) for x in numbers):
+                good = False
+            if good:
+                sha, between = hashlib.sha256(), b""
+                for own in (aligner.parts(x) for x in slices(text, slice_chars)) if long else numbers:
+                    if long:
+                        aligner.learn(own)
+                        own = aligner.of(own)
+                    sha.update(between + ";".join(map(aligner.groups.__getitem__, own)).encode())
+                    between = b";"
+                    own = np.array(own, dtype=np.int32)
+                    more = aligner.sums(own)
+                    sums = [x + y for x, y in zip(sums, more, strict=True)]
+                    block.add(row, own, more[3])
+                    if block.n_links > block_links and long:
+                        yield from close()
+                digest = sha.hexdigest()
+            docs.append((row, doc_id, *sums, digest))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, size
+            aligner.learn(part for _, _, _, parts in waiting for own in parts or () for part in own)
+            for own in waiting:
+                yield from place(*own)
+            waiting, size = [], 0
+            if block.n_links > block_links or len(docs) >= BLOCK_DOCS:
+                yield from close()
+
+        waiting, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                sums, digest = [0, 0, 0, 0], ""
-                good = bool(text)
-                if text and len(text) >= slice_chars:  # known before the first of its records is written
-                    for part in slices(text, slice_chars):
-                        good = good and aligner.bad.isdisjoint(aligner.of(part))
-                        if not docs and not block.parts:
-                            aligner.forget()
-                if good:
-                    sha, between = hashlib.sha256(), b""
-                    for part in slices(text, slice_chars):
-                        numbers = aligner.of(part)
-                        if aligner.bad and not aligner.bad.isdisjoint(numbers):
-                            good = False
-                            break
-                        sha.update(between + ";".join(map(aligner.groups.__getitem__, numbers)).encode())
-                        between = b";"
-                        own, more = counted(numbers)
-                        sums = [x + y for x, y in zip(sums, more, strict=True)]
-                        block.add(row, own, more[3])
-                        if block.n_links > block_links and len(text) >= slice_chars:
-                            yield from close()
-                    digest = sha.hexdigest()
-                docs.append((row, doc_id, *(sums if good else [0] * 4), digest if good else ""))
+                long = bool(text) and len(text) >= slice_chars
+                if long:
+                    yield from flush()
+                waiting.append((row, doc_id, text, None if long else [aligner.parts(" " + text)] if text else []))
+                size += len(text or "")
                 row += 1
-                if block.n_links > block_links or len(docs) >= BLOCK_DOCS or len(block.rows) >= BLOCK_DOCS:
-                    yield from close()
+                if long or size >= slice_chars or len(docs) + len(waiting) >= BLOCK_DOCS:
+                    yield from flush()
+        yield from flush()
         if docs or block.parts:
             yield from close()
 
@@ -367,7 +394,7 @@ def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_loose(docs, "<u8", n_docs).astype(np.int64)), *map(pa.array, sums)], names=["row", "n_best", "count_sum"])
 
 
-def align_tokens(df: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = 120 << 20, block_links: int = BLOCK_LINKS, slice_chars: int = SLICE, fan: int = FAN) -> DataFrame:
+def align_tokens(df: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = 240 << 20, block_links: int = BLOCK_LINKS, slice_chars: int = SLICE, fan: int = FAN) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) a document."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
