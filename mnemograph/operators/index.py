@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from mnemograph.functions.text import STOPWORDS, occurrences, token_count, tokens
 from mnemograph.operators.rank import global_rank
-from mnemograph.session import checkpointed
+from mnemograph.session import checkpointed, spread
 
 K1, B, RRF = 1.2, 0.75, 60
 
 
 def postings(nodes: DataFrame, id_col: str = "node_id", text_col: str = "text") -> DataFrame:
     """(node_id, term, tf, dl): a row for each term of a node; terms combine before the shuffle."""
-    words = nodes.select(F.col(id_col).alias("node_id"), tokens(F.col(text_col)).alias("words")).withColumn("dl", F.size("words"))
+    words = spread(nodes.select(F.col(id_col).alias("node_id"), F.col(text_col).alias("text"))).select("node_id", tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
     return words.select("node_id", "dl", F.explode("words").alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -43,7 +43,8 @@ def bm25(nodes: DataFrame, query: str, id_col: str = "node_id", text_col: str =
     terms = query_terms(query)
     if not terms:
         return nodes.where("false").select(F.col(id_col).alias("node_id"), F.lit(0.0).alias("bm25"))
-    found = nodes.select(F.col(id_col).alias("node_id"), of_types(nodes, node_types, type_col).alias("asked"), token_count(F.col(text_col)).alias("dl"), occurrences(F.col(text_col), [*terms]).alias("found"))
+    texts = spread(nodes.select(F.col(id_col).alias("node_id"), of_types(nodes, node_types, type_col).alias("asked"), F.col(text_col).alias("text")))
+    found = texts.select("node_id", "asked", token_count(F.col("text")).alias("dl"), occurrences(F.col("text"), [*terms]).alias("found"))
     times_in = lambda term: F.size(F.filter("found", lambda w: w == F.lit(term)))
     tf = [times_in(t).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = checkpointed(found.select("node_id", "asked", "dl", *tf))

@@ -31,3 +31,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with its rows dealt out over the cores, where its table has fewer files than these.
+
+    A small file may be one row group, which one task reads, and all that follows on it would be that task's. Tables
+    of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
