@@ -95,7 +95,10 @@ def _stats(spark: SparkSession, path: str) -> tuple[dict, list[int]]:
 
 def term_statistics(spark: SparkSession, path: str) -> DataFrame:
     """(term, df, n) of all terms: in how many nodes, and how often."""
-    rows = spark.read.parquet(f"{path}/postings").where(F.col("segment").isin(_stats(spark, path)[1]))
+    stats, segments = _stats(spark, path)
+    if not stats["n"]:
+        return spark.createDataFrame([], "term string, df long, n long")
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("segment").isin(segments))
     return rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
 
 
@@ -115,7 +118,7 @@ class Search:
         terms, (stats, segments) = query_terms(query), _stats(spark, path)
         live = F.col("segment").isin(segments)
         nodes = _written(spark, path, "nodes")
-        if not terms or not segments:
+        if not terms or not stats["n"]:
             kind = "long" if nodes is None else nodes.schema["node_id"].dataType.simpleString()
             self.result = spark.createDataFrame([], f"node_id {kind}, bm25 double")
             return
@@ -170,6 +173,8 @@ def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int, digi
     """
     stats, segments = _stats(spark, path)
     live = F.col("segment").isin(segments)
+    if not stats["n"]:
+        return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, node_id long, bm25 double")
     average, n = stats["sum_dl"] / stats["n"] if stats["n"] and stats["sum_dl"] else 1.0, float(stats["n"])
     asked = queries.select("query_id", F.explode(tokens(F.coalesce(F.col("query"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     posts = spark.read.parquet(f"{path}/postings").where(live)

@@ -92,3 +92,7 @@ def test_empty_index(spark, tmp_path):
     assert stored_index.search(spark, str(tmp_path / "none"), "word1", 3).count() == 0
     stored_index.append(spark.createDataFrame([], SCHEMA), str(tmp_path / "e"))
     assert stored_index.search(spark, str(tmp_path / "e"), "word1", 3).count() == 0
+    assert stored_index.term_statistics(spark, str(tmp_path / "e")).count() == 0
+    assert stored_index.search_many(spark, str(tmp_path / "e"), spark.createDataFrame([(1, "word1")], "query_id long, query string"), 3).count() == 0
+    stored_index.append(spark.createDataFrame(rows(10, 7), SCHEMA), str(tmp_path / "e"))
+    assert stored_index.search(spark, str(tmp_path / "e"), "word1", 3).count() > 0
