@@ -39,7 +39,7 @@ _RUNS = re.compile(r"(.)\1+")
 
 
 def _shape(word: str) -> str:
-    return _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]))
+    return _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 def _core(word: str) -> str:
@@ -47,24 +47,30 @@ def _core(word: str) -> str:
 
 
 class Buckets:
-    """Bucket numbers of words: the letters' in the first row, the shape's in the second."""
+    """Bucket numbers of words: the letters' in the first row, the shape's in the second; known ones are kept in about
+    ``most`` bytes."""
 
-    def __init__(self, most: int = 150_000) -> None:
-        self.known, self.most = {}, most
+    def __init__(self, most: int = 24 << 20) -> None:
+        self.known, self.most, self.held = {}, most, 0
 
     def __call__(self, words: list[str]) -> np.ndarray:
         try:
             packed = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         except KeyError:
-            if len(self.known) > self.most:
-                self.known.clear()
+            if self.held > self.most:
+                self.clear()
             for w in {*words}:
                 if w not in self.known:
+                    self.held += 130 + len(w)
                     core, shape = zlib.crc32(("c" + _core(w)).encode()) % BUCKETS, zlib.crc32(("s" + _shape(w)).encode()) % BUCKETS
                     self.known[w] = core << 20 | shape
             packed = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         return np.stack([packed >> 20, packed & 0xFFFFF])
 
+    def clear(self) -> None:
+        self.known.clear()
+        self.held = 0
+
 
 _buckets = Buckets()
 
@@ -173,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> tuple[np
     texts = texts.repartition(SAMPLE_PARTS, "doc_id").persist()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("quality", _buckets.known.clear)
+        take_over("quality", _buckets.clear)
         index, sums, any_rows = _index_once(), np.zeros((BUCKETS, DIM), dtype=np.int64), False
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -192,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> tuple[np
     shared = spark.sparkContext.broadcast(vectors)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("quality", _buckets.known.clear)
+        take_over("quality", _buckets.clear)
         for batch in batches:
             x = [features(t, _index_once(), shared.value).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
@@ -214,7 +220,7 @@ def score_quality(df: DataFrame, labels: DataFrame, threshold: float = 0.7, samp
     shared = df.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("quality", _buckets.known.clear)
+        take_over("quality", _buckets.clear)
         vectors, model = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -231,7 +237,7 @@ def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_r
     shared = df.sparkSession.sparkContext.broadcast(fit(two(df, id_col, text_col), labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("quality", _buckets.known.clear)
+        take_over("quality", _buckets.clear)
         vectors, model = shared.value
         for batch in batches:
             texts = batch.column(text_col).cast(pa.string()).to_pylist()
