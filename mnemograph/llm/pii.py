@@ -63,6 +63,8 @@ CONTEXT = {
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 CONTEXT_ADDS = 0.3
 THRESHOLD = 0.5
+#: Spans that are put into one array at a time: a longer list is a list of such arrays, so time stays linear.
+CHUNK = 200
 
 
 def digits_of(match: Column) -> Column:
@@ -104,6 +106,17 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def in_chunks(items: Column) -> Column:
+    """An array as an array of arrays of CHUNK items at most."""
+
+    def cut(x: Column) -> Column:
+        n = F.ceil(F.size(x) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(x, i * CHUNK + 1, F.lit(CHUNK)))
+
+    # in a list of one, so that the array is made once and not for every chunk
+    return F.element_at(F.transform(F.array(items), cut), 1)
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """array<struct<start, kind_no, kind, end, score>> of the kind's kept spans, in order."""
     n = KINDS.index(kind)
@@ -123,8 +136,12 @@ def spans_of(text: Column, kind: str) -> Column:
         keep = confirmed(kind, x["m"]) & (F.lit(kind in BASE) | (score >= THRESHOLD))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    found = F.aggregate(F.filter(lengths, lambda x: x["m"].isNotNull()), zero, step, lambda acc: acc["out"])
+    def chunk(acc, items):
+        own = F.aggregate(items, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(acc["out"], F.array(own["out"])).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array(none).alias("out"))
+    found = F.aggregate(in_chunks(F.filter(lengths, lambda x: x["m"].isNotNull())), zero, chunk, lambda acc: F.flatten(acc["out"]))
     could = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
     return F.when(could & text.rlike(PATTERNS[kind]), found).otherwise(none)
 
@@ -155,18 +172,23 @@ def pii_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the first wins."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    # each chunk of spans takes its part of the text once, so a place in it is found from near
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, s):
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
+    def step(acc, s, part, base):
+        gap = F.substr(part, acc["at"] - base + 1, s["start"] - acc["at"])
         taken = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
         # an overlapping span only lengthens what is hidden
         merged = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] >= acc["at"], taken).otherwise(merged)
 
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    )
+    def chunk(acc, items):
+        part = F.substr(text, acc["at"] + 1, F.greatest(F.element_at(items, -1)["start"] - acc["at"], F.lit(0)))
+        # the part stands in a list of one, so that it is cut out once for all of the chunk's spans
+        own = F.element_at(F.transform(F.array(part), lambda p: F.aggregate(items, F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out")), lambda a, s: step(a, s, p, acc["at"]))), 1)
+        return F.struct(own["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(own["out"], ""))).alias("out"))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(in_chunks(spans), first, chunk, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1))))
 
 
 def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
