@@ -33,18 +33,6 @@ def even_positions(length: Column, n: int) -> Column:
     return F.when(length > n, at).when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def thinned(sizes: list[int], budget: int) -> list[int]:
-    """Places kept so that the sizes fit ``budget``: thinned evenly, then cut at the end."""
-    n, total = len(sizes), sum(sizes)
-    if total <= budget or n <= 2:
-        return list(range(n))
-    keep = max(2, n * budget // total)
-    out = [i * n // keep for i in range(keep)]
-    while len(out) > 1 and sum(sizes[i] for i in out) > budget:
-        out.pop()
-    return out
-
-
 def compact(numbers: DataFrame, key: str, n: str) -> DataFrame:
     """(key, ranges): distinct numbers as "1-3, 5"."""
     w = Window.partitionBy(key).orderBy(n)
@@ -61,6 +49,49 @@ def srt(cues: DataFrame, key: str, start: str, end: str, text: str) -> DataFrame
     return cues.withColumn("cue_no", n).select(key, "cue_no", F.concat_ws("\n", F.col("cue_no").cast("string"), F.concat_ws(" --> ", srt_time(ms(start)), srt_time(ms(end))), text).alias("cue"))
 
 
+def _cue(no: Column, start: Column, end: Column, body: Column) -> Column:
+    at = lambda c: srt_time((c * 1000).cast("long"))  # noqa: E731  (cut, not rounded)
+    return F.concat_ws("\n", no.cast("string"), F.concat_ws(" --> ", at(start), at(end)), body)
+
+
+def srt_segments(segments: DataFrame, key: str, order: str, start: str = "start", end: str = "end", text: str = "text", label: str | None = None) -> DataFrame:
+    """(key, cue_no, cue) of segments in ``order``, an integer: a missing start is 0, a missing end or one of 0 the start,
+    and ``label``, where there is one, stands before the text in brackets. A segment whose time is no number
+    has no cue, but its number is used up."""
+    from mnemograph.operators.rank import running_count
+
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    bad = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "") & number(c).isNull()
+    first = F.coalesce(number(start), F.lit(0.0))
+    last = F.when(F.coalesce(number(end), F.lit(0.0)) == 0, first).otherwise(number(end))
+    body = F.trim(F.coalesce(F.col(text), F.lit("")))
+    if label:
+        body = F.when(F.coalesce(F.col(label), F.lit("")) != "", F.concat(F.lit("["), F.col(label), F.lit("] "), body)).otherwise(body)
+    numbered = running_count(segments, [key], order, F.lit(True), "cue_no")
+    return numbered.where(~bad(start) & ~bad(end)).select(key, "cue_no", _cue(F.col("cue_no"), first, last, body).alias("cue"))
+
+
+def srt_sentences(chunks: DataFrame, key: str, order: str, start: str = "start", end: str = "end", sentences: str = "sentences") -> DataFrame:
+    """(key, cue_no, cue) of chunks of sentences in ``order``, an integer: a cue a sentence, with its chunk's time, numbered
+    on over the chunks."""
+    from mnemograph.operators.rank import running_sum
+
+    n = F.coalesce(F.size(sentences), F.lit(0))
+    upto = running_sum(chunks.where(n > 0), [key], order, n, "__upto")
+    each = upto.select(key, start, end, (F.col("__upto") - n).alias("__before"), F.posexplode(sentences).alias("__i", "__s"))
+    no = F.col("__before") + F.col("__i") + 1
+    return each.select(key, no.alias("cue_no"), _cue(no, F.col(start), F.col(end), F.coalesce("__s", F.lit(""))).alias("cue"))
+
+
+def write_ordered(cues: DataFrame, key: str, order: str, text: str, path: str) -> None:
+    """A text file for each key under ``path``/key=value: its texts in order, a blank line after each.
+
+    A key's rows meet in one partition and are sorted there, on disk where they are many; nothing is gathered.
+    """
+    lines = cues.select(F.col(key).alias(key), F.col(order).alias("__order"), F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")).alias("value"))
+    lines.repartition(key).sortWithinPartitions(key, "__order").select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
+
+
 def violations(files: DataFrame, rules: dict[str, str], path: str = "path", text: str = "text") -> DataFrame:
     """(path, rule, n): how often each rule's pattern stands in a file; one pass over the texts."""
     counts = F.array(*(F.struct(F.lit(name).alias("rule"), F.regexp_count(F.col(text), F.lit(pattern)).alias("n")) for name, pattern in rules.items()))

@@ -22,15 +22,20 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__at", "__part", "__before")
 
 
-def running_count(df: DataFrame, keys: list[str], order: str, flag: Column, name: str, block: int = 10_000) -> DataFrame:
-    """``df`` with the number of ``flag`` rows of its key up to and with each row, by the integer ``order``.
+def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, block: int = 10_000) -> DataFrame:
+    """``df`` with the sum of the integer ``value`` over its key's rows up to and with each row, by the integer ``order``.
 
-    Rows are counted within blocks of ``order``; a block then adds its key's earlier blocks, of which there is one
+    Rows are summed within blocks of ``order``; a block then adds its key's earlier blocks, of which there is one
     row each. So a key with many rows isn't one task's.
     """
-    held = df.withColumn("__block", F.floor(F.col(order) / block)).withColumn("__flag", F.coalesce(flag.cast("long"), F.lit(0)))
+    held = df.withColumn("__block", F.floor(F.col(order) / block)).withColumn("__value", F.coalesce(value.cast("long"), F.lit(0)))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = held.groupBy(*keys, "__block").agg(F.sum("__flag").alias("__n")).select(*keys, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    sums = held.groupBy(*keys, "__block").agg(F.sum("__value").alias("__n")).select(*keys, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = held.withColumn("__n", F.sum("__flag").over(within)).join(sums, [*keys, "__block"])
-    return out.withColumn(name, F.col("__n") + F.col("__before")).drop("__block", "__flag", "__n", "__before")
+    out = held.withColumn("__n", F.sum("__value").over(within)).join(sums, [*keys, "__block"])
+    return out.withColumn(name, F.col("__n") + F.col("__before")).drop("__block", "__value", "__n", "__before")
+
+
+def running_count(df: DataFrame, keys: list[str], order: str, flag: Column, name: str, block: int = 10_000) -> DataFrame:
+    """``df`` with the number of ``flag`` rows of its key up to and with each row, by the integer ``order``."""
+    return running_sum(df, keys, order, flag.cast("int"), name, block)

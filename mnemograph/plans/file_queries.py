@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemograph.operators import budget, preview
 from mnemograph.plans.queries import query, read
 from mnemograph.session import work_path
 from mnemograph.sources import sessions
-from mnemograph.sources.files import read_session
+from mnemograph.sources.files import read_session, read_srt
+from mnemograph.streaming import incremental
 
 
 def _log(rows: DataFrame, lines: Column, label: str) -> str:
@@ -143,3 +145,83 @@ def subgraph_files(spark, sf):
     got = memory.with_subgraphs(macros, memory.read_subgraphs(spark, path, r"/macro_id=([^/]+)/"))
     owner = F.when(F.size("subgraph.micro_events") > 0, F.col("subgraph.micro_events")[0]["macro_id"])
     return got.select("macro_id", "prebuilt", F.array_join("key_entities.name", ",").alias("names"), F.array_join("event_types", ",").alias("kinds"), F.when(F.size("key_entities") > 1, F.col("key_entities")[1]["type"]).alias("second_type"), owner.alias("owner"))
+
+
+FRAMES = "f AS (SELECT user_id, event_id, 100 + event_id * 37 % 900 AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)"
+ROOM = 15_000
+
+
+def _frames(spark, sf) -> DataFrame:
+    return read(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") * 37 % 900 + 100).alias("size"))
+
+
+@query(
+    f"WITH {FRAMES}, t AS (SELECT user_id, count(*) AS n, sum(size) AS total FROM f GROUP BY user_id), k AS (SELECT *, greatest(2, CAST(trunc(n * {ROOM} / total) AS BIGINT)) AS keep FROM t WHERE total > {ROOM}), "
+    "s AS (SELECT user_id, i, least(n - 1, CAST(floor(i * (n / keep)) AS BIGINT)) AS pos FROM (SELECT *, unnest(range(0, keep)) AS i FROM k)), "
+    "u AS (SELECT user_id, event_id, i, sum(size) OVER (PARTITION BY user_id ORDER BY i) AS upto FROM s JOIN f USING (user_id, pos)) "
+    f"SELECT user_id, event_id, i AS place FROM u WHERE upto <= {ROOM} OR i < 2 UNION ALL SELECT user_id, event_id, pos FROM f JOIN t USING (user_id) WHERE total <= {ROOM}"
+)
+def thinned_frames(spark, sf):
+    """Each user's events as frames of some size, thinned to a byte budget."""
+    return budget.thinned(_frames(spark, sf), "user_id", "event_id", "size", ROOM).select("user_id", "event_id", "place")
+
+
+@query(
+    f"WITH RECURSIVE {FRAMES}, r AS (SELECT user_id, list({{'e': event_id, 's': size}} ORDER BY event_id) AS l FROM f GROUP BY user_id UNION ALL "
+    "SELECT user_id, list_transform(range(0, keep), lambda i: l[CAST(round_even(i * ((len(l) - 1) / (keep - 1)), 0) AS INTEGER) + 1]) FROM ("
+    f"SELECT *, greatest(2, CAST(trunc(len(l) * {ROOM} / total) AS BIGINT)) AS keep FROM (SELECT *, list_sum(list_transform(l, lambda x: x.s)) AS total FROM r) WHERE total > {ROOM} AND len(l) > 2)), "
+    f"d AS (SELECT * FROM r WHERE list_sum(list_transform(l, lambda x: x.s)) <= {ROOM} OR len(l) <= 2) SELECT user_id, l[p + 1].e AS event_id, p AS place FROM (SELECT *, unnest(range(0, len(l))) AS p FROM d)"
+)
+def resampled_frames(spark, sf):
+    """The same, resampled from first to last until the sums fit."""
+    return budget.resampled(_frames(spark, sf), "user_id", "event_id", "size", ROOM).select("user_id", "event_id", "place")
+
+
+SRT_AT = "lpad(CAST({x} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({x} % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({x} % 60000 // 1000 AS VARCHAR), 2, '0') || ',' || lpad(CAST({x} % 1000 AS VARCHAR), 3, '0')"
+ONE_LINE = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"WITH c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no, turn * 7250 AS a, CASE WHEN turn % 3 = 2 THEN turn * 7250 ELSE turn * 7250 + 5125 END AS b, {ONE_LINE} AS t FROM conversations) "
+    f"SELECT conv_id, no AS cue_no, {SRT_AT.format(x='a')} || ' --> ' || {SRT_AT.format(x='b')} AS time, CASE WHEN role = 'system' THEN t ELSE '[' || role || '] ' || t END AS text FROM c WHERE turn % 5 <> 4"
+)
+def srt_files(spark, sf):
+    """A subtitle file for each conversation, read back: every fifth turn's time is no number, every third has no end."""
+    line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    start = F.when(F.col("turn") % 5 == 4, F.lit("soon")).otherwise((F.col("turn") * 7.25).cast("string"))
+    end = F.when(F.col("turn") % 3 != 2, (F.col("turn") * 7.25 + 5.125).cast("string"))
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", start.alias("start"), end.alias("end"), line.alias("text"), F.when(F.col("role") != "system", F.col("role")).alias("speaker"))
+    path = work_path(spark, "srt")
+    preview.write_ordered(preview.srt_segments(rows, "conv_id", "turn", label="speaker"), "conv_id", "cue_no", "cue", path)
+    # the reader leaves the numbers out, so they are read from the text beside it
+    cues = read_srt(spark, path)
+    numbers = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?:^|\n\n)(\d+)\n"), F.lit(1))).alias("cue", "no"))
+    conv = lambda c: F.regexp_extract(c, r"/conv_id=(\d+)/", 1).cast("long").alias("conv_id")
+    return cues.select(conv("path"), "cue", "time", "text").join(numbers.select(conv("file"), "cue", F.col("no").cast("long").alias("cue_no")), ["conv_id", "cue"]).select("conv_id", "cue_no", "time", "text")
+
+
+@query(
+    "WITH c AS (SELECT user_id, event_id, event_id % 4 AS n, value FROM events), s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) "
+    f"SELECT user_id, CAST(before + i AS BIGINT) AS cue_no, (before + i) || chr(10) || {SRT_AT.format(x='(event_id * 1250)')} || ' --> ' || {SRT_AT.format(x='(event_id * 1250 + 1500)')} || chr(10) || 's' || i AS cue FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM s)"
+)
+def srt_sentence_cues(spark, sf):
+    """Chunks of no to three sentences: a cue a sentence, numbered on over a user's chunks."""
+    some = F.when(F.col("event_id") % 4 > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("event_id") % 4, F.lit(1))), lambda i: F.concat(F.lit("s"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    chunks = read(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") * 1.25).alias("start"), (F.col("event_id") * 1.25 + 1.5).alias("end"), some.alias("sentences"))
+    return preview.srt_sentences(chunks, "user_id", "event_id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE value >= 20 AND event_id % 3 <> 2 GROUP BY event_type")
+def worker_drain(spark, sf):
+    """The second phase over three writes of the first, of which the last repeats keys; items of a low value fail."""
+    ev = read(spark, sf, "events").where("event_id % 3 <> 2").select("event_id", "event_type", "value")
+    path = work_path(spark, "worker")
+    for part in (ev.where("event_id % 3 = 0"), ev.where("event_id % 3 = 1"), ev.where("event_id % 6 = 0").withColumn("event_type", F.lit("again"))):
+        part.write.mode("append").parquet(f"{path}/in")
+    incremental.mark(spark, f"{path}/01_done")
+    work = lambda df: df.withColumn("error", F.when(F.col("value") < 20, F.lit("too low")))
+    # a file a batch, in the order in which they were written
+    incremental.process_new(spark, f"{path}/in", "event_id long, event_type string, value double", "event_id", f"{path}/out", f"{path}/cp", work)
+    incremental.run_worker(spark, f"{path}/in", "event_id long, event_type string, value double", "event_id", f"{path}/out", f"{path}/cp", work, f"{path}/01_done", f"{path}/02_done")
+    known = spark.read.parquet(f"{path}/out").join(read(spark, sf, "events").select("event_id", F.col("event_type").alias("own")), "event_id")
+    return known.groupBy(F.col("own").alias("event_type")).agg(F.count("*").alias("n"))

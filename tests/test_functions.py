@@ -117,7 +117,6 @@ def test_pages_and_samples(spark):
     assert value(spark, text.page_indices(F.lit("1,3,5-8"), F.lit(6))) == [0, 2, 4, 5]
     assert value(spark, text.page_indices(F.lit("bad"), F.lit(30))) == list(range(20))
     assert value(spark, preview.even_positions(F.lit(10), 4)) == [0, 3, 6, 9]
-    assert preview.thinned([10] * 10, 50) == [0, 2, 4, 6, 8]
 
 
 def test_resize(spark):
