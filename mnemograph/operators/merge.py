@@ -91,3 +91,33 @@ def joined_index(good: list[DataFrame], rebuilt: list[DataFrame]) -> DataFrame:
     for df in parts[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def merged_chunks(macros: DataFrame, supers: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks of one video put together: macros get ids macro_0000 and on by start, chunk and position, and so does
+    everything that names them.
+
+    ``macros`` (chunk, pos, macro_id, t_start, subgraph, ..), ``supers`` (chunk, super_id, sub_macro_ids, ..) and ``relations``
+    (chunk, source, target, ..). A subgraph's own id and those of its events, entities and screen texts follow its
+    macro's. References meet the new ids in joins by chunk and id; a reference to no macro is left out, as is a relation
+    with one. Only a super's own list of macros is gathered.
+    """
+    ranked = renumbered(macros)
+    # of macros with one id in a chunk the first in order is the one that is meant
+    ids = ranked.groupBy("chunk", "macro_id").agg(F.min("new_id").alias("new_id"))
+    if "subgraph" in macros.columns:
+        owned = lambda part: F.transform(F.col(f"subgraph.{part}"), lambda x: x.withField("macro_id", F.col("new_id")))
+        graph = F.col("subgraph").withField("macro_id", F.col("new_id"))
+        for part in ("micro_events", "entities", "on_screen_texts"):
+            if part in macros.schema["subgraph"].dataType.names:
+                graph = graph.withField(part, owned(part))
+        ranked = ranked.withColumn("subgraph", F.when(F.col("subgraph").isNotNull(), graph))
+    new_macros = ranked.withColumn("macro_id", F.col("new_id")).drop("new_id")
+    listed = supers.select("chunk", "super_id", F.posexplode("sub_macro_ids").alias("__at", "macro_id")).join(ids, ["chunk", "macro_id"])
+    lists = listed.groupBy("chunk", "super_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "new_id"))), lambda x: x["new_id"]).alias("__ids"))
+    new_supers = supers.join(lists, ["chunk", "super_id"], "left").withColumn("sub_macro_ids", F.coalesce("__ids", F.array().cast("array<string>"))).drop("__ids")
+    out = relations
+    for end in ("source", "target"):
+        out = out.join(ids.select("chunk", F.col("macro_id").alias(end), F.col("new_id").alias(f"__{end}")), ["chunk", end])
+    out = out.withColumns({"source": F.col("__source"), "target": F.col("__target")}).drop("__source", "__target")
+    return new_macros, new_supers, out.select(*relations.columns)

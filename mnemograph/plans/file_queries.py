@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.operators import budget, preview
+from mnemograph.operators import budget, merge, preview
 from mnemograph.plans.queries import query, read
 from mnemograph.session import work_path
 from mnemograph.sources import sessions
@@ -225,3 +225,66 @@ def worker_drain(spark, sf):
     incremental.run_worker(spark, f"{path}/in", "event_id long, event_type string, value double", "event_id", f"{path}/out", f"{path}/cp", work, f"{path}/01_done", f"{path}/02_done")
     known = spark.read.parquet(f"{path}/out").join(read(spark, sf, "events").select("event_id", F.col("event_type").alias("own")), "event_id")
     return known.groupBy(F.col("own").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH h AS (SELECT split_part(split_part(url, '://', 2), '/', 1) AS h, page_id FROM pages WHERE url IS NOT NULL), "
+    "o AS (SELECT h, count(*) AS n, 'by hand ' || h AS mood FROM h WHERE page_id % 4 <> 0 GROUP BY h), w AS (SELECT h, count(*) AS n FROM h WHERE page_id % 4 <> 3 GROUP BY h) "
+    "SELECT 'images/' || h || '.png' AS file, CASE WHEN o.n IS NULL THEN 'new' WHEN w.n IS NULL THEN 'gone' WHEN o.n = w.n THEN 'kept' ELSE 'changed' END AS state, round((coalesce(w.n, o.n) * 100 + 1) / 1024.0, 1) AS size_kb, "
+    "CASE WHEN w.n IS NULL THEN '' ELSE 'of ' || h END AS note, mood, CASE WHEN w.n IS NULL OR o.n = w.n THEN o.n * 1.0 END AS duration FROM o FULL JOIN w USING (h)"
+)
+def manifest_states(spark, sf):
+    """Files of two states of a folder: of each host one whose length is 100 a page, and beside it a note."""
+    from mnemograph.sources.files import manifest_changes, scan_assets
+
+    pages = read(spark, sf, "pages").where("url is not null").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("h"))
+
+    def state(which: str, label: str, notes: bool) -> DataFrame:
+        path = work_path(spark, label)
+        files = pages.where(which).groupBy("h").agg(F.count("*").cast("int").alias("n")).select(F.concat("h", F.lit(".png")).alias("of"), F.repeat(F.lit("x"), F.col("n") * 100).alias("value"), "h")
+        if notes:
+            files = files.unionByName(files.select(F.concat("h", F.lit(".txt")).alias("of"), F.concat(F.lit("  of "), "h").alias("value"), "h"))
+        files.select("of", "value").repartition("of").write.partitionBy("of").text(f"{path}/images")
+        # Spark names its files itself, so the folder's name stands for the file's
+        return scan_assets(spark, path, F.concat_ws("/", F.regexp_extract("path", r"/(images)/of=", 1), F.regexp_extract("path", r"/of=([^/]+)/", 1)), hashed=True)
+
+    prior = state("page_id % 4 <> 0", "old", False)
+    host = F.regexp_extract("file", r"/(.*)\.png$", 1)
+    prior = prior.withColumn("note", F.lit("")).withColumn("mood", F.concat(F.lit("by hand "), host))
+    sizes = pages.where("page_id % 4 <> 0").groupBy("h").agg(F.count("*").cast("double").alias("duration"))
+    prior = prior.withColumn("h", host).join(sizes, "h").drop("h")
+    return manifest_changes(state("page_id % 4 <> 3", "new", True), prior).select("file", "state", "size_kb", "note", "mood", "duration")
+
+
+@query("SELECT 'n' || c_nationkey AS macro_id, c_custkey AS k, 'c' || c_custkey AS name FROM customer WHERE c_nationkey = 7")
+def subgraph_point_read(spark, sf):
+    """All customers by their nation in the store, and one nation's read alone."""
+    from mnemograph.sources import memory
+
+    path = work_path(spark, "graphs")
+    rows = read(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("macro_id"), F.col("c_custkey").alias("k"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"))
+    memory.write_subgraphs(rows, path)
+    return memory.read_subgraph(spark, path, "n7")
+
+
+@query(
+    "WITH m AS (SELECT o_orderkey AS k, o_custkey % 20 AS chunk, o_totalprice AS t, printf('macro_%04d', row_number() OVER (ORDER BY o_totalprice, o_custkey % 20, o_orderkey) - 1) AS id FROM orders), "
+    "e AS (SELECT id, count(*) AS n FROM m JOIN lineitem ON l_orderkey = k GROUP BY id), "
+    "s AS (SELECT chunk, k // 40 AS g, string_agg(id, ',' ORDER BY k) AS subs FROM m GROUP BY ALL) "
+    "SELECT 'macro' AS what, id AS name, id || ':' || coalesce(n, 0) AS refs FROM m LEFT JOIN e USING (id) UNION ALL SELECT 'super', chunk || '/s' || g, subs FROM s "
+    "UNION ALL SELECT 'relation', a.id, b.id FROM m a JOIN m b ON a.chunk = b.chunk AND b.k = a.k + 1"
+)
+def chunk_merge(spark, sf):
+    """Orders as macros of twenty chunks with their lines as events: every reference after the chunks are put together."""
+    own = lambda c: F.concat(F.lit("x"), F.col(c).cast("string"))
+    lines = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("event_id"), F.lit("old").alias("macro_id"))).alias("e"))
+    m = read(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("chunk"), F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("pos"), own("o_orderkey").alias("macro_id"), F.col("o_totalprice").alias("t_start"))
+    none = F.array().cast("array<struct<event_id:string,macro_id:string>>")
+    macros = m.join(lines, "k", "left").withColumn("subgraph", F.struct(F.lit("old").alias("macro_id"), F.coalesce("e", none).alias("micro_events"))).drop("e")
+    supers = m.groupBy("chunk", F.concat(F.lit("s"), F.floor(F.col("k") / 40).cast("string")).alias("super_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "macro_id"))), lambda x: x["macro_id"]).alias("sub_macro_ids"))
+    relations = m.select("chunk", F.col("macro_id").alias("source"), F.concat(F.lit("x"), (F.col("k") + 1).cast("string")).alias("target"))
+    macros, supers, relations = merge.merged_chunks(macros, supers, relations)
+    same = F.size(F.filter("subgraph.micro_events", lambda e: e["macro_id"] == F.col("subgraph.macro_id")))
+    out = macros.select(F.lit("macro").alias("what"), F.col("macro_id").alias("name"), F.concat_ws(":", "subgraph.macro_id", same.cast("string")).alias("refs"))
+    out = out.unionByName(supers.select(F.lit("super").alias("what"), F.concat_ws("/", F.col("chunk").cast("string"), "super_id").alias("name"), F.array_join("sub_macro_ids", ",").alias("refs")))
+    return out.unionByName(relations.select(F.lit("relation").alias("what"), F.col("source").alias("name"), F.col("target").alias("refs")))

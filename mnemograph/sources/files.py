@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -102,10 +104,54 @@ def probe(text: Column) -> Column:
     return F.struct(j["format"]["duration"].try_cast("double").alias("duration"), j["format"]["bit_rate"].try_cast("double").alias("bit_rate"), v["width"].alias("width"), v["height"].alias("height"), v["avg_frame_rate"].alias("frame_rate"))
 
 
-def scan_assets(spark: SparkSession, path: str) -> DataFrame:
-    """(path, extension, size_kb) of all files under a folder; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return files.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("extension"), F.round(F.col("length") / 1024, 1).alias("size_kb"))
+#: Folders of assets, the extensions that belong in each, and what they are (fixed values).
+ASSETS = {
+    "fonts": ("font", ("ttf", "otf", "woff2", "woff")), "sfx": ("audio", ("mp3", "wav", "m4a", "ogg")), "bgm": ("audio", ("mp3", "wav", "m4a", "ogg")),
+    "images": ("image", ("png", "jpg", "jpeg", "webp", "svg")), "clips": ("video", ("mp4", "mov", "webm")),
+}
+
+
+def _relative(path: Column, root: str) -> Column:
+    """Path below ``root``, whatever the scheme says."""
+    return F.regexp_extract(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), rf"{re.escape(root.rstrip('/').split('://')[-1].lstrip('/'))}/(.*)$", 1)
+
+
+def scan_assets(spark: SparkSession, root: str, file: Column | None = None, hashed: bool = False) -> DataFrame:
+    """(file, bucket, kind, name, ext, size_kb, note, content_key) of the assets under ``root``: files in a bucket's folder
+    with one of its extensions. ``note`` is what stands in a text file of the same name beside it (400 characters).
+
+    Only notes are read; with ``hashed`` the contents too, and then ``content_key`` is of the content, else of path,
+    time and size. ``file`` takes a file's name below ``root`` from ``path``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = files.withColumn("file", _relative(F.col("path"), root) if file is None else file).where("file <> ''")
+    bucket, ext = F.element_at(F.split("file", "/"), 1), F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1))
+    stem = F.regexp_replace("file", r"\.[A-Za-z0-9]+$", "")
+    key = F.substring(F.sha1("content"), 1, 16) if hashed else cache_key(F.col("path"), F.col("modificationTime").cast("double"), F.col("length"))
+    listed = files.select("file", bucket.alias("bucket"), ext.alias("ext"), stem.alias("stem"), F.round(F.col("length") / 1024, 1).alias("size_kb"), key.alias("content_key"))
+    known = F.lit(None).cast("string")
+    for b, (kind, exts) in ASSETS.items():
+        known = F.when((F.col("bucket") == b) & F.col("ext").isin(*exts), F.lit(kind)).otherwise(known)
+    notes = files.where(F.endswith(F.col("file"), F.lit(".txt"))).select(stem.alias("stem"), F.substring(F.regexp_replace(F.decode("content", "UTF-8"), r"(?U)^\s+|\s+$", ""), 1, 400).alias("note"))
+    assets = listed.withColumn("kind", known).where("kind is not null").join(notes, "stem", "left")
+    return assets.select("file", "bucket", "kind", F.element_at(F.split("stem", "/"), -1).alias("name"), "ext", "size_kb", F.coalesce("note", F.lit("")).alias("note"), "content_key")
+
+
+def manifest_changes(scanned: DataFrame, prior: DataFrame) -> DataFrame:
+    """``scanned`` against the ``prior`` manifest (file, content_key, ..): ``state`` is new, changed, kept or gone.
+
+    What a scan sees is taken from the scan. Columns that only the prior manifest has were added by hand and are kept;
+    ``duration``, which a probe gives, is kept only where the content is the same, so null says that it is to be probed.
+    Files that are gone keep their prior row. Of a file's several prior rows the largest counts.
+    """
+    by_hand = [c for c in prior.columns if c not in scanned.columns]
+    one = prior.groupBy("file").agg(F.max(F.struct("content_key", *[c for c in prior.columns if c not in ("file", "content_key")])).alias("old"))
+    both = scanned.withColumn("__there", F.lit(True)).join(one, "file", "full_outer")
+    same = F.col("content_key") == F.col("old.content_key")
+    state = F.when(F.col("old").isNull(), "new").when(F.col("__there").isNull(), "gone").when(same, "kept").otherwise("changed")
+    shown = [F.when(F.col("__there").isNull(), F.col(f"old.{c}")).otherwise(F.col(c)).alias(c) if c in prior.columns else F.col(c) for c in scanned.columns if c != "file"]
+    kept = [(F.when(same | F.col("__there").isNull(), F.col(f"old.{c}")) if c == "duration" else F.col(f"old.{c}")).alias(c) for c in by_hand]
+    return both.select("file", *shown, *kept, state.alias("state"))
 
 
 def cache_key(path: Column, mtime: Column, size: Column, *more: Column) -> Column:

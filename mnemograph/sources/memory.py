@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -236,3 +237,20 @@ def with_subgraphs(macros: DataFrame, found: DataFrame) -> DataFrame:
     kinds = F.array_sort(F.array_distinct(F.filter(F.transform(g["micro_events"], lambda e: e["event_type"]), lambda k: k != "")))
     taken = {"key_entities": named, "event_types": kinds, "ocr_texts": F.transform(g["on_screen_texts"], lambda t: t["text"])}
     return joined.withColumns({c: F.when(there, x).otherwise(F.col(c)) if c in macros.columns else F.when(there, x) for c, x in taken.items()}).withColumn("prebuilt", F.coalesce("usable", F.lit(False))).drop("usable")
+
+
+def write_subgraphs(graphs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Subgraphs by ``macro_id`` so that one can be read alone: folders by the id's hash, each one file sorted by id, with
+    a Bloom filter and statistics of small row groups and pages."""
+    placed = graphs.withColumn("bucket", _bucket(F.col("macro_id"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "macro_id")
+    writer = placed.write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#macro_id", "true").option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 1000)
+    writer.parquet(path)
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(buckets)).cast("int")
+
+
+def read_subgraph(spark: SparkSession, path: str, macro_id: str, buckets: int = 64) -> DataFrame:
+    """The rows of one macro: the folder of its id's hash is opened and no other."""
+    return spark.read.parquet(path).where((F.col("bucket") == crc32(macro_id.encode()) % buckets) & (F.col("macro_id") == macro_id)).drop("bucket")
