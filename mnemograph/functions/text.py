@@ -96,6 +96,28 @@ def short_tool(name: Column) -> Column:
     return F.element_at(F.split(name, "__"), -1)
 
 
+#: Keys of a tool's input whose value is a path: its last name is shown (fixed values).
+PATH_KEYS = ("file_path", "image_path", "video_path", "pdf_path", "path")
+
+
+def tool_line(name: Column, given: Column) -> Column:
+    """One line about a tool's input, JSON or text: a command's description or first line, a path's last name, a query,
+    an address, a prompt, else the first short value; of a text its first line that isn't blank."""
+    v = F.try_parse_json(given)
+    whole = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    get = lambda key: F.nullif(F.try_variant_get(v, f"$.{key}", "string"), F.lit(""))
+    line = F.substring(F.trim(F.regexp_extract(given, r"(?m)^.*\S.*$", 0)), 1, 100)
+    own = short_tool(name)
+    shell = F.coalesce(get("description"), F.substring(F.split(F.coalesce(get("command"), F.lit("")), "\n")[0], 1, 100))
+    path = F.coalesce(*(get(k) for k in PATH_KEYS))
+    last = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    fields = F.from_json(given, "map<string,string>")
+    short = F.filter(F.map_values(fields), lambda x: x.isNotNull() & (F.length(x) <= 100) & ~x.rlike(r"^[\[{]"))
+    other = F.coalesce(F.substring(get("prompt"), 1, 100), F.substring(get("query"), 1, 100), F.try_element_at(short, F.lit(1)), F.lit(""))
+    of = F.when(own == "Bash", shell).when(path.isNotNull(), last).when(own == "WebSearch", F.substring(F.coalesce(get("query"), F.lit("")), 1, 100)).when(own == "WebFetch", F.substring(F.coalesce(get("url"), F.lit("")), 1, 100)).otherwise(other)
+    return F.when(whole, of).when(v.isNotNull() & F.ltrim(given).rlike(r"^\["), F.lit("")).otherwise(F.coalesce(line, F.lit("")))
+
+
 def size_bytes(text: Column) -> Column:
     """Bytes of "15 MiB" and the like; null otherwise."""
     shape = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([kmgtKMGT]?)(i?)[bB]?\s*$"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemograph.operators.rank import global_rank
+
 from mnemograph.functions.text import or_na
 
 STRONG_TYPES, STRONG_LABELS = ("CAUSAL", "SPATIAL"), ("USES_TOOL", "RECEIVES", "CONTEXT_FOR")
@@ -108,6 +110,25 @@ def provider_results(df: DataFrame, link: str, title: str, snippet: str, date: s
     return df.select(or_na(F.col(link)).alias("link"), or_na(F.col(title)).alias("title"), or_na(F.col(snippet)).alias("snippet"), (or_na(F.col(date)) if date else F.lit("N/A")).alias("date"))
 
 
+#: Where each shape of a search provider's answer has its rows, link, snippet and date (fixed values).
+SHAPES = {"links": ("organic", "link", "snippet", "date"), "texts": ("results", "url", "text", "publishedDate"), "contents": ("results", "url", "content", "published_date")}
+
+
+def answered(responses: DataFrame, first: int = 1) -> DataFrame:
+    """(no, query_no, link, title, snippet, date) of search answers (query_no, shape, response as JSON), one union of
+    the three shapes: numbered from ``first`` on over all queries, in their order; rows without a link are left out
+    before, other things that are missing are N/A. An answer that is no JSON object has no rows."""
+    row = "struct<link:string,url:string,title:string,snippet:string,text:string,content:string,date:string,publishedDate:string,published_date:string>"
+    parsed = responses.select("query_no", "shape", F.from_json("response", f"organic array<{row}>, results array<{row}>").alias("r"))
+    out = None
+    for shape, (rows, link, snippet, date) in SHAPES.items():
+        own = parsed.where(F.col("shape") == shape).select("query_no", F.posexplode(f"r.{rows}").alias("pos", "d"))
+        own = own.select("query_no", "pos", F.coalesce(f"d.{link}", F.lit("")).alias("link"), *(or_na(F.col(f"d.{c}")).alias(n) for c, n in (("title", "title"), (snippet, "snippet"), (date, "date"))))
+        out = own if out is None else out.unionByName(own)
+    ranked = global_rank(out.where("link <> ''"), F.col("query_no"), F.col("pos"), name="no")
+    return ranked.select((F.col("no") + first).alias("no"), "query_no", "link", "title", "snippet", "date")
+
+
 def summary(roots: DataFrame) -> DataFrame:
     """(video_key, json) of each root, whatever the cutoff."""
     fields = ("title", "description", "themes", "key_entities", "emotional_tone")

@@ -53,6 +53,12 @@ def at_times(macros: DataFrame, start: float = 0.0, end: float = 600.0, cutoff:
     return found if cutoff is None else found.where(F.col("t_start") < cutoff)
 
 
+def time_hits(macros: DataFrame, supers: DataFrame, start: float = 0.0, end: float = 600.0, cutoff: float | None = None) -> DataFrame:
+    """``at_times`` with ``super_event``, the label of the super (super_id, label) that a macro's ``super_id`` names; '' without one."""
+    labels = supers.groupBy("super_id").agg(F.max("label").alias("super_event"))
+    return at_times(macros, start, end, cutoff).join(labels, "super_id", "left").withColumn("super_event", F.coalesce("super_event", F.lit("")))
+
+
 def transcript_texts(macros: DataFrame, segments: DataFrame, width: float = 60.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """(macro_id, asr_text): texts of segments (start_sec, end_sec, text) that overlap a macro, joined
     by a space in time order; a segment across a border is in both; without any it is ''. ``keys``: equal columns besides."""

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import base64
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from mnemograph.operators import budget, merge, preview
+from mnemograph.operators import budget, interval, merge, preview
+from mnemograph.operators.rank import running_count
 from mnemograph.plans.queries import query, read
 from mnemograph.session import work_path
 from mnemograph.sources import sessions
@@ -288,3 +294,106 @@ def chunk_merge(spark, sf):
     out = macros.select(F.lit("macro").alias("what"), F.col("macro_id").alias("name"), F.concat_ws(":", "subgraph.macro_id", same.cast("string")).alias("refs"))
     out = out.unionByName(supers.select(F.lit("super").alias("what"), F.concat_ws("/", F.col("chunk").cast("string"), "super_id").alias("name"), F.array_join("sub_macro_ids", ",").alias("refs")))
     return out.unionByName(relations.select(F.lit("relation").alias("what"), F.col("source").alias("name"), F.col("target").alias("refs")))
+
+
+@query(
+    "WITH p AS (SELECT page_id, page_id // 10 AS q, page_id // 10 % 3 AS s, page_id % 10 AS pos, CASE WHEN page_id % 7 = 3 THEN '' ELSE url END AS link, CASE WHEN page_id % 4 = 1 THEN NULL ELSE left(html, 20) END AS t FROM pages) "
+    "SELECT row_number() OVER (ORDER BY q, pos) + 5 AS no, q AS query_no, link, 'T' || page_id AS title, coalesce(nullif(t, ''), 'N/A') AS snippet, CASE WHEN s = 1 THEN 'd' || page_id ELSE 'N/A' END AS date FROM p WHERE coalesce(link, '') <> ''"
+)
+def provider_union(spark, sf):
+    """Answers of three shapes, ten pages a query, in one union with numbers that go on over the queries."""
+    from mnemograph.operators.graph import SHAPES, answered
+
+    p = read(spark, sf, "pages").withColumn("q", F.floor(F.col("page_id") / 10)).withColumn("link", F.when(F.col("page_id") % 7 == 3, F.lit("")).otherwise(F.col("url"))).withColumn("t", F.when(F.col("page_id") % 4 != 1, F.substring("html", 1, 20)))
+    title, out = F.concat(F.lit("T"), F.col("page_id").cast("string")).alias("title"), None
+    for i, (shape, (rows, link, snippet, date)) in enumerate(SHAPES.items()):
+        when = F.when(F.lit(i == 1), F.concat(F.lit("d"), F.col("page_id").cast("string"))).alias(date)
+        own = p.where(F.col("q") % 3 == i).groupBy(F.col("q").alias("query_no")).agg(F.array_sort(F.collect_list(F.struct("page_id", F.struct(F.col("link").alias(link), title, F.col("t").alias(snippet), when).alias("d")))).alias("l"))
+        own = own.select("query_no", F.lit(shape).alias("shape"), F.to_json(F.struct(F.transform("l", lambda x: x["d"]).alias(rows))).alias("response"))
+        out = own if out is None else out.unionByName(own)
+    return answered(out, first=6)
+
+
+@query("SELECT 'c' || c_custkey AS macro_id, c_name AS label, CASE WHEN c_nationkey % 6 = 0 THEN '' ELSE n_name END AS super_event FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal <= 600 AND c_acctbal + 10 >= 0 AND c_acctbal < 500")
+def time_search_labels(spark, sf):
+    """Customers as macros timed by their balance, with their nation's name where it is a super."""
+    c = read(spark, sf, "customer")
+    macros = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("macro_id"), F.col("c_name").alias("label"), F.col("c_nationkey").alias("super_id"), F.col("c_acctbal").alias("t_start"), (F.col("c_acctbal") + 10).alias("t_end"))
+    supers = read(spark, sf, "nation").where("n_nationkey % 6 <> 0").select(F.col("n_nationkey").alias("super_id"), F.col("n_name").alias("label"))
+    return interval.time_hits(macros, supers, cutoff=500.0).select("macro_id", "label", "super_event")
+
+
+@query(
+    "SELECT p_partkey, i AS index, ['video', 'audio', 'video'][i + 1] AS kind, CASE WHEN i = 1 THEN 0.0 ELSE 30000 / 1001.0 END AS rate, CASE WHEN i > 0 THEN 0 WHEN p_size % 2 = 0 THEN -90 WHEN p_size % 3 = 0 THEN 180 ELSE 0 END AS rotation, CASE WHEN i = 1 THEN 'eng' END AS language, CASE WHEN i = 0 THEN 'default,forced' ELSE '' END AS flags, p_size % 3 AS n_chapters "
+    "FROM part, range(0, 3) g(i) WHERE i < 1 + p_partkey % 3"
+)
+def probe_streams(spark, sf):
+    """Probes of one to three streams and up to two chapters, built from parts."""
+    from mnemograph.sources.documents import probe_tables
+
+    side = F.when(F.col("p_size") % 2 == 0, F.lit(', "side_data_list": [{"x": 1}, {"rotation": -90}]')).otherwise(F.lit(""))
+    tag = F.when(F.col("p_size") % 3 == 0, F.lit('{"rotate": "180"}')).otherwise(F.lit("{}"))
+    streams = F.array(
+        F.concat(F.lit('{"index": 0, "codec_type": "video", "avg_frame_rate": "30000/1001", "disposition": {"forced": 1, "default": 1, "dub": 0}, "tags": '), tag, side, F.lit("}")),
+        F.lit('{"index": 1, "codec_type": "audio", "tags": {"language": "eng"}}'), F.lit('{"codec_type": "video", "avg_frame_rate": "30000/1001"}'),
+    )
+    chapters = F.slice(F.array(F.lit('{"start_time": "0", "end_time": "1.5"}'), F.lit('{"start_time": "1.5", "end_time": "x"}')), F.lit(1), (F.col("p_size") % 3).cast("int"))
+    text = F.concat(F.lit('{"format": {"duration": "2.5"}, "streams": ['), F.array_join(F.slice(streams, F.lit(1), (1 + F.col("p_partkey") % 3).cast("int")), ", "), F.lit('], "chapters": ['), F.array_join(chapters, ", "), F.lit("]}"))
+    t = probe_tables(read(spark, sf, "part").select("p_partkey", text.alias("text")))
+    n = t["chapters"].groupBy("p_partkey").agg(F.count("*").alias("n_chapters"))
+    return t["streams"].join(n, "p_partkey", "left").select("p_partkey", "index", F.col("codec_type").alias("kind"), "rate", F.coalesce("rotation", F.lit(0)).alias("rotation"), "language", F.array_join("flags", ",").alias("flags"), F.coalesce("n_chapters", F.lit(0)).alias("n_chapters"))
+
+
+@query(
+    f"WITH r AS (SELECT *, conv_id % 8 AS nb, {TRIM} AS t, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS cell FROM conversations), "
+    "b AS (SELECT nb, cell, -1 AS spot, 'text' AS kind, CASE WHEN role = 'user' THEN t ELSE 'In [' || CASE WHEN cell = 0 THEN ' ' ELSE CAST(cell AS VARCHAR) END || ']:' || chr(10) || '```python' || chr(10) || t || chr(10) || '```' END AS text FROM r WHERE t <> '' "
+    "UNION ALL SELECT nb, cell, 0, CASE cell % 4 WHEN 3 THEN 'image' ELSE 'text' END, CASE cell % 4 WHEN 0 THEN '[stdout]' || chr(10) || CASE WHEN length(t) > 400 THEN left(t, 400) || chr(10) || '... (truncated)' ELSE t END WHEN 1 THEN '[error] E: ' || turn WHEN 2 THEN 'Out: ' || turn ELSE 'QQ==' END FROM r WHERE role <> 'user'), "
+    "i AS (SELECT *, count(*) FILTER (kind = 'image') OVER (PARTITION BY nb ORDER BY cell, spot ROWS UNBOUNDED PRECEDING) AS n FROM b), "
+    "k AS (SELECT nb, cell, spot, kind, text FROM i WHERE kind = 'text' OR n <= 3 UNION ALL SELECT nb, 1000000000, 0, 'text', '... (image outputs capped at 3; raise max_pages for more)' FROM i GROUP BY nb HAVING max(n) > 3) "
+    "SELECT nb, row_number() OVER (PARTITION BY nb ORDER BY cell, spot) - 1 AS block_no, kind, text FROM k"
+)
+def notebook_outputs(spark, sf):
+    """Eight notebooks of all turns: users' as Markdown, others' as code with an output of one of four kinds."""
+    from mnemograph.sources.documents import notebook_blocks
+
+    r = read(spark, sf, "conversations").withColumn("nb", F.col("conv_id") % 8)
+    cell = running_count(r.withColumn("place", F.col("conv_id") * 1000 + F.col("turn")), ["nb"], "place", F.lit(True), "cell").withColumn("cell", F.col("cell") - 1)
+    turn, n = F.col("turn").cast("string"), F.col("cell").cast("string")
+    # the text alone, without the braces around its object
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    output = F.when(F.col("cell") % 4 == 0, F.concat(F.lit('{"output_type": "stream", "text": ['), quoted, F.lit("]}"))).when(F.col("cell") % 4 == 1, F.concat(F.lit('{"output_type": "error", "ename": "E", "evalue": "'), turn, F.lit('"}')))
+    output = output.when(F.col("cell") % 4 == 2, F.concat(F.lit('{"output_type": "execute_result", "data": {"text/plain": "'), turn, F.lit('"}}'))).otherwise(F.lit('{"output_type": "display_data", "data": {"text/plain": "no", "image/jpeg": ["QQ", "=="]}}'))
+    code = F.concat(F.lit('{"cell_type": "code", "execution_count": '), n, F.lit(', "source": '), quoted, F.lit(', "outputs": ['), output, F.lit("]}"))
+    body = F.when(F.col("role") == "user", F.concat(F.lit('{"cell_type": "markdown", "source": ['), quoted, F.lit("]}"))).otherwise(code)
+    books = cell.groupBy("nb").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", body.alias("b")))), lambda x: x["b"]), ", ").alias("b"))
+    path = work_path(spark, "notebooks")
+    books.select("nb", F.concat(F.lit('{"cells": ['), "b", F.lit("]}")).alias("value")).write.partitionBy("nb").text(path)
+    return notebook_blocks(spark, path, most_images=3, most_chars=400).select(F.regexp_extract("path", r"/nb=(\d+)/", 1).cast("long").alias("nb"), "block_no", "kind", "text")
+
+
+@query("SELECT 'n' || c_nationkey AS drawing, 'c' || c_custkey AS id, c_name || ' & <co>' AS label, c_custkey % 5 = 0 AS is_edge, CAST(c_custkey % 300 AS DOUBLE) AS x, CASE WHEN c_custkey % 2 = 0 THEN 0.0 ELSE 7.5 END AS y, 40.0 AS width FROM customer WHERE c_custkey % 11 <> 0")
+def drawing_models(spark, sf):
+    """A drawing for each nation, in turn as XML, URL-encoded and deflated, with a cell for each of its customers."""
+    from mnemograph.sources.documents import drawing_cells
+
+    c = read(spark, sf, "customer")
+    no = F.col("c_custkey").cast("string")
+    geometry = F.concat(F.lit('<mxGeometry x="'), (F.col("c_custkey") % 300).cast("string"), F.lit('"'), F.when(F.col("c_custkey") % 2 == 0, F.lit("")).otherwise(F.lit(' y="7.5"')), F.lit(' width="40" as="geometry"/>'))
+    head = F.concat(F.lit('<mxCell id="c'), no, F.lit('" value="'), F.col("c_name"), F.lit(' &amp; &lt;co&gt;" style="rounded=1"'), F.when(F.col("c_custkey") % 5 == 0, F.lit(' edge="1"')).otherwise(F.lit("")))
+    cell = F.when(F.col("c_custkey") % 11 == 0, F.concat(head, F.lit("/>"))).otherwise(F.concat(head, F.lit(">"), geometry, F.lit("</mxCell>")))
+    models = c.groupBy("c_nationkey").agg(F.concat(F.lit("<mxGraphModel><root>"), F.array_join(F.collect_list(cell), "\n"), F.lit("</root></mxGraphModel>")).alias("m"))
+    coded = F.when(F.col("c_nationkey") % 3 == 0, F.col("m")).when(F.col("c_nationkey") % 3 == 1, F.regexp_replace(F.url_encode("m"), r"\+", "%20")).otherwise(_deflated("m"))
+    path = work_path(spark, "drawings")
+    models.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("of"), F.concat(F.lit('<mxfile><diagram id="d" name="p">'), coded, F.lit("</diagram></mxfile>")).alias("value")).write.partitionBy("of").text(path)
+    return drawing_cells(spark, path).select(F.regexp_extract("path", r"/of=(\w+)/", 1).alias("drawing"), "id", "label", "is_edge", "x", "y", "width")
+
+
+@F.pandas_udf(StringType())
+def _deflated(texts: pd.Series) -> pd.Series:
+    """Base64 of a raw deflate stream of each text."""
+
+    def one(text: str) -> str:
+        press = zlib.compressobj(wbits=-zlib.MAX_WBITS)
+        return base64.b64encode(press.compress(text.encode()) + press.flush()).decode()
+
+    return texts.map(one)
