@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.operators.rank import global_rank
-
 from mnemograph.functions.text import or_na
+from mnemograph.operators.rank import global_rank
 
 STRONG_TYPES, STRONG_LABELS = ("CAUSAL", "SPATIAL"), ("USES_TOOL", "RECEIVES", "CONTEXT_FOR")
 
@@ -18,25 +17,30 @@ def visible(cutoff: float | None, start: Column | None = None) -> Column:
 
 
 def members(supers: DataFrame) -> DataFrame:
-    """(super_id, pos, macro_id) from sub_macro_ids."""
+    """(super_id, pos, macro_id) from sub_macro_ids, or from supers that have a row a member already."""
+    if "macro_id" in supers.columns:
+        return supers.select("super_id", "pos", "macro_id")
     return supers.select("super_id", F.posexplode("sub_macro_ids").alias("pos", "macro_id"))
 
 
-def super_events(supers: DataFrame, macros: DataFrame, cutoff: float | None = None) -> DataFrame:
-    """Supers with their visible macros' number and ids in order; those without any are left out."""
+def super_events(supers: DataFrame, macros: DataFrame, cutoff: float | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """Supers with their visible macros' number and ids in order; those without any are left out.
+
+    ``listed`` (super_id, pos, macro_id), here and below: membership as rows, in place of the arrays sub_macro_ids.
+    """
     seen = macros.where(visible(cutoff)).select("macro_id").distinct()
-    kept = members(supers).join(seen, "macro_id").groupBy("super_id").agg(F.count("*").alias("num_macros"), F.array_sort(F.collect_list(F.struct("pos", "macro_id"))).alias("m"))
+    kept = members(supers if listed is None else listed).join(seen, "macro_id").groupBy("super_id").agg(F.count("*").alias("num_macros"), F.array_sort(F.collect_list(F.struct("pos", "macro_id"))).alias("m"))
     return supers.drop("sub_macro_ids").join(kept, "super_id").withColumn("macro_ids", F.transform("m", lambda x: x["macro_id"])).drop("m")
 
 
-def macro_events(macros: DataFrame, supers: DataFrame | None = None, super_id: str | None = None, macro_ids: list[str] | None = None, cutoff: float | None = None) -> DataFrame:
+def macro_events(macros: DataFrame, supers: DataFrame | None = None, super_id: str | None = None, macro_ids: list[str] | None = None, cutoff: float | None = None, listed: DataFrame | None = None) -> DataFrame:
     """Macros by ids (their order, repeats kept, unknown ones dropped), else of a super, else all."""
     shown = macros.where(visible(cutoff))
     if macro_ids:
         asked = macros.sparkSession.createDataFrame(list(enumerate(macro_ids)), "pos int, macro_id string")
         return F.broadcast(asked).join(shown, "macro_id").orderBy("pos").drop("pos")
     if super_id:
-        asked = members(supers.where(F.col("super_id") == super_id))
+        asked = members((supers if listed is None else listed).where(F.col("super_id") == super_id))
         if not supers.where(F.col("super_id") == super_id).limit(1).count():
             raise ValueError(f"unknown super event: {super_id}")
         return asked.drop("super_id").join(shown, "macro_id").orderBy("pos").drop("pos")
@@ -48,7 +52,8 @@ def super_of_macro(supers: DataFrame, order: str = "super_id") -> DataFrame:
 
     Rows have no order of their own, so a file's order must come as a column (``pos`` of the supers' table).
     """
-    listed = supers.select("super_id", F.struct(order, F.col("super_id").alias("id")).alias("at"), F.explode("sub_macro_ids").alias("macro_id"))
+    macro = F.col("macro_id") if "macro_id" in supers.columns else F.explode("sub_macro_ids").alias("macro_id")
+    listed = supers.select("super_id", F.struct(order, F.col("super_id").alias("id")).alias("at"), macro)
     return listed.groupBy("macro_id").agg(F.max_by("super_id", "at").alias("super_id"))
 
 
@@ -88,9 +93,9 @@ def neighbours(edges: DataFrame, nodes: DataFrame, directed: DataFrame | None =
     return both.join(names, "neighbour_id", "left").select("node_id", "neighbour_id", "direction", "relation_label", text.alias("neighbour"))
 
 
-def hit_details(hits: DataFrame, nodes: DataFrame, macros: DataFrame, supers: DataFrame, order: str = "super_id") -> DataFrame:
+def hit_details(hits: DataFrame, nodes: DataFrame, macros: DataFrame, supers: DataFrame, order: str = "super_id", listed: DataFrame | None = None) -> DataFrame:
     """Hits (node_id, ...) with their node, macro label and super label."""
-    sup = super_of_macro(supers, order).join(supers.select("super_id", F.col("label").alias("super_label")), "super_id")
+    sup = super_of_macro(supers if listed is None else listed, order).join(supers.select("super_id", F.col("label").alias("super_label")), "super_id")
     mac = macros.select("macro_id", F.col("label").alias("macro_label"), "t_start", "t_end")
     return hits.join(nodes, "node_id", "left").join(mac, "macro_id", "left").join(sup, "macro_id", "left")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemograph.operators.rank import running_count
+
 
 def beat_fit(beats: DataFrame, key: str) -> DataFrame:
     """(key, t0, period, bpm, worst_ms, trusted) of beats (key, i, t): a least-squares line."""
@@ -21,11 +23,14 @@ def envelope(samples: DataFrame, key: str, window: int) -> DataFrame:
 
 
 def silences(levels: DataFrame, key: str, order: str, value: str, below: float, least: int) -> DataFrame:
-    """(key, first, last, n): runs of ``least`` or more consecutive rows under ``below``."""
-    w = Window.partitionBy(key).orderBy(order)
-    numbered = levels.select(key, order, (F.col(value) < below).alias("low"), F.row_number().over(w).alias("i"))
-    runs = numbered.where("low").withColumn("g", F.col("i") - F.row_number().over(w))
-    return runs.groupBy(key, "g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("g")
+    """(key, first, last, n): runs of ``least`` or more consecutive rows under ``below``, by the integer ``order``.
+
+    The rows of a run have the same number of other rows before them, so a key isn't one task's.
+    """
+    low = F.coalesce(F.col(value) < below, F.lit(False))
+    counted = running_count(levels.select(key, order, low.alias("low")), [key], order, ~F.col("low"), "g")
+    runs = counted.where("low").groupBy(key, "g")
+    return runs.agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("g")
 
 
 def picture_stats(frames: DataFrame, key: str, depth: int = 8) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemograph.functions import geometry, media, text, timeexpr
 from mnemograph.operators import graph, index, interval, layout, merge, preview, segment, signal, stored_index, trace
-from mnemograph.operators.rank import global_rank
+from mnemograph.operators.rank import global_rank, running_count
 from mnemograph.session import work_path
 
 QUERIES: dict = {}
@@ -266,35 +266,34 @@ def subgraph_detail(spark, sf):
     return graph.labelled(graph.strong(typed), nodes).groupBy("relation_label", "source_label", "target_label").agg(F.count("*").alias("n"))
 
 
-def hierarchy(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Nations as supers, their customers as macros, timed by their balance."""
-    c = read(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("macro_id"), F.col("c_name").alias("label"), "c_nationkey", F.col("c_acctbal").alias("t_start"), (F.col("c_acctbal") + 10).alias("t_end"))
-    supers = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("macro_id")).alias("sub_macro_ids"))
-    named = supers.join(F.broadcast(read(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
-    return named.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("super_id"), F.col("n_name").alias("label"), "sub_macro_ids"), c.drop("c_nationkey")
+def hierarchy(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nations as supers, their customers as macros, timed by their balance, and a row for each member."""
+    c = read(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("macro_id"), F.col("c_name").alias("label"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("super_id"), F.col("c_acctbal").alias("t_start"), (F.col("c_acctbal") + 10).alias("t_end"))
+    supers = read(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("super_id"), F.col("n_name").alias("label"))
+    return supers, c.drop("super_id"), c.select("super_id", F.col("macro_id").alias("pos"), "macro_id")
 
 
 @query("SELECT 'n' || n_nationkey AS super_id, n_name AS label, count(*) AS num_macros, string_agg('c' || c_custkey, ',' ORDER BY 'c' || c_custkey) AS macros FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 5000 GROUP BY ALL")
 def super_rollup(spark, sf):
-    supers, macros = hierarchy(spark, sf)
-    return graph.super_events(supers, macros, cutoff=5000).select("super_id", "label", "num_macros", F.array_join("macro_ids", ",").alias("macros"))
+    supers, macros, listed = hierarchy(spark, sf)
+    return graph.super_events(supers, macros, cutoff=5000, listed=listed).select("super_id", "label", "num_macros", F.array_join("macro_ids", ",").alias("macros"))
 
 
 @query("SELECT 'n' || c_nationkey AS super_id, round(min(c_acctbal), 2) AS t_start, round(max(c_acctbal + 10), 2) AS t_end FROM customer GROUP BY ALL")
 def super_time_range(spark, sf):
-    supers, macros = hierarchy(spark, sf)
-    return graph.super_ranges(supers, macros).withColumns({c: F.round(c, 2) for c in ("t_start", "t_end")})
+    _, macros, listed = hierarchy(spark, sf)
+    return graph.super_ranges(listed, macros).withColumns({c: F.round(c, 2) for c in ("t_start", "t_end")})
 
 
 @query("SELECT 'c' || c_custkey AS macro_id, c_name AS label, c_acctbal AS t_start FROM customer WHERE c_nationkey = 3 AND c_acctbal < 8000")
 def macro_drilldown(spark, sf):
-    supers, macros = hierarchy(spark, sf)
-    return graph.macro_events(macros, supers, super_id="n3", cutoff=8000).select("macro_id", "label", "t_start")
+    supers, macros, listed = hierarchy(spark, sf)
+    return graph.macro_events(macros, supers, super_id="n3", cutoff=8000, listed=listed).select("macro_id", "label", "t_start")
 
 
 @query("SELECT 'c' || c_custkey AS macro_id, 'n' || c_nationkey AS super_id FROM customer")
 def super_backlink(spark, sf):
-    return graph.super_of_macro(hierarchy(spark, sf)[0])
+    return graph.super_of_macro(hierarchy(spark, sf)[2])
 
 
 #: Sentences end after these; the fold joins one to the last chunk while both have 500 characters at most.
@@ -336,11 +335,11 @@ def node_union(spark, sf):
 )
 def hit_details(spark, sf):
     """The 50 best hits with their node, macro and super."""
-    supers, macros = hierarchy(spark, sf)
+    supers, macros, listed = hierarchy(spark, sf)
     orders = read(spark, sf, "orders")
     hits = index.top(orders.select(F.col("o_orderkey").alias("node_id"), F.col("o_totalprice").alias("score")), 50)
     nodes = orders.select(F.col("o_orderkey").alias("node_id"), F.col("o_orderstatus").alias("node_type"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("macro_id"))
-    return graph.hit_details(hits, nodes, macros, supers).select("node_id", "score", "node_type", "macro_id", "macro_label", F.col("t_start").cast("double").alias("t_start"), "super_id", "super_label")
+    return graph.hit_details(hits, nodes, macros, supers, listed=listed).select("node_id", "score", "node_type", "macro_id", "macro_label", F.col("t_start").cast("double").alias("t_start"), "super_id", "super_label")
 
 
 @query("WITH m AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) SELECT o_orderkey, o_custkey AS source, o_orderkey % 97 + 1 AS target FROM orders WHERE o_custkey IN (SELECT k FROM m) AND o_orderkey % 97 + 1 IN (SELECT k FROM m)")
@@ -566,10 +565,8 @@ BEAT = "be AS (SELECT user_id % 10 AS k, row_number() OVER (PARTITION BY user_id
 
 @query(f"WITH {BEAT}, f AS (SELECT k, regr_slope(t, i) AS p, regr_intercept(t, i) AS t0 FROM be GROUP BY k) SELECT k, round(any_value(t0), 6) AS t0, round(any_value(p), 6) AS period, round(60 / any_value(p), 6) AS bpm, round(max(abs(t - t0 - i * p)) * 1000, 4) AS worst_ms, max(abs(t - t0 - i * p)) * 1000 <= 15 AS trusted FROM be JOIN f USING (k) GROUP BY k")
 def beat_fit(spark, sf):
-    from pyspark.sql import Window
-
-    ev = read(spark, sf, "events").withColumn("k", F.col("user_id") % 10)
-    i = F.row_number().over(Window.partitionBy("k").orderBy("event_id")) - 1
+    i = F.col("n") - 1
+    ev = running_count(read(spark, sf, "events").withColumn("k", F.col("user_id") % 10), ["k"], "event_id", F.lit(True), "n")
     got = signal.beat_fit(ev.select("k", i.alias("i"), (0.5 * i + (F.col("event_id") % 7) / 1000.0).alias("t")), "k")
     return got.select("k", F.round("t0", 6).alias("t0"), F.round("period", 6).alias("period"), F.round("bpm", 6).alias("bpm"), F.round("worst_ms", 4).alias("worst_ms"), "trusted")
 
@@ -731,3 +728,30 @@ def node_ids(spark, sf):
 def window_supers(spark, sf):
     macros = user_days(spark, sf).select("macro_id", F.col("macro_id").alias("label"), "t_start", "t_end")
     return segment.window_supers(macros, F.col("t_start")).select("super_id", "label", "num_macros", "t_start", "t_end", "description")
+
+
+@query(
+    "WITH m AS (SELECT 'c' || c_custkey AS macro_id, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer), g AS (SELECT *, CAST(floor(pos / (SELECT greatest(1, count(*) // 10) FROM customer)) AS BIGINT) AS g FROM m) "
+    "SELECT 'super_' || CASE WHEN g < 10 THEN '0' ELSE '' END || g AS super_id, 'Phase ' || (g + 1) AS label, pos, macro_id FROM g"
+)
+def fallback_members(spark, sf):
+    """The fallback's groups as a row a member."""
+    c = read(spark, sf, "customer")
+    m = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("macro_id"), F.col("c_custkey").alias("t_start"))
+    return segment.grouped(m, F.col("t_start"), max(1, m.count() // 10), "Phase")
+
+
+FORMS = "t AS (SELECT event_id, event_id % 7 AS f, event_id % 50 AS v, lpad(CAST(event_id % 50 AS VARCHAR), 2, '0') AS s FROM events)"
+
+
+@query(
+    f"WITH {FORMS} SELECT event_id, CAST(CASE f WHEN 0 THEN 103720 + v WHEN 1 THEN 214700 + v WHEN 2 THEN 3720 + v WHEN 3 THEN v + 0.5 ELSE 0 END AS DOUBLE) AS item, CAST(CASE f WHEN 0 THEN 103720 + v END AS DOUBLE) AS argument, CAST(CASE f WHEN 0 THEN 3720 + v WHEN 1 THEN 14700 + v WHEN 2 THEN 3720 + v WHEN 3 THEN v + 0.5 END AS DOUBLE) AS plain, "
+    "CAST(CASE f WHEN 0 THEN 103720 + v WHEN 1 THEN 214700 + v WHEN 3 THEN v + 0.5 END AS DOUBLE) AS day_based, CAST(CASE f WHEN 2 THEN 3720 + v WHEN 3 THEN v + 0.5 WHEN 6 THEN 300 + v END AS DOUBLE) AS build, CAST(CASE f WHEN 2 THEN 3720 + v WHEN 3 THEN v + 0.5 WHEN 4 THEN v WHEN 6 THEN 300 + v END AS DOUBLE) AS shared FROM t"
+)
+def time_variants(spark, sf):
+    """Seven ways to write a time under each of the parsers."""
+    s, f = F.lpad((F.col("event_id") % 50).cast("string"), 2, "0"), F.col("event_id") % 7
+    ways = [F.concat(F.lit("DAY2 01:02:"), s), F.concat(F.lit("day3_04:05:"), s), F.concat(F.lit("01:02:"), s), F.concat(s, F.lit(".5")), F.concat(s, F.lit("s")), F.lit("junk"), F.concat(F.lit("05:"), s)]
+    t = read(spark, sf, "events").select("event_id", F.element_at(F.array(*ways), (f + 1).cast("int")).alias("t"))
+    parsers = {"item": timeexpr.parse_item, "argument": timeexpr.parse_day_argument, "plain": timeexpr.parse_plain, "day_based": timeexpr.parse_day_based, "build": timeexpr.parse_build, "shared": timeexpr.parse_shared}
+    return t.select("event_id", *(p(F.col("t")).alias(n) for n, p in parsers.items()))
