@@ -15,7 +15,7 @@ from mnemograph.operators.rank import running_count
 from mnemograph.plans.queries import query, read
 from mnemograph.session import work_path
 from mnemograph.sources import sessions
-from mnemograph.sources.files import read_session, read_srt
+from mnemograph.sources.files import read_code, read_csv, read_dotenv, read_session, read_srt, read_vtt
 from mnemograph.streaming import incremental
 
 
@@ -397,3 +397,91 @@ def _deflated(texts: pd.Series) -> pd.Series:
         return base64.b64encode(press.compress(text.encode()) + press.flush()).decode()
 
     return texts.map(one)
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name || ', \"' || s_suppkey || '\"' AS name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_acctbal END AS balance FROM supplier")
+def csv_files(spark, sf):
+    """Suppliers as CSV with quotes, commas and gaps, read with the types that the values show."""
+    path, own = work_path(spark, "csv"), F.concat(F.col("s_name"), F.lit(', "'), F.col("s_suppkey").cast("string"), F.lit('"'))
+    rows = read(spark, sf, "supplier").select("s_suppkey", own.alias("name"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("balance"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return read_csv(spark, path)
+
+
+@query(
+    "SELECT 'n' || c_nationkey AS map, c_custkey % 3 AS shape, count(*) AS n, count(*) FILTER (c_custkey % 4 <> 0) AS valued, CAST(coalesce(sum(CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END), 0) AS BIGINT) AS total FROM customer GROUP BY ALL"
+)
+def geojson_features(spark, sf):
+    """A map for each nation with its customers as features of three shapes; those with a value and those without."""
+    from mnemograph.sources.files import numeric_split, read_geojson
+
+    c = read(spark, sf, "customer")
+    shape = F.element_at(F.array(F.lit("Point"), F.lit("LineString"), F.lit("Polygon")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    geometry = F.struct(shape.alias("type"), F.array(F.col("c_custkey") * 1.5, F.lit(2.0)).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey")).alias("value")).alias("properties"))
+    maps = c.groupBy("c_nationkey").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    path = work_path(spark, "maps")
+    maps.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("of"), "value").write.partitionBy("of").text(path)
+    rows = read_geojson(spark, path).select(F.regexp_extract("path", r"/of=(\w+)/", 1).alias("map"), "geometry", F.col("geometry_type").alias("kind"), F.col("properties")["value"].cast("long").alias("value"))
+    name, there, absent = numeric_split(rows)
+    both = there.select("map", "kind", F.col(name).alias("v")).unionByName(absent.select("map", "kind", F.lit(None).cast("long").alias("v")))
+    no = F.array_position(F.array(F.lit("Point"), F.lit("LineString"), F.lit("Polygon")), F.col("kind")) - 1
+    return both.groupBy("map", no.alias("shape")).agg(F.count("*").alias("n"), F.count("v").alias("valued"), F.coalesce(F.sum("v"), F.lit(0)).alias("total"))
+
+
+@query(f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue, '00:0' || turn || '.000 --> 00:0' || (turn + 1) || '.500' AS time, {ONE_LINE} AS text FROM conversations WHERE turn < 9")
+def vtt_files(spark, sf):
+    """A WebVTT file for each conversation, read back."""
+    path = work_path(spark, "vtt")
+    rows = read(spark, sf, "conversations").where("turn < 9")
+    cue = F.concat(F.format_string("00:0%d.000 --> 00:0%d.500\n", F.col("turn"), F.col("turn") + 1), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    head = rows.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("WEBVTT").alias("cue"))
+    preview.write_ordered(rows.select("conv_id", "turn", cue.alias("cue")).unionByName(head), "conv_id", "turn", "cue", path)
+    return read_vtt(spark, path).select(F.regexp_extract("path", r"/conv_id=(\d+)/", 1).cast("long").alias("conv_id"), F.col("cue").cast("long").alias("cue"), "time", "text")
+
+
+@query("SELECT 's' || s_nationkey AS file, 'KEY_' || s_suppkey % 3 AS key, 'v ' || max(s_suppkey) AS value FROM supplier GROUP BY ALL")
+def dotenv_files(spark, sf):
+    """A configuration for each nation's suppliers, with comments, quotes and names that come again; the last counts."""
+    no = F.col("s_suppkey").cast("string")
+    value = F.concat(F.lit("v "), no)
+    quoted = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit('"'), value, F.lit('"'))).when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("'"), value, F.lit("'"))).otherwise(F.concat(value, F.lit("  # note")))
+    line = F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lit("export ")).otherwise(F.lit("  ")), F.lit("KEY_"), (F.col("s_suppkey") % 3).cast("string"), F.lit(" = "), quoted)
+    rows = read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("of"), "s_suppkey", F.concat(F.lit("# KEY_0=no\n"), line).alias("line"))
+    path = work_path(spark, "env")
+    preview.write_ordered(rows, "of", "s_suppkey", "line", path)
+    return read_dotenv(spark, path).select(F.regexp_extract("path", r"/of=(\w+)/", 1).alias("file"), "key", "value")
+
+
+@query(
+    "SELECT 'f' || conv_id || CASE conv_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.RS' WHEN 2 THEN '.txt' ELSE '.yml' END AS file, CASE conv_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN '' ELSE 'yaml' END AS language, "
+    "CAST(2 * count(*) AS INTEGER) AS n_lines, string_agg('line ' || turn || chr(10), chr(10) ORDER BY turn) FILTER (turn < 2) AS head, 2 * count(*) > 4 AS truncated FROM conversations GROUP BY conv_id"
+)
+def code_files(spark, sf):
+    """A file for each conversation: its language, how many lines, and the first four."""
+    ext = F.element_at(F.array(F.lit(".py"), F.lit(".RS"), F.lit(".txt"), F.lit(".yml")), (F.col("conv_id") % 4 + 1).cast("int"))
+    rows = read(spark, sf, "conversations").select(F.concat(F.lit("f"), F.col("conv_id").cast("string"), ext).alias("of"), "turn", F.concat(F.lit("line "), F.col("turn").cast("string")).alias("line"))
+    path = work_path(spark, "code")
+    preview.write_ordered(rows, "of", "turn", "line", path)
+    name = F.regexp_extract("path", r"/of=([^/]+)/", 1)
+    return read_code(spark, path, 4, name).select(name.alias("file"), "language", F.col("n_lines").cast("int").alias("n_lines"), F.col("text").alias("head"), "truncated")
+
+
+@query(
+    "WITH x AS (SELECT event_id, event_id * 977 % 9000 / 10.0 AS sec, event_id * 7919 % 5000000 AS bps, event_id * 104729 % 4000000000 AS size FROM events) SELECT event_id, "
+    "CASE WHEN sec <= 0 THEN 'unknown duration' WHEN floor(sec / 3600) > 0 THEN CAST(floor(sec / 3600) AS BIGINT) || ':' || lpad(CAST(CAST(floor(sec % 3600 / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || printf('%04.1f', sec % 60) || ' (' || printf('%.2f', sec) || 's)' ELSE CAST(floor(sec / 60) AS BIGINT) || ':' || printf('%04.1f', sec % 60) || ' (' || printf('%.2f', sec) || 's)' END AS duration, "
+    "CASE WHEN bps >= 1000000 THEN printf('%.2f', bps / 1e6) || ' Mb/s' WHEN bps > 0 THEN printf('%.0f', bps / 1e3) || ' kb/s' END AS bitrate, CASE WHEN size >= 1073741824 THEN printf('%.2f', size / 1073741824.0) || ' GiB' WHEN size > 0 THEN printf('%.2f', size / 1048576.0) || ' MiB' END AS size, "
+    "CASE WHEN event_id % 3 = 0 THEN (event_id % 60) * 1000 / 1001.0 WHEN event_id % 3 = 1 THEN event_id % 60 ELSE 0.0 END AS rate, CAST((event_id % 90) * CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1024 ELSE 1073741824 END AS BIGINT) AS bytes, "
+    "'see /path/to/f' || event_id || '.png and http://h/a/b.c' AS shown FROM x"
+)
+def media_texts(spark, sf):
+    """Durations, rates and sizes as texts and back, and paths cut to their names."""
+    from mnemograph.functions import media, text
+
+    e, no = F.col("event_id"), F.col("event_id").cast("string")
+    rate = F.when(e % 3 == 0, F.concat(((e % 60) * 1000).cast("string"), F.lit("/1001"))).when(e % 3 == 1, (e % 60).cast("string")).otherwise(F.lit("0/0"))
+    unit = F.element_at(F.array(F.lit(" b"), F.lit("kB"), F.lit(" KiB"), F.lit(" GiB")), (e % 4 + 1).cast("int"))
+    return read(spark, sf, "events").select(
+        "event_id", media.duration_text((e * 977 % 9000 / 10.0).cast("double")).alias("duration"), media.bitrate_text((e * 7919 % 5_000_000).cast("string")).alias("bitrate"), media.size_text((e * 104_729 % 4_000_000_000).cast("string")).alias("size"), media.rate(rate).alias("rate"),
+        text.size_bytes(F.concat((e % 90).cast("string"), unit)).alias("bytes"), text.redacted(F.concat(F.lit("see /home/u/x/f"), no, F.lit(".png and http://h/a/b.c"))).alias("shown"),
+    )

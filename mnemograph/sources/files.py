@@ -27,8 +27,12 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\n?", "\n").alias("value"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=True)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header and the types that its values show; a quote in quotes is written twice.
+
+    ``multi_line``: quoted values may hold line ends; such files can't be split, so a file is one task's.
+    """
+    return spark.read.csv(path, header=True, inferSchema=True, quote='"', escape='"', multiLine=multi_line)
 
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
@@ -67,10 +71,26 @@ def notebook_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("path").agg(F.count_if(F.col("cell_type") == "code").alias("n_code"), F.count_if(F.col("cell_type") == "markdown").alias("n_markdown"))
 
 
-def read_code(spark: SparkSession, path: str, lines: int = 500) -> DataFrame:
-    """(path, text, truncated): the first lines of each file (a preview's limit)."""
-    got = _whole(spark, path).withColumn("l", F.split("value", "\n"))
-    return got.select("path", F.array_join(F.slice("l", 1, lines), "\n").alias("text"), (F.size("l") > lines).alias("truncated"))
+#: Languages by extension (fixed values); others have none.
+LANGUAGES = {
+    "css": "css", "js": "javascript", "ts": "typescript", "jsx": "jsx", "tsx": "tsx", "py": "python", "go": "go", "rs": "rust", "java": "java", "c": "c", "cpp": "cpp", "h": "c", "hpp": "cpp",
+    "rb": "ruby", "php": "php", "sh": "bash", "yaml": "yaml", "yml": "yaml", "json": "json", "xml": "xml", "sql": "sql", "md": "markdown", "toml": "toml", "ini": "ini", "lua": "lua", "swift": "swift",
+    "kt": "kotlin", "scala": "scala", "r": "r", "dart": "dart", "tex": "latex",
+}
+
+
+def language(path: Column) -> Column:
+    """The language that a path's extension names; '' for others."""
+    known = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit(""))
+
+
+def read_code(spark: SparkSession, path: str, lines: int = 500, name: Column | None = None) -> DataFrame:
+    """(path, language, n_lines, text, truncated): the first lines of each file (a preview's limit); ``name`` is the
+    path that the language is taken from. A last line end makes no line of its own."""
+    got = _whole(spark, path).withColumn("l", F.split(F.regexp_replace("value", r"\n\z", ""), "\n"))
+    n = F.when(F.col("value") == "", 0).otherwise(F.size("l"))
+    return got.select("path", language(F.col("path") if name is None else name).alias("language"), n.alias("n_lines"), F.array_join(F.slice("l", 1, lines), "\n").alias("text"), (n > lines).alias("truncated"))
 
 
 def read_dotenv(spark: SparkSession, path: str) -> DataFrame:
