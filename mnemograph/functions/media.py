@@ -14,6 +14,7 @@ def duration_text(sec: Column) -> Column:
 
 
 def bitrate_text(bps: Column) -> Column:
+    """Megabits or kilobits a second; a decimal half is rounded up."""
     b = bps.try_cast("double")
     return F.when(b >= 1e6, F.format_string("%.2f Mb/s", b / 1e6)).when(b > 0, F.format_string("%.0f kb/s", b / 1e3))
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import io
+import json
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -468,7 +471,7 @@ def code_files(spark, sf):
 
 
 @query(
-    "WITH x AS (SELECT event_id, event_id * 977 % 9000 / 10.0 AS sec, event_id * 7919 % 5000000 AS bps, event_id * 104729 % 4000000000 AS size FROM events) SELECT event_id, "
+    "WITH x AS (SELECT event_id, event_id * 977 % 9000 / 10.0 AS sec, event_id * 7919 % 5000000 * 2 + 1 AS bps, event_id * 104729 % 4000000000 AS size FROM events) SELECT event_id, "
     "CASE WHEN sec <= 0 THEN 'unknown duration' WHEN floor(sec / 3600) > 0 THEN CAST(floor(sec / 3600) AS BIGINT) || ':' || lpad(CAST(CAST(floor(sec % 3600 / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || printf('%04.1f', sec % 60) || ' (' || printf('%.2f', sec) || 's)' ELSE CAST(floor(sec / 60) AS BIGINT) || ':' || printf('%04.1f', sec % 60) || ' (' || printf('%.2f', sec) || 's)' END AS duration, "
     "CASE WHEN bps >= 1000000 THEN printf('%.2f', bps / 1e6) || ' Mb/s' WHEN bps > 0 THEN printf('%.0f', bps / 1e3) || ' kb/s' END AS bitrate, CASE WHEN size >= 1073741824 THEN printf('%.2f', size / 1073741824.0) || ' GiB' WHEN size > 0 THEN printf('%.2f', size / 1048576.0) || ' MiB' END AS size, "
     "CASE WHEN event_id % 3 = 0 THEN (event_id % 60) * 1000 / 1001.0 WHEN event_id % 3 = 1 THEN event_id % 60 ELSE 0.0 END AS rate, CAST((event_id % 90) * CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1024 ELSE 1073741824 END AS BIGINT) AS bytes, "
@@ -482,6 +485,94 @@ def media_texts(spark, sf):
     rate = F.when(e % 3 == 0, F.concat(((e % 60) * 1000).cast("string"), F.lit("/1001"))).when(e % 3 == 1, (e % 60).cast("string")).otherwise(F.lit("0/0"))
     unit = F.element_at(F.array(F.lit(" b"), F.lit("kB"), F.lit(" KiB"), F.lit(" GiB")), (e % 4 + 1).cast("int"))
     return read(spark, sf, "events").select(
-        "event_id", media.duration_text((e * 977 % 9000 / 10.0).cast("double")).alias("duration"), media.bitrate_text((e * 7919 % 5_000_000).cast("string")).alias("bitrate"), media.size_text((e * 104_729 % 4_000_000_000).cast("string")).alias("size"), media.rate(rate).alias("rate"),
+        "event_id", media.duration_text((e * 977 % 9000 / 10.0).cast("double")).alias("duration"), media.bitrate_text((e * 7919 % 5_000_000 * 2 + 1).cast("string")).alias("bitrate"), media.size_text((e * 104_729 % 4_000_000_000).cast("string")).alias("size"), media.rate(rate).alias("rate"),
         text.size_bytes(F.concat((e % 90).cast("string"), unit)).alias("bytes"), text.redacted(F.concat(F.lit("see /home/u/x/f"), no, F.lit(".png and http://h/a/b.c"))).alias("shown"),
     )
+
+
+@query(
+    "WITH e AS (SELECT l_orderkey, list({'n': CASE WHEN l_linenumber % 3 = 0 THEN 'i' || l_partkey ELSE 'p' || l_partkey END, 'q': l_linenumber} ORDER BY l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'i' || l_partkey ELSE 'p' || l_partkey END) AS l, list_sort(list(DISTINCT l_returnflag)) AS kinds FROM lineitem GROUP BY l_orderkey) "
+    "SELECT o_orderkey, coalesce(array_to_string(list_transform(l, lambda x: x.n)[1:10], ','), '') AS names, coalesce(array_to_string(kinds, ','), '') AS kinds, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '' END AS screens, l IS NOT NULL OR o_orderkey % 2 = 0 AS some, '{\"macro_id\":\"o' || o_orderkey || '\",\"label\":\"' || o_orderpriority || '\",\"time_range\":[\"a\",\"b\"],\"summary\":\"' || o_orderstatus || '\"}' AS prompt FROM orders LEFT JOIN e ON l_orderkey = o_orderkey"
+)
+def macro_digests(spark, sf):
+    """What follows from each order's subgraph, its lines, and the order as a prompt."""
+    from mnemograph.operators import graph
+
+    no = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    entity = F.struct("l_linenumber", F.when(F.col("l_linenumber") % 3 != 0, no("p", "l_partkey")).otherwise(F.lit("")).alias("name"), no("i", "l_partkey").alias("entity_id"), F.lit("part").alias("entity_type"))
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entity)).alias("entities"), F.collect_list(F.struct(F.col("l_returnflag").alias("event_type"))).alias("events"))
+    rows = read(spark, sf, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("screens", F.when(F.col("o_orderkey") % 2 == 0, F.array(F.struct(F.col("o_orderstatus").alias("text")))).otherwise(F.array().cast("array<struct<text:string>>")))
+    d = graph.macro_digest(F.col("entities"), F.col("events"), F.col("screens"))
+    rows = rows.withColumn("d", d)
+    joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    prompt = graph.prompt_json(no("o", "o_orderkey"), F.col("o_orderpriority"), F.array(F.lit("a"), F.lit("b")), F.col("o_orderstatus"))
+    return rows.select("o_orderkey", joined(F.col("d.key_entities.name")).alias("names"), joined(F.col("d.event_types")).alias("kinds"), joined(F.col("d.ocr_texts")).alias("screens"), graph.has_content(F.col("entities"), F.col("events"), F.col("screens")).alias("some"), prompt.alias("prompt"))
+
+
+@query(
+    "WITH g AS (SELECT vec_id % 4 AS f, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS pos, vec_id, embedding FROM embeddings) "
+    "SELECT CASE f WHEN 1 THEN 3 WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS part, CASE WHEN f = 1 THEN -1 ELSE pos END AS pos, 'v' || vec_id AS node_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, len(embedding) AS n FROM g"
+)
+def joined_indexes(spark, sf):
+    """Four embedding indexes as archives, one of them broken: those that were read, then the broken one's nodes anew."""
+    from mnemograph.sources.memory import read_index
+
+    v = read(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("node_id"), "vec_id", "embedding", (F.col("vec_id") % 4).cast("int").alias("f"))
+    path = work_path(spark, "indexes")
+    packed = v.groupBy("f").applyInPandas(_archive, "f int, content binary")
+    # a text file holds the archive's Base64, a line; decoded files are what a user has
+    packed.select("f", F.base64("content").alias("value")).write.parquet(path)
+    files = spark.read.parquet(path).select(F.concat(F.lit("index-"), F.col("f").cast("string")).alias("path"), F.unbase64("value").alias("content"))
+    rows = read_index(spark, path, files)
+    read_ = lambda i: rows.where((F.col("path") == f"index-{i}") & F.col("error").isNull()).select(F.get_json_object("node", "$.node_id").alias("node_id"), F.col("pos"), "vector")
+    broken = rows.where("error is not null").select(F.substring_index("path", "-", -1).cast("int").alias("f")).distinct()
+    anew = v.join(F.broadcast(broken), "f").select("node_id", F.lit(-1).cast("long").alias("pos"), F.col("embedding").alias("vector"))
+    out = merge.joined_index([read_(i) for i in (0, 2, 3)], [anew])
+    return out.select(F.col("part").cast("int").alias("part"), "pos", "node_id", F.round(F.col("vector")[0].cast("double"), 6).alias("first"), F.size("vector").alias("n"))
+
+
+def _archive(rows: pd.DataFrame) -> pd.DataFrame:
+    """A matrix and its nodes as NumPy writes them; cut in half for the second of four."""
+    rows = rows.sort_values("vec_id")
+    out = io.BytesIO()
+    np.savez(out, embeddings=np.stack(rows["embedding"]).astype("float32"), nodes=json.dumps([{"node_id": x} for x in rows["node_id"]]))
+    content, f = out.getvalue(), int(rows["f"].iloc[0])
+    return pd.DataFrame({"f": [f], "content": [content[: len(content) // 2] if f == 1 else content]})
+
+
+@query(
+    "WITH x AS (SELECT l_orderkey, l_linenumber, CAST(100 + l_partkey * 7 % 1900 AS DOUBLE) AS h, CAST(100 + l_suppkey * 13 % 1400 AS DOUBLE) AS w, l_quantity AS q FROM lineitem), "
+    "a AS (SELECT *, CASE WHEN h * w < 65536 THEN floor(h * sqrt(65536 / (h * w))) ELSE h END AS h1, CASE WHEN h * w < 65536 THEN floor(w * sqrt(65536 / (h * w))) ELSE w END AS w1 FROM x), "
+    "b AS (SELECT *, CASE WHEN h1 * w1 > 1000000 THEN floor(h1 * sqrt(1000000 / (h1 * w1))) ELSE h1 END AS h2, CASE WHEN h1 * w1 > 1000000 THEN floor(w1 * sqrt(1000000 / (h1 * w1))) ELSE w1 END AS w2 FROM a) "
+    "SELECT l_orderkey, l_linenumber, CAST(greatest(32, round_even(h2 / 32, 0) * 32) AS INTEGER) AS height, CAST(greatest(32, round_even(w2 / 32, 0) * 32) AS INTEGER) AS width, CASE WHEN abs(q / 10 - 2) <= 1.5 THEN 'IDEAL' WHEN abs(q / 10 - 2) <= 3 THEN 'PASS' ELSE 'FAIL' END AS verdict, "
+    "CASE WHEN l_linenumber > 1 THEN '00:00:' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || ' - 00:01:' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') END AS shown, CAST(l_linenumber + q AS DOUBLE) AS moved FROM b"
+)
+def value_rules(spark, sf):
+    """Sizes on the patch grid, beat errors, ranges as text, times within a segment moved to the whole."""
+    from mnemograph.functions import media, timeexpr
+    from mnemograph.operators import graph
+
+    li = read(spark, sf, "lineitem").withColumn("n", F.col("l_linenumber").cast("double"))
+    size = media.resized((F.lit(100) + F.col("l_partkey") * 7 % 1900).cast("double"), (F.lit(100) + F.col("l_suppkey") * 13 % 1400).cast("double"), F.lit(65_536), F.lit(1_000_000))
+    shown = timeexpr.range_text(F.when(F.col("l_linenumber") > 1, F.col("n")), F.col("n") + 60)
+    moved = graph.absolute(F.array(F.lit(0.0), F.col("l_quantity").cast("double")), F.col("n"))
+    return li.select("l_orderkey", "l_linenumber", size.alias("s"), media.beat_verdict(F.col("l_quantity") / 10 - 2).alias("verdict"), shown.alias("shown"), moved[1].alias("moved")).select("l_orderkey", "l_linenumber", "s.height", "s.width", "verdict", "shown", "moved")
+
+
+@query("SELECT url, CASE WHEN regexp_matches(url, '^P[0-9]') THEN regexp_extract(url, '^(P[0-9]+)', 1) ELSE left(split_part(url, '_', 1), 20) END AS key, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'T' || page_id END AS title, page_id % 5 AS themes FROM (SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'P' || page_id || '_' || url ELSE url END AS url FROM pages WHERE url IS NOT NULL)")
+def memory_summaries(spark, sf):
+    """Memories with roots saved as a phase and as tables, read again: each one's short key and summary."""
+    from mnemograph.operators import graph
+    from mnemograph.sources import memory
+
+    p = read(spark, sf, "pages").where("url is not null").select("page_id", F.when(F.col("page_id") % 3 == 1, F.concat_ws("_", F.concat(F.lit("P"), F.col("page_id").cast("string")), "url")).otherwise(F.col("url")).alias("video_key"))
+    title = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("T"), F.col("page_id").cast("string"))).alias("title")
+    themes = F.when(F.col("page_id") % 5 > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("page_id") % 5, F.lit(1))), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>")).alias("themes")
+    none = F.array().cast("array<string>")
+    path = work_path(spark, "roots")
+    memory.save_phase(p.select("video_key", title, F.lit("D").alias("description"), themes, none.alias("key_entities"), F.lit("").alias("emotional_tone")), f"{path}/phase")
+    kind = "video_key string, title string, description string, themes array<string>, key_entities array<string>, emotional_tone string"
+    memory.write_tables({"roots": memory.read_phase(spark, f"{path}/phase", kind)}, f"{path}/tables")
+    s = graph.summary(spark.read.parquet(f"{path}/tables/roots"))
+    v = F.try_parse_json("json")
+    return s.select(F.col("video_key").alias("url"), merge.short_key(F.col("video_key")).alias("key"), F.try_variant_get(v, "$.title", "string").alias("title"), F.size(F.try_variant_get(v, "$.themes", "array<string>")).cast("long").alias("themes"))

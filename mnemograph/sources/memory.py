@@ -154,13 +154,14 @@ def read_phase(spark: SparkSession, path: str, schema: StructType | str) -> Data
         return spark.createDataFrame([], schema)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
+def read_index(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
     """(path, pos, node, vector, error) of embedding-index files: NumPy archives of a matrix ``embeddings`` and of
     ``nodes``, a JSON list with an object for each of its rows.
 
     Tasks read a file each, as an archive can't be split (under 2 GB), and give its rows in small batches. A file
     that can't be read, or whose parts differ in length, is one row with its error, so that its nodes can be
-    built anew and joined by ``merge.joined_index``; files without bytes have no row. ``node`` is JSON text.
+    built anew and joined by ``merge.joined_index``; files without bytes have no row. ``node`` is JSON text. ``files`` (path,
+    content): archives that a table holds, in place of those at ``path``.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     some = [{"path": name, "pos": i + k, "node": json.dumps(x, ensure_ascii=False), "vector": v} for k, (x, v) in enumerate(zip(nodes[i : i + 1000], matrix[i : i + 1000].astype("float32").tolist(), strict=True))]
                     yield pa.RecordBatch.from_pylist(some, INDEX)
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = (spark.read.format("binaryFile").load(path) if files is None else files).select("path", "content")
     return found.mapInArrow(rows, "path string, pos long, node string, vector array<float>, error string")
 
 
