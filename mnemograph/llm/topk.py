@@ -7,9 +7,10 @@ pass by one at a time. In a part a query goes through the buckets from the longe
 its k best so far; the better of the k-th best score and the threshold gives a bucket's local
 cosine threshold t = score / (|q| * longest in bucket). Above 1 the bucket is skipped. When t is high
 enough, coordinate pruning keeps the vectors whose value at the query's strongest coordinate lies in
-the interval that a cosine of t allows. Otherwise length pruning keeps those long enough to
-reach the score. Products of what is left are computed in full, so the result is exact. The tasks'
-winners are merged by rank.
+the interval that a cosine of t allows. From a lower t on, the query's stronger half of coordinates is its focus: a
+vector stays if its product over the focus and the lengths of both rests can reach the score. Otherwise length
+pruning keeps those long enough to reach the score. Products of what is left are computed in full, so the result is exact. A block of
+queries is sent to the parts only whose longest vector one of its queries can reach. The tasks' winners are merged by rank.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; a
 vec_id stands for one vector, so of rows that repeat an id the smallest vector (in array order)
@@ -37,6 +38,10 @@ NONE = -(1 << 62)
 PART_ROWS, BUCKET_ROWS, BLOCK_ROWS, HEAD_ROWS = 100_000, 4096, 2048, 256
 #: Above this local cosine threshold a coordinate's feasible interval is narrow enough to pay.
 COORDINATE_FROM = 0.7
+#: From this threshold on a query's product over its focus, the stronger half of its coordinates, is computed first.
+FOCUS_FROM, FOCUS_PART = 0.2, 0.5
+#: Groups in which the longest vectors are found before the longest of all are.
+HEAD_GROUPS = 16
 
 
 class Best:
@@ -77,7 +82,8 @@ def search_bucket(best: Best, queries: np.ndarray, query_ids: np.ndarray, q_len:
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where(reach > 0, threshold / reach, -np.inf)
     near = alive & (local >= COORDINATE_FROM)
-    rest = np.flatnonzero(alive & ~near)
+    focused = alive & ~near & (local >= FOCUS_FROM)
+    rest = np.flatnonzero(alive & ~near & ~focused)
     own, done = {int(v): j for j, v in enumerate(ids)}, 0
     largest = float(q_len.max(initial=0) * lengths[0])
     if largest >= 2.0**62:
@@ -103,6 +109,16 @@ def search_bucket(best: Best, queries: np.ndarray, query_ids: np.ndarray, q_len:
         least, longest = threshold[rows].min(), q_len[rows].max()
         n = len(ids) if least <= 0 or longest == 0 else int(np.searchsorted(-lengths, -least / longest * (1 - 1e-9), side="right"))
         offer(rows, np.arange(n))
+    if focused.any():
+        columns = np.ascontiguousarray(vectors.T)
+        squares, whole = columns * columns, lengths * lengths
+        m = max(1, int(len(columns) * FOCUS_PART))
+        strongest = np.argsort(-np.abs(queries[focused]), axis=1, kind="stable")[:, :m]
+        for r, f in zip(np.flatnonzero(focused), strongest, strict=True):
+            q = queries[r, f]
+            tail = np.sqrt(np.maximum(whole - squares[f].sum(axis=0), 0.0)) * np.sqrt(max(0.0, q_len[r] * q_len[r] - q @ q))
+            # the margin covers the rounding of the roots and sums
+            offer(np.array([r]), np.flatnonzero(q @ columns[f] + tail + 1e-9 * q_len[r] * lengths[0] >= threshold[r]))
     if near.any():
         unit = vectors / np.maximum(lengths, 1e-300)[:, None]
         for r in np.flatnonzero(near):  # coordinate pruning at the query's strongest coordinate
@@ -134,6 +150,12 @@ def _blocks(rows: int):
     return run
 
 
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        most = [float(np.frombuffer(x, "<f8")[0]) for x in batch.column("norms").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column("part"), pa.array(most, pa.float64())], names=["dim", "part", "longest"])
+
+
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["norms"], "<f8"), np.frombuffer(row["matrix"], "<f8").reshape(-1, row["dim"])
 
@@ -177,7 +199,9 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, scale:
 
     longest_first = (F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
     ordered = base.repartitionByRange(n_parts, *longest_first).sortWithinPartitions(*longest_first)
-    buckets = ordered.select("dim", F.spark_partition_id().alias("part"), "vec_id", "ints", "norm").mapInArrow(_blocks(bucket_rows), HELD)
+    # stored, as a part's number must be the same for its vectors and its longest
+    buckets = store(ordered.select("dim", F.spark_partition_id().alias("part"), "vec_id", "ints", "norm").mapInArrow(_blocks(bucket_rows), HELD), "buckets")
+    longest = buckets.select("dim", "part", "norms").mapInArrow(_longest, "dim int, part int, longest double").groupBy("dim", "part").agg(F.max("longest").alias("longest"))
     blocks = base.where(asked).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int")).mapInArrow(_blocks(BLOCK_ROWS), HELD)
 
     def first_floor(row: dict, held: list) -> pa.RecordBatch:
@@ -186,8 +210,11 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, scale:
         for own, lengths, matrix in held:
             search_bucket(best, m, ids, norms, matrix, own, lengths)
         floors = np.where(best.score[:, -1] == NONE, -np.inf, best.score[:, -1].astype("<f8")).astype("<f8")
-        cells = [(row["dim"], pa.int32()), (row["ids"], pa.binary()), (row["norms"], pa.binary()), (row["matrix"], pa.binary()), (floors.tobytes(), pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], names=["dim", "ids", "norms", "matrix", "floors"])
+        # vectors shorter than this are out of reach of all the block's queries
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = float(np.where(floors > 0, floors / norms, 0.0).min())
+        cells = [(need, pa.float64()), (row["dim"], pa.int32()), (row["ids"], pa.binary()), (row["norms"], pa.binary()), (row["matrix"], pa.binary()), (floors.tobytes(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], names=["need", "dim", "ids", "norms", "matrix", "floors"])
 
     def search(row: dict, held: list) -> pa.RecordBatch:
         (ids, norms, m), best, floors = _opened(row), None, np.frombuffer(row["floors"], "<f8")
@@ -202,11 +229,14 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, scale:
         return both.repartition(n_parts, "dim", "part").sortWithinPartitions("dim", "part", "asks")
 
     # the longest bucket of each dimension, a copy for each group of query blocks
-    head = base.withColumn("at", F.row_number().over(Window.partitionBy("dim").orderBy(F.col("norm").desc(), "vec_id"))).where(F.col("at") <= HEAD_ROWS)
+    head = base.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(HEAD_GROUPS)))
+    for keys in (["dim", "group"], ["dim"]):
+        head = head.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("norm").desc(), "vec_id"))).where(F.col("at") <= HEAD_ROWS)
     head = head.withColumn("part", F.lit(0)).select("dim", "part", "vec_id", "ints", "norm").mapInArrow(_blocks(HEAD_ROWS), HELD)
     head = head.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    floored = store(meeting(head, blocks).mapInArrow(_passing(first_floor), "dim int, ids binary, norms binary, matrix binary, floors binary"), "floors")
-    everywhere = floored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    winners = meeting(buckets, everywhere).mapInArrow(_passing(search), WINNERS)
+    floored = store(meeting(head, blocks).mapInArrow(_passing(first_floor), "need double, dim int, ids binary, norms binary, matrix binary, floors binary"), "floors")
+    # the parts that a block can reach; a part is one row, so these may be broadcast
+    reached = floored.join(F.broadcast(longest), (floored["dim"] == longest["dim"]) & (F.col("longest") * (1 + 1e-9) >= F.col("need"))).select(floored["dim"], "part", "ids", "norms", "matrix", "floors")
+    winners = meeting(buckets, reached).mapInArrow(_passing(search), WINNERS)
     ranked = winners.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
