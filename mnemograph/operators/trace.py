@@ -20,12 +20,13 @@ def with_results(calls: DataFrame, results: DataFrame, call: str = "call_id", li
     return calls.join(last, call, "left")
 
 
-def user_ancestors(nodes: DataFrame) -> DataFrame:
+def user_ancestors(nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(id, ancestor) from (id, parent, is_user): the nearest user row at or above each row; null without
     one or in a cycle. Pointers double each round, so depth d takes log2(d) joins; n rows have no chain
-    longer than n, so what is open after log2(n) + 1 rounds leads into a cycle."""
+    longer than n, so what is open after log2(n) + 1 rounds leads into a cycle. ``most_rounds`` covers depths up to
+    2 ** ``most_rounds``."""
     at = checkpointed(nodes.select("id", F.when(F.col("is_user"), F.col("id")).alias("ancestor"), F.when(~F.col("is_user"), F.col("parent")).alias("up")))
-    for _ in range(at.count().bit_length() + 1):
+    for _ in range(min(most_rounds, at.count().bit_length() + 1)):
         if not at.where(F.col("ancestor").isNull() & F.col("up").isNotNull()).limit(1).count():
             break
         # rows that are done need no partner, and stay as they are
