@@ -36,8 +36,6 @@ from pyspark.sql import functions as F
 
 from mnemograph.llm.common import numbered, remainder, scratch, store
 
-#: Of the dense table, which the tests hold the model's rules against.
-SYMBOLS = 64
 END, ORDER = 255, 5
 #: Bytes of text whose grams are gathered at a time.
 TRIE_BYTES = 6 << 20
@@ -45,36 +43,6 @@ TRIE_BYTES = 6 << 20
 BLOCK_DOCS = 60_000
 
 
-def log_table(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 P(symbol | three before) for all 64**4 codes, with escapes and exclusion."""
-    c3 = np.zeros(SYMBOLS**4, dtype=np.float32)
-    c3[codes] = counts
-    c3 = c3.reshape(SYMBOLS, SYMBOLS, SYMBOLS, SYMBOLS)
-    # shorter contexts are seen wherever the longer ones are
-    c2 = c3.sum(axis=0, dtype=np.float64)
-    c1 = c2.sum(axis=0)
-    c0 = c1.sum(axis=0)
-    out = np.empty_like(c3)
-    for first in range(SYMBOLS):
-        free = np.ones((SYMBOLS, SYMBOLS, SYMBOLS), dtype=bool)
-        weight = np.ones((SYMBOLS, SYMBOLS, 1))
-        p = np.zeros((SYMBOLS, SYMBOLS, SYMBOLS))
-        for c in (c3[first].astype(np.float64), c2, c1[None], c0[None, None]):
-            seen = np.where(free, c, 0.0)
-            here = seen > 0
-            total, kinds = seen.sum(axis=2, keepdims=True), here.sum(axis=2, keepdims=True)
-            left = (free & ~here).any(axis=2, keepdims=True)
-            whole = np.where(left, total + kinds, total)
-            share = np.divide(1.0, whole, out=np.zeros_like(whole), where=whole > 0)
-            p = np.where(here, weight * seen * share, p)
-            weight = weight * np.where(total > 0, np.where(left, kinds * share, 0.0), 1.0)
-            free &= ~here
-        rest = free.sum(axis=2, keepdims=True)
-        p = np.where(free, weight / np.maximum(rest, 1), p)
-        out[first] = np.log10(np.maximum(p, 1e-300))
-    return out.reshape(-1)
-
-
 def _fold(text: str | None) -> bytes:
     return (text or "").encode().lower()  # of bytes: A-Z only
 

@@ -471,13 +471,24 @@ def test_lm_prefers_the_corpus(spark):
 
 
 def test_lm_probabilities_sum_to_one():
-    from mnemograph.llm.lm_scoring import SYMBOLS, log_table
+    """Of all 256 symbols after a context, one that was met, one met in part, and one that never was."""
+    from mnemograph.llm.lm_scoring import _grams, _shorter, _summed, gram_logs
 
     rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, SYMBOLS**4, 5000))
-    table = 10.0 ** log_table(codes, rng.integers(1, 9, len(codes)).astype(np.float32)).reshape(-1, SYMBOLS)
-    some = np.concatenate([codes // SYMBOLS, rng.integers(0, len(table), 500)])
-    assert np.allclose(table[some].sum(axis=1), 1, atol=1e-4)
+    raws = [bytes(rng.choice(list(b"abcdef gh"), 400).tolist()) for _ in range(6)]
+    met = _grams(raws) >> np.uint64(16)
+    keys, n = _summed(met, np.ones(len(met), dtype=np.int64))
+    low = _summed(_shorter(_shorter(_shorter(keys))), n)
+    contexts = [int(k) >> 8 for k in keys[:: len(keys) // 20]]
+    contexts += [c & 0xFFFFFF0000 | 0x7A7A for c in contexts[:5]] + [0x7A7A7A7A7A, 0x617A7A7A7A]
+    asked = np.array(sorted({c << 8 | x for c in contexts for x in range(256)}), dtype=np.uint64)
+    every = np.union1d(keys, asked)
+    counts = np.zeros(len(every), dtype=np.int64)
+    counts[np.searchsorted(every, keys)] = n
+    p = 10.0 ** gram_logs(every, counts, low).astype(np.float64)
+    for c in contexts:
+        own = p[np.searchsorted(every, np.arange(256, dtype=np.uint64) | np.uint64(c << 8))]
+        assert (own > 0).all() and own.sum() == pytest.approx(1, abs=1e-4)
 
 
 def brute_ppm(train, texts, order=5):
