@@ -559,4 +559,4 @@ def test_quality(spark, empty):
 def test_queries_have_all_operators():
     from mnemograph.llm.queries import QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
