@@ -634,6 +634,8 @@ POINTS = ("CAST(l_orderkey % 97 AS DOUBLE)", "CAST(l_partkey % 89 AS DOUBLE)", "
 def _geometry_sql() -> str:
     """Points a = (p, q), b = (r, s), c = (q, p), d = (s, r); vectors ab = (r - p, s - q), cd = (s - q, r - p)."""
     size = "sqrt((r - p) * (r - p) + (s - q) * (s - q))"
+    turn = "((r - p) * (r - p) - (s - q) * (s - q))"
+    t = f"(((q - p) * (r - p) - (p - q) * (s - q)) / {turn})"
     ac, bc = "sqrt((q - p) * (q - p) + (p - q) * (p - q))", "sqrt((q - r) * (q - r) + (p - s) * (p - s))"
     return (
         f"WITH g AS (SELECT l_returnflag, {POINTS[0]} AS p, {POINTS[1]} AS q, {POINTS[2]} AS r, {POINTS[3]} AS s FROM lineitem), l AS (SELECT *, {size} AS z, {ac} AS ac, {bc} AS bc FROM g) "
@@ -643,6 +645,7 @@ def _geometry_sql() -> str:
         "count(*) FILTER (z >= 1e-9 AND abs((r - p) * (p - q) - (s - q) * (q - p)) / z < 1) AS on_line, "
         "count(*) FILTER (z >= 1e-9 AND abs((r - p) * (p - q) - (s - q) * (q - p)) / z < 1 AND ((q - p) * (r - p) + (p - q) * (s - q)) / (z * z) BETWEEN -(1 / z) AND 1 + 1 / z) AS on_segment, "
         "count(*) FILTER (CASE WHEN greatest(z, ac, bc) < 1e-9 THEN true ELSE abs((r - p) * (p - q) - (s - q) * (q - p)) / greatest(z, ac, bc) < 1 END) AS collinear, "
+        f"count(*) FILTER (CASE WHEN abs({turn}) < 1e-9 THEN false ELSE sqrt((p + {t} * (r - p) - r) * (p + {t} * (r - p) - r) + (q + {t} * (s - q) - r) * (q + {t} * (s - q) - r)) < 1 END) AS meeting, "
         "count(*) FILTER (z >= 1e-9 AND abs(z / z - 1) < 0.02) AS same_length FROM l GROUP BY l_returnflag"
     )
 
@@ -654,7 +657,7 @@ def geometry_checks(spark, sf):
     a, b, c, d = (geometry.point(F.col(x), F.col(y)) for x, y in ("pq", "rs", "qp", "sr"))
     found = {
         "parallel": geometry.parallel(a, b, c, d), "perpendicular": geometry.perpendicular(a, b, c, d), "midpoint": geometry.midpoint(c, a, b), "on_line": geometry.on_line(c, a, b),
-        "on_segment": geometry.on_segment(c, a, b), "collinear": geometry.collinear(a, b, c), "same_length": geometry.ratio(a, b, c, d, F.lit(1.0)),
+        "on_segment": geometry.on_segment(c, a, b), "meeting": geometry.intersection(geometry.point(F.col("r"), F.col("r")), a, b, c, d), "collinear": geometry.collinear(a, b, c), "same_length": geometry.ratio(a, b, c, d, F.lit(1.0)),
     }
     return g.groupBy("l_returnflag").agg(*(F.count_if(x).alias(n) for n, x in found.items()))
 
