@@ -42,7 +42,7 @@ def srt_time(ms: Column) -> Column:
 
 
 def scaled(sec: Column, longest: Column) -> Column:
-    """h:mm:ss.s, m:ss.s or s.ss by the longest time shown beside it."""
+    """h:mm:ss.s, m:ss.s or s.s with an s by the longest time shown beside it."""
     h, m, s = F.floor(sec / 3600), F.floor(sec % 3600 / 60), sec % 60
     tenth = F.format_string("%04.1f", s)
     return (

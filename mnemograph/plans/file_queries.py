@@ -576,3 +576,27 @@ def memory_summaries(spark, sf):
     s = graph.summary(spark.read.parquet(f"{path}/tables/roots"))
     v = F.try_parse_json("json")
     return s.select(F.col("video_key").alias("url"), merge.short_key(F.col("video_key")).alias("key"), F.try_variant_get(v, "$.title", "string").alias("title"), F.size(F.try_variant_get(v, "$.themes", "array<string>")).cast("long").alias("themes"))
+
+
+@query(
+    "WITH x AS (SELECT event_id, event_id % 5 AS f, event_id * 37 % 9000 / 10.0 AS sec, [30.0, 600.0, 7200.0][CAST(event_id % 3 AS INTEGER) + 1] AS longest, ['csv', 'SRT', 'png', 'md', 'geojson'][CAST(event_id % 5 AS INTEGER) + 1] AS ext FROM events) SELECT event_id, "
+    "CASE f WHEN 0 THEN 'Lists ' || event_id WHEN 1 THEN 'f' || event_id || '.py' WHEN 2 THEN repeat('q', 100) WHEN 3 THEN CAST(event_id AS VARCHAR) ELSE 'line ' || event_id END AS line, "
+    "CASE WHEN longest >= 3600 THEN CAST(floor(sec / 3600) AS BIGINT) || ':' || printf('%02d', CAST(floor(sec % 3600 / 60) AS BIGINT)) || ':' || printf('%04.1f', sec % 60) WHEN longest >= 60 THEN CAST(floor(sec / 60) AS BIGINT) || ':' || printf('%04.1f', sec % 60) ELSE printf('%.1f', sec) || 's' END AS shown, "
+    "CASE ext WHEN 'csv' THEN 'table' WHEN 'SRT' THEN 'subtitle' WHEN 'png' THEN 'image' WHEN 'geojson' THEN 'geo' ELSE 'text' END AS reader, left(sha1('/a/f.' || ext || ':' || event_id || ':' || f || '|w=' || f), 16) AS key FROM x"
+)
+def trace_texts(spark, sf):
+    """A tool's input on one line, a time by the longest beside it, a path's reader and the key of its cached copy."""
+    from mnemograph.functions import text, timeexpr
+    from mnemograph.sources.files import cache_key, renderer
+
+    e, no, f = F.col("event_id"), F.col("event_id").cast("string"), (F.col("event_id") % 5).cast("int")
+    given = [
+        _json(command="ls", description=F.concat(F.lit("Lists "), no)), _json(file_path=F.concat(F.lit("/a/b/f"), no, F.lit(".py")), other="x"), _json(query=F.repeat(F.lit("q"), 150)),
+        _json(long=F.repeat(F.lit("z"), 120), n=e), F.concat(F.lit("\n  line "), no, F.lit("\nmore")),
+    ]
+    names = F.array(*map(F.lit, ("mcp__s__Bash", "Read", "WebSearch", "T", "T")))
+    path = F.concat(F.lit("/a/f."), F.element_at(F.array(*map(F.lit, ("csv", "SRT", "png", "md", "geojson"))), f + 1))
+    longest = F.element_at(F.array(*map(F.lit, (30.0, 600.0, 7200.0))), (e % 3 + 1).cast("int"))
+    line = text.tool_line(F.element_at(names, f + 1), F.element_at(F.array(*given), f + 1))
+    shown = timeexpr.scaled((e * 37 % 9000 / 10.0).cast("double"), longest)
+    return read(spark, sf, "events").select("event_id", line.alias("line"), shown.alias("shown"), renderer(path).alias("reader"), cache_key(path, e, f, F.concat(F.lit("w="), f.cast("string"))).alias("key"))
