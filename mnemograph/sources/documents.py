@@ -15,6 +15,8 @@ from mnemograph.operators.rank import running_count
 
 #: Kinds of images that a notebook's output may hold, the first that is there is shown (fixed values).
 IMAGES = ("image/png", "image/jpeg", "image/gif")
+#: Places that a cell takes among a notebook's blocks: more than outputs that it can hold.
+OUTPUTS = 1_000_000
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +41,10 @@ def notebook_blocks(spark: SparkSession, path: str, most_images: int = 20, most_
     a last block says so. These limits are the preview's. A file that is no notebook has no blocks.
     """
     v = F.col("v")
-    cells = _whole(spark, path).select("path", F.try_parse_json("value").alias("v"))
-    cells = cells.select("path", F.posexplode(F.try_variant_get(v, "$.cells", "array<variant>")).alias("cell", "v")).withColumn("type", F.try_variant_get(v, "$.cell_type", "string"))
+    # a variant for each cell: one of the whole file has a limit of bytes
+    book = F.from_json("value", "cells array<variant>, broken string", {"columnNameOfCorruptRecord": "broken"})
+    books = _whole(spark, path).where(F.startswith(F.ltrim("value"), F.lit("{"))).select("path", book.alias("b")).where("b.broken is null")
+    cells = books.select("path", F.posexplode("b.cells").alias("cell", "v")).withColumn("cell", F.col("cell").cast("long")).withColumn("type", F.try_variant_get(v, "$.cell_type", "string"))
     source = _stripped(_joined(v, "$.source"))
     count = F.coalesce(F.nullif(F.try_variant_get(v, "$.execution_count", "string"), F.lit("0")), F.lit(" "))
     code = F.concat(F.lit("In ["), count, F.lit("]:\n```python\n"), source, F.lit("\n```"))
@@ -60,12 +64,12 @@ def notebook_blocks(spark: SparkSession, path: str, most_images: int = 20, most_
     text = F.when(F.col("type") == "stream", F.when(streamed != "", said)).when(F.col("type") == "error", failed).when(image.isNotNull(), image).when(plain != "", F.concat(F.lit("Out: "), cut(plain)))
     outputs = outputs.select("path", "cell", "at", F.when(is_image, "image").otherwise("text").alias("kind"), text.alias("text"))
 
-    both = shown.unionByName(outputs).where("text is not null").withColumn("place", F.col("cell") * 1_000_000 + F.col("at") + 1)
-    both = running_count(both, ["path"], "place", F.col("kind") == "image", "image_no")
+    both = shown.unionByName(outputs).where("text is not null").withColumn("place", F.col("cell") * OUTPUTS + F.col("at") + 1)
+    both = running_count(both, ["path"], "place", F.col("kind") == "image", "image_no", 1000 * OUTPUTS)
     kept = both.where((F.col("kind") == "text") | (F.col("image_no") <= most_images)).select("path", "place", "kind", "text")
     more = both.groupBy("path").agg(F.max(F.when(F.col("kind") == "image", F.col("image_no"))).alias("n"), F.max("place").alias("last")).where(F.col("n") > most_images)
     kept = kept.unionByName(more.select("path", (F.col("last") + 1).alias("place"), F.lit("text").alias("kind"), F.lit(f"... (image outputs capped at {most_images}; raise max_pages for more)").alias("text")))
-    return running_count(kept, ["path"], "place", F.lit(True), "no").select("path", (F.col("no") - 1).alias("block_no"), "kind", "text")
+    return running_count(kept, ["path"], "place", F.lit(True), "no", 1000 * OUTPUTS).select("path", (F.col("no") - 1).alias("block_no"), "kind", "text")
 
 
 @F.pandas_udf(StringType())

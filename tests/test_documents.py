@@ -26,6 +26,17 @@ def test_notebook(spark, tmp_path):
     ]
 
 
+def test_a_notebook_of_many_cells(spark, tmp_path):
+    """Places in a notebook passed a whole number's 32 bits from cell 2,148 on."""
+    cells = [{"cell_type": "code", "source": "", "outputs": [{"output_type": "error", "ename": "E", "evalue": str(i)}, {"output_type": "display_data", "data": {"image/png": f"{i}"}}]} for i in range(4500)]
+    (tmp_path / "a.ipynb").write_text(json.dumps({"cells": cells}))
+    (tmp_path / "list.ipynb").write_text(json.dumps([{"cells": cells[:2]}]))
+    (tmp_path / "cut.ipynb").write_text(json.dumps({"cells": cells[:2]})[:-3])
+    got = [(r["block_no"], r["kind"], r["text"]) for r in notebook_blocks(spark, str(tmp_path / "*.ipynb"), most_images=4499).orderBy("block_no").collect()]
+    want = [x for i in range(4500) for x in (("text", f"[error] E: {i}"), ("image", str(i)))][:-1] + [("text", "... (image outputs capped at 4499; raise max_pages for more)")]
+    assert got == [(i, *x) for i, x in enumerate(want)]
+
+
 def test_drawings_in_three_encodings(spark, tmp_path):
     model = '<mxGraphModel dx="1"><root><mxCell id="0"/><mxCell id="1" parent="0"/>\n<mxCell id="a" value="A &amp; B" style="ellipse" vertex="1"><mxGeometry x="1.5" y="2" width="10" height="20" as="geometry"/></mxCell><mxCell id="e" edge="1"><mxGeometry relative="1"><mxPoint x="9" y="9"/></mxGeometry></mxCell></root></mxGraphModel>'
     press = zlib.compressobj(wbits=-15)
