@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemograph.functions.text import fixed
+
 #: Seconds from one recorded day to the next, and each day's recording start (fixed values).
 DAY_OFFSET = 100_000
 RECORDING_START = {
@@ -44,11 +46,11 @@ def srt_time(ms: Column) -> Column:
 def scaled(sec: Column, longest: Column) -> Column:
     """h:mm:ss.s, m:ss.s or s.s with an s by the longest time shown beside it."""
     h, m, s = F.floor(sec / 3600), F.floor(sec % 3600 / 60), sec % 60
-    tenth = F.format_string("%04.1f", s)
+    tenth = fixed(s, 1, "%04.1f")
     return (
         F.when(longest >= 3600, F.concat(h.cast("string"), F.lit(":"), F.format_string("%02d", m), F.lit(":"), tenth))
         .when(longest >= 60, F.concat(F.floor(sec / 60).cast("string"), F.lit(":"), tenth))
-        .otherwise(F.format_string("%.1fs", sec))
+        .otherwise(fixed(sec, 1, "%.1fs"))
     )
 
 

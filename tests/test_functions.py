@@ -41,6 +41,15 @@ def test_clocks(spark):
     assert value(spark, media.duration_text(F.lit(0.0))) == "unknown duration"
 
 
+def test_halves_go_to_the_even_digit(spark):
+    """780,271,616 bytes are 744.125 MiB, which was shown as 744.13."""
+    cases = [(media.size_text, str(n)) for n in (780_271_616, 780_271_616 + 262_144, 780_271_617, 2**30 + 2**27, 1)] + [(media.duration_text, x) for x in (0.25, 0.75, 60.125, 3600.375, 7.1)] + [(media.bitrate_text, x) for x in ("2500", "3500", "1125000")]
+    mib, clock = lambda b: f"{b / 2**30:.2f} GiB" if b >= 2**30 else f"{b / 2**20:.2f} MiB", lambda x: f"{int(x // 3600)}:{int(x % 3600 // 60):02d}" if x >= 3600 else f"{int(x // 60)}"
+    want = [mib(int(x)) for _, x in cases[:5]] + [f"{clock(x)}:{x % 60:04.1f} ({x:.2f}s)" for _, x in cases[5:10]] + ["2 kb/s", "4 kb/s", "1.12 Mb/s"]
+    assert [value(spark, f(F.lit(x))) for f, x in cases] == want
+    assert [value(spark, timeexpr.scaled(F.lit(x), F.lit(y))) for x, y in ((0.25, 1.0), (60.75, 60.0))] == ["0.2s", "1:00.8"]
+
+
 def test_tokens(spark):
     assert value(spark, text.tokens(F.lit("The Été of 知识图谱 a b1 是"))) == ["été", "知识图谱", "b1"]
 
