@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from mnemograph.session import checkpointed
 
 
-def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """``df`` with a 0-based row number by ``order``, which should have no ties.
+def global_rank(df: DataFrame, *order: Column, name: str = "rank", shown: list[Column | str] | None = None) -> DataFrame:
+    """``df`` with a 0-based row number by ``order``, which should have no ties; ``shown``, where given, takes the place of
+    its columns once the rows are placed, so that what is computed is neither sampled nor moved.
 
     The rows are range-partitioned and sorted, and numbered within their partition; each partition
     then adds the rows before it. Only one row a partition is broadcast.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = checkpointed(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = checkpointed(placed.select(*(["*"] if shown is None else shown), F.monotonically_increasing_id().alias("__at")))
     placed = placed.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))

@@ -21,6 +21,9 @@ from __future__ import annotations
 import math
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,7 @@ from mnemograph.session import spread
 
 #: Nodes of a range; buckets of terms; what two scores that count as equal may differ by.
 SPAN, BUCKETS, SLACK = 256, 32, 1e-6
+POSTINGS = "term string, range long, n int, most int, least int, ord array<long>, tf array<int>, dl array<int>"
 
 
 def _bucket(term: Column) -> Column:
@@ -58,19 +62,37 @@ def append(nodes: DataFrame, path: str, id_col: str = "node_id", text_col: str =
     first = 0 if segment == 0 else -(-last["end"] // SPAN) * SPAN
     kind = F.col(type_col) if type_col else F.lit("")
     texts = spread(nodes.select(F.col(id_col).alias("node_id"), kind.cast("string").alias("node_type"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    words = texts.select("node_id", "node_type", tokens(F.col("text")).alias("words"))
-    ranked = global_rank(words, F.col("node_id"), name="ord").withColumn("ord", F.col("ord") + first).withColumn("dl", F.size("words"))
+    # tokens hold no blanks, and one text of them is much smaller than their array
+    found = tokens(F.col("text"))
+    ranked = global_rank(texts, F.col("node_id"), name="ord", shown=["node_id", "node_type", F.array_join(found, " ").alias("words"), F.size(found).alias("dl")]).withColumn("ord", F.col("ord") + first)
     ranked.select("ord", "node_id", "node_type", "dl").write.mode("overwrite").parquet(f"{path}/nodes/segment={segment}")
-    found = ranked.select("ord", "dl", F.explode("words").alias("term")).groupBy("ord", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-    rows = found.groupBy("term", F.floor(F.col("ord") / SPAN).alias("range")).agg(F.array_sort(F.collect_list(F.struct("ord", "tf", "dl"))).alias("p"))  # SPAN at most
-    _write_postings(rows, f"{path}/postings/segment={segment}")
-    total = ranked.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("sum_dl"))
-    total.select("n", F.col("sum_dl").cast("long").alias("sum_dl"), (F.col("n") + first).alias("end")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/segment={segment}")
+    total = spark.read.schema("dl int").parquet(f"{path}/nodes/segment={segment}").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("sum_dl")).first()
+    # a range's words meet once, as texts, and are counted where they are
+    met = ranked.where("dl > 0").select(F.floor(F.col("ord") / SPAN).alias("range"), "ord", "dl", "words")
+    _write_postings(met.groupBy("range").applyInArrow(_postings, POSTINGS), f"{path}/postings/segment={segment}")
+    one = spark.createDataFrame([(total["n"], total["sum_dl"], total["n"] + first)], "n long, sum_dl long, end long")
+    one.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/segment={segment}")
     return segment
 
 
+def _postings(nodes: pa.Table) -> pa.Table:
+    """The rows of postings of a range's nodes (range, ord, dl, words)."""
+    nodes = nodes.sort_by("ord").combine_chunks()
+    words = pc.split_pattern(nodes["words"].combine_chunks().cast(pa.large_string()), " ")
+    of, coded = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words).dictionary_encode()
+    # a term's nodes in their order
+    keys, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(nodes) + of, return_counts=True)
+    at, starts = keys % len(nodes), np.flatnonzero(np.r_[True, np.diff(keys // len(nodes)) > 0])
+    tf, dl, order = tf.astype(np.int32), nodes["dl"].to_numpy()[at].astype(np.int32), nodes["ord"].to_numpy()[at]
+    ends = np.r_[starts, len(keys)].astype(np.int32)
+    listed = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (order, tf, dl)]
+    range_ = np.full(len(starts), nodes["range"][0].as_py())
+    columns = [coded.dictionary.cast(pa.string()), range_, np.diff(ends), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts), *listed]
+    return pa.table(columns, names=["term", "range", "n", "most", "least", "ord", "tf", "dl"])
+
+
 def _write_postings(rows: DataFrame, path: str) -> None:
-    rows = rows.select(_bucket(F.col("term")).alias("bucket"), "term", "range", F.size("p").alias("n"), F.array_max("p.tf").alias("most"), F.array_min("p.dl").alias("least"), F.col("p.ord").alias("ord"), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
+    rows = rows.withColumn("bucket", _bucket(F.col("term")))
     rows.repartition("bucket").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 

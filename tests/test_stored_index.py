@@ -96,3 +96,20 @@ def test_empty_index(spark, tmp_path):
     assert stored_index.search_many(spark, str(tmp_path / "e"), spark.createDataFrame([(1, "word1")], "query_id long, query string"), 3).count() == 0
     stored_index.append(spark.createDataFrame(rows(10, 7), SCHEMA), str(tmp_path / "e"))
     assert stored_index.search(spark, str(tmp_path / "e"), "word1", 3).count() > 0
+
+
+def test_an_append_moves_texts_not_words(spark, tmp_path):
+    """A row for each word of a node was moved twice; now a node is, and a term's row in a range of nodes."""
+    words = [f"word{i}" for i in range(150)]
+    texts = [(i, " ".join(words[i % 50 : i % 50 + 100])) for i in range(600)]
+    nodes = spark.createDataFrame([(i, t, "A", 1, 2.0, "t") for i, t in texts], SCHEMA)
+
+    def moved():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = moved()
+    stored_index.append(nodes, str(tmp_path))
+    assert moved() - before < 6_000  # of 60,000 pairs of a node and a term
+    assert {r["term"]: r["df"] for r in stored_index.term_statistics(spark, str(tmp_path)).collect()} == {w: sum(w in t.split() for _, t in texts) for w in words}
