@@ -100,7 +100,7 @@ def test_empty_index(spark, tmp_path):
 
 def test_an_append_moves_texts_not_words(spark, tmp_path):
     """A row for each word of a node was moved twice; now a node is, and a term's row in a range of nodes."""
-    words = [f"word{i}" for i in range(150)]
+    words = [f"word{i}" for i in range(149)]
     texts = [(i, " ".join(words[i % 50 : i % 50 + 100])) for i in range(600)]
     nodes = spark.createDataFrame([(i, t, "A", 1, 2.0, "t") for i, t in texts], SCHEMA)
 
