@@ -92,6 +92,27 @@ def write_ordered(cues: DataFrame, key: str, order: str, text: str, path: str) -
     lines.repartition(key).sortWithinPartitions(key, "__order").select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_packed(cues: DataFrame, key: str, order: str, text: str, path: str) -> DataFrame:
+    """The texts of ``write_ordered`` as rows (path, value) of one table under ``path``, and that table read again.
+
+    For many keys: a file each costs more than its text, at writing, listing and opening. A row is a file as a reader
+    takes it, whole, and its path says key=value as the folder would.
+    """
+    line = F.struct(F.col(order).alias("o"), F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n\n")).alias("v"))
+    whole = cues.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["v"]), "").alias("value"))
+    return pack(whole.select(packed_path(key, F.col(key)), "value"), path)
+
+
+def packed_path(key: str, value: Column) -> Column:
+    return F.concat(F.lit(f"/{key}="), F.coalesce(value.cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/part")).alias("path")
+
+
+def pack(files: DataFrame, path: str) -> DataFrame:
+    """Small files, rows (path, value), written as one table under ``path`` and read again."""
+    files.write.mode("overwrite").parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
 def violations(files: DataFrame, rules: dict[str, str], path: str = "path", text: str = "text") -> DataFrame:
     """(path, rule, n): how often each rule's pattern stands in a file; one pass over the texts."""
     counts = F.array(*(F.struct(F.lit(name).alias("rule"), F.regexp_count(F.col(text), F.lit(pattern)).alias("n")) for name, pattern in rules.items()))

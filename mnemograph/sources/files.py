@@ -23,8 +23,10 @@ def renderer(path: Column) -> Column:
     return out
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\n?", "\n").alias("value"))
+def _whole(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(path, value) of whole files: those under ``path``, or rows of a table that holds many small ones."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value") if isinstance(path, str) else path
+    return files.select("path", F.regexp_replace("value", r"\r\n?", "\n").alias("value"))
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -35,7 +37,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return spark.read.csv(path, header=True, inferSchema=True, quote='"', escape='"', multiLine=multi_line)
 
 
-def read_srt(spark: SparkSession, path: str) -> DataFrame:
+def read_srt(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(path, cue, time, text): blocks between blank lines; the line with an arrow is the time."""
     lines = _whole(spark, path).select("path", F.posexplode(F.split(F.trim("value"), r"\n\s*\n")).alias("cue", "block")).withColumn("l", F.transform(F.split("block", "\n"), lambda x: F.trim(x)))
     at = F.array_position(F.transform("l", lambda x: F.contains(x, F.lit("-->"))), True).cast("int")
@@ -44,7 +46,7 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", "cue", F.element_at("l", F.col("at")).alias("time"), F.array_join(words, " ").alias("text"))
 
 
-def read_vtt(spark: SparkSession, path: str) -> DataFrame:
+def read_vtt(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(path, cue, time, text): a time line, then lines up to a blank one."""
     cues = F.regexp_extract_all("value", F.lit(r"(?m)^[^\n]*-->[^\n]*(?:\n(?!\s*$)[^\n]+)*"), F.lit(0))
     got = _whole(spark, path).select("path", F.posexplode(cues).alias("cue", "block")).withColumn("l", F.split("block", "\n"))
@@ -85,7 +87,7 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit(""))
 
 
-def read_code(spark: SparkSession, path: str, lines: int = 500, name: Column | None = None) -> DataFrame:
+def read_code(spark: SparkSession, path: str | DataFrame, lines: int = 500, name: Column | None = None) -> DataFrame:
     """(path, language, n_lines, text, truncated): the first lines of each file (a preview's limit); ``name`` is the
     path that the language is taken from. A last line end makes no line of its own."""
     got = _whole(spark, path).withColumn("l", F.split(F.regexp_replace("value", r"\n\z", ""), "\n"))

@@ -199,13 +199,15 @@ def read_list(spark: SparkSession, path: str, item: StructType | str) -> DataFra
     return whole.where(sound).select("source", F.explode(F.from_json("value", f"array<{schema.nested(kind)}>")).alias("x")).where("x is not null").select("x.*", "source")
 
 
-def read_subgraphs(spark: SparkSession, path: str, name: str = r"([^/]+)\.json$") -> DataFrame:
-    """(macro_id, usable, subgraph) of per-macro files: ``name`` takes the macro's id from the path.
+def read_subgraphs(spark: SparkSession, path: str | DataFrame, name: str = r"([^/]+)\.json$") -> DataFrame:
+    """(macro_id, usable, subgraph) of per-macro files: ``name`` takes the macro's id from the path. Many small files may
+    be the rows (path, value) of a table.
 
     A file that isn't a JSON object, or in whose lists something isn't one, is not usable and has no subgraph; one
     without events, entities and screen texts isn't usable either. Rows get the file's macro_id, whatever they say.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", name, 1).alias("macro_id"), "value", F.try_parse_json("value").alias("v"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value") if isinstance(path, str) else path
+    whole = files.select(F.regexp_extract("path", name, 1).alias("macro_id"), "value", F.try_parse_json("value").alias("v"))
     is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
     sound = is_object(F.col("v"))
     for part in ("micro_events", "entities", "edges", "on_screen_texts"):
