@@ -17,10 +17,13 @@ digests and one of them stands for all. Candidate pairs are verified on the whol
 pair for each document, then those pairs that components don't join yet, so the sets of a group
 move once or twice and not once a pair.
 
-Linking documents share at least ``1 + spare`` equal segments, so a document with fewer noted
-signatures in a band than that (less its empty segments) meets each partner of that band under another
+Linking documents share at least ``1 + spare`` equal segments in a band, less a document's empty ones. So
+groups count under how many signatures a pair meets: a pair that meets under fewer than that, less
+the document's noted signatures, doesn't link and goes. Without this, long documents, which have thousands
+of signatures, would meet all others that share a few words. A document with fewer noted
+signatures in a band than that meets each partner of that band under another
 signature, and leaves the band's noted groups. This takes out documents that share a passage but
-little else. Where what is left of a noted group isn't one component, its members are compared with a
+little else. Sketches and sets are shuffled only for the rows in pairs, found by a filter of fixed size. Where what is left of a noted group isn't one component, its members are compared with a
 pivot, and regrouped by the shingles in which they differ from it (``_across``): a group costs its size
 at each level, not its square. Components are found by ``smallest_reachable``.
 
@@ -49,7 +52,7 @@ SPARE = 8
 #: Members of a group whose pairs are looked at one by one; of larger groups, this many at a time after so
 #: many times of regrouping.
 FEW, CHUNK, LEVELS = 256, 4000, 3
-#: Words of the sketches that pairs are tried on, and bits of the filter on rows that are in pairs.
+#: Words of the short sketches that pairs are tried on, and bits of the filter on rows that are in pairs.
 SKETCH_WORDS, FILTER_BITS = 32, 1 << 25
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -142,6 +145,30 @@ def segment_sketches(hashes: np.ndarray, segments: int) -> np.ndarray:
     return out
 
 
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of ``words`` segments, from one of a multiple of them."""
+    return np.bitwise_xor.reduce(sketch.reshape(words, -1), axis=1)
+
+
+def doc_sketch(hashes: np.ndarray) -> bytes:
+    """A sketch of SKETCH_WORDS words; after it, for sets of more shingles than it has bits, one of a bit a shingle.
+
+    In too few bits, the distance of unlike sets ends at half the bits, below what long sets may differ.
+    """
+    words = SKETCH_WORDS
+    while words * 64 < len(hashes):
+        words *= 2
+    whole = segment_sketches(hashes, words)
+    return whole.tobytes() if words == SKETCH_WORDS else fold(whole, SKETCH_WORDS).tobytes() + whole.tobytes()
+
+
+def long_distance(x: bytes, y: bytes) -> int:
+    """The distance of two documents' long sketches."""
+    a, b = (np.frombuffer(s, dtype=np.uint64)[SKETCH_WORDS:] for s in (x, y))
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum(dtype=np.int64))
+
+
 def signatures(hashes: np.ndarray, rule: Rule, edges: list[int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(signatures, least shared): the band is in a signature's low bits; per band how many signatures
     any linking partner shares at least."""
@@ -169,8 +196,8 @@ def signatures(hashes: np.ndarray, rule: Rule, edges: list[int]) -> tuple[np.nda
 
 ROWS = "kind byte, a long, b long, n int, sketch binary"
 #: Kinds of rows: document (doc_id, row, size, sketch), signature (signature, row, size), equal sets (row, row),
-#: candidate pair (row, row), member of a large group (signature, row), digest (first 64 bits, row, 32 more),
-#: signatures that partners share at least (band, row, number).
+#: candidate pair (row, row, 64 times the small groups it meets in, and the band), member of a large group (signature,
+#: row), digest (first 64 bits, row, 32 more), signatures that partners share at least (band, row, number).
 DOC, SIG, SAME, PAIR, MEMBER, DIGEST, LEAST = range(7)
 
 
@@ -193,7 +220,7 @@ def _sign(k: int, rule: Rule):
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = shingles(text, k)
                 sizes.append(len(own))
-                sketches.append(segment_sketches(own, SKETCH_WORDS).tobytes() if len(own) else None)
+                sketches.append(doc_sketch(own) if len(own) else None)
                 if not len(own):
                     continue
                 digest = xxhash.xxh3_128_digest(own.tobytes())
@@ -242,8 +269,8 @@ def _collapse(sigs: np.ndarray, owners: np.ndarray, sizes: np.ndarray, rule: Rul
     if late.any():
         first = starts[group[late]]
         near = rule.den * np.minimum(sizes[first], sizes[late]).astype(np.int64) >= rule.num * np.maximum(sizes[first], sizes[late]).astype(np.int64)
-        pairs = np.unique(np.stack([owners[first], owners[late]], axis=1)[near], axis=0)
-        yield _rows(PAIR, pairs[:, 0], pairs[:, 1])
+        pairs = np.unique(np.stack([owners[first], owners[late], sigs[late] & 63], axis=1)[near], axis=0)
+        yield _rows(PAIR, pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.int32))
         yield _rows(MEMBER, sigs[late], owners[late])
 
 
@@ -255,7 +282,7 @@ def _pair_up(rule: Rule):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, large, last = None, [], False, None
-        out: set[tuple[int, int]] = set()
+        out: dict[tuple[int, int, int], int] = {}  # (row, row, band): small groups that both are in
         noted: list[tuple[int, int]] = []
         for batch in _ended(batches):
             if batch is None:
@@ -275,24 +302,30 @@ def _pair_up(rule: Rule):
             for sig, row, size in zip(keys, rows, sizes, strict=True):
                 if sig != group:
                     if not large:
-                        out.update((x[0], y[0]) for x, y in combinations(members, 2) if near(x, y))
+                        for x, y in combinations(members, 2):
+                            if near(x, y):
+                                met = x[0], y[0], group & 63
+                                out[met] = out.get(met, 0) + 1
                     group, members, large, last = sig, [(row, size)], False, row
                 elif row != last:
                     last = row
                     if large:
                         noted.append((sig, row))
                         if near(members[0], (row, size)):
-                            out.add((members[0][0], row))
+                            out.setdefault((members[0][0], row, sig & 63), 0)
                         continue
                     members.append((row, size))
                     if len(members) > SMALL:
                         large = True
-                        out.update((members[0][0], m[0]) for m in members[1:] if near(members[0], m))
+                        for m in members[1:]:
+                            if near(members[0], m):
+                                out.setdefault((members[0][0], m[0], sig & 63), 0)
                         noted += [(sig, m[0]) for m in members]
                         members = members[:1]
             if out and (len(out) > 100_000 or batch is None):
-                yield _rows(PAIR, *zip(*sorted(out), strict=True))
-                out = set()
+                a, b, n = zip(*sorted((a, b, c << 6 | band) for (a, b, band), c in out.items()), strict=True)
+                yield _rows(PAIR, a, b, np.array(n, dtype=np.int32))
+                out = {}
             if noted and (len(noted) > 100_000 or batch is None):
                 yield _rows(MEMBER, *zip(*noted, strict=True))
                 noted = []
@@ -315,6 +348,34 @@ def _row_filter(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(row) of both ends of the ``pairs`` (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("row"))
+
+
+def _flagged(df: DataFrame, col: str, rows: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a column ``flag``: whether the row number in ``col`` is one of ``rows`` (a few more share a filter bit).
+
+    The filter comes by broadcast, in up to FILTER_BITS / 32768 rows of 4 KB, whatever the number of ``rows``; ``df`` isn't
+    shuffled, and no Python worker is needed beside those of the step.
+    """
+
+    def place(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    part, bits = fresh(df, "filter_part"), fresh(df, "filter_bits")
+    built = rows.groupBy((place("row") / 32768).cast("int").alias(part)).agg(F.bitmap_construct_agg(place("row") % 32768).alias(bits))
+    byte = F.substring(F.col(bits), (place(col) % 32768 / 8).cast("int") + 1, F.lit(1))
+    is_set = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), (place(col) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    joined_up = df.withColumn(part, (place(col) / 32768).cast("int")).join(F.broadcast(built), part, "left")
+    return joined_up.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop(part, bits)
+
+
+def _among(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """``df`` (row, ...) without the most that aren't of ``rows`` (row)."""
+    return _flagged(df, "row", rows, "among").where("among").drop("among")
+
+
 def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(row, set) of ``rows`` (and a few more that share a filter bit)."""
     shared = docs.sparkSession.sparkContext.broadcast(_row_filter(rows))
@@ -344,11 +405,15 @@ def _sketch_pairs(sketched: DataFrame, pairs: DataFrame, rule: Rule) -> DataFram
 
     def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS) for c in ("ka", "kb"))
+            ka, kb, na, nb = batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+            x, y = (np.frombuffer(b"".join(s[: 8 * SKETCH_WORDS] for s in k), dtype=np.uint64).reshape(-1, SKETCH_WORDS) for k in (ka, kb))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep = _close(rule, np.asarray(batch.column("na")), np.asarray(batch.column("nb")), apart)
+            for i in np.flatnonzero(_close(rule, na, nb, apart) & (np.minimum(na, nb) > 64 * SKETCH_WORDS)):
+                apart[i] = long_distance(ka[i], kb[i])
+            keep = _close(rule, na, nb, apart)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart.astype(np.int32))], names=["a", "b", "apart"]).filter(pa.array(keep))
 
+    sketched = _among(sketched, _ends(pairs))
     tried = pairs.join(sketched.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
     tried = tried.join(sketched.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
     return store(tried.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(distance, CLOSE), "close")
@@ -359,6 +424,7 @@ CLOSE = "a long, b long, apart int"
 
 def _with_sets(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with their sets (sa, sb)."""
+    held = _among(held, _ends(pairs))
     left = pairs.join(held.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a")
     return left.join(held.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
 
@@ -384,7 +450,7 @@ def _verify(pairs: DataFrame, held: DataFrame, rule: Rule, roots: DataFrame | No
         return store(_with_sets(some, held).mapInArrow(compare, "a long, b long"), "linked")
 
     # the nearest partner of each row first: most rows need no other
-    first = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    first = store(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "first")
     roots = joined(roots, linking(first))
     # pairs that were tried without a link, or whose ends have met by now, go
     rest = pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
@@ -509,20 +575,23 @@ def _across(docs: DataFrame, sketched: DataFrame, members: DataFrame, roots: Dat
         rest = store(still_open(members), "open")
         if rest.isEmpty():
             return roots
-        held = _sets(docs, rest.select("row"), k) if held is None else held  # later members are some of these
+        if held is None:  # later members are some of these
+            held = _sets(docs, rest.select("row"), k)
+            sketched = _among(sketched, rest.select("row"))
         many, found = rest.where(F.col("size") > FEW), None
         if not many.isEmpty():
             keys = many.groupBy("row").agg(F.count("*").alias("keys"))
             pivots = many.select("key", "row").join(keys, "row").groupBy("key").agg(F.min_by("row", F.struct(-F.col("keys"), F.col("row"))).alias("b"))
             star = many.select("key", F.col("row").alias("a")).join(pivots, "key").where("a != b").select("a", "b").distinct()
+            star = store(star, "star")
             found = store(_with_sets(star, held).mapInArrow(_edits(rule), EDITS), "edits")
             roots = joined(roots, found.where("kind = -1").select("a", "b"))
         few = still_open(rest if level == LEVELS else rest.where(F.col("size") <= FEW)).join(sketched, "row").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
         few = few.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        dealt = few.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "side", "row", "root", "n", "sketch")
+        dealt = few.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "side", "row", "root", "n", F.substring("sketch", 1, 8 * SKETCH_WORDS).alias("sketch"))
         pairs = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "row").mapInArrow(_meet(rule), CLOSE)
         pairs = store(pairs.distinct(), "across")
-        roots = roots if pairs.isEmpty() else _verify(pairs, held, rule, roots)
+        roots = roots if pairs.isEmpty() else _verify(_sketch_pairs(sketched, pairs.select("a", "b"), rule), held, rule, roots)
         if found is None:
             return roots
         members = found.where("kind >= 0").select(F.col("a").alias("key"), F.col("b").alias("row"), F.col("kind").alias("side"))
@@ -542,19 +611,24 @@ def _components(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
     digests = found.where(F.col("kind") == DIGEST).select(F.col("a").alias("digest"), F.col("n").alias("more"), F.col("b").alias("row"))
     several = digests.groupBy("digest", "more").agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1")
     copies = store(digests.join(several, ["digest", "more"]).where("row != first").select("first", "row"), "copies")
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()  # a pair meets under each signature it shares
+    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("row")).distinct().withColumn("band", F.col("sig").bitwiseAND(F.lit(63)))
+    least = found.where(F.col("kind") == LEAST).select((F.col("a") % 64).alias("band"), F.col("b").alias("row"), F.col("n").alias("least"))
+    # how many small groups of a band a row and any partner are in together, at least
+    asks = least.join(members.groupBy("row", "band").count(), ["row", "band"], "left").withColumn("asks", F.col("least") - F.coalesce("count", F.lit(0)))
+    asks = store(asks.where("asks > 0").select("row", "band", "asks"), "asks")
+    met = found.where(F.col("kind") == PAIR).withColumn("band", F.col("n").bitwiseAND(F.lit(63)).cast("long"))
+    pairs = met.groupBy("a", "b", "band").agg(F.sum(F.call_function("shiftright", "n", F.lit(6))).alias("met"))
+    for c in ("a", "b"):
+        pairs = pairs.join(asks.select(F.col("row").alias(c), "band", "asks"), [c, "band"], "left").where(F.col("met") >= F.coalesce("asks", F.lit(0))).drop("asks")
     for c in ("a", "b"):
         pairs = pairs.join(copies.select(F.col("row").alias(c), F.col("first").alias(f"f{c}")), c, "left")
     pairs = pairs.select(F.coalesce("fa", "a").alias("x"), F.coalesce("fb", "b").alias("y")).where("x != y")
     pairs = store(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
     same = found.where(F.col("kind") == SAME).select("a", "b").unionByName(copies.select(F.col("first").alias("a"), F.col("row").alias("b")))
     close = _sketch_pairs(sketched, pairs, rule)
-    roots = _verify(close, _sets(docs, close.select(F.explode(F.array("a", "b")).alias("row")), k), rule, smallest_reachable(same))
-    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("row")).distinct().withColumn("band", F.col("sig").bitwiseAND(F.lit(63)))
-    least = found.where(F.col("kind") == LEAST).select((F.col("a") % 64).alias("band"), F.col("b").alias("row"), F.col("n").alias("least"))
-    stay = members.groupBy("row", "band").count().join(least, ["row", "band"], "left").where(F.col("count") >= F.coalesce("least", F.lit(1))).select("row", "band")
+    roots = _verify(close, _sets(docs, _ends(close), k), rule, smallest_reachable(same))
     # an equal set's copies stay out: the first has the same signatures
-    members = members.join(stay, ["row", "band"], "left_semi").join(copies, "row", "left_anti").select(F.col("sig").alias("key"), "row")
+    members = members.join(asks, ["row", "band"], "left_anti").join(copies, "row", "left_anti").select(F.col("sig").alias("key"), "row")
     roots = _across(docs, sketched, members, roots, k, rule)
     sizes = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("row"), F.col("n").cast("long").alias("n_shingles"))
     return sizes.join(roots.withColumnRenamed("node", "row"), "row", "left")
@@ -578,5 +652,10 @@ def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     with scratch(df.sparkSession):
         placed = store(_components(numbered(rows, id_col, text_col), k, Rule(num, den)), "placed", keep=True)
     first = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    gone = placed.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(number))
-    return rows.withColumn(number, F.monotonically_increasing_id()).join(gone, number, "left_anti").select(*df.columns)
+    gone = store(placed.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(number)), "gone")
+    # texts of rows that can't be gone aren't shuffled
+    rows = rows.withColumn(number, F.monotonically_increasing_id())
+    flag = fresh(rows, "maybe")
+    rows = _flagged(rows, number, gone.select(F.col(number).alias("row")), flag)
+    kept, some = rows.where(~F.col(flag)), rows.where(F.col(flag)).join(gone, number, "left_anti")
+    return kept.select(*df.columns).union(some.select(*df.columns))
